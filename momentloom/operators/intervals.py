@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, tokens, trim_ws
 from .scaling import (interval_overlap, keys_equal, block_of, point_in_interval, running,
-                      runs, spread_interval, top_n)
+                      runs, scan_sorted, spread_interval, top_n)
 
 EPISODE = ["episode_id"]
 HOUR_MS = 3_600_000
@@ -247,14 +247,24 @@ def drop_contained(words: DataFrame, silences: DataFrame) -> DataFrame:
 def dedupe_by_gap(df: DataFrame, keys: list[str], t: str, eps_ms: int) -> DataFrame:
     """Distinct times per key, each at least ``eps_ms`` after the last one kept.
 
-    A gap of ``eps_ms`` always keeps the next time, so stretches between such gaps are
-    folded separately; equal times are merged before the shuffle.
+    Equal times are merged before the shuffle. A gap of ``eps_ms`` always keeps the next
+    time, so the stretches between such gaps are independent; each is walked in order as a
+    stream, never collected.
     """
     times = df.groupBy(*keys, t).agg(F.lit(1).alias("_one")).drop("_one")
     cut = runs(times, keys, t, t, eps_ms, HOUR_MS)
-    kept = keep_by_gap(F.col("_ts"), lambda a, b: b - a >= eps_ms)
-    return (cut.groupBy(*keys, "run_id").agg(F.array_sort(F.collect_list(t)).alias("_ts"))
-            .select(*keys, F.explode(kept).alias(t)))
+
+    def walk(rows):
+        last = None
+        for row in rows:
+            if last is None or row[-1] - last >= eps_ms:
+                last = row[-1]
+                yield row
+
+    group = [*keys, "run_id"]
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, t])
+    return scan_sorted(cut.select(*group, t), group, [t], schema, walk).select(*keys, t)
 
 
 def overlap_ms(windows: DataFrame, speech: DataFrame, keys: list[str]) -> DataFrame:

@@ -340,9 +340,9 @@ def trend_lift(clips: DataFrame, analytics: DataFrame, trends: DataFrame) -> Dat
         F.count("*").alias("matched_clips"), F.avg("views").alias("avg_views"))
     sources = trends.groupBy(F.col("topic_id").alias("trend_match")).agg(
         F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
-    return (per.join(sources, "trend_match").crossJoin(F.broadcast(base))   # base: one row
+    return (per.join(sources, "trend_match")
             .select(F.col("trend_match").alias("trend"), "sources", "matched_clips", "avg_views",
-                    (F.col("avg_views") / F.col("_base") - 1).alias("lift")))
+                    (F.col("avg_views") / base.scalar() - 1).alias("lift")))
 
 
 def score_histogram(clips: DataFrame, score: str = "score") -> DataFrame:
@@ -380,17 +380,20 @@ def feature_importance(rows: DataFrame, features: list[str], score: str = "score
 
 
 def kpis(jobs: DataFrame, clips: DataFrame, posts: DataFrame, analytics: DataFrame, as_of: int) -> DataFrame:
-    """One row of headline numbers; each part is a single aggregate."""
-    j = jobs.agg(F.count_if(~F.col("status").isin("done", "failed", "cancelled")).alias("active_jobs"),
-                 (F.coalesce(F.sum("cost_cents"), F.lit(0)) / 100).alias("_cost"))
-    c = clips.agg(F.count_if((F.col("created_at") >= as_of - 7 * DAY_S) & (F.col("created_at") <= as_of))
-                  .alias("clips_7d"), F.count("*").alias("_clips"))
-    p = posts.agg(F.count_if(F.col("status") == "posted").alias("posts_published"))
-    a = analytics.filter(F.col("views") > 0).agg(F.avg("ctr").alias("avg_ctr"), F.avg("watch_pct").alias("avg_watch"))
-    # Four one-row tables side by side.
-    row = j.crossJoin(F.broadcast(c)).crossJoin(F.broadcast(p)).crossJoin(F.broadcast(a))
-    return row.select("active_jobs", "clips_7d", "posts_published", "avg_ctr", "avg_watch",
-                      F.when(F.col("_clips") > 0, F.col("_cost") / F.col("_clips")).otherwise(0.0).alias("cost_per_clip"))
+    """One row of headline numbers; each table is aggregated once, as a scalar subquery."""
+    c = clips.agg(F.struct(
+        F.count_if((F.col("created_at") >= as_of - 7 * DAY_S) & (F.col("created_at") <= as_of)).alias("week"),
+        F.count("*").alias("n"))).scalar()
+    p = posts.agg(F.count_if(F.col("status") == "posted")).scalar()
+    a = analytics.filter(F.col("views") > 0).agg(
+        F.struct(F.avg("ctr").alias("ctr"), F.avg("watch_pct").alias("watch"))).scalar()
+    row = jobs.agg(F.count_if(~F.col("status").isin("done", "failed", "cancelled")).alias("active_jobs"),
+                   (F.coalesce(F.sum("cost_cents"), F.lit(0)) / 100).alias("_cost"))
+    row = row.select("*", c.alias("_c"), p.alias("posts_published"), a.alias("_a"))
+    return row.select("active_jobs", F.col("_c.week").alias("clips_7d"), "posts_published",
+                      F.col("_a.ctr").alias("avg_ctr"), F.col("_a.watch").alias("avg_watch"),
+                      F.when(F.col("_c.n") > 0, F.col("_cost") / F.col("_c.n")).otherwise(0.0)
+                      .alias("cost_per_clip"))
 
 
 def hook_type_report(clips: DataFrame, analytics: DataFrame) -> DataFrame:

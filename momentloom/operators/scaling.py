@@ -7,14 +7,16 @@ which is thousands of times smaller than the rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 __all__ = ["block_of", "spread_interval", "running", "runs", "point_in_interval",
-           "interval_overlap", "top_n", "keys_equal"]
+           "interval_overlap", "top_n", "keys_equal", "scan_sorted"]
 
 _BLK = "_blk"
 
@@ -29,7 +31,7 @@ def spread_interval(start, end, width: int) -> Column:
     start = F.col(start) if isinstance(start, str) else start
     end = F.col(end) if isinstance(end, str) else end
     first = block_of(start, width)
-    last = F.greatest(first, block_of(end - 1, width))
+    last = F.greatest(first, block_of(F.ceil(end) - 1, width))
     return F.explode(F.sequence(first, last))
 
 
@@ -149,3 +151,34 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int,
     out = (df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
            .filter(F.col(name) <= n))
     return out if rank else out.drop(name)
+
+
+def scan_sorted(df: DataFrame, keys: list[str], order: list[str], schema: str,
+                process: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
+    """Run ``process`` over the sorted rows of each key, for order-dependent state.
+
+    Rows are shuffled by key, sorted by Spark (spilling as needed) and streamed through in
+    Arrow batches: a group is never held in memory, whatever its size. ``process`` gets an
+    iterator of row tuples (columns of ``df`` in order, keys first) and yields tuples of
+    ``schema``.
+    """
+    n = len(keys)
+    chunk = 10_000
+
+    def run(batches):
+        import pandas as pd
+
+        rows = (r for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=lambda r: r[:n]):
+            for row in process(group):
+                out.append(row)
+                if len(out) >= chunk:
+                    yield pd.DataFrame.from_records(out, columns=names)
+                    out = []
+        if out:
+            yield pd.DataFrame.from_records(out, columns=names)
+
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    return (df.select(*keys, *[c for c in df.columns if c not in keys])
+            .repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema))

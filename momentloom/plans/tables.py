@@ -229,7 +229,7 @@ _CTES = {
     "shots": "shots AS (SELECT episode_id, start_ms AS t_ms FROM words WHERE pos % 97 = 96)",
     "speech": """speech AS (SELECT episode_id, start_ms, start_ms + 3200 AS end_ms FROM words
         WHERE pos % 8 = 0 AND (pos // 8) % 3 <> 2)""",
-    "ev": f"""ev AS (SELECT *, user_id AS episode_id, epoch_ms(ts) - {EPOCH_S * 1000} AS t_ms FROM events)""",
+    "ev": f"""ev AS (SELECT *, user_id AS episode_id, epoch_us(ts) // 1000 - {EPOCH_S * 1000} AS t_ms FROM events)""",
     "evwin": """evwin AS (SELECT episode_id, w AS window_id, w * 14400000 AS start_ms,
         w * 14400000 + 21600000 AS end_ms FROM (SELECT episode_id,
         unnest(generate_series(0::BIGINT, max(t_ms) // 14400000)) AS w FROM ev GROUP BY episode_id))""",
