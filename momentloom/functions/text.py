@@ -167,6 +167,13 @@ def max_trigram_repeat(df: DataFrame, key: list[str], text_col: str) -> DataFram
             .select(*key, F.coalesce("_best", F.lit(0)).cast("bigint").alias("max_repeat")))
 
 
+def fixed(col, digits: int) -> Column:
+    """A number with ``digits`` decimals, rounding the exact binary value half to even
+    (``format_string`` would round the shortest decimal text half up instead)."""
+    return F.call_function("format_number", as_col(col).cast("double"),
+                           F.lit("0." + "0" * digits if digits else "0"))
+
+
 # -- FN-7..12 -----------------------------------------------------------------------
 
 def slugify(col) -> Column:

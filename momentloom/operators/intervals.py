@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import as_col, clamp_chars, tokens, trim_ws
+from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
 from .scaling import (interval_overlap, keys_equal, block_of, point_in_interval, running,
                       runs, scan_sorted, spread_interval, top_n)
 
@@ -361,9 +361,9 @@ def check_recuts(edits: DataFrame) -> DataFrame:
     return edits.withColumn("new_start_ms", start).withColumn("new_end_ms", end).withColumn(
         "reason", F.when(~finite, "start/end must be finite")
         .when(length < RECUT_MIN_MS, F.concat(
-            F.lit("duration "), F.format_string("%.1f", length / 1000), F.lit("s below 3s minimum")))
+            F.lit("duration "), fixed(length / 1000, 1), F.lit("s below 3s minimum")))
         .when(length > RECUT_MAX_MS, F.concat(
-            F.lit("duration "), F.format_string("%.1f", length / 1000),
+            F.lit("duration "), fixed(length / 1000, 1),
             F.lit("s above 300s maximum"))))
 
 

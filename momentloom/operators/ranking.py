@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import blend, clamp_score, trim_ws
+from ..functions.text import blend, clamp_score, fixed, trim_ws
 from ..sources.feeds import clamp_refined  # noqa: F401  (RK-2)
 from .intervals import EPISODE, FRAME_BLOCK
 from .scaling import block_of, running, top_n
@@ -104,7 +104,7 @@ def finalize_clips(ranked: DataFrame, k: int) -> DataFrame:
 def trends_text(trends: DataFrame) -> DataFrame:
     """One row: the trend lines, best first (at most the N of ``recent_trends``)."""
     line = F.concat(F.lit("- "), F.coalesce("label", "topic_id"),
-                    F.when(F.col("score").isNotNull(), F.format_string(" (score: %.0f)", F.col("score"))).otherwise(""),
+                    F.coalesce(F.concat(F.lit(" (score: "), fixed("score", 0), F.lit(")")), F.lit("")),
                     F.lit(" ["), "source", F.lit("]"))
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source", "topic_id", line.alias("line"))))
     return trends.agg(ordered.alias("_l")).select(F.array_join(

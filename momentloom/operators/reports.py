@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import fmt_duration, fmt_iso
+from ..functions.text import fixed, fmt_duration, fmt_iso
 from .scaling import running, top_n
 
 DAY_S = 86_400
@@ -88,15 +88,15 @@ def performance_history(clips: DataFrame, analytics: DataFrame, best: int = 5, w
 def history_line() -> Column:
     q = F.lit("?")
 
-    def shown(fmt, col):
-        return F.when(F.col(col).isNotNull(), F.format_string(fmt, F.col(col).cast("double"))).otherwise(q)
+    def shown(col, digits, unit=""):
+        return F.coalesce(F.concat(fixed(col, digits), F.lit(unit)), q)
 
     return F.concat(
         F.lit("  "), F.col("idx"), F.lit('. hook="'), F.coalesce("hook", F.lit("(no hook)")),
-        F.lit('" | ranker_score='), shown("%.0f", "score"), F.lit(" | duration="),
-        F.format_string("%.0f", (F.col("end_ms") - F.col("start_ms")) / 1000),
+        F.lit('" | ranker_score='), shown("score", 0), F.lit(" | duration="),
+        fixed((F.col("end_ms") - F.col("start_ms")) / 1000, 0),
         F.lit("s | views="), F.coalesce(F.col("views").cast("string"), q),
-        F.lit(" | CTR="), shown("%.2f%%", "ctr"), F.lit(" | watch_pct="), shown("%.1f%%", "watch_pct"))
+        F.lit(" | CTR="), shown("ctr", 2, "%"), F.lit(" | watch_pct="), shown("watch_pct", 1, "%"))
 
 
 def history_text(history: DataFrame) -> DataFrame:
@@ -156,8 +156,8 @@ def analytics_lines(analytics: DataFrame, as_of: int) -> DataFrame:
 
     parts = F.concat_ws(", ", whole("views", "views"), whole("likes", "likes"),
                         whole("reposts", "reposts"), whole("replies", "replies"),
-                        F.when(F.col("ctr").isNotNull(), F.format_string("%.1f%% CTR", "ctr")),
-                        F.when(F.col("watch_pct").isNotNull(), F.format_string("%.0f%% watch", "watch_pct")))
+                        F.concat(fixed("ctr", 1), F.lit("% CTR")),
+                        F.concat(fixed("watch_pct", 0), F.lit("% watch")))
     hours = F.floor(F.greatest(F.lit(as_of) - F.col("fetched_at"), F.lit(0)) / 3600)
     age = F.when(hours < 1, "just now").otherwise(F.concat(F.lit("fetched "), hours, F.lit("h ago")))
     line = F.concat(F.lit("  "), F.col("platform"), F.lit(" ("), age, F.lit("): "), parts)

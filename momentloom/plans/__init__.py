@@ -1,6 +1,6 @@
 """Queries over the given tables, grouped by area."""
 
-AREAS = ("timeline", "text")
+AREAS = ("timeline", "text", "source", "report")
 
 
 def load() -> None:
