@@ -214,12 +214,15 @@ def keep_by_gap(items: Column, far: callable) -> Column:
 def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> DataFrame:
     """Drop short or wordless windows, then near-copies of the last window kept.
 
-    A window that starts ``eps_ms`` or more after every earlier one is certainly kept, so
-    the timeline is cut there and each stretch is folded on its own; at ordinary strides a
-    stretch is a single window.
+    Snapping moves a start by at most the drift, so with a stride longer than two drifts
+    and ``eps_ms`` no two starts can come close and the filter is all there is to do.
+    Otherwise a window that starts ``eps_ms`` or more after every earlier one is certainly
+    kept; the timeline is cut there and each stretch is folded on its own.
     """
     good = windows.filter((F.col("end_ms") - F.col("start_ms") >= p.min_ms)
                           & (F.col("word_count") >= p.min_words))
+    if p.stride_ms - 2 * max(p.silence_drift_ms, p.shot_drift_ms) >= eps_ms:
+        return good
     cut = runs(good, EPISODE, "window_id", "start_ms", eps_ms, FRAME_BLOCK)
     names = good.columns
     order = ["window_id", *[c for c in names if c not in ("window_id", "episode_id")]]

@@ -49,7 +49,8 @@ def running(df: DataFrame, keys: list[str], order: list, block: Column,
 
     ``cols`` maps a new column to ``(kind, expression)``, kind being ``sum``, ``max`` or
     ``count``. ``block`` must not decrease along ``order``. Blocks are scanned
-    independently; a row-per-block table carries their totals forward.
+    independently; a row-per-block table carries their totals forward. ``df`` is read
+    twice: ``stage`` it first when it is expensive.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     agg = {"sum": F.sum, "max": F.max, "count": F.count}
@@ -83,7 +84,7 @@ def runs(df: DataFrame, keys: list[str], order: str, at: str, gap: int, width: i
     ``at`` value before it. ``out`` is the ``order`` value of the run's first row.
 
     ``order`` is an integer column; blocks are ``width`` wide in it. A run that crosses
-    blocks is stitched on the row-per-block table.
+    blocks is stitched on the row-per-block table. ``df`` is read twice, as in ``running``.
     """
     names = df.columns
     base = df.withColumn(_BLK, block_of(order, width))

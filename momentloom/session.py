@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         return f"{base}/{name}"
     run = spark.sql("SELECT uuid()").first()[0]
     return f"{base.rstrip('/')}/momentloom/{name}-{run}"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    For results several later steps read: it cuts the lineage (a lost executor re-reads a
+    file) and keeps an expensive plan from being run once per reader.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
