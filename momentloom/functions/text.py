@@ -138,33 +138,36 @@ def has_foreign_script(col) -> Column:
     return as_col(col).rlike(f"[{cls}]")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trigrams(col) -> Column:
-    """Lower-cased word 3-grams in order; empty below six tokens."""
-    toks = tokens(F.lower(as_col(col)))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(toks) - 2, F.lit(1))),
-        lambda i: F.array_join(F.slice(toks, i, F.lit(3)), " "))
-    return F.when(F.size(toks) >= 6, grams).otherwise(F.array().cast("array<string>"))
+    """Lower-cased word 3-grams in order; none below six tokens."""
+    def of(toks):
+        grams = F.transform(F.slice(toks, F.lit(3), F.greatest(F.size(toks) - 2, F.lit(0))), lambda t, i: F.concat_ws(
+            " ", F.get(toks, i), F.get(toks, i + 1), t))
+        return F.when(F.size(toks) >= 6, grams).otherwise(F.array().cast("array<string>"))
 
+    return let(tokens(F.lower(as_col(col))), of)
 
-def max_trigram_repeat(df: DataFrame, key: list[str], text_col: str) -> DataFrame:
-    """(key, max_repeat): how often the most frequent 3-gram of each text occurs.
 
-    3-grams are counted by a shuffle with map-side combining, so neither a long text nor
-    a frequent 3-gram is held in one row. Texts below six tokens give 0.
-    """
-    toks = df.select(*key, tokens(F.lower(F.col(text_col))).alias("_toks"))
-    long_enough = toks.filter(F.size("_toks") >= 6)
-    exploded = long_enough.select(*key, F.explode(F.arrays_zip(
-        F.col("_toks").alias("a"),
-        F.slice("_toks", 2, F.size("_toks") - 1).alias("b"),
-        F.slice("_toks", 3, F.size("_toks") - 2).alias("c"))).alias("_g"))
-    counts = (exploded.filter(F.col("_g.c").isNotNull())
-              .groupBy(*key, F.concat_ws(" ", "_g.a", "_g.b", "_g.c").alias("_gram"))
-              .agg(F.count("*").alias("_n")))
-    best = counts.groupBy(*key).agg(F.max("_n").alias("_best"))
-    return (df.select(*key).join(best, key, "left")
-            .select(*key, F.coalesce("_best", F.lit(0)).cast("bigint").alias("max_repeat")))
+def trigram_repeat(col) -> Column:
+    """How often the most frequent 3-gram of a text occurs, 0 below six tokens: the row's
+    3-grams sorted, then one pass over the equal runs. No row leaves its task."""
+    start = F.struct(F.lit("").alias("g"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("best"))
+
+    def step(acc, gram):
+        n = F.when(acc["g"] == gram, acc["n"] + 1).otherwise(F.lit(1).cast("bigint"))
+        return F.struct(gram.alias("g"), n.alias("n"), F.greatest(acc["best"], n).alias("best"))
+
+    return F.aggregate(F.array_sort(trigrams(col)), start, step, lambda acc: acc["best"])
+
+
+def max_trigram_repeat(df: DataFrame, key: list[str], text_col: str) -> DataFrame:
+    """(key, max_repeat) for a text table."""
+    return df.select(*key, trigram_repeat(text_col).alias("max_repeat"))
 
 
 def fixed(col, digits: int) -> Column:

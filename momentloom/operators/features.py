@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import as_col, has_foreign_script, max_trigram_repeat, text_features
-from .intervals import BUCKET_MS, EPISODE, HOUR_MS
+from ..functions.text import as_col, has_foreign_script, text_features, trigram_repeat
+from .intervals import BUCKET_MS, EPISODE
 from .scaling import interval_overlap, point_in_interval
 
 KEYS = ["episode_id", "window_id"]
@@ -189,19 +189,17 @@ def flag_reason(text, repeats, n_words, duration_s, guard: str = "default") -> C
 
 def flag_chunks(chunks: DataFrame, guard: str = "default") -> DataFrame:
     """``chunks`` (episode_id, chunk_idx, text, n_words, duration_s) plus ``reason``."""
-    keys = ["episode_id", "chunk_idx"]
-    repeats = max_trigram_repeat(chunks, keys, "text")
-    return (chunks.join(repeats, keys)
-            .withColumn("reason", flag_reason("text", "max_repeat", "n_words", "duration_s", guard)))
+    return (chunks.withColumn("_rep", trigram_repeat("text"))
+            .withColumn("reason", flag_reason("text", "_rep", "n_words", "duration_s", guard)).drop("_rep"))
 
 
 def usable_chunks(chunks: DataFrame, guard: str = "default") -> tuple[DataFrame, DataFrame]:
     """(chunks that contribute words and segments, flagged chunks with their reason)."""
     marked = flag_chunks(chunks, guard)
-    return (marked.filter(F.col("reason").isNull()).drop("reason", "max_repeat"),
+    return (marked.filter(F.col("reason").isNull()).drop("reason"),
             marked.filter(F.col("reason").isNotNull()))
 
 
 __all__ = ["rms_features", "f0_features", "event_features", "class_groups",
            "build_candidates", "cosine", "mean_vector", "novelty", "embed", "flag_chunks",
-           "flag_reason", "usable_chunks", "HOUR_MS"]
+           "flag_reason", "usable_chunks"]

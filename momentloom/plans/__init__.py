@@ -1,6 +1,6 @@
 """Queries over the given tables, grouped by area."""
 
-AREAS = ("timeline", "text", "source", "report", "ranking", "tracking")
+AREAS = ("timeline", "text", "source", "report", "ranking", "tracking", "streaming")
 
 
 def load() -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import word_count
 from ..operators import features as FT
 from ..operators import intervals as I
 from ..operators.scaling import interval_overlap
@@ -424,11 +425,15 @@ def qlt1(spark, sf):
 
 
 def doc_chunks(spark, sf):
+    return qlt1_chunks(t.docs(spark, sf))
+
+
+def qlt1_chunks(docs):
+    """Each document as one chunk behind a lead that may trip the gate."""
     lead = F.element_at(F.array(*[F.lit(s) for s in _LEADS]), (F.col("episode_id") % 4 + 1).cast("int"))
-    from ..functions.text import word_count
-    d = t.docs(spark, sf).withColumn("text", F.concat(lead, F.col("text")))
-    return d.select("episode_id", F.lit(0).cast("bigint").alias("chunk_idx"), "text", word_count("text").alias("n_words"),
-                    F.when(F.col("episode_id") % 6 == 3, 1_000_000.0).otherwise(5.0).alias("duration_s"))
+    return docs.withColumn("text", F.concat(lead, F.col("text"))).select(
+        "episode_id", F.lit(0).cast("bigint").alias("chunk_idx"), "text", word_count("text").alias("n_words"),
+        F.when(F.col("episode_id") % 6 == 3, 1_000_000.0).otherwise(5.0).alias("duration_s"))
 
 
 @query("jn_02_interval_overlap", sql("""SELECT w.episode_id, w.window_id, s.start_ms AS span_start_ms FROM evwin w JOIN spans s

@@ -17,10 +17,14 @@ CLIP = K.CLIP
 
 
 def detections(spark, sf):
+    return boxes_of(t.read(spark, sf, "lineitem"))
+
+
+def boxes_of(lines):
     """Boxes from the order lines: an order is a clip, a line number a frame."""
     k = F.col
     x, y, s = (k("l_partkey") % 60).cast("double"), (k("l_suppkey") % 40).cast("double"), k("l_quantity") + 30
-    return t.read(spark, sf, "lineitem").select(
+    return lines.select(
         k("l_orderkey").alias("episode_id"), k("l_orderkey").alias("clip_id"), k("l_linenumber").cast("bigint").alias("frame_idx"),
         (k("l_linenumber") * 250).cast("bigint").alias("t_ms"),
         (k("l_partkey") * 1_000_000 + k("l_suppkey") * 1000 + k("l_quantity").cast("bigint")).alias("det_idx"),
