@@ -144,8 +144,8 @@ def top_clips(analytics: DataFrame, clips: DataFrame, n: int = 10, mode: str = "
         F.col("rank").cast("bigint").alias("rank"), "clip_id", "platform",
         F.coalesce("views", F.lit(0)).alias("views"), F.coalesce("hook", F.lit("")).alias("hook"),
         F.coalesce(F.col("episode").cast("string"), F.lit("")).alias("episode"),
-        F.round(F.coalesce("_ctr", F.lit(0.0)), 2).alias("ctr"),
-        F.round(F.coalesce("_watch", F.lit(0.0)), 2).alias("watch_pct"),
+        (F.round(F.coalesce("_ctr", F.lit(0.0)) * 100) / 100).alias("ctr"),
+        (F.round(F.coalesce("_watch", F.lit(0.0)) * 100) / 100).alias("watch_pct"),
         F.round(F.coalesce(F.col("score").cast("double"), F.lit(0.0))).cast("bigint").alias("score"))
 
 

@@ -17,13 +17,12 @@ from .source_queries import pick, renders
 from .tables import sql
 from .timeline_queries import _GRID, wide_candidates
 
-# Grid windows without every fourth one, so that positions and window numbers differ.
 _CANDS = _GRID + """, cands AS (SELECT episode_id, window_id, start_ms, end_ms,
-   row_number() OVER (PARTITION BY episode_id ORDER BY window_id) - 1 AS idx FROM grid WHERE window_id % 4 <> 3)"""
+   row_number() OVER (PARTITION BY episode_id ORDER BY window_id) - 1 AS idx FROM grid)"""
 
 
 def cands(spark, sf):
-    g = I.grid(t.totals(spark, sf), I.WindowParams()).filter(F.col("window_id") % 4 != 3)
+    g = I.grid(t.totals(spark, sf), I.WindowParams())
     return K.index_candidates(g)
 
 
@@ -151,12 +150,12 @@ def rk7(spark, sf):
 
 # -- PST ----------------------------------------------------------------------------
 
-@query("pst_01_plan_posts", sql("""SELECT c.id AS clip_id, p AS platform, CASE WHEN start_ms % 400 = 0 OR score % 5 = 0 THEN 'skipped' ELSE 'dry_run' END AS status,
-   CASE WHEN start_ms % 400 = 0 THEN '9x16 variant missing' WHEN score % 5 = 0 THEN 'no social copy for this clip' END AS reason
+@query("pst_01_plan_posts", sql("""SELECT c.id AS clip_id, p AS platform, CASE WHEN hook_type IS NULL OR trend_match IS NULL THEN 'skipped' ELSE 'dry_run' END AS status,
+   CASE WHEN hook_type IS NULL THEN '9x16 variant missing' WHEN trend_match IS NULL THEN 'no social copy for this clip' END AS reason
    FROM clips c, (VALUES ('youtube'), ('bluesky'), ('x')) v(p)""", "clips"))
 def pst1(spark, sf):
     clips = t.clips(spark, sf).withColumnRenamed("id", "clip_id")
-    return P.plan_posts(clips, renders(spark, sf), clips.filter(F.col("score") % 5 != 0), ["youtube", "bluesky", "x"], dry_run=True)
+    return P.plan_posts(clips, renders(spark, sf), clips.filter(F.col("trend_match").isNotNull()), ["youtube", "bluesky", "x"], dry_run=True)
 
 
 _TAGS = [["#clips", " #deep dive ", ""], [], ["##two", "one"], ["#x"]]

@@ -38,7 +38,7 @@ def an2(spark, sf):
 _TOP = """WITH a AS (SELECT clip_id, platform, CAST({views} AS BIGINT) AS views, avg(ctr) AS c, avg(watch_pct) AS w FROM stats GROUP BY ALL),
    b AS (SELECT *, row_number() OVER (ORDER BY views DESC, clip_id, platform) AS rank FROM a)
    SELECT rank, clip_id, platform, coalesce(views, 0) AS views, coalesce(hook, '') AS hook, coalesce(job_id::VARCHAR, '') AS episode,
-   round(coalesce(c, 0), 2) AS ctr, round(coalesce(w, 0), 2) AS watch_pct, CAST(round(coalesce(score, 0)) AS BIGINT) AS score
+   round(coalesce(c, 0) * 100) / 100 AS ctr, round(coalesce(w, 0) * 100) / 100 AS watch_pct, CAST(round(coalesce(score, 0)) AS BIGINT) AS score
    FROM b LEFT JOIN (SELECT id, hook, job_id, score FROM stat_clips) ON id = clip_id WHERE rank <= 10"""
 
 
@@ -194,7 +194,7 @@ def an16(spark, sf):
     return R.hook_type_report(t.stat_clips(spark, sf), t.analytics(spark, sf)).withColumn("avg_ctr", F.round("avg_ctr", 6))
 
 
-_RENDERS = """renders AS (SELECT id AS clip_id, unnest(['9x16', '1x1']) AS variant, job_id, end_ms - start_ms AS d FROM clips WHERE start_ms % 400 <> 0)"""
+_RENDERS = """renders AS (SELECT id AS clip_id, unnest(['9x16', '1x1']) AS variant, job_id, end_ms - start_ms AS d FROM clips WHERE hook_type IS NOT NULL)"""
 
 
 def details(spark, sf):
@@ -211,7 +211,7 @@ def rpt1(spark, sf):
 
 @query("rpt_02_enrich_clips", sql("""SELECT c.id AS clip_id, (SELECT string_agg(CASE variant WHEN '1x1' THEN 'https://cdn/' || clip_id ELSE
      '/media/clipper/' || r.job_id || '/' || clip_id || '_' || variant || '.mp4' END, ',' ORDER BY variant) FROM renders r WHERE r.clip_id = c.id) AS urls,
-   coalesce(start_ms % 400 <> 0 AND m.n > 1, false) AS has_words, CASE WHEN start_ms % 400 <> 0 THEN m.s END AS best
+   coalesce(hook_type IS NOT NULL AND m.n > 1, false) AS has_words, CASE WHEN hook_type IS NOT NULL THEN m.s END AS best
    FROM clips c LEFT JOIN (SELECT job_id, rank, count(*) AS n, max(score) AS s FROM clips GROUP BY ALL) m ON m.job_id = c.job_id AND m.rank = c.rank""",
                                     "clips", extra=_RENDERS))
 def rpt2(spark, sf):

@@ -169,10 +169,10 @@ def src8(spark, sf):
 
 
 @query("src_09_seen_ids", """SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, 'done' AS status, 1705708800::BIGINT AS created_at,
-   1705708800::BIGINT AS updated_at FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)""")
+   1705708800::BIGINT AS updated_at FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def src9(spark, sf):
     lines = t.read(spark, sf, "lineitem").select(F.concat(F.lit(" \t"), "l_partkey", F.lit("  ")).alias("line"))
-    known = t.jobs(spark, sf).filter(F.col("id") % 2 == 0)
+    known = t.jobs(spark, sf).filter(F.col("status") == "done")
     return logs.import_seen_ids(lines, known, 1_705_708_800)
 
 
@@ -246,7 +246,7 @@ def snk1(spark, sf):
 
 
 def renders(spark, sf):
-    c = t.clips(spark, sf).filter(F.col("start_ms") % 400 != 0)
+    c = t.clips(spark, sf).filter(F.col("hook_type").isNotNull())
     return c.select(F.col("id").alias("clip_id"), F.explode(F.array(F.lit("9x16"), F.lit("1x1"))).alias("variant"), "end_ms", "start_ms", "job_id").select(
         "clip_id", "variant", F.concat(F.lit("/work/clipper/"), "job_id", F.lit("/"), "clip_id", F.lit("_"), "variant", F.lit(".mp4")).alias("path"),
         F.when(F.col("variant") == "1x1", F.concat(F.lit("https://cdn/"), "clip_id")).alias("url"),

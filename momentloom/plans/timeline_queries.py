@@ -38,11 +38,11 @@ _BOUNDS = """b AS (SELECT episode_id, start_ms AS b, start_ms * 2 AS ord FROM si
 
 @query("int_03_snap", sql("""SELECT p.episode_id, p.pos, p.t AS t_ms,
     coalesce(arg_max(b.b, (800 - abs(b.b - p.t)) * 10000000000 + ord), any_value(p.t)) AS snapped_ms
-  FROM (SELECT episode_id, pos, start_ms AS t FROM words WHERE pos % 5 = 0) p
+  FROM (SELECT episode_id, pos, start_ms AS t FROM words) p
   LEFT JOIN b ON b.episode_id = p.episode_id AND abs(b.b - p.t) <= 800 GROUP BY p.episode_id, p.pos, p.t""",
                           "words", "silences", extra=_BOUNDS))
 def int3(spark, sf):
-    pts = t.words(spark, sf).filter(F.col("pos") % 5 == 0).select("episode_id", "pos", F.col("start_ms").alias("t_ms"))
+    pts = t.words(spark, sf).select("episode_id", "pos", F.col("start_ms").alias("t_ms"))
     return I.snap(pts, I.silence_boundaries(t.silences(spark, sf)), 800, ["pos"]).select(
         "episode_id", "pos", "t_ms", "snapped_ms")
 

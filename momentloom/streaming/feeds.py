@@ -7,11 +7,13 @@ leaves source, trigger and checkpoint to the caller. ``ts`` columns are timestam
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import word_count
 from ..operators.features import flag_reason
@@ -65,31 +67,21 @@ def job_status(feed: DataFrame, clips: DataFrame) -> DataFrame:
 
 # -- STR-3 --------------------------------------------------------------------------
 
-class _StageClock(StatefulProcessor):
+def _close_stages(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Keeps the last entry of a (job, stage) until its exit."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entry = handle.getValueState("entry", "at bigint, seq bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = pd.concat(list(rows)).sort_values("seq")
-        open_ = self.entry.get() if self.entry.exists() else None
-        out = []
-        for kind, at, seq in seen[["kind", "at_ms", "seq"]].itertuples(index=False, name=None):
-            if kind == "enter":
-                open_ = (int(at), int(seq))
-            elif open_ is not None:
-                out.append((*key, open_[0], int(at), int(at) - open_[0]))
-                open_ = None
-        if open_ is None:
-            self.entry.clear()
-        else:
-            self.entry.update(tuple(open_))
-        if out:
-            yield pd.DataFrame(out, columns=["job_id", "stage_id", "entered_ms", "left_ms", "duration_ms"])
-
-    def close(self) -> None:
-        pass
+    entered = state.get[0] if state.exists else None
+    out = []
+    for kind, at in pd.concat(list(batches)).sort_values("seq")[["kind", "at_ms"]].itertuples(index=False, name=None):
+        if kind == "enter":
+            entered = int(at)
+        elif entered is not None:
+            out.append((*key, entered, int(at), int(at) - entered))
+            entered = None
+    if entered is not None:
+        state.update((entered,))
+    elif state.exists:
+        state.remove()
+    yield pd.DataFrame(out, columns=["job_id", "stage_id", "entered_ms", "left_ms", "duration_ms"])
 
 
 DURATION_SCHEMA = "job_id bigint, stage_id string, entered_ms bigint, left_ms bigint, duration_ms bigint"
@@ -98,8 +90,8 @@ DURATION_SCHEMA = "job_id bigint, stage_id string, entered_ms bigint, left_ms bi
 def stage_durations(events: DataFrame) -> DataFrame:
     """Time from entry to exit per (job_id, stage_id) of events (kind, at_ms, seq); the
     state of a stage is one row and goes when the stage is left."""
-    return (events.groupBy("job_id", "stage_id")
-            .transformWithStateInPandas(_StageClock(), DURATION_SCHEMA, "Append", "None"))
+    return events.groupBy("job_id", "stage_id").applyInPandasWithState(
+        _close_stages, DURATION_SCHEMA, "entered_ms bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 # -- STR-4 --------------------------------------------------------------------------
@@ -195,45 +187,40 @@ def gate_chunks(chunks: DataFrame, guard: str = "default") -> DataFrame:
 
 # -- STR-8 --------------------------------------------------------------------------
 
-class _FaceTracks(StatefulProcessor):
-    """Nearest-centre tracking of one clip: the faces of the last frame and the next id."""
-
-    def __init__(self, reach: float):
-        self.reach = reach
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.meta = handle.getValueState("meta", "frame bigint, fresh bigint")
-        self.last = handle.getListState("last", "track bigint, x double, y double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        boxes = pd.concat(list(rows)).sort_values(["frame_idx", "conf", "det_idx"], ascending=[True, False, True])
-        frame, fresh = self.meta.get() if self.meta.exists() else (None, 0)
-        seen = [(int(k), (x, y)) for k, x, y in self.last.get()] if self.last.exists() else []
+def _follow_faces(reach: float):
+    """Nearest-centre tracking of one clip; state is the next id and the faces of the last
+    frame."""
+    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        frame, fresh, ids, xs, ys = state.get if state.exists else (None, 0, [], [], [])
+        seen = list(zip(ids, zip(xs, ys)))
+        cols = ["frame_idx", "det_idx", "conf", "x1", "y1", "x2", "y2"]
+        rows = [r for pdf in batches for r in zip(*(pdf[c].tolist() for c in cols))]
+        rows.sort(key=lambda r: (r[0], -r[2], r[1]))
         out = []
-        for at, group in boxes.groupby("frame_idx", sort=True):
+        for at, group in groupby(rows, key=lambda r: r[0]):
+            group = list(group)
             if frame is not None and at > frame + 1:
                 seen = []
-            centers = list(zip((group.x1 + group.x2) / 2.0, (group.y1 + group.y2) / 2.0))
-            pairs, left = match_nearest(seen, centers, self.reach)
-            ids = dict(pairs)
+            centers = [((r[3] + r[5]) / 2.0, (r[4] + r[6]) / 2.0) for r in group]
+            pairs, left = match_nearest(seen, centers, reach)
+            named = dict(pairs)
             for j in left:
-                ids[j] = fresh
+                named[j] = fresh
                 fresh += 1
-            out += [(*key, int(at), int(d), int(ids[j])) for j, d in enumerate(group.det_idx)]
-            seen, frame = [(ids[j], c) for j, c in enumerate(centers)], int(at)
-        self.meta.update((int(frame), int(fresh)))
-        self.last.put([(int(i), float(c[0]), float(c[1])) for i, c in seen])
+            out += [(*key, at, r[1], named[j]) for j, r in enumerate(group)]
+            seen, frame = [(named[j], c) for j, c in enumerate(centers)], at
+        state.update((frame, fresh, [i for i, _ in seen], [c[0] for _, c in seen], [c[1] for _, c in seen]))
         yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "det_idx", "track_id"])
 
-    def close(self) -> None:
-        pass
+    return follow
 
 
 def track_stream(detections: DataFrame, distance: float = 200.0) -> DataFrame:
     """Track ids as boxes arrive; state is one frame per clip. Frames of a clip have to
     arrive in order from batch to batch."""
-    return (detections.groupBy("clip_id").transformWithStateInPandas(
-        _FaceTracks(distance), "clip_id bigint, frame_idx bigint, det_idx bigint, track_id bigint", "Append", "None"))
+    return detections.groupBy("clip_id").applyInPandasWithState(
+        _follow_faces(distance), "clip_id bigint, frame_idx bigint, det_idx bigint, track_id bigint",
+        "frame bigint, fresh bigint, ids array<bigint>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 # -- STR-9 --------------------------------------------------------------------------
