@@ -45,9 +45,19 @@ def as_col(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# Fixed value: the characters Unicode calls white space.
+BLANKS = ("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def trim_ws(col) -> Column:
-    """Trim all Unicode white space, not only blanks."""
-    return F.regexp_replace(as_col(col), r"(?U)^\s+|\s+$", "")
+    """Trim all Unicode white space, not only blanks. Looks at the ends only."""
+    return F.trim(as_col(col), F.lit(BLANKS))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def tokens(col) -> Column:
@@ -62,7 +72,10 @@ def word_count(col) -> Column:
 # -- FN-1, FN-2 ---------------------------------------------------------------------
 
 def phrase_count(col, phrases: list[str]) -> Column:
-    pattern = r"(?iuU)\b(?:" + "|".join(phrases) + r")\b"
+    # Looking at the first letter before the word boundary skips most of a text cheaply.
+    firsts = "".join(sorted({p[0] for p in phrases}))
+    skip = f"(?=[{firsts}])" if firsts.isalpha() and firsts.isascii() else ""
+    pattern = rf"(?iuU){skip}\b(?:" + "|".join(phrases) + r")\b"
     return F.regexp_count(as_col(col), F.lit(pattern)).cast("bigint")
 
 
@@ -134,15 +147,16 @@ def text_features(df: DataFrame, text_col: str, out: str = "linguistic",
 # -- FN-5, FN-6 ---------------------------------------------------------------------
 
 def has_foreign_script(col) -> Column:
-    cls = "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in FOREIGN_RANGES)
+    merged: list[list[int]] = []
+    for a, b in sorted((int(a, 16), int(b, 16)) for a, b in FOREIGN_RANGES):
+        if merged and a == merged[-1][1] + 1:
+            merged[-1][1] = b
+        else:
+            merged.append([a, b])
+    cls = "".join(f"\\x{{{a:04X}}}-\\x{{{b:04X}}}" for a, b in merged)
     return as_col(col).rlike(f"[{cls}]")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row, however often it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def trigrams(col) -> Column:
     """Lower-cased word 3-grams in order; none below six tokens."""
     def of(toks):
@@ -232,11 +246,13 @@ def resolve_hook(written, ranked, mode, idx) -> Column:
 def clamp_chars(col, n: int, style: str = "cut") -> Column:
     """Limit to ``n`` characters: ``cut``, ``dots`` (n-3 plus ...), ``ellipsis`` (n-1
     plus a single ellipsis character)."""
-    c = as_col(col)
-    short = {"cut": lambda: F.substring(c, 1, n),
-             "dots": lambda: F.concat(F.substring(c, 1, n - 3), F.lit("...")),
-             "ellipsis": lambda: F.concat(F.substring(c, 1, n - 1), F.lit("…"))}[style]()
-    return F.when(F.char_length(c) <= n, c).otherwise(short)
+    def cut(c):
+        short = {"cut": lambda: F.substring(c, 1, n),
+                 "dots": lambda: F.concat(F.substring(c, 1, n - 3), F.lit("...")),
+                 "ellipsis": lambda: F.concat(F.substring(c, 1, n - 1), F.lit("…"))}[style]()
+        return F.when(F.char_length(c) <= n, c).otherwise(short)
+
+    return cut(F.col(col)) if isinstance(col, str) else let(col, cut)
 
 
 def clamp_score(col) -> Column:

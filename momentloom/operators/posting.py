@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clamp_chars, trim_ws
+from ..functions.text import clamp_chars, let, trim_ws
 from .scaling import top_n
 
 # -- PST-1 --------------------------------------------------------------------------
@@ -63,13 +63,16 @@ def _plain_tags(path: str) -> Column:
 
 
 def _with_tags(body: Column, tags: Column) -> Column:
-    line = F.array_join(tags, " ")
-    return (F.when(line == "", body).when(body == "", line)
-            .otherwise(F.concat(body, F.lit("\n\n"), line)))
+    def join(p):
+        return (F.when(p["line"] == "", p["body"]).when(p["body"] == "", p["line"])
+                .otherwise(F.concat(p["body"], F.lit("\n\n"), p["line"])))
 
+    return let(F.struct(body.alias("body"), F.array_join(tags, " ").alias("line")), join)
 
-def _missing(body: Column, tags: Column) -> Column:
-    return F.filter(tags, lambda t: ~F.contains(body, t))
+
+def _with_new_tags(body: Column, tags: Column) -> Column:
+    """The body with those tags it does not contain yet."""
+    return let(body, lambda b: _with_tags(b, F.filter(tags, lambda t: ~F.contains(b, t))))
 
 
 # Length limits in characters.
@@ -92,8 +95,6 @@ def post_texts(services: list[str]) -> dict[str, Column]:
     cap_tags = (F.when(pick == "t", _plain_tags("copy.tiktok.hashtags"))
                 .when(pick == "i", _plain_tags("copy.instagram_reels.hashtags"))
                 .otherwise(_plain_tags("copy.youtube_shorts.hashtags")))
-    left = _missing(cap, cap_tags)
-    joined = F.when(F.size(left) > 0, F.concat(cap, F.lit("\n\n"), F.array_join(left, " "))).otherwise(cap)
     return {
         "x": clamp_chars(_with_tags(_text("copy.x.text"), _hash_tags("copy.x.hashtags")), LIMITS["x"], "ellipsis"),
         "linkedin": _with_tags(_text("copy.linkedin.post_text"), _hash_tags("copy.linkedin.hashtags")),
@@ -103,9 +104,9 @@ def post_texts(services: list[str]) -> dict[str, Column]:
         "bluesky_browser": _with_tags(_text("copy.bluesky.text"), _hash_tags("copy.bluesky.hashtags")),
         "youtube_browser": _with_tags(trim_ws(yt_body), _hash_tags("copy.youtube_shorts.hashtags")),
         "bluesky": clamp_chars(_with_tags(_text("copy.bluesky.text"), _plain_tags("copy.bluesky.hashtags")), LIMITS["bluesky"], "dots"),
-        "instagram": clamp_chars(_with_tags(insta, _missing(insta, _plain_tags("copy.instagram_reels.hashtags"))), LIMITS["instagram"], "dots"),
+        "instagram": clamp_chars(_with_new_tags(insta, _plain_tags("copy.instagram_reels.hashtags")), LIMITS["instagram"], "dots"),
         "youtube": F.when(marked, desc).when(desc == "", "#Shorts").otherwise(F.concat(desc, F.lit("\n#Shorts"))),
-        "ayrshare": F.when(cap == "", "").otherwise(clamp_chars(joined, LIMITS["ayrshare"], "dots"))}
+        "ayrshare": F.when(cap == "", "").otherwise(clamp_chars(_with_new_tags(cap, cap_tags), LIMITS["ayrshare"], "dots"))}
 
 
 def compose_posts(clips: DataFrame, services: list[str] | None = None) -> DataFrame:

@@ -305,16 +305,17 @@ def crop_path(detections: DataFrame, speech: DataFrame, frames: DataFrame | None
     return one_euro(centers, params)
 
 
-def interp_keyframes(times: DataFrame, keys: DataFrame) -> DataFrame:
+def interp_keyframes(times: DataFrame, keys: DataFrame, width: int = BUCKET_MS) -> DataFrame:
     """``x`` at each (clip, t_ms): linear between key frames, the end values outside.
 
-    The next key frame of each one is a running minimum from the end of the clip.
+    The next key frame of each one is a running minimum from the end of the clip. ``width``
+    should be about the distance of key frames.
     """
     k = keys.select(*CLIP, F.col("t_ms").alias("_t0"), F.col("x").alias("_x0"))
     nxt = running(k, CLIP, [F.desc("_t0")], -block_of("_t0", HOUR_MS), _next=("max", F.struct((-F.col("_t0")).alias("n"), "_x0")))
     seg = nxt.filter(F.col("_next").isNotNull()).select(
         *CLIP, "_t0", "_x0", (-F.col("_next.n")).alias("_t1"), F.col("_next._x0").alias("_x1"))
-    inside = point_in_interval(seg, times.select(*CLIP, "t_ms"), CLIP, "_t0", "_t1", "t_ms", BUCKET_MS)
+    inside = point_in_interval(seg, times.select(*CLIP, "t_ms"), CLIP, "_t0", "_t1", "t_ms", width)
     lerp = F.col("_x0") + (F.col("_x1") - F.col("_x0")) * (F.col("t_ms") - F.col("_t0")) / F.greatest(F.col("_t1") - F.col("_t0"), F.lit(1))
     mid = inside.select(*CLIP, "t_ms", lerp.alias("_x")).dropDuplicates([*CLIP, "t_ms"])
     ends = k.groupBy(*CLIP).agg(F.min("_t0").alias("_f"), F.min_by("_x0", "_t0").alias("_fx"), F.max_by("_x0", "_t0").alias("_lx"))

@@ -154,8 +154,8 @@ def trk10(spark, sf):
     ev = t.events(spark, sf).withColumn("clip_id", F.col("user_id"))
     keys = ev.filter(F.col("event_type") == "view").select(*CLIP, "t_ms", F.col("value").alias("x"))
     times = ev.filter(F.col("event_type") == "click").select(*CLIP, "t_ms")
-    # Key frames are days apart here; clip key frames are fractions of a second apart.
-    return K.interp_keyframes(times, keys).select("clip_id", "t_ms", F.round("x", 6).alias("x"))
+    # Key frames are hours apart here; clip key frames are fractions of a second apart.
+    return K.interp_keyframes(times, keys, 21_600_000).select("clip_id", "t_ms", F.round("x", 6).alias("x"))
 
 
 # -- CAP ----------------------------------------------------------------------------
