@@ -13,6 +13,7 @@ from ..session import stage
 from ..sources import feeds
 from . import tables as t
 from .catalog import query
+from .report_queries import HISTORY_LINES, HISTORY_TOP
 from .source_queries import pick, renders
 from .tables import sql
 from .timeline_queries import _GRID, wide_candidates
@@ -139,7 +140,19 @@ def rk6(spark, sf):
     return K.finalize_clips(lane_two(spark, sf), 5).drop("reasoning")
 
 
-@query("rk_07_prompt_context")
+_HISTORY = """lines AS (SELECT side, idx, line FROM (""" + HISTORY_LINES + """)),
+   hist AS (SELECT chr(10) || '--- HISTORICAL PERFORMANCE DATA ---' || chr(10) || 'Measured results of earlier clips, for calibration.' || chr(10) || chr(10) ||
+     'TOP PERFORMERS (highest CTR):' || chr(10) || string_agg(line, chr(10) ORDER BY idx) FILTER (side = 'best') || chr(10) || chr(10) ||
+     'WORST PERFORMERS (lowest CTR):' || chr(10) || string_agg(line, chr(10) ORDER BY idx) FILTER (side = 'worst') || chr(10) || '--- END HISTORICAL DATA ---' || chr(10) AS h FROM lines),
+   tl AS (SELECT string_agg('- ' || label || ' (score: ' || printf('%.0f', score) || ') [' || source || ']', chr(10) ORDER BY score DESC, source, topic_id) AS x FROM (
+     SELECT * FROM trends t WHERE fetched_at = (SELECT max(fetched_at) FROM trends u WHERE u.source = t.source AND u.topic_id = t.topic_id)
+     ORDER BY score DESC, source, topic_id LIMIT 20))"""
+
+
+@query("rk_07_prompt_context", sql("""SELECT id AS episode_id, 'CURRENT TRENDS (boost candidates that align with these topics):' || chr(10) || x ||
+   CASE WHEN n_name IS NULL THEN '' ELSE chr(10) || chr(10) || 'Show topic priors:' || chr(10) || '- topics of ' || n_name || chr(10) || '- more' END AS current_trends,
+   h AS performance_history FROM jobs LEFT JOIN nation ON 'show_' || n_nationkey = show_slug, tl, hist""", "jobs", "trends", "stats", "stat_clips",
+                                   extra=HISTORY_TOP + ", " + _HISTORY))
 def rk7(spark, sf):
     episodes = t.jobs(spark, sf).select(F.col("id").alias("episode_id"), "show_slug")
     priors = t.read(spark, sf, "nation").select(F.concat(F.lit("show_"), "n_nationkey").alias("show_slug"),
@@ -210,10 +223,13 @@ _VETO = """dir AS (SELECT doc_id AS message_id, doc_id * 7 % 997 AS episode_id,
      AND o.rank = CAST(split_part(label, '_', 2) AS BIGINT) LEFT JOIN clip_posts p ON p.clip_id = o.clip_id AND p.status <> 'failed')"""
 
 
-@query("pst_04_resolve_vetoes", sql("""SELECT message_id, label, CASE WHEN clip_id IS NULL OR pf IS NULL THEN 'all' ELSE pf END AS platform, detail,
+_OUTCOMES = """SELECT message_id, label, CASE WHEN clip_id IS NULL OR pf IS NULL THEN 'all' ELSE pf END AS platform, detail,
    detail IN ('already vetoed', 'to remove') AS success FROM (SELECT *, CASE WHEN clip_id IS NULL THEN 'clip ''' || label || ''' not found in database'
    WHEN pf IS NULL THEN 'no posts found for this clip' WHEN status = 'vetoed' THEN 'already vetoed' WHEN coalesce(external_id, '') = '' THEN 'no external_id recorded'
-   WHEN pf NOT IN ('youtube', 'bluesky', 'threads') THEN 'platform not configured' ELSE 'to remove' END AS detail FROM n)""", "clips", "clip_posts", extra=_VETO))
+   WHEN pf NOT IN ('youtube', 'bluesky', 'threads') THEN 'platform not configured' ELSE 'to remove' END AS detail FROM n)"""
+
+
+@query("pst_04_resolve_vetoes", sql(_OUTCOMES, "clips", "clip_posts", extra=_VETO))
 def pst4(spark, sf):
     return vetoes(spark, sf)
 
@@ -229,7 +245,11 @@ def vetoes(spark, sf):
     return P.resolve_vetoes(dirs, clips, posts, ["youtube", "bluesky", "threads"])
 
 
-@query("pst_04_veto_replies")
+@query("pst_04_veto_replies", sql("""SELECT message_id, 'Veto results:' || chr(10) || chr(10) || string_agg(block, '' ORDER BY block) AS text FROM (
+   SELECT message_id, label || ':' || chr(10) || string_agg(line, '' ORDER BY line) || chr(10) AS block FROM (
+     SELECT message_id, label, '  [' || CASE WHEN success THEN 'OK' ELSE 'FAIL' END || '] ' || platform || ': ' ||
+       CASE WHEN detail = 'to remove' THEN 'removed' ELSE detail END || chr(10) AS line FROM outcomes) GROUP BY message_id, label) GROUP BY message_id""",
+                                  "clips", "clip_posts", extra=_VETO + ", outcomes AS (" + _OUTCOMES + ")"))
 def pst4b(spark, sf):
     return P.veto_confirmation(vetoes(spark, sf))
 

@@ -14,15 +14,18 @@ from .tables import sql
 NOW = 1_705_708_800      # 2024-01-20 00:00 UTC
 
 
-@query("an_01_performance_history", sql("""SELECT side, idx, clip_id, line FROM (SELECT *,
+HISTORY_LINES = """SELECT side, idx, clip_id, line FROM (SELECT *,
    '  ' || idx || '. hook="' || coalesce(hook, '(no hook)') || '" | ranker_score=' || coalesce(printf('%.0f', score::DOUBLE), '?') || ' | duration=' ||
    printf('%.0f', (end_ms - start_ms) / 1000) || 's | views=' || coalesce(views::VARCHAR, '?') || ' | CTR=' || printf('%.2f%%', ctr) ||
    ' | watch_pct=' || coalesce(printf('%.1f%%', watch_pct), '?') AS line FROM (
      SELECT 'best' AS side, row_number() OVER (ORDER BY ctr DESC, clip_id, platform, fetched_at) AS idx, * FROM top
      UNION ALL SELECT 'worst', row_number() OVER (ORDER BY ctr, clip_id DESC, platform DESC, fetched_at DESC), * FROM top)
-   WHERE idx <= CASE side WHEN 'best' THEN 5 ELSE 3 END)""", "stats", "stat_clips", extra="""top AS (SELECT c.hook, c.score, c.start_ms, c.end_ms,
-   s.clip_id, s.platform, s.fetched_at, s.views, s.ctr, s.watch_pct FROM stat_clips c JOIN stats s ON s.clip_id = c.id WHERE s.ctr IS NOT NULL
-   ORDER BY ctr DESC, clip_id, platform, fetched_at LIMIT 18)"""))
+   WHERE idx <= CASE side WHEN 'best' THEN 5 ELSE 3 END)"""
+HISTORY_TOP = """top AS (SELECT c.hook, c.score, c.start_ms, c.end_ms, s.clip_id, s.platform, s.fetched_at, s.views, s.ctr, s.watch_pct
+   FROM stat_clips c JOIN stats s ON s.clip_id = c.id WHERE s.ctr IS NOT NULL ORDER BY ctr DESC, clip_id, platform, fetched_at LIMIT 18)"""
+
+
+@query("an_01_performance_history", sql(HISTORY_LINES, "stats", "stat_clips", extra=HISTORY_TOP))
 def an1(spark, sf):
     h = R.performance_history(t.stat_clips(spark, sf), t.analytics(spark, sf))
     return h.select("side", F.col("idx").cast("bigint").alias("idx"), "clip_id", "line")

@@ -12,7 +12,7 @@ from ..streaming import feeds as S
 from . import tables as t
 from .catalog import query
 from .tables import sql
-from .timeline_queries import qlt1_chunks
+from .timeline_queries import QLT1, qlt1_chunks
 from .tracking_queries import boxes_of
 
 NOW = 1_705_708_800
@@ -129,7 +129,7 @@ def str6(spark, sf):
     return finish(spark, S.unseen_messages(rows, seen), "unseen").select("message_id")
 
 
-@query("str_07_gate_chunks")
+@query("str_07_gate_chunks", QLT1)
 def str7(spark, sf):
     d = stream(spark, sf, "documents").select(F.col("doc_id").alias("episode_id"), "text")
     return finish(spark, S.gate_chunks(qlt1_chunks(d)).select("episode_id", "reason"), "gate")

@@ -291,7 +291,22 @@ def int18(spark, sf):
     return out[0].unionByName(out[1]).select("clip_id", "mode", "sample_idx", F.round("t_ms", 3).alias("t_ms"))
 
 
-@query("int_19_repair_moments")
+@query("int_19_repair_moments", sql("""SELECT episode_id, slot, t AS t_ms, reason FROM (SELECT w.episode_id, w.t,
+     row_number() OVER (PARTITION BY w.episode_id ORDER BY w.t) AS slot FROM walk w WHERE keep) JOIN named USING (episode_id, t) WHERE slot <= 24""",
+                                    "ev", recursive=True, extra="""
+   given AS (SELECT episode_id, event_id AS pos, CASE WHEN event_id % 9 = 0 OR value - 2 < 0 THEN 0 ELSE CAST(round((value - 2) * 1000) AS BIGINT) END AS t,
+     CASE WHEN event_id % 4 = 0 THEN 'thumbnail moment' ELSE 'laugh' END AS reason FROM ev WHERE event_type = 'error'),
+   ext AS (SELECT episode_id, greatest(max(CAST(floor(value * 1000) AS BIGINT)) - 250, 0) AS last FROM ev GROUP BY ALL),
+   short AS (SELECT e.episode_id, last, coalesce(n, 0) AS have FROM ext e LEFT JOIN (SELECT episode_id, count(*) AS n FROM given GROUP BY ALL) g
+     ON g.episode_id = e.episode_id WHERE coalesce(n, 0) < 24),
+   pads AS (SELECT episode_id, have + i AS pos, CAST(trunc(least((have + 2 * i) * (last / 23), last)) AS BIGINT) AS t, 'big reaction — safe filler' AS reason
+     FROM (SELECT *, unnest(generate_series(0::BIGINT, 24 - have - 1)) AS i FROM short)),
+   every_one AS (SELECT * FROM given UNION ALL SELECT * FROM pads),
+   named AS (SELECT episode_id, t, arg_min(reason, pos) AS reason FROM every_one GROUP BY ALL),
+   d AS (SELECT episode_id, t, row_number() OVER (PARTITION BY episode_id ORDER BY t) AS i FROM named),
+   walk AS (SELECT episode_id, t, i, t AS last, true AS keep FROM d WHERE i = 1
+     UNION ALL SELECT d.episode_id, d.t, d.i, CASE WHEN d.t - w.last >= 250 THEN d.t ELSE w.last END, d.t - w.last >= 250
+       FROM walk w JOIN d ON d.episode_id = w.episode_id AND d.i = w.i + 1)"""))
 def int19(spark, sf):
     ev = t.events(spark, sf).filter(F.col("event_type") == "error")
     moments = ev.select("episode_id", F.col("event_id").alias("pos"),
@@ -299,7 +314,8 @@ def int19(spark, sf):
                         F.when(F.col("event_id") % 4 == 0, F.lit(" ")).otherwise(F.lit("laugh")).alias("reason"))
     segs = t.events(spark, sf).select("episode_id", F.lit(0).cast("bigint").alias("start_ms"),
                                       F.floor(F.col("value") * 1000).alias("end_ms"))
-    return I.repair_moments(moments, segs, 24)
+    out = I.repair_moments(moments, segs, 24)
+    return out.select("episode_id", F.col("slot").cast("bigint").alias("slot"), "t_ms", "reason")
 
 
 # -- SIG, NOV, QLT --------------------------------------------------------------------
@@ -412,14 +428,17 @@ def nov4(spark, sf):
 _LEADS = ["", "สวัสดี ", "again and again and again and again and again and again ", ""]
 
 
-@query("qlt_01_flag_chunks", rf"""WITH c AS (SELECT doc_id AS episode_id, (['{"','".join(_LEADS)}'])[doc_id % 4 + 1] || text AS text,
+QLT1 = rf"""WITH c AS (SELECT doc_id AS episode_id, (['{"','".join(_LEADS)}'])[doc_id % 4 + 1] || text AS text,
      CASE WHEN doc_id % 6 = 3 THEN 1000000.0 ELSE 5.0 END AS d FROM documents),
   k AS (SELECT *, regexp_extract_all(lower(text), '\S+') AS w FROM c),
   g AS (SELECT episode_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2])) AS gram
         FROM k WHERE len(w) >= 6),
   m AS (SELECT episode_id, max(n) AS best FROM (SELECT episode_id, gram, count(*) AS n FROM g GROUP BY ALL) GROUP BY ALL)
   SELECT k.episode_id, CASE WHEN contains(text, 'สวัสดี') THEN 'foreign-script' WHEN coalesce(best, 0) > 3 THEN 'repeated-3-gram'
-    WHEN d > 5 AND len(w) > 0 AND len(w) / d < 0.5 THEN 'density' END AS reason FROM k LEFT JOIN m USING (episode_id)""")
+    WHEN d > 5 AND len(w) > 0 AND len(w) / d < 0.5 THEN 'density' END AS reason FROM k LEFT JOIN m USING (episode_id)"""
+
+
+@query("qlt_01_flag_chunks", QLT1)
 def qlt1(spark, sf):
     return FT.flag_chunks(doc_chunks(spark, sf)).select("episode_id", "reason")
 

@@ -129,13 +129,28 @@ def trk7(spark, sf):
 
 
 def centers(spark, sf):
-    return t.events(spark, sf).filter(F.col("event_type").isin("view", "click")).select(
-        "episode_id", F.col("user_id").alias("clip_id"), F.floor(F.col("t_ms") / 60_000).alias("t_ms"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"))
-
-
-@query("trk_08_one_euro")
+    """Crop centres from the events; a minute of the events counts as a millisecond."""
+    return t.events(spark, sf).filter(F.col("event_type").isin("view", "click")).groupBy(
+        "episode_id", F.col("user_id").alias("clip_id"), F.floor(F.col("t_ms") / 60_000).alias("t_ms")).agg(
+        F.max("value").alias("x")).withColumn("y", F.col("x") / 2)
+
+
+# The filter as a recursive query: position, slope and time of the last point.
+_EURO = """d AS (SELECT clip_id, t, x, row_number() OVER (PARTITION BY clip_id ORDER BY t) AS i FROM (
+     SELECT user_id AS clip_id, (epoch_us(ts) // 1000 - 1704067200000) // 60000 AS t, max(value) AS x FROM events
+     WHERE event_type IN ('view', 'click') GROUP BY ALL)),
+   walk AS (SELECT clip_id, t, i, x::DOUBLE AS v, 0::DOUBLE AS s FROM d WHERE i = 1
+     UNION ALL SELECT c.clip_id, c.t, c.i, CASE WHEN c.fresh THEN c.x ELSE c.k / (c.k + 1) * c.x + (1 - c.k / (c.k + 1)) * c.v END,
+       CASE WHEN c.fresh THEN 0 ELSE c.slope END
+     FROM (SELECT *, 2 * pi() * (1 + 0.007 * abs(slope)) * dt AS k FROM (SELECT *, a * ((x - v) / dt) + (1 - a) * s AS slope FROM (
+       SELECT d.clip_id, d.t, d.i, d.x, w.v, w.s, (d.t - w.t) / 1000.0::DOUBLE AS dt, d.t - w.t >= 500 AS fresh,
+         (2 * pi() * (d.t - w.t) / 1000.0::DOUBLE) / (2 * pi() * (d.t - w.t) / 1000.0::DOUBLE + 1) AS a
+       FROM walk w JOIN d ON d.clip_id = w.clip_id AND d.i = w.i + 1))) c)"""
+
+
+@query("trk_08_one_euro", "WITH RECURSIVE " + _EURO + " SELECT clip_id, t::DOUBLE AS t_ms, round(v, 6) AS x FROM walk")
 def trk8(spark, sf):
-    return K.one_euro(centers(spark, sf)).select("clip_id", "t_ms", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return K.one_euro(centers(spark, sf)).select("clip_id", "t_ms", F.round("x", 6).alias("x"))
 
 
 @query("trk_09_crop_path")
