@@ -13,7 +13,7 @@ from . import tables as t
 from .catalog import query
 from .tables import sql
 from .timeline_queries import QLT1, qlt1_chunks
-from .tracking_queries import boxes_of
+from .tracking_queries import TRACK_NN, boxes_of
 
 NOW = 1_705_708_800
 
@@ -135,7 +135,7 @@ def str7(spark, sf):
     return finish(spark, S.gate_chunks(qlt1_chunks(d)).select("episode_id", "reason"), "gate")
 
 
-@query("str_08_track_stream")
+@query("str_08_track_stream", "WITH RECURSIVE " + TRACK_NN)
 def str8(spark, sf):
     rocks(spark)
     return finish(spark, S.track_stream(boxes_of(stream(spark, sf, "lineitem")), 25.0), "tracks")

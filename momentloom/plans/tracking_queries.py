@@ -55,7 +55,18 @@ def trk1(spark, sf):
     return d.select("clip_id", "det_idx", "frame_idx", F.round(K.iou([F.col(c) for c in K.BOX], ref), 6).alias("iou"))
 
 
-@query("trk_02_nms")
+_IOU = """(greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))
+   / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1)
+      - greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0))"""
+_NMS = _DETS + """, n AS (SELECT clip_id, frame_idx, det_idx, conf, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2} AS a,
+     row_number() OVER (PARTITION BY clip_id, frame_idx ORDER BY conf DESC, det_idx) AS i FROM dets),
+   walk AS (SELECT clip_id, frame_idx, det_idx, conf, i, [a] AS kept, true AS keep FROM n WHERE i = 1
+     UNION ALL SELECT n.clip_id, n.frame_idx, n.det_idx, n.conf, n.i, CASE WHEN c = 0 THEN list_append(w.kept, n.a) ELSE w.kept END, c = 0
+     FROM walk w JOIN n ON n.clip_id = w.clip_id AND n.frame_idx = w.frame_idx AND n.i = w.i + 1,
+     LATERAL (SELECT len(list_filter(w.kept, lambda b: """ + _IOU.replace("a.", "n.a.").replace("n.a.x1", "n.a.x1") + """ > 0.3)) AS c))"""
+
+
+@query("trk_02_nms", "WITH RECURSIVE " + _NMS + " SELECT clip_id, frame_idx, det_idx, conf FROM walk WHERE keep")
 def trk2(spark, sf):
     return K.nms(detections(spark, sf), 0.3).select("clip_id", "frame_idx", "det_idx", "conf")
 
@@ -65,7 +76,21 @@ def trk3(spark, sf):
     return K.track_iou(detections(spark, sf), 0.3).select("clip_id", "frame_idx", "det_idx", "track_id", "out_idx")
 
 
-@query("trk_04_track_nn")
+# Nearest-centre tracking box by box: faces of the frame before, faces of this frame, next id.
+TRACK_NN = _DETS + """, o AS (SELECT clip_id, frame_idx, det_idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy,
+     row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx, conf DESC, det_idx) AS i FROM dets),
+   walk AS (SELECT clip_id, frame_idx, det_idx, i, 0::BIGINT AS id, 1::BIGINT AS fresh, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS prev,
+       [{'id': 0::BIGINT, 'x': cx, 'y': cy}] AS cur FROM o WHERE i = 1
+     UNION ALL SELECT clip_id, frame_idx, det_idx, i, coalesce(hit, fresh), CASE WHEN hit IS NULL THEN fresh + 1 ELSE fresh END, prev,
+       list_append(cur, {'id': coalesce(hit, fresh), 'x': cx, 'y': cy})
+     FROM (SELECT *, (list_sort(list_transform(list_filter(list_transform(prev, lambda p, j: {'d': sqrt((cx - p.x) * (cx - p.x) + (cy - p.y) * (cy - p.y)), 'j': j, 'id': p.id}),
+         lambda c: c.d <= 25 AND NOT list_contains(list_transform(cur, lambda q: q.id), c.id)), lambda c: c)))[1].id AS hit
+       FROM (SELECT o.*, w.fresh, CASE WHEN o.frame_idx = w.frame_idx THEN w.prev WHEN o.frame_idx = w.frame_idx + 1 THEN w.cur ELSE [] END AS prev,
+         CASE WHEN o.frame_idx = w.frame_idx THEN w.cur ELSE [] END AS cur FROM walk w JOIN o ON o.clip_id = w.clip_id AND o.i = w.i + 1)))
+   SELECT clip_id, frame_idx, det_idx, id AS track_id FROM walk"""
+
+
+@query("trk_04_track_nn", "WITH RECURSIVE " + TRACK_NN)
 def trk4(spark, sf):
     return K.track_nn(detections(spark, sf), 25.0).select("clip_id", "frame_idx", "det_idx", "track_id")
 
