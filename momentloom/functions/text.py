@@ -186,9 +186,15 @@ def max_trigram_repeat(df: DataFrame, key: list[str], text_col: str) -> DataFram
 
 def fixed(col, digits: int) -> Column:
     """A number with ``digits`` decimals, rounding the exact binary value half to even
-    (``format_string`` would round the shortest decimal text half up instead)."""
-    return F.call_function("format_number", as_col(col).cast("double"),
-                           F.lit("0." + "0" * digits if digits else "0"))
+    (``format_string`` would round the shortest decimal text half up instead). Between half
+    a unit and one unit of the last place the JVM's rule is off, so that is spelled out."""
+    x = as_col(col).cast("double")
+    shown = F.call_function("format_number", x, F.lit("0." + "0" * digits if digits else "0"))
+    if not digits:
+        return shown
+    unit = "0." + "0" * (digits - 1) + "1"
+    near = (F.abs(x) >= float(unit) / 2) & (F.abs(x) < float(unit))
+    return F.when(near, F.when(x < 0, "-" + unit).otherwise(unit)).otherwise(shown)
 
 
 # -- FN-7..12 -----------------------------------------------------------------------

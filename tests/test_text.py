@@ -66,7 +66,7 @@ def test_time_formats(spark):
 
 
 def test_fixed_rounds_the_binary_value_half_even(spark):
-    for x in (64.05, 0.125, 2.5, 3.45, 1234.5, -0.05):
+    for x in (64.05, 0.125, 2.5, 3.45, 1234.5, -0.05, 0.05, 0.005):
         for d in (0, 1, 2):
             got = value(spark, T.fixed(F.lit(x), d))
             assert got.replace("-0.0", "0.0") in (f"{x:.{d}f}", f"{x:.{d}f}".replace("-0.0", "0.0")), (x, d)
