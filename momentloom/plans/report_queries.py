@@ -110,7 +110,7 @@ _ROUT = _RATE.format(0.00059, 0.0, 0.0, 0.010, 0.010, 0.0, 0.003)
 
 
 @query("an_08_cost_by_category", sql(f"""SELECT job_id, category, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens,
-   round(sum((i * ({_RIN})::DOUBLE + o * ({_ROUT})::DOUBLE) / 1000 * 100), 6) AS cost_cents FROM (SELECT *,
+   round(CAST(sum(i * ({_RIN})::DECIMAL(12, 9) + o * ({_ROUT})::DECIMAL(12, 9)) AS DOUBLE) / 10, 6) AS cost_cents FROM (SELECT *,
      CASE category WHEN 'stt' THEN CAST(round(audio_s * 25) AS BIGINT) WHEN 'embeddings' THEN chars // 4 ELSE input_tokens END AS i,
      CASE WHEN category IN ('stt', 'embeddings') THEN 0 ELSE output_tokens END AS o FROM usage) GROUP BY job_id, category""", "usage"))
 def an8(spark, sf):

@@ -294,8 +294,8 @@ def snk2(spark, sf):
 
 _MMSS = "printf('%02d:%02d', {0} // 60000, {0} // 1000 % 60)"
 _RATES = """CASE model WHEN 'qwen/qwen3-32b' THEN 0.00029 WHEN 'whisper-large-v3-turbo' THEN 0.000444 WHEN 'whisper-large-v3' THEN 0.00123
-   WHEN 'gpt-5-nano' THEN 0.002 WHEN 'gpt-4o-mini' THEN 0.0025 WHEN 'whisper-x' THEN 0.00123 WHEN 'bge-m3' THEN 0.0001 ELSE 0.001 END::DOUBLE"""
-_RATES_OUT = """CASE model WHEN 'qwen/qwen3-32b' THEN 0.00059 WHEN 'gpt-5-nano' THEN 0.010 WHEN 'gpt-4o-mini' THEN 0.010 WHEN 'mystery' THEN 0.003 ELSE 0.0 END::DOUBLE"""
+   WHEN 'gpt-5-nano' THEN 0.002 WHEN 'gpt-4o-mini' THEN 0.0025 WHEN 'whisper-x' THEN 0.00123 WHEN 'bge-m3' THEN 0.0001 ELSE 0.001 END::DECIMAL(12, 9)"""
+_RATES_OUT = """CASE model WHEN 'qwen/qwen3-32b' THEN 0.00059 WHEN 'gpt-5-nano' THEN 0.010 WHEN 'gpt-4o-mini' THEN 0.010 WHEN 'mystery' THEN 0.003 ELSE 0.0 END::DECIMAL(12, 9)"""
 _DIGEST = f"""files AS (SELECT id AS clip_id, string_agg('    [' || v || ']  ' || printf('%.1f', (end_ms - start_ms) * 100 / 1048576) || 'MB  /work/clipper/' || job_id || '/' || id || '_' || v || '.mp4' || chr(10), ''
      ORDER BY v) AS f FROM clips, (VALUES ('1x1'), ('9x16')) x(v) WHERE hook_type IS NOT NULL GROUP BY ALL),
    sent AS (SELECT clip_id, '  [' || CASE status WHEN 'posted' THEN 'POSTED ' WHEN 'failed' THEN 'FAILED ' ELSE status END || '] ' || rpad(platform, 10, ' ') || ' ' ||
@@ -304,12 +304,12 @@ _DIGEST = f"""files AS (SELECT id AS clip_id, string_agg('    [' || v || ']  ' |
      CASE WHEN hook IS NULL THEN '' ELSE '  hook:    ' || hook || chr(10) END || '  why:     because ' || score || chr(10) || '  files:' || chr(10) || coalesce(f, '') ||
      CASE WHEN p IS NULL THEN '' ELSE chr(10) || '  -- Posts --' || chr(10) || p END || chr(10) || repeat('-', 72) || chr(10), '' ORDER BY rank, id) AS b
      FROM clips LEFT JOIN files ON files.clip_id = id LEFT JOIN sent ON sent.clip_id = id GROUP BY job_id),
-   cat AS (SELECT job_id, category, count(*) AS k, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o, sum((i * {_RATES} + o * {_RATES_OUT}) / 1000 * 100) AS c FROM (SELECT *,
+   cat AS (SELECT job_id, category, count(*) AS k, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i * {_RATES} + o * {_RATES_OUT}) AS DOUBLE) / 10 AS c FROM (SELECT *,
      CASE category WHEN 'stt' THEN CAST(round(audio_s * 25) AS BIGINT) WHEN 'embeddings' THEN chars // 4 ELSE input_tokens END AS i,
      CASE WHEN category IN ('stt', 'embeddings') THEN 0 ELSE output_tokens END AS o FROM usage) GROUP BY job_id, category),
    cost AS (SELECT job_id, 'Cost breakdown:' || chr(10) || string_agg('  ' || rpad(CASE category WHEN 'stt' THEN 'STT' WHEN 'chat' THEN 'Chat/LLM' WHEN 'embeddings' THEN 'Embeddings' WHEN 'vlm' THEN 'VLM' ELSE 'VLM Premium' END, 14, ' ') ||
      printf(' %3d calls  %8d in  %8d out  $', k, i, o) || printf('%.4f', c / 100) || chr(10), '' ORDER BY list_position(['stt', 'chat', 'embeddings', 'vlm', 'vlm_premium'], category)) ||
-     '  TOTAL         ' || printf(' %3d calls  total $', CAST(sum(k) AS BIGINT)) || printf('%.4f', sum(c) / 100) || chr(10) AS t FROM cat GROUP BY job_id)"""
+     '  TOTAL         ' || printf(' %3d calls  total $', CAST(sum(k) AS BIGINT)) || printf('%.4f', CAST(sum(c::DECIMAL(24, 10)) AS DOUBLE) / 100) || chr(10) AS t FROM cat GROUP BY job_id)"""
 
 
 @query("snk_03_digest", sql("""SELECT id AS episode_id, 'Episode: ep' || id || '.mp4' || chr(10) || 'Total duration: ' || CASE WHEN cost_cents >= 3600000
