@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
+from ..session import stage
 from .scaling import (interval_overlap, keys_equal, block_of, point_in_interval, running,
                       runs, scan_sorted, spread_interval, top_n)
 
@@ -203,35 +204,33 @@ def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
             .drop("_said"))
 
 
-def keep_by_gap(items: Column, far: callable) -> Column:
-    """Fold over a sorted array keeping each item that is ``far`` from the last kept."""
-    empty = F.slice(items, 1, 0)
-    return F.aggregate(items, empty, lambda kept, x: F.when(
-        (F.size(kept) == 0) | far(F.try_element_at(kept, F.lit(-1)), x),
-        F.concat(kept, F.array(x))).otherwise(kept))
-
-
 def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> DataFrame:
     """Drop short or wordless windows, then near-copies of the last window kept.
 
     Snapping moves a start by at most the drift, so with a stride longer than two drifts
     and ``eps_ms`` no two starts can come close and the filter is all there is to do.
     Otherwise a window that starts ``eps_ms`` or more after every earlier one is certainly
-    kept; the timeline is cut there and each stretch is folded on its own.
+    kept; the timeline is cut there and each stretch is walked as a sorted stream of bounds.
     """
     good = windows.filter((F.col("end_ms") - F.col("start_ms") >= p.min_ms)
                           & (F.col("word_count") >= p.min_words))
     if p.stride_ms - 2 * max(p.silence_drift_ms, p.shot_drift_ms) >= eps_ms:
         return good
-    cut = runs(good, EPISODE, "window_id", "start_ms", eps_ms, FRAME_BLOCK)
-    names = good.columns
-    order = ["window_id", *[c for c in names if c not in ("window_id", "episode_id")]]
-    rows = F.array_sort(F.collect_list(F.struct(*order)))
-    kept = keep_by_gap(F.col("_rows"), lambda a, b: (
-        (F.abs(a["start_ms"] - b["start_ms"]) >= eps_ms)
-        | (F.abs(a["end_ms"] - b["end_ms"]) >= eps_ms)))
-    return (cut.groupBy("episode_id", "run_id").agg(rows.alias("_rows"))
-            .select("episode_id", F.inline(kept)).select(*names))
+    good = stage(good, "windows")
+    bounds = good.select("episode_id", "window_id", "start_ms", "end_ms")
+    cut = runs(bounds, EPISODE, "window_id", "start_ms", eps_ms, FRAME_BLOCK)
+
+    def walk(rows):
+        last = None
+        for row in rows:
+            if last is None or abs(row[3] - last[3]) >= eps_ms or abs(row[4] - last[4]) >= eps_ms:
+                last = row
+                yield row[0], row[2]
+
+    kind = cut.schema["episode_id"].dataType.simpleString()
+    kept = scan_sorted(cut.select("episode_id", "run_id", "window_id", "start_ms", "end_ms"), ["episode_id", "run_id"],
+                       ["window_id"], f"episode_id {kind}, window_id bigint", walk)
+    return good.join(kept, ["episode_id", "window_id"], "left_semi").select(*windows.columns)
 
 
 # -- INT-8..11 ----------------------------------------------------------------------

@@ -169,7 +169,7 @@ def scan_sorted(df: DataFrame, keys: list[str], order: list[str], schema: str,
     def run(batches):
         import pandas as pd
 
-        rows = (r for pdf in batches for r in pdf.itertuples(index=False, name=None))
+        rows = (r for pdf in batches for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
         out: list[tuple] = []
         for _, group in groupby(rows, key=lambda r: r[:n]):
             for row in process(group):

@@ -205,7 +205,7 @@ def caption_words(spark, sf):
 
 
 def phrases(spark, sf):
-    return C.caption_phrases(caption_words(spark, sf))
+    return C.caption_phrases(stage(caption_words(spark, sf), "clip_words"))
 
 
 _CAP = _CLIPSPAN + r""", tw AS (SELECT episode_id || '_' || clip_id AS clip_id, text, start_ms, end_ms,
