@@ -5,12 +5,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import fixed, fmt_duration, fmt_iso
-from .scaling import running, top_n
+from .scaling import running
 
 DAY_S = 86_400
 
@@ -464,6 +464,3 @@ def clips_in_order(clips: DataFrame) -> DataFrame:
 def failed_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.filter(F.col("status") == "failed").orderBy(F.desc("updated_at"), "id")
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in
-           {"annotations", "Column", "DataFrame", "SparkSession", "F", "W", "running", "top_n"}]
