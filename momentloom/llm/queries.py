@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import chat, sharding, warc
+from momentloom.llm import chat, quality, sharding, warc
 from momentloom.llm.common import only, table
+from momentloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +108,50 @@ def op9(spark, sf_dir):
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
         F.char_length("loss").cast("bigint").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, unnest(list_filter(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w,
+             generate_subscripts(list_filter(regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> ''), 1) AS i FROM d),
+g AS (SELECT r, i, w, lead(w) OVER o || ' ' || lead(w, 2) OVER o AS more FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (SELECT r, i, w, count(*) OVER (PARTITION BY r, w, more) > 1 AND more IS NOT NULL AS twice FROM g),
+f AS (SELECT r, count(*) AS n_words, sum(length(w)) AS word_chars,
+             count(*) FILTER (hit) AS n_repeat_words
+      FROM (SELECT *, twice OR coalesce(lag(twice) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS hit FROM c
+            WINDOW o AS (PARTITION BY r ORDER BY i)) GROUP BY r),
+l AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup_lines
+      FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+s AS (SELECT d.doc_id, stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+             length(regexp_replace(t, '[^\\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) AS letters
+      FROM d LEFT JOIN f USING (r) LEFT JOIN l USING (r)),
+v AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             greatest(coalesce(n_symbols / nullif(n_words, 0), 0) / {quality.SYMBOLS_PER_WORD}::DOUBLE,
+                      coalesce(n_repeat_words / nullif(n_words, 0), 0) / {quality.REPEATED_WORDS}::DOUBLE,
+                      coalesce(n_dup_lines / nullif(n_lines, 0), 0) / {quality.DUPLICATE_LINES}::DOUBLE,
+                      coalesce(upper / nullif(letters, 0), 0) / {quality.CAPITALS_PER_LETTER}::DOUBLE,
+                      coalesce(word_chars / nullif(n_words, 0), 0) / {quality.LETTERS_PER_WORD}::DOUBLE) AS severity FROM s),
+m AS (SELECT stratum, severity, clean FROM v JOIN (SELECT doc_id, min(quality) = 1 AS clean FROM labels
+      WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1) USING (doc_id)),
+k AS (SELECT stratum, j, count(*) FILTER (clean) AS n, count(*) FILTER (clean AND severity * 4 > j) AS k,
+             count(*) FILTER (NOT clean AND severity * 4 > j) AS caught
+      FROM m, range(1, {quality.STEPS} + 1) t(j) GROUP BY ALL),
+q AS (SELECT *, CASE WHEN k < n * 0.02 THEN list_sum(list_transform(range(k + 1), lambda i:
+               exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98)))) ELSE 1 END AS tail,
+             (SELECT count(DISTINCT stratum) FROM m) AS strata FROM k WHERE n > 0),
+b AS (SELECT stratum, arg_max(j, (caught - k) * 100 + j) / 4.0 AS cutoff FROM q WHERE tail * strata <= 0.05 AND caught > k GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(severity > cutoff, false) AS kept
+FROM v LEFT JOIN b USING (stratum)
+"""
+
+
+@query("op10_quality_rules", OP10_SQL)
+def op10(spark, sf_dir):
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
+    rows = stage(quality.with_features(docs).drop("text"), "quality")
+    cutoffs = quality.certify(rows, table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
