@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import chat, quality, sharding, warc
+from momentloom.llm import bpe, chat, quality, sharding, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -74,6 +74,20 @@ def op6(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Rank file of the query; a run elsewhere may name another.
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+@query("op8_byte_bpe")
+def op8(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path(RANKS)
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    ids = bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _CASE = "\\### Assistant: </turn> ok"
 OP9_SQL = f"""
 WITH t AS (
