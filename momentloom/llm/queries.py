@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, quality, sharding, warc
+from momentloom.llm import bpe, chat, decontaminate, quality, sharding, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_bm25_leaks")
+def op1(spark, sf_dir):
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
+
+
 _FOLD = "xor(xor(xor(xor(doc_id, doc_id >> 12), doc_id >> 24), doc_id >> 36), doc_id >> 48) & 4095"
 OP3_SQL = f"""
 WITH RECURSIVE d AS (
