@@ -9,8 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter, defaultdict
-from dataclasses import dataclass, field
+from collections import Counter
 from itertools import repeat
 from math import ceil, log
 
@@ -24,9 +23,9 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 #: Shares of the question's and of the answer's word 5-grams that must stand in the passage.
 QUESTION, ANSWER, GRAM = 0.7, 0.5, 5
-BLOCK = 64
-#: Text of test items put into one index; more items take further passes over the texts.
-INDEX_BYTES = 32 << 20
+BLOCK = 4
+#: Test items put into one index, and their text; more take further passes over the texts.
+INDEX_ITEMS, INDEX_BYTES = 1024, 1 << 20
 
 _TABLE = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -62,113 +61,120 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(want & have) / len(want) if want else 0.0
 
 
-@dataclass
 class ItemIndex:
-    """Inverted index of items: per term its items in order, the score each gets from it as a
-    share of the item's own score, and the largest share of every block of ``BLOCK`` entries."""
-
-    items: list[tuple]  # (item_id, question words, answer words)
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    postings: list[tuple[list[int], list[float], list[float]]] = field(default_factory=list)
-    bounds: np.ndarray = None
-    stride: int = 32
+    """Inverted index of items: per term its items in order and the score each gets from it, as
+    a share of the item's own score. Items of like length stand together; every ``BLOCK`` of
+    them has, per term, the largest share in it (``bounds``: terms by blocks).
+    """
 
-    def __post_init__(self):
-        bags = [Counter(q + a if q is not a and q != a else q) for _, q, a in self.items]
+    def __init__(self, items: list[tuple]):
+        """``items``: (item_id, question words, answer words)."""
+        whole = lambda q, a: q if q == a else q + a
+        self.items = sorted(items, key=lambda x: len(whole(*x[1:])))
+        bags = [Counter(whole(q, a)) for _, q, a in self.items]
         sizes = [sum(bag.values()) for bag in bags]
         mean = max(1.0, sum(sizes) / max(1, len(sizes)))
         frequency = Counter(t for bag in bags for t in bag)
-        found = defaultdict(list)
+        self.vocabulary: dict[bytes, int] = {t: k for k, t in enumerate(frequency)}
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in frequency]
         for i, bag in enumerate(bags):
             weight = {t: log(1 + (len(bags) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1)
                       / (n + K1 * (1 - B + B * sizes[i] / mean)) for t, n in bag.items()}
-            whole = sum(weight.values())
+            own = sum(weight.values())
             for t, w in weight.items():
-                found[t].append((i, w / whole))
-        for k, (term, entries) in enumerate(found.items()):
-            self.vocabulary[term] = k
-            ids, shares = [e[0] for e in entries], [e[1] for e in entries]
-            self.postings.append((ids, shares, [max(shares[j:j + BLOCK]) for j in range(0, len(ids), BLOCK)]))
-        self.bounds = np.array([max(p[2]) for p in self.postings] + [0.0])
+                ids, shares = self.postings[self.vocabulary[t]]
+                ids.append(i)
+                shares.append(w / own)
         # Windows of two strides, one stride apart: an item lies whole in one of them.
         self.stride = max([32, *sizes])
 
-    def search(self, terms: list[int], threshold: float = THRESHOLD) -> list[tuple[int, float]]:
-        """All items whose shares of the distinct ``terms`` sum to ``threshold``, with the sum."""
-        done = len(self.items)
-        lists = [self.postings[t] for t in terms]
-        bound = [float(self.bounds[t]) for t in terms]
-        at = [0] * len(lists)
-        here = [p[0][0] for p in lists]
-        hits, slack = [], threshold - 1e-9
-
-        def skip(k: int, item: int) -> None:
-            at[k] = bisect_left(lists[k][0], item, at[k])
-            here[k] = lists[k][0][at[k]] if at[k] < len(lists[k][0]) else done
+    def prepare(self) -> None:
+        """Lay out the block bounds; done where the index is used, not where it is sent from."""
+        blocks = -(-len(self.items) // BLOCK)
+        self.bounds = np.zeros((len(self.postings), blocks), dtype=np.float32)
+        for t, (ids, shares) in enumerate(self.postings):
+            np.maximum.at(self.bounds[t], np.array(ids) // BLOCK, np.array(shares, dtype=np.float32))
+
+    def search(self, terms: list[int], block: int, threshold: float) -> list[tuple[int, float]]:
+        """Items of a block whose shares of the distinct ``terms`` sum to ``threshold``, with the
+        sum. Lists are kept in order of the item they stand at; the item where the bounds of the
+        lists up to it first reach the threshold is the next that can be found."""
+        low, done = block * BLOCK, (block + 1) * BLOCK
+        cursors = []
+        for t in terms:
+            bound = float(self.bounds[t, block])
+            if bound > 0:
+                at = bisect_left(self.postings[t][0], low)
+                cursors.append([self.postings[t][0][at], at, bound, t])
+        hits = []
+
+        def skip(cursor: list, item: int) -> None:
+            ids = self.postings[cursor[3]][0]
+            cursor[1] = bisect_left(ids, item, cursor[1])
+            cursor[0] = ids[cursor[1]] if cursor[1] < len(ids) else done
 
         while True:
-            order = sorted((k for k in range(len(lists)) if here[k] < done), key=here.__getitem__)
-            total, pivot = 0.0, None
-            for n, k in enumerate(order):
-                total += bound[k]
-                if total >= slack:
-                    pivot = n
+            cursors = sorted((c for c in cursors if c[0] < done), key=lambda c: c[0])
+            reached, pivot = 0.0, None
+            for cursor in cursors:
+                reached += cursor[2]
+                if reached >= threshold:
+                    pivot = cursor[0]
                     break
             if pivot is None:
                 return hits
-            item = here[order[pivot]]
-            front = [k for k in order if here[k] <= item]
-            # The block of each list that would hold the pivot item bounds what it can add.
-            ceiling, until = 0.0, min((here[k] for k in order if here[k] > item), default=done)
-            for k in front:
-                j = bisect_left(lists[k][0], item, at[k])
-                if j < len(lists[k][0]):
-                    ceiling += lists[k][2][j // BLOCK]
-                    last = min(len(lists[k][0]), (j // BLOCK + 1) * BLOCK) - 1
-                    until = min(until, lists[k][0][last] + 1)
-            if ceiling < slack:
-                for k in front:
-                    skip(k, max(until, item + 1))
-            elif here[order[0]] == item:
-                score = sum(lists[k][1][at[k]] for k in front)
-                if score >= slack:
-                    hits.append((item, score))
-                for k in front:
-                    skip(k, item + 1)
+            front = [c for c in cursors if c[0] <= pivot]
+            if cursors[0][0] == pivot:
+                score = sum(self.postings[c[3]][1][c[1]] for c in front)
+                if score >= threshold:
+                    hits.append((pivot, score))
+                for c in front:
+                    skip(c, pivot + 1)
             else:
-                for k in front:
-                    skip(k, item)
-
-    def leaks(self, text: str, threshold: float, question: float, answer: float) -> list[tuple]:
-        """(item_id, first word of the passage, score, question share, answer share) of the items
-        found in ``text``, the best passage of each."""
-        words = tokens(text)
-        if not words or not self.items:
-            return []
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(len(self.postings))), dtype=np.int32, count=len(words))
-        width = 2 * self.stride
-        n = max(1, ceil((len(words) - self.stride) / self.stride))
-        padded = np.full((n + 1) * self.stride, len(self.postings), dtype=np.int32)
-        padded[:len(ids)] = ids
-        passages = np.sort(np.lib.stride_tricks.sliding_window_view(padded, width)[::self.stride], axis=1)
-        most = self.bounds[passages]
-        most[:, 1:][passages[:, 1:] == passages[:, :-1]] = 0.0
-        best: dict[int, tuple] = {}
-        # A passage whose terms' bounds fall short of the threshold has no pivot: none is lost.
-        for p in np.nonzero(most.sum(1) >= threshold - 1e-9)[0].tolist():
-            terms = np.unique(passages[p])
-            start = p * self.stride
-            for i, score in self.search(terms[terms < len(self.postings)].tolist(), threshold):
-                name, q, a = self.items[i]
-                passage = words[start:start + width]
-                shares = overlap(q, passage), overlap(a, passage)
-                if shares[0] >= question and shares[1] >= answer and (i not in best or best[i][2] < score):
-                    best[i] = (name, start, float(score), *shares)
-        return [best[i] for i in sorted(best)]
+                for c in front:
+                    skip(c, pivot)
+
+    def leaks(self, texts: list[str], threshold: float, question: float, answer: float) -> list[list[tuple]]:
+        """Per text (item_id, first word of the passage, score, question share, answer share) of
+        the items found in it, the best passage of each."""
+        threshold -= 1e-6  # sums of shares are rounded
+        nothing, width = len(self.postings), 2 * self.stride
+        kind = np.int16 if nothing < 32_000 else np.int32
+        words_of, passages = [tokens(t) for t in texts], []
+        for words in words_of:
+            ids = np.fromiter(map(self.vocabulary.get, words, repeat(nothing)), dtype=kind, count=len(words))
+            n = max(1, ceil((len(words) - self.stride) / self.stride))
+            padded = np.full((n + 1) * self.stride, nothing, dtype=kind)
+            padded[:len(ids)] = ids
+            passages.append(np.sort(np.lib.stride_tricks.sliding_window_view(padded, width)[::self.stride], axis=1))
+        best: list[dict[int, tuple]] = [{} for _ in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(p) for p in passages])
+        first = np.concatenate([np.arange(len(p)) for p in passages]) * self.stride
+        passages = np.concatenate(passages)
+        for k in range(0, len(passages), 500):
+            part = passages[k:k + 500]
+            known = part < nothing
+            known[:, 1:] &= part[:, 1:] != part[:, :-1]
+            counts = known.sum(1)
+            rows = np.nonzero(counts)[0]
+            if not len(rows):
+                continue
+            most = np.add.reduceat(self.bounds[part[known]], np.append(0, np.cumsum(counts[rows])[:-1]), axis=0)
+            # A block whose bounds fall short of the threshold has no pivot: none is lost.
+            for r, block in zip(*(x.tolist() for x in np.nonzero(most >= threshold - 1e-4))):
+                p = rows[r]
+                d, start = int(owner[k + p]), int(first[k + p])
+                for i, score in self.search(part[p][known[p]].tolist(), block, threshold):
+                    name, q, a = self.items[i]
+                    passage = words_of[d][start:start + width]
+                    shares = overlap(q, passage), overlap(a, passage)
+                    if shares[0] >= question and shares[1] >= answer and (i not in best[d] or best[d][i][2] < score):
+                        best[d][i] = (name, start, float(score), *shares)
+        return [[b[i] for i in sorted(b)] for b in best]
 
 
 def _indexes(benchmark: DataFrame) -> list[ItemIndex]:
-    """Test items in indexes of ``INDEX_BYTES`` of text each; items without words are left out."""
+    """Test items in indexes of ``INDEX_ITEMS`` items and ``INDEX_BYTES`` of text each; items without words are left out."""
     has_answer = "answer" in benchmark.columns
     rows = benchmark.select("item_id", "text", *(["answer"] if has_answer else [])).toLocalIterator()
     out, items, size = [], [], 0
@@ -178,7 +184,7 @@ def _indexes(benchmark: DataFrame) -> list[ItemIndex]:
             continue
         items.append((row["item_id"], question, answer))
         size += len(row["text"] or "")
-        if size >= INDEX_BYTES:
+        if size >= INDEX_BYTES or len(items) >= INDEX_ITEMS:
             out.append(ItemIndex(items))
             items, size = [], 0
     return out + ([ItemIndex(items)] if items else [])
@@ -193,7 +199,7 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
     document's rows stay where they are: no shuffle, and a text of any length is one row. A null,
     empty or blank text, and an empty benchmark, give empty arrays; repeated items are found each.
     A column named leaks is replaced. Each index goes to the executors as a broadcast of at most
-    ``INDEX_BYTES`` of item text; a larger benchmark makes several passes.
+    ``INDEX_ITEMS`` items; a larger benchmark makes several passes.
     """
     kept = [c for c in docs.columns if c != "leaks"]
     leak = "array<struct<item_id: bigint, at: bigint, score: double, question_share: double, answer_share: double>>"
@@ -206,13 +212,13 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", thresh
             import pyarrow as pa
 
             index = cloudpickle.loads(shared.value)
+            index.prepare()
             names = ("item_id", "at", "score", "question_share", "answer_share")
             for batch in batches:
-                for start in range(0, batch.num_rows, 1000):
-                    part = batch.slice(start, 1000)
-                    old = part.column("leaks").to_pylist()
-                    new = [before + [dict(zip(names, x)) for x in index.leaks(t or "", threshold, question, answer)]
-                           for t, before in zip(part.column(text).to_pylist(), old)]
+                for start in range(0, batch.num_rows, 200):
+                    part = batch.slice(start, 200)
+                    new = index.leaks([t or "" for t in part.column(text).to_pylist()], threshold, question, answer)
+                    new = [old + [dict(zip(names, x)) for x in found] for old, found in zip(part.column("leaks").to_pylist(), new)]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(new, part.column("leaks").type)], names=kept + ["leaks"])
 
         out = out.mapInArrow(find, out.schema)
