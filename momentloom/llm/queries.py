@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, decontaminate, quality, sharding, warc
+from momentloom.llm import bpe, chat, decontaminate, pii, quality, sharding, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
+#: Key of the surrogates in these queries; a real run passes its own, kept secret.
+SECRET = "corpus"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -61,6 +64,12 @@ def op3(spark, sf_dir):
     return sharding.assign_shards(table(spark, sf_dir, "documents"), 8, grown=9)
 
 
+@query("op4_surrogates")
+def op4(spark, sf_dir):
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pii.pseudonymize(docs, key=SECRET)
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
