@@ -131,3 +131,13 @@ def verdict(cutoffs: DataFrame, stratum: str = "lang") -> Column:
         limit = F.try_element_at(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
         above = F.coalesce(F.col("severity") > limit, F.lit(False))
     return ~base_failed() & ~above
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """The rows of ``docs`` that the rules keep; the labelled of them are the holdout.
+
+    Features are computed in the row, once for the cutoffs and once for the verdict, so that no
+    text is shuffled or stored for them.
+    """
+    rows = with_features(docs)
+    return rows.filter(verdict(certify(rows, labels, stratum, alpha, delta), stratum)).select(*[F.col(f"`{c}`") for c in docs.columns])

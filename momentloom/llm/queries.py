@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, decontaminate, pii, quality, sharding, warc
+from momentloom.llm import bpe, chat, decontaminate, neardup, pii, quality, sharding, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -70,6 +70,11 @@ def op4(spark, sf_dir):
     return pii.pseudonymize(docs, key=SECRET)
 
 
+@query("op5_setsketch")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(only(table(spark, sf_dir, "documents"), "doc_id", "text"), width=2, percent=80)
+
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
                   sha256(coalesce(html, '')) AS payload_digest FROM pages),
