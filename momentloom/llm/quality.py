@@ -140,4 +140,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     text is shuffled or stored for them.
     """
     rows = with_features(docs)
-    return rows.filter(verdict(certify(rows, labels, stratum, alpha, delta), stratum)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    good = verdict(certify(rows, labels, stratum, alpha, delta), stratum)
+    # Not a filter: the optimizer would copy the features' expressions into it, again and again.
+    once = F.explode(F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], once.alias("_once")).drop("_once")
