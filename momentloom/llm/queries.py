@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, decontaminate, neardup, pii, quality, sharding, warc
+from momentloom.llm import bpe, chat, decontaminate, neardup, pii, quality, sharding, substring, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -95,6 +95,12 @@ def op6(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query("op7_count_min_windows")
+def op7(spark, sf_dir):
+    kept = substring.remove_repeats(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 #: Rank file of the query; a run elsewhere may name another.
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
