@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, decontaminate, neardup, pii, quality, sharding, substring, warc
+from momentloom.llm import bpe, chat, decontaminate, html_extract, neardup, pii, quality, sharding, substring, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -34,6 +34,12 @@ def op1(spark, sf_dir):
     return found.filter(F.size("leaks") > 0).select("doc_id", F.inline("leaks"))
 
 
+@query("op2_site_style_tree")
+def op2(spark, sf_dir):
+    texts = html_extract.extract_text(only(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
 _FOLD = "xor(xor(xor(xor(doc_id, doc_id >> 12), doc_id >> 24), doc_id >> 36), doc_id >> 48) & 4095"
 OP3_SQL = f"""
 WITH RECURSIVE d AS (
