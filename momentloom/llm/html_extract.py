@@ -57,10 +57,10 @@ def _words(value: str) -> set[str]:
 
 
 class _Element:
-    __slots__ = ("tag", "label", "path", "noise", "level", "children")
+    __slots__ = ("tag", "label", "path", "noise", "level", "children", "inline")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: "_Element | None"):
-        self.tag = tag
+        self.tag, self.inline = tag, tag not in _BLOCK
         words = _words(f"{attrs.get('class', '')} {attrs.get('id', '')}") if attrs else set()
         self.label = f"{tag}.{attrs['class'].lower()}" if attrs.get("class") else tag
         self.path = f"{parent.path}/{self.label}" if parent else self.label
@@ -90,16 +90,19 @@ def parse(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
     at, size = 0, len(html)
 
     def flush():
-        if text:
-            top = stack[-1]
-            if not top.noise:
-                words = " ".join(unescape("".join(text)).split())
-                if words:
-                    blocks.append((words, top.path, top.level))
-            text.clear()
+        words = " ".join(unescape("".join(text)).split())
+        if words:
+            top = next(e for e in reversed(stack) if not e.inline)
+            blocks.append((words, top.path, top.level))
+        text.clear()
+
+    def say(words: str):
+        if not stack[-1].noise:
+            text.append(words)
 
     def close(depth: int):
-        flush()
+        if depth == 0 or not all(e.inline for e in stack[depth:]):
+            flush()
         while len(stack) > depth:
             done = stack.pop()
             if not done.noise:
@@ -108,14 +111,14 @@ def parse(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
     while at < size:
         m = _TOKEN.search(html, at)
         if m is None:
-            text.append(html[at:])
+            say(html[at:])
             break
         if m.start() > at:
-            text.append(html[at:m.start()])
+            say(html[at:m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text.append(m[0][9:].removesuffix("]]>"))
+                say(m[0][9:].removesuffix("]]>"))
             continue
         tag, ends = m[2].lower(), bool(m[1])
         if tag in _RAW and not ends:
@@ -127,13 +130,16 @@ def parse(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
                 at = size if close_at < 0 else close_at + 1
             continue
         if tag == "br":
-            text.append(" ")
+            say(" ")
         if tag in _VOID and tag != "hr":
             continue
         if not ends:
             attrs = _attributes(m[3])
-            noisy = tag not in _BLOCK and (tag in _NOISE or (attrs and _Element(tag, attrs, stack[-1]).noise and not stack[-1].noise))
-            if tag not in _BLOCK and not noisy:
+            if tag not in _BLOCK:  # an inline element matters only if it is noise
+                if tag in _NOISE or attrs:
+                    inner = _Element(tag, attrs, stack[-1])
+                    if inner.noise and not stack[-1].noise and not m[3].endswith("/"):
+                        stack.append(inner)
                 continue
             flush()
             if tag == "hr":
@@ -151,14 +157,14 @@ def parse(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]
                             break
                     elif stack[k].tag in _FENCE and not (tag == "body"):
                         break
-            if tag in _BLOCK and stack[-1].tag == "p":
-                close(len(stack) - 1)
+            open_p = next((k for k in range(len(stack) - 1, -1, -1) if not stack[k].inline), 0)
+            if stack[open_p].tag == "p":
+                close(open_p)
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6") and re.fullmatch("h[1-6]", stack[-1].tag):
                 close(len(stack) - 1)
             child = _Element(tag, attrs, stack[-1])
             stack[-1].children.append(child.label)
-            if not m[3].endswith("/") or tag in _BLOCK:
-                stack.append(child)
+            stack.append(child)
         elif tag == "p" and not any(e.tag == "p" for e in stack):
             flush()
         else:
