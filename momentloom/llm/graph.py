@@ -11,20 +11,23 @@ from momentloom.session import stage
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable id for every id that has an edge: columns id, component.
 
-    ``edges`` has integer columns a and b. Each round every vertex takes the least label of its
-    neighbours, then the label of that label, so the rounds grow with the logarithm of a chain's
-    length. A round is a staged table; nothing but the number of changes reaches the driver.
+    ``edges`` has integer columns a and b. Vertices point to parents, first to themselves. Each
+    round every vertex learns the least grandparent of its neighbours; it and its parent point
+    there, or to its own grandparent, if that is less. Whole trees are hooked at once, so few
+    rounds are needed even for chains. A round is a staged table; nothing but whether something
+    changed reaches the driver.
     """
     both = stage(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "labels")
+    trees = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("up")), "trees")
     for _ in range(rounds):
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("_near"))
-        hooked = labels.join(near, labels.id == near.a).select("id", F.col("component").alias("_old"), F.least("component", "_near").alias("component"))
-        above = hooked.select(F.col("id").alias("_above"), F.col("component").alias("_top"))
-        jumped = hooked.join(above, hooked.component == above._above, "left").select(
-            "id", F.least("component", "_top").alias("component"), "_old")
-        checked = stage(jumped, "labels")
-        labels = checked.select("id", "component")
-        if checked.filter("component <> _old").isEmpty():
-            return labels
+        above = trees.select(F.col("id").alias("_id"), F.col("up").alias("top"))
+        far = trees.join(above, trees.up == above._id).select("id", "up", "top")
+        near = both.join(far.select(F.col("id").alias("b"), "top"), "b").groupBy("a").agg(F.min("top").alias("near"))
+        seen = far.join(near, far.id == near.a)
+        hooks = F.array(F.struct("id", F.least("up", "top", "near").alias("up"), F.col("up").alias("old")),
+                        F.struct(F.col("up").alias("id"), F.col("near").alias("up"), F.lit(None).cast("bigint").alias("old")))
+        moved = stage(seen.select(F.inline(hooks)).groupBy("id").agg(F.min("up").alias("up"), F.max("old").alias("old")), "trees")
+        if moved.filter("up <> old").isEmpty():
+            return moved.select("id", F.col("up").alias("component"))
+        trees = moved.select("id", "up")
     raise ValueError(f"components have not settled after {rounds} rounds")
