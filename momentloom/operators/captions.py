@@ -7,23 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import as_col, trim_ws
 from .intervals import FRAME_BLOCK
-from .scaling import block_of, running, scan_sorted
+from .scaling import block_of, running
 
 # Fixed values: (most words, most characters) of a phrase for each picture shape.
 SHAPES = {"9x16": (4, 28), "1x1": (5, 36), "16x9": (7, 52)}
 
 
-def phrase_numbers(rows, max_words: int, max_chars: int):
-    """Number the phrases of one sentence: rows end with the word's length in characters;
-    a word that would exceed either limit opens the next phrase."""
-    phrase, words, chars = 0, 0, 0
-    for row in rows:
-        size = row[-1]
-        if words and (words + 1 > max_words or chars + 1 + size > max_chars):
-            phrase, words, chars = phrase + 1, 0, 0
-        chars += size + (1 if words else 0)
-        words += 1
-        yield (*row[:-1], phrase)
+def phrase_numbers(words: Column, max_words: int, max_chars: int) -> Column:
+    """Phrase number of each word of a sentence (array of structs with ``_size``): a word that
+    would exceed either limit opens the next phrase."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(F.array().cast("array<bigint>").alias("nums"), zero.alias("phrase"), zero.alias("words"), zero.alias("chars"))
+
+    def add(a: Column, w: Column) -> Column:
+        opens = (a["words"] > 0) & ((a["words"] + 1 > max_words) | (a["chars"] + 1 + w["_size"] > max_chars))
+        phrase = a["phrase"] + opens.cast("bigint")
+        return F.struct(F.concat(a["nums"], F.array(phrase)).alias("nums"), phrase.alias("phrase"),
+                        F.when(opens, F.lit(1).cast("bigint")).otherwise(a["words"] + 1).alias("words"),
+                        F.when(opens | (a["words"] == 0), w["_size"]).otherwise(a["chars"] + 1 + w["_size"]).alias("chars"))
+
+    return F.aggregate(words, start, add, lambda a: a["nums"])
 
 
 def caption_phrases(words: DataFrame, max_words: int = 4, max_chars: int = 28) -> DataFrame:
@@ -31,21 +34,20 @@ def caption_phrases(words: DataFrame, max_words: int = 4, max_chars: int = 28) -
     (clip_id, pos, text, start_ms, end_ms).
 
     A word ending in . ! ? closes its phrase, so sentences are independent: they are
-    numbered by a running count over blocks and grouped one by one as sorted streams.
-    Phrases without positive length are dropped.
+    numbered by a running count over blocks, and each is folded in its row (a sentence is
+    bounded by its clip). Phrases without positive length are dropped.
     """
     limit_words, limit_chars = max(max_words, 1), max(max_chars, 8)
     spoken = (words.withColumn("text", trim_ws("text")).filter(F.col("text") != "")
               .withColumn("_end", F.col("text").rlike(r"[.!?]$").cast("int")))
     told = running(spoken, ["clip_id"], ["pos"], block_of("pos", FRAME_BLOCK), sentence=("sum", F.col("_end")))
-    kinds = {f.name: f.dataType.simpleString() for f in words.schema}
-    slim = told.select("clip_id", F.coalesce("sentence", F.lit(0)).cast("bigint").alias("sentence"), F.col("pos").cast("bigint").alias("pos"),
-                       "text", F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"),
-                       F.char_length("text").cast("bigint").alias("_size"))
-    schema = f"clip_id {kinds['clip_id']}, sentence bigint, pos bigint, text string, start_ms bigint, end_ms bigint, phrase bigint"
-    numbered = scan_sorted(slim, ["clip_id", "sentence"], ["pos"], schema,
-                           lambda rows: phrase_numbers(rows, limit_words, limit_chars))
-    w = F.array_sort(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms")))
+    slim = F.struct(F.col("pos").cast("bigint").alias("pos"), "text", F.col("start_ms").cast("bigint").alias("start_ms"),
+                    F.col("end_ms").cast("bigint").alias("end_ms"), F.char_length("text").cast("bigint").alias("_size"))
+    sentences = told.groupBy("clip_id", F.coalesce("sentence", F.lit(0)).cast("bigint").alias("sentence")).agg(
+        F.array_sort(F.collect_list(slim)).alias("_ws"))
+    numbered = sentences.withColumn("_nums", phrase_numbers(F.col("_ws"), limit_words, limit_chars)).select(
+        "clip_id", "sentence", F.inline(F.zip_with("_ws", "_nums", lambda w, n: F.struct(w.alias("w"), n.alias("phrase")))))
+    w = F.array_sort(F.collect_list(F.struct("w.pos", "w.text", "w.start_ms", "w.end_ms")))
     per = numbered.groupBy("clip_id", "sentence", "phrase").agg(w.alias("_w"))
     first, last = F.element_at("_w", 1), F.element_at("_w", -1)
     out = per.select("clip_id", "sentence", "phrase", first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"),

@@ -207,15 +207,12 @@ def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
 def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> DataFrame:
     """Drop short or wordless windows, then near-copies of the last window kept.
 
-    Snapping moves a start by at most the drift, so with a stride longer than two drifts
-    and ``eps_ms`` no two starts can come close and the filter is all there is to do.
-    Otherwise a window that starts ``eps_ms`` or more after every earlier one is certainly
-    kept; the timeline is cut there and each stretch is walked as a sorted stream of bounds.
+    A window that starts ``eps_ms`` or more after every earlier one is certainly kept; the
+    timeline is cut there. A stretch of one window needs nothing more; longer ones are walked
+    as sorted streams of bounds.
     """
     good = windows.filter((F.col("end_ms") - F.col("start_ms") >= p.min_ms)
                           & (F.col("word_count") >= p.min_words))
-    if p.stride_ms - 2 * max(p.silence_drift_ms, p.shot_drift_ms) >= eps_ms:
-        return good
     good = stage(good, "windows")
     bounds = good.select("episode_id", "window_id", "start_ms", "end_ms")
     cut = runs(bounds, EPISODE, "window_id", "start_ms", eps_ms, FRAME_BLOCK)
@@ -228,8 +225,11 @@ def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> Da
                 yield row[0], row[2]
 
     kind = cut.schema["episode_id"].dataType.simpleString()
-    kept = scan_sorted(cut.select("episode_id", "run_id", "window_id", "start_ms", "end_ms"), ["episode_id", "run_id"],
-                       ["window_id"], f"episode_id {kind}, window_id bigint", walk)
+    cut = stage(cut.select("episode_id", "run_id", "window_id", "start_ms", "end_ms"), "window-runs")
+    lone = cut.groupBy("episode_id", "run_id").agg(F.min("window_id").alias("window_id"), F.count("*").alias("_n"))
+    crowded = cut.join(lone.filter("_n > 1").select("episode_id", "run_id"), ["episode_id", "run_id"])
+    walked = scan_sorted(crowded, ["episode_id", "run_id"], ["window_id"], f"episode_id {kind}, window_id bigint", walk)
+    kept = lone.filter("_n = 1").select("episode_id", "window_id").unionByName(walked)
     return good.join(kept, ["episode_id", "window_id"], "left_semi").select(*windows.columns)
 
 

@@ -102,11 +102,11 @@ def finalize_clips(ranked: DataFrame, k: int) -> DataFrame:
 
 
 def trends_text(trends: DataFrame) -> DataFrame:
-    """One row: the trend lines, best first (at most the N of ``recent_trends``)."""
+    """One row: the trend lines, best first and those without a score last (at most the N of ``recent_trends``)."""
     line = F.concat(F.lit("- "), F.coalesce("label", "topic_id"),
                     F.coalesce(F.concat(F.lit(" (score: "), fixed("score", 0), F.lit(")")), F.lit("")),
                     F.lit(" ["), "source", F.lit("]"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "source", "topic_id", line.alias("line"))))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("s"), "source", "topic_id", line.alias("line"))))
     return trends.agg(ordered.alias("_l")).select(F.array_join(
         F.transform("_l", lambda r: r["line"]), "\n").alias("trends_text"))
 

@@ -203,7 +203,7 @@ def job_board(jobs: DataFrame, clips: DataFrame, posts: DataFrame, n: int = 200)
     child table is multiplied by another.
     """
     newest = jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
-    ids = F.broadcast(newest.select(F.col("id").alias("job_id")))   # n rows
+    ids = newest.select(F.col("id").alias("job_id"))
     made = clips.join(ids, "job_id", "left_semi").groupBy("job_id").agg(F.count("*").alias("_clips"))
     sent = posts.join(ids, "job_id", "left_semi").groupBy("job_id").agg(
         F.count("*").alias("_posts"), F.count_if(F.col("status") == "posted").alias("_ok"))

@@ -83,7 +83,7 @@ def runs(df: DataFrame, keys: list[str], order: str, at: str, gap: int, width: i
     """Label maximal runs in which each row lies less than ``gap`` after the furthest
     ``at`` value before it. ``out`` is the ``order`` value of the run's first row.
 
-    ``order`` is an integer column; blocks are ``width`` wide in it. A run that crosses
+    ``order`` is a number; blocks are ``width`` wide in it. A run that crosses
     blocks is stitched on the row-per-block table. ``df`` is read twice, as in ``running``.
     """
     names = df.columns

@@ -272,9 +272,9 @@ def euro_axis(params):
 def one_euro(points: DataFrame, params=ONE_EURO) -> DataFrame:
     """Smoothed (x, y) per point (episode_id, clip_id, t_ms, x, y); rows without a face are
     dropped. A gap of half a second resets the filter, so the stretches between such gaps
-    are independent streams."""
+    are independent streams. Gaps are measured on the times as they are, fractions included."""
     faces = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-    cut = runs(faces.withColumn("_at", F.col("t_ms").cast("bigint")), CLIP, "_at", "_at", GAP_MS, HOUR_MS, out="stretch")
+    cut = runs(faces, CLIP, "t_ms", "t_ms", GAP_MS, HOUR_MS, out="stretch")
     key = [*CLIP, "stretch"]
     kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
     slim = cut.select(*key, *[F.col(c).cast("double").alias(c) for c in ("t_ms", "x", "y")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..sinks import tables as S
+from ..session import shared_dir
 from ..sources import feeds, logs, messages
 from . import tables as t
 from .catalog import query
@@ -22,12 +23,13 @@ def pick(options, col):
 # -- SRC-1 --------------------------------------------------------------------------
 
 @query("src_01_transcripts", r"""WITH c AS (SELECT conv_id AS episode_id, turn AS chunk_idx, turn * 60000 AS o, text,
-     CASE WHEN (conv_id + turn) % 5 IN (1, 2, 3) THEN [] ELSE regexp_extract_all(text, '[^ \t\n\f\r]+') END AS w,
+     CASE WHEN (conv_id + turn) % 5 IN (1, 2, 3) OR (conv_id + turn) % 15 = 4 THEN [] ELSE regexp_extract_all(text, '[^ \t\n\f\r]+') END AS w,
      (conv_id + turn) % 5 AS m FROM conversations),
    x AS (SELECT episode_id, chunk_idx, o, unnest(w) AS text, generate_subscripts(w, 1) - 1 AS pos FROM c)
    SELECT episode_id, chunk_idx, 'w' AS kind, CAST(pos AS BIGINT) AS pos, text, CAST(o + pos * 500 AS BIGINT) AS start_ms,
      CAST(o + pos * 500 + 250 AS BIGINT) AS end_ms FROM x
-   UNION ALL SELECT episode_id, chunk_idx, 's', 0, text, o, o + 60000 FROM c WHERE m <> 3 AND NOT regexp_full_match(text, '\s*')""")
+   UNION ALL SELECT episode_id, chunk_idx, 's', 0, CASE WHEN (episode_id + chunk_idx) % 15 = 4
+     THEN array_to_string(regexp_extract_all(text, '\S+'), ' ') ELSE text END, o, o + 60000 FROM c WHERE m <> 3 AND NOT regexp_full_match(text, '\s*')""")
 def src1(spark, sf):
     c = t.read(spark, sf, "conversations")
     toks = F.regexp_extract_all("text", F.lit(t.TOKEN), F.lit(1))
@@ -37,7 +39,8 @@ def src1(spark, sf):
     full = F.to_json(F.struct("text", seg.alias("segments"), words.alias("words"), F.lit("x").alias("extra")))
     bare = F.to_json(F.struct("text", seg.alias("segments")))
     null = F.to_json(F.struct("text", seg.alias("segments"), F.lit(None).cast("array<string>").alias("words")), {"ignoreNullFields": "false"})
-    json = F.when(m == 1, bare).when(m == 2, null).when(m == 3, "{not json").otherwise(full)
+    textual = F.to_json(F.struct("text"))   # no segments: one for the minute is made
+    json = F.when((F.col("conv_id") + F.col("turn")) % 15 == 4, textual).when(m == 1, bare).when(m == 2, null).when(m == 3, "{not json").otherwise(full)
     rows = c.select(F.col("conv_id").alias("episode_id"), F.col("turn").alias("chunk_idx"),
                     (F.col("turn") * 60_000).alias("offset_ms"), json.alias("json"))
     w, s = feeds.read_transcripts(rows)
@@ -168,12 +171,11 @@ def src8(spark, sf):
     return a.unionByName(b).select("clip_id", "platform", "views", "likes", "reposts", "replies")
 
 
-@query("src_09_seen_ids", """SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id, 'done' AS status, 1705708800::BIGINT AS created_at,
-   1705708800::BIGINT AS updated_at FROM lineitem WHERE l_partkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+@query("src_09_seen_ids", """SELECT DISTINCT CAST(l_partkey * 40 AS VARCHAR) AS id, 'done' AS status, 1705708800::BIGINT AS created_at,
+   1705708800::BIGINT AS updated_at FROM lineitem WHERE l_partkey * 40 NOT IN (SELECT o_orderkey FROM orders)""")
 def src9(spark, sf):
-    lines = t.read(spark, sf, "lineitem").select(F.concat(F.lit(" \t"), "l_partkey", F.lit("  ")).alias("line"))
-    known = t.jobs(spark, sf).filter(F.col("status") == "done")
-    return logs.import_seen_ids(lines, known, 1_705_708_800)
+    lines = t.read(spark, sf, "lineitem").select(F.concat(F.lit(" \t"), (F.col("l_partkey") * 40).cast("string"), F.lit("  ")).alias("line"))
+    return logs.import_seen_ids(lines, t.jobs(spark, sf), 1_705_708_800)
 
 
 @query("src_10_resolve_params", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS m, o_custkey AS c FROM orders),
@@ -278,18 +280,27 @@ def job_words(spark, sf):
     ).select("clip_id", "pos", "w.text", F.col("w.s").alias("start_ms"), (F.col("w.s") + 300).alias("end_ms"))
 
 
-@query("snk_02_manifests", sql("""SELECT c.job_id AS episode_id, 4::BIGINT AS schema_version, count(*) AS n_clips, CAST(sum(p.n) AS BIGINT) AS n_posts,
-   (SELECT count(*) FROM usage u WHERE u.job_id = c.job_id) AS total_calls FROM clips c
-   JOIN (SELECT clip_id, count(*) AS n FROM clip_posts GROUP BY ALL) p ON p.clip_id = c.id
-   WHERE c.job_id IN (SELECT id FROM jobs) GROUP BY c.job_id""", "clips", "clip_posts", "usage", "jobs"))
+@query("snk_02_manifests", sql("""SELECT j.id AS episode_id, 4::BIGINT AS schema_version, count(c.id) AS n_clips, CAST(coalesce(sum(p.n), 0) AS BIGINT) AS n_posts,
+   count(c.hook_type) * 2 AS n_variants, count(c.id) * 2 AS n_words, count(c.id) - count(c.hook_type) AS bare_clips, count(c.id) - count(c.hook) AS null_hooks,
+   CAST(coalesce(sum(c.end_ms - c.start_ms), 0) AS BIGINT) AS length_ms,
+   string_agg(c.hook, '|' ORDER BY c.rank, c.id) AS hooks, (SELECT nullif(count(*), 0) FROM usage u WHERE u.job_id = j.id) AS total_calls
+   FROM jobs j LEFT JOIN clips c ON c.job_id = j.id LEFT JOIN (SELECT clip_id, count(*) AS n FROM clip_posts GROUP BY ALL) p ON p.clip_id = c.id
+   GROUP BY j.id""", "clips", "clip_posts", "usage", "jobs"))
 def snk2(spark, sf):
+    """Read back from the documents; lists that are empty and values that are null must be written."""
     docs = S.clip_documents(ranked_clips(spark, sf), renders(spark, sf), t.clip_posts(spark, sf), job_words(spark, sf))
     m = S.manifests(docs, job_episodes(spark, sf), job_costs(spark, sf))
-    back = F.from_json("manifest", "schema_version bigint, clips array<struct<posts:array<struct<platform:string>>>>, cost struct<total_calls:bigint>")
-    return m.select("episode_id", back.alias("m")).select(
-        "episode_id", "m.schema_version", F.size("m.clips").cast("bigint").alias("n_clips"),
-        F.aggregate("m.clips", F.lit(0).cast("bigint"), lambda a, c: a + F.size(c["posts"])).alias("n_posts"),
-        F.col("m.cost.total_calls").alias("total_calls"))
+    back = F.from_json("manifest", "schema_version bigint, clips array<struct<hook:string, start_secs:double, end_secs:double, posts:array<struct<platform:string>>, "
+                       "variants:array<struct<label:string>>, words:array<struct<text:string>>>>, cost struct<total_calls:bigint>")
+    total = lambda of: F.aggregate("m.clips", F.lit(0).cast("bigint"), lambda a, c: a + of(c))
+    said = F.filter("m.clips.hook", lambda h: h.isNotNull())
+    return m.select("episode_id", "manifest", back.alias("m")).select(
+        "episode_id", "m.schema_version", F.size("m.clips").cast("bigint").alias("n_clips"), total(lambda c: F.size(c["posts"])).alias("n_posts"),
+        total(lambda c: F.size(c["variants"])).alias("n_variants"), total(lambda c: F.size(c["words"])).alias("n_words"),
+        F.regexp_count("manifest", F.lit('"variants":\\[\\]')).cast("bigint").alias("bare_clips"),
+        F.regexp_count("manifest", F.lit('"hook":null')).cast("bigint").alias("null_hooks"),
+        total(lambda c: F.round((c["end_secs"] - c["start_secs"]) * 1000).cast("bigint")).alias("length_ms"),
+        F.when(F.size(said) > 0, F.array_join(said, "|")).alias("hooks"), F.col("m.cost.total_calls").alias("total_calls"))
 
 
 _MMSS = "printf('%02d:%02d', {0} // 60000, {0} // 1000 % 60)"
@@ -326,6 +337,21 @@ def snk4(spark, sf):
     return S.prune_trends(t.trends(spark, sf), 1_705_708_800, 864_000).select("source", "topic_id", "fetched_at", "score")
 
 
+@query("snk_04_append_trends", """SELECT event_type AS source, topic_id, arg_max(label, event_id) AS label, arg_max(score, event_id) AS score,
+   1705708800::BIGINT AS fetched_at FROM (SELECT event_type, 'topic ' || user_id % 50 AS topic_id, 'label ' || event_id AS label, value AS score, event_id
+   FROM events) GROUP BY 1, topic_id""")
+def snk4_append(spark, sf):
+    """Topics repeat in the batch; a batch written again replaces itself, and an old one is pruned."""
+    path = f"{shared_dir(spark, 'trends')}/table"
+    ev = t.read(spark, sf, "events")
+    batch = ev.select(F.col("event_type").alias("source"), F.concat(F.lit("topic "), (F.col("user_id") % 50).cast("string")).alias("topic_id"),
+                      F.concat(F.lit("label "), F.col("event_id").cast("string")).alias("label"), F.col("value").alias("score"), F.col("event_id").alias("pos"))
+    for at in (1_705_000_000, 1_705_708_800, 1_705_708_800):
+        S.append_trends(batch, path, at)
+    S.prune_partitions(path, spark, 1_705_708_800, 86_400)
+    return spark.read.parquet(path).select("source", "topic_id", "label", "score", "fetched_at")
+
+
 @query("snk_05_bulk_action", sql("""SELECT id AS clip_id, 'clip' AS kind, CASE WHEN score >= 50 THEN 'posted' ELSE status END AS status FROM clips
    UNION ALL SELECT id, p, 'pending' FROM clips, (VALUES ('x:main'), ('threads')) v(p) WHERE score >= 50""", "clips"))
 def snk5(spark, sf):

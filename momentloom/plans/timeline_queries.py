@@ -109,6 +109,21 @@ def int6(spark, sf):
     return candidates(spark, sf).select("episode_id", "window_id", "start_ms", "end_ms", "word_count")
 
 
+_SHIFTED = _SAID + """, twins AS (SELECT episode_id, window_id * 2 AS window_id, start_ms, end_ms, word_count FROM said
+     UNION ALL SELECT episode_id, window_id * 2 + 1, start_ms + 300, end_ms + 300, word_count FROM said)""" + _KEPT[len(_SAID):].replace("FROM said", "FROM twins")
+
+
+@query("int_06_dedupe_overlapping", sql("SELECT episode_id, window_id, start_ms, end_ms FROM walk WHERE keep", "words", "totals", "silences", "shots",
+                                        recursive=True, extra=_SHIFTED))
+def int6_overlapping(spark, sf):
+    """Each window comes twice, 300 ms apart, so that one of two has to go."""
+    said = windows_said(spark, sf)
+    twin = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
+    both = said.withColumn("_k", twin).select("episode_id", (F.col("window_id") * 2 + F.col("_k")).alias("window_id"), (F.col("start_ms") + F.col("_k") * 300).alias("start_ms"),
+                                              (F.col("end_ms") + F.col("_k") * 300).alias("end_ms"), "word_count")
+    return I.dedupe_windows(both, P).select("episode_id", "window_id", "start_ms", "end_ms")
+
+
 @query("int_07_window_words", sql("""SELECT episode_id, window_id, word_count, transcript,
    round(CASE WHEN end_ms > start_ms THEN word_count * 1000.0 / (end_ms - start_ms) END, 6) AS speaking_rate FROM said""",
                                   "words", "totals", "silences", "shots", extra=_SAID))

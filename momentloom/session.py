@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,16 +38,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``.
+    """A fresh folder under ``spark.checkpoint.dir``, which all executors must share.
 
-    Only when the session names no such folder (tests, laptops) is a local one made.
+    A session without that setting gets a temporary folder if its master is ``local``, where
+    the driver does the executors' work; it is removed when Python ends. Any other master is an
+    error: executors would write to disks of their own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-momentloom-")
-        return f"{base}/{name}"
-    run = spark.sql("SELECT uuid()").first()[0]
-    return f"{base.rstrip('/')}/momentloom/{name}-{run}"
+    if base:
+        return f"{base.rstrip('/')}/momentloom/{name}-{uuid.uuid4()}"
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = tempfile.mkdtemp(prefix="spark-momentloom-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return f"{base}/{name}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clamp_score, trim_ws
-from ..operators.intervals import stitch_chunks, to_ms
+from ..operators.intervals import stitch_chunks, synth_segments, to_ms
 
 # -- SRC-1 --------------------------------------------------------------------------
 
@@ -34,7 +34,15 @@ def parse_transcripts(df: DataFrame, json: str = "json") -> DataFrame:
 def read_transcripts(df: DataFrame, json: str = "json") -> tuple[DataFrame, DataFrame]:
     """(words, segments) on the episode timeline from chunk answers with episode_id,
     chunk_idx, offset_ms and the JSON text."""
-    return stitch_chunks(parse_transcripts(df, json))
+    parsed = parse_transcripts(df, json)
+    words, segments = stitch_chunks(parsed)
+    # An answer with text but no segments gets one segment a minute; its length is the chunk's, or
+    # else that of its last word, or a minute.
+    silent = parsed.filter((F.size("segments") == 0) & (trim_ws("text") != ""))
+    spoken = to_ms(F.array_max(F.transform("words", lambda w: w["end"])))
+    length = F.coalesce(*([F.col("duration_ms")] if "duration_ms" in df.columns else []), spoken, F.lit(0)).cast("bigint")
+    made = synth_segments(silent.withColumn("duration_ms", length)).withColumnRenamed("minute", "pos")
+    return words, segments.unionByName(made.select(*segments.columns).filter(trim_ws("text") != ""))
 
 
 # -- SRC-6 --------------------------------------------------------------------------

@@ -62,11 +62,12 @@ def read_silence_log(lines: DataFrame) -> DataFrame:
 
 
 def read_shot_log(lines: DataFrame) -> DataFrame:
-    """Cut times, a time within 10 ms of the last one kept dropped."""
+    """Cut times, a time within 10 ms of the last one kept dropped. Gaps are measured in
+    microseconds, before the times are rounded."""
     found = F.explode(F.regexp_extract_all("line", F.lit(CUT_TIME), F.lit(1)))
-    times = lines.select("episode_id", found.alias("_t")).select("episode_id", to_ms(
-        F.col("_t").try_cast("double")).alias("t_ms")).filter(F.col("t_ms").isNotNull())
-    return dedupe_by_gap(times, EPISODE, "t_ms", 10)
+    times = lines.select("episode_id", found.alias("_t")).select("episode_id", F.round(
+        F.col("_t").try_cast("double") * 1_000_000).cast("bigint").alias("_us")).filter(F.col("_us").isNotNull())
+    return dedupe_by_gap(times, EPISODE, "_us", 10_000).select("episode_id", to_ms(F.col("_us") / 1_000_000).alias("t_ms"))
 
 
 def read_level_log(lines: DataFrame) -> DataFrame:

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.text import word_count
-from ..operators.features import flag_reason
+from ..operators.features import flag_chunks
 from ..operators.reports import AGES_S, DUE_WINDOW_S, job_view
 from ..operators.tracking import match_nearest
 from ..operators.trends import FRESH_S
@@ -179,10 +178,8 @@ def unseen_messages(messages: DataFrame, seen: DataFrame, lateness: str = "7 day
 # -- STR-7 --------------------------------------------------------------------------
 
 def gate_chunks(chunks: DataFrame, guard: str = "default") -> DataFrame:
-    """The quality gate per chunk, without state: adds ``reason``."""
-    from ..functions.text import trigram_repeat
-    return (chunks.withColumn("n_words", word_count("text")).withColumn("_rep", trigram_repeat("text"))
-            .withColumn("reason", flag_reason("text", "_rep", "n_words", "duration_s", guard)).drop("_rep"))
+    """The quality gate per chunk, without state: adds ``reason`` by the rule of the batch."""
+    return flag_chunks(chunks, guard)
 
 
 # -- STR-8 --------------------------------------------------------------------------

@@ -145,6 +145,12 @@ def test_dedupe_windows_is_sequential(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_near_windows_are_one_whatever_the_stride(spark):
+    rows = [(1, 0, 0, 20_000, 40), (1, 1, 100, 20_100, 40), (1, 2, 30_000, 50_000, 40)]
+    df = spark.createDataFrame(rows, "episode_id bigint, window_id bigint, start_ms bigint, end_ms bigint, word_count bigint")
+    assert sorted(r.window_id for r in I.dedupe_windows(df, I.WindowParams()).collect()) == [0, 2]
+
+
 def test_rate(spark):
     words = spark.createDataFrame([(1, i, "a", t, t + 50) for i, t in enumerate([100, 400, 700, 1500])],
                                   "episode_id bigint, pos bigint, text string, start_ms bigint, end_ms bigint")

@@ -155,6 +155,8 @@ def test_prompt_context(spark):
     got = {r.episode_id: r for r in K.prompt_context(eps, t, pri, hist).collect()}
     assert got["f"].current_trends.endswith("- 1 (score: 90) [a]\n- y (score: 70) [a]") and got["f"].performance_history == "H"
     assert got["e"].current_trends.endswith("[a]\n\nShow topic priors:\n- one\n- two")
+    unrated = t.union(spark.createDataFrame([("a", "3", "z", None, 5)], TREND))
+    assert {r.episode_id: r for r in K.prompt_context(eps, unrated, pri, hist).collect()}["f"].current_trends.endswith("- y (score: 70) [a]\n- z [a]")
     empty = {r.episode_id: r.current_trends for r in K.prompt_context(eps, t.limit(0), pri, hist).collect()}
     assert empty["f"] == "" and "topic priors" in empty["e"]
 

@@ -71,7 +71,8 @@ def test_transcripts(spark, rows):
                                "episode_id string, chunk_idx bigint, offset_ms bigint, json string")
     w, s = feeds.read_transcripts(df)
     assert rows(w, "text", "start_ms", "end_ms") == [("hi", 1000, 1400), ("you", 1000, 1000)]
-    assert rows(s, "start_ms", "text") == [(1000, "hi you")]
+    # The answer without segments gets one for its minute.
+    assert rows(s, "start_ms", "text") == [(0, "x"), (1000, "hi you")]
 
 
 def feed(spark, kind, body):
@@ -185,12 +186,16 @@ def test_bulk_action(spark, rows):
 
 def test_trend_append_and_prune(spark, tmp_path):
     path = str(tmp_path / "trends")
-    batch = spark.createDataFrame([("s", "t", "L", 1.0), ("s", "u", "M", 2.0)], "source string, topic_id string, label string, score double")
+    batch = spark.createDataFrame([("s", "t", "old", 9.0, 0), ("s", "t", "L", 1.0, 1), ("s", "u", "M", 2.0, 2)],
+                                  "source string, topic_id string, label string, score double, pos int")
     for at in (100_000, 100_000, 200_000):
         S.append_trends(batch, path, at)
     table = spark.read.parquet(path)
     assert table.count() == 4
+    assert {(r.topic_id, r.label, r.score) for r in table.collect()} == {("t", "L", 1.0), ("u", "M", 2.0)}
     assert S.prune_trends(table, 200_000, 50_000).count() == 2
+    assert S.prune_partitions(path, spark, 200_000, 50_000) == 1
+    assert {r.fetched_at for r in spark.read.parquet(path).collect()} == {200_000}
 
 
 def test_manifest_and_digest(spark, tmp_path):

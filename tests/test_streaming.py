@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from momentloom.operators.features import flag_chunks
 from momentloom.operators import tracking as K
 from momentloom.streaming import feeds as S
 from test_tracking_captions import DET, clip_rows
@@ -84,10 +85,13 @@ def test_messages_once(spark, feed, tmp_path, rows):
 
 
 def test_gate_is_the_batch_gate(spark, feed, tmp_path, rows):
-    data = [(1, 0, "Thank you very much. " * 5, 10.0), (1, 1, "fine words here", 2.0), (1, 2, "สวัสดี", 1.0)]
-    ev = feed([data], "episode_id bigint, chunk_idx bigint, text string, duration_s double")
-    got = finish(spark, S.gate_chunks(ev), tmp_path)
-    assert rows(got, "chunk_idx", "reason") == [(0, "repeated-3-gram"), (1, None), (2, "foreign-script")]
+    data = [(1, 0, "Thank you very much. " * 5, 20, 10.0), (1, 1, "fine words here", 3, 2.0), (1, 2, "สวัสดี", 1, 1.0),
+            (1, 3, "text without a word list", 0, 9000.0), (1, 4, "thin", 1, 9000.0)]
+    schema = "episode_id bigint, chunk_idx bigint, text string, n_words bigint, duration_s double"
+    got = finish(spark, S.gate_chunks(feed([data], schema)), tmp_path)
+    want = rows(flag_chunks(spark.createDataFrame(data, schema)), "chunk_idx", "reason")
+    assert rows(got, "chunk_idx", "reason") == want
+    assert want == [(0, "repeated-3-gram"), (1, None), (2, "foreign-script"), (3, None), (4, "density")]
 
 
 def test_tracking_by_batches_equals_tracking_at_once(spark, feed, tmp_path):

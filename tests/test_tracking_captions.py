@@ -183,6 +183,13 @@ def test_one_euro(spark):
     assert all(99 <= x <= 119 for x in out[:20])
 
 
+def test_one_euro_measures_gaps_on_exact_times(spark):
+    pts = [(1, 1, 124.9, 100.0, 5.0), (1, 1, 624.5, 200.0, 5.0), (1, 1, 1124.5, 300.0, 5.0)]
+    df = spark.createDataFrame(pts, "episode_id bigint, clip_id bigint, t_ms double, x double, y double")
+    out = [r.x for r in K.one_euro(df).orderBy("t_ms").collect()]
+    assert out[0] == 100 and 100 < out[1] < 200 and out[2] == 300   # gaps of 499.6 and 500 ms
+
+
 def test_interpolation(spark):
     keys = spark.createDataFrame([(1, 1, 1000, 10.0), (1, 1, 2000, 20.0), (1, 1, 4000, 0.0)], "episode_id bigint, clip_id bigint, t_ms bigint, x double")
     times = spark.createDataFrame([(1, 1, t) for t in (0, 1000, 1500, 2000, 3000, 4000, 9000)], "episode_id bigint, clip_id bigint, t_ms bigint")
