@@ -243,7 +243,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     text; pages without a readable host form one site. Repeated rows are extracted each.
     """
     parsed = stage(parse_pages(pages), "parsed")
-    low = (node_importance(parsed).filter(F.col("importance") < LOW).groupBy("host").agg(F.collect_set("node").alias("low")))
+    # Written first, so that Spark knows its size: a small table goes to the pages, not they to it.
+    low = stage(node_importance(parsed).filter(F.col("importance") < LOW).groupBy("host").agg(F.collect_set("node").alias("low")), "low")
     level = F.coalesce(F.array_max(F.col("blocks.level")), F.lit(0))
     rows = parsed.select("page_id", "url", "host", F.filter("blocks", lambda b: b["level"] == level).alias("blocks")).join(low, "host", "left")
     high = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["node"]))
