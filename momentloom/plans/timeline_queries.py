@@ -433,7 +433,7 @@ def nov3(spark, sf):
     return FT.novelty(t.vectors(spark, sf)).select("episode_id", "window_id", F.round("novelty", 5).alias("novelty"))
 
 
-@query("nov_04_embed")
+@query("nov_04_embed", """SELECT doc_id AS episode_id, 64 AS dim, CASE WHEN regexp_matches(text, '\\S') THEN 1.0::DOUBLE ELSE 0.0 END AS norm2 FROM documents""")
 def nov4(spark, sf):
     e = FT.embed(t.docs(spark, sf), "text", dim=64)
     return e.select("episode_id", F.size("v").alias("dim"),

@@ -71,7 +71,25 @@ def trk2(spark, sf):
     return K.nms(detections(spark, sf), 0.3).select("clip_id", "frame_idx", "det_idx", "conf")
 
 
-@query("trk_03_track_iou")
+# Overlap tracking frame by frame: pairs of the last frame's boxes (i) and this one's (j), best
+# first, are taken while both are free; boxes left over begin tracks in their order.
+_TRACK_IOU = _DETS + """, f AS (SELECT clip_id, frame_idx, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS n, boxes FROM (
+     SELECT clip_id, frame_idx, list({'id': 0::BIGINT, 'det': det_idx, 'x1': x1, 'y1': y1, 'x2': x2::DOUBLE, 'y2': y2::DOUBLE} ORDER BY det_idx) AS boxes FROM dets GROUP BY ALL)),
+   walk AS (SELECT clip_id, frame_idx, n, len(boxes)::BIGINT AS fresh, list_transform(boxes, lambda b, k: {'id': (k - 1)::BIGINT, 'det': b.det, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}) AS cur
+     FROM f WHERE n = 1
+     UNION ALL SELECT clip_id, frame_idx, n, fresh + len(rest), list_concat(
+       list_transform(m, lambda q: {'id': prev[q.i].id, 'det': boxes[q.j].det, 'x1': boxes[q.j].x1, 'y1': boxes[q.j].y1, 'x2': boxes[q.j].x2, 'y2': boxes[q.j].y2}),
+       list_transform(rest, lambda b, k: {'id': fresh + k - 1, 'det': b.det, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}))
+     FROM (SELECT *, list_filter(boxes, lambda b, k: NOT list_contains(list_transform(m, lambda q: q.j), k)) AS rest
+     FROM (SELECT *, list_reduce(list_prepend({'s': 0::DOUBLE, 'i': 0::BIGINT, 'j': 0::BIGINT, 'm': []::STRUCT(i BIGINT, j BIGINT)[]}, list_sort(list_filter(flatten(
+           list_transform(prev, lambda a, i: list_transform(boxes, lambda b, j: {'s': -(""" + _IOU + """)::DOUBLE, 'i': i::BIGINT, 'j': j::BIGINT, 'm': []::STRUCT(i BIGINT, j BIGINT)[]}))),
+         lambda c: c.s <= -0.3))), lambda t, c: CASE WHEN list_contains(list_transform(t.m, lambda q: q.i), c.i) OR list_contains(list_transform(t.m, lambda q: q.j), c.j) THEN t
+           ELSE {'s': c.s, 'i': c.i, 'j': c.j, 'm': list_append(t.m, {'i': c.i, 'j': c.j})} END).m AS m
+     FROM (SELECT f.*, w.fresh, CASE WHEN f.frame_idx = w.frame_idx + 1 THEN w.cur ELSE [] END AS prev FROM walk w JOIN f ON f.clip_id = w.clip_id AND f.n = w.n + 1))))
+   SELECT clip_id, frame_idx, cur[k].det AS det_idx, cur[k].id AS track_id, (k - 1)::BIGINT AS out_idx FROM walk, LATERAL (SELECT unnest(range(1, len(cur) + 1)) AS k)"""
+
+
+@query("trk_03_track_iou", "WITH RECURSIVE " + _TRACK_IOU)
 def trk3(spark, sf):
     return K.track_iou(detections(spark, sf), 0.3).select("clip_id", "frame_idx", "det_idx", "track_id", "out_idx")
 
