@@ -413,18 +413,22 @@ def hook_type_report(clips: DataFrame, analytics: DataFrame) -> DataFrame:
 
 def clip_details(clips: DataFrame, jobs: DataFrame, renders: DataFrame, posts: DataFrame,
                  status: str | None = None) -> DataFrame:
-    """Clips with their job and nested renders and posts.
+    """Clips with their job (show_slug, media_name, job_status) and nested renders and posts.
 
     Each child is folded into an array on its own before the join. Renders and posts per
-    clip are bounded by the number of variants and targets.
+    clip are bounded by the number of variants and targets. Of ``posts`` and ``jobs`` the columns
+    external_url, error and media_name may be missing; they are then NULL.
     """
+    def text(df, name):
+        return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
+
     if status is not None:
         clips = clips.filter(F.col("status") == status)
     r = renders.groupBy("clip_id").agg(F.array_sort(F.collect_list(
         F.struct("variant", "path", "url", "bytes", "duration_ms"))).alias("renders"))
     p = posts.groupBy("clip_id").agg(F.array_sort(F.collect_list(
-        F.struct("platform", "status", "external_id", "posted_at"))).alias("posts"))
-    j = jobs.select(F.col("id").alias("job_id"), "show_slug", F.col("status").alias("job_status"))
+        F.struct("platform", "status", "external_id", text(posts, "external_url"), "posted_at", text(posts, "error")))).alias("posts"))
+    j = jobs.select(F.col("id").alias("job_id"), "show_slug", text(jobs, "media_name"), F.col("status").alias("job_status"))
     out = (clips.withColumnRenamed("id", "clip_id").join(r, "clip_id", "left").join(p, "clip_id", "left")
            .join(j, "job_id", "left"))
     empty = {"renders": "array<struct<variant:string,path:string,url:string,bytes:bigint,duration_ms:bigint>>",

@@ -42,14 +42,16 @@ def totals(spark, sf):
     return docs(spark, sf).select("episode_id", F.explode(F.array(total)).alias("total_ms"))
 
 
-def silences(spark, sf):
-    return (words(spark, sf).filter(F.col("text").rlike(r"[.!?]$"))
+def silences(spark, sf, said=None):
+    said = words(spark, sf) if said is None else said
+    return (said.filter(F.col("text").rlike(r"[.!?]$"))
             .select("episode_id", F.col("end_ms").alias("start_ms"),
                     (F.col("end_ms") + 100).alias("end_ms")))
 
 
-def shots(spark, sf):
-    return (words(spark, sf).filter(F.col("pos") % 97 == 96)
+def shots(spark, sf, said=None):
+    said = words(spark, sf) if said is None else said
+    return (said.filter(F.col("pos") % 97 == 96)
             .select("episode_id", F.col("start_ms").alias("t_ms")))
 
 

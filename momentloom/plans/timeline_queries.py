@@ -8,6 +8,7 @@ from ..functions.text import word_count
 from ..operators import features as FT
 from ..operators import intervals as I
 from ..operators.scaling import interval_overlap
+from ..session import stage
 from . import tables as t
 from .catalog import query
 from .tables import sql
@@ -71,8 +72,14 @@ _SNAPPED = _GRID + ", " + _BOUNDS + """, ends AS (SELECT episode_id, window_id,
      greatest(e1, least(s1 + 10000, total_ms)) AS end_ms FROM c2)"""
 
 
-def snapped(spark, sf):
-    return I.snap_windows(I.grid(t.totals(spark, sf), P), t.silences(spark, sf), t.shots(spark, sf), P)
+def said_once(spark, sf):
+    """Words of all texts, cut once for the several steps that read them."""
+    return stage(t.words(spark, sf), "words")
+
+
+def snapped(spark, sf, said=None):
+    said = said_once(spark, sf) if said is None else said
+    return I.snap_windows(I.grid(t.totals(spark, sf), P), t.silences(spark, sf, said), t.shots(spark, sf, said), P)
 
 
 @query("int_05_snap_windows", sql("SELECT * FROM win", "totals", "silences", "shots", extra=_SNAPPED))
@@ -87,7 +94,8 @@ _SAID = _SNAPPED + """, said AS (SELECT w.episode_id, w.window_id, w.start_ms, w
 
 
 def windows_said(spark, sf):
-    return I.window_words(snapped(spark, sf), t.words(spark, sf))
+    said = said_once(spark, sf)
+    return I.window_words(snapped(spark, sf, said), said)
 
 
 _KEPT = _SAID + """, ok AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY window_id) AS i FROM said
