@@ -58,7 +58,7 @@ _RANKED = _CANDS + """, answers AS (SELECT episode_id, idx // 10 AS batch_idx, i
      CASE WHEN idx % 3 = 0 THEN 'trend ' || idx END AS trend_match, CASE idx % 4 WHEN 0 THEN 'bold_claim' WHEN 1 THEN 'story' END AS hook_type FROM ranked0)"""
 
 
-def responses(spark, sf):
+def responses(c):
     """Answers of a stand-in for the ranking model: one per batch, in its JSON form. The
     first index of a batch is off by a batch size, as models sometimes answer."""
     i = F.col("candidate_index")
@@ -70,12 +70,14 @@ def responses(spark, sf):
         F.lit(" why ").alias("reasoning"), F.when(i % 3 == 0, F.concat(F.lit("trend "), i)).otherwise(" ").alias("trend_match"),
         F.when(i % 4 == 0, " Bold_Claim").when(i % 4 == 1, "STORY").alias("hook_type"))
     rows = F.array_sort(F.collect_list(F.struct(F.col("index").alias("o"), clip.alias("c"))))
-    return cands(spark, sf).groupBy("episode_id", "batch_idx").agg(rows.alias("_r")).select(
+    return c.groupBy("episode_id", "batch_idx").agg(rows.alias("_r")).select(
         "episode_id", "batch_idx", F.to_json(F.struct(F.transform("_r", lambda r: r["c"]).alias("clips"))).alias("response"))
 
 
-def ranked(spark, sf):
-    return feeds.read_rank_responses(responses(spark, sf), cands(spark, sf))
+def ranked(spark, sf, c=None):
+    """Answers beside the candidates they name; the candidates are derived once."""
+    c = stage(cands(spark, sf), "candidates") if c is None else c
+    return feeds.read_rank_responses(responses(c), c)
 
 
 @query("src_07_rank_responses", sql("SELECT episode_id, candidate_index, batch_idx, pos, start_ms, end_ms, score, trend_match, hook_type FROM ranked", "totals", extra=_RANKED))
@@ -106,8 +108,8 @@ def second_scores(spark, sf, base):
                                              F.lit("seen").alias("why"))
 
 
-def lane_one(spark, sf):
-    top = K.top_k(ranked(spark, sf), 5, 8)
+def lane_one(spark, sf, c=None):
+    top = stage(K.top_k(ranked(spark, sf, c), 5, 8), "top")
     base = top.select("episode_id", "candidate_index").distinct()
     return K.blend_lane(top, second_scores(spark, sf, base), "vlm", n=6)
 
@@ -123,8 +125,9 @@ _LANE2 = _LANE + """, o2 AS (SELECT *, CASE WHEN ord1 <= 3 THEN CAST(least(great
 
 
 def lane_two(spark, sf):
-    one = lane_one(spark, sf)
-    premium = cands(spark, sf).select("episode_id", "candidate_index", ((F.col("candidate_index") * 31) % 101).alias("second"), F.lit("").alias("why"))
+    c = stage(cands(spark, sf), "candidates")
+    one = lane_one(spark, sf, c)
+    premium = c.select("episode_id", "candidate_index", ((F.col("candidate_index") * 31) % 101).alias("second"), F.lit("").alias("why"))
     return K.blend_lane(one, premium, "vlm_premium")
 
 
