@@ -27,6 +27,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_WORDS = "list_filter(regexp_extract_all({t}, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
 @query("op1_bm25_leaks")
 def op1(spark, sf_dir):
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
@@ -76,7 +80,21 @@ def op4(spark, sf_dir):
     return pii.pseudonymize(docs, key=SECRET)
 
 
-@query("op5_setsketch")
+OP5_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(t=_LOWER)} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) > 1 THEN list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) ELSE ws END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a AS id, b AS o FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.o),
+m AS (SELECT id, min(o) AS o FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(o, w.doc_id)) AS component_id, w.doc_id <= coalesce(o, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.id = w.doc_id
+"""
+
+
+@query("op5_setsketch", OP5_SQL)
 def op5(spark, sf_dir):
     return neardup.near_duplicates(only(table(spark, sf_dir, "documents"), "doc_id", "text"), width=2, percent=80)
 
@@ -101,7 +119,19 @@ def op6(spark, sf_dir):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op7_count_min_windows")
+OP7_SQL = f"""
+WITH w AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 48)) AS i)),
+first AS (SELECT g, min(doc_id) AS f FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM win JOIN first USING (g), range(50) t(k) WHERE f < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+k AS (SELECT x.doc_id, count(gone.p) AS n, string_agg(word, ' ' ORDER BY x.p) FILTER (gone.p IS NULL) AS kept
+      FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p GROUP BY 1)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+@query("op7_count_min_windows", OP7_SQL)
 def op7(spark, sf_dir):
     kept = substring.remove_repeats(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
