@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct pieces remembered by a task, to encode each once; then it starts afresh.
-CACHED = 300_000
+CACHED = 200_000
 #: Bytes of text worked on at once, and cells of one merge array.
 CHUNK_BYTES, CELLS = 1 << 20, 1 << 19
 _NONE = np.int64(2**62)

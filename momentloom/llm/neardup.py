@@ -41,7 +41,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Shingler:
     """64-bit hashes of the distinct ``width``-word shingles of a text."""
 
-    def __init__(self, width: int, remembered: int = 400_000):
+    def __init__(self, width: int, remembered: int = 250_000):
         self.width, self.remembered, self.words = width, remembered, {}
 
     def word_hashes(self, words: list[bytes]) -> np.ndarray:
