@@ -14,7 +14,6 @@ from math import log
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from momentloom.llm.graph import components
 from momentloom.session import stage
@@ -180,13 +179,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     """Links inside candidate groups that their hubs did not show.
 
-    ``members``: grp, component, main (the group's largest component), doc_id and the columns of
-    ``sketch``. Members outside the main component, in blocks, meet every block of the group; a
+    ``members``: grp, component, main (the group's largest component), n (members of the group on
+    that side), doc_id and the columns of ``sketch``. Members outside the main component, in blocks, meet every block of the group; a
     piece of work is two blocks, and gives at most one link for each two components it joins.
     """
-    numbered = members.withColumn("_at", F.row_number().over(W.partitionBy("grp", "main").orderBy("doc_id")) - 1)
-    numbered = numbered.withColumn("_block", F.concat_ws(":", F.col("main").cast("string"), F.floor(F.col("_at") / BLOCK).cast("string")))
-    blocks = stage(numbered.select("grp", "_block", "main", "component", "doc_id", "registers", "shingles"), "blocks")
+    # Blocks by hash: a group of any size is dealt out without being numbered in one task.
+    at = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / BLOCK))
+    dealt = members.withColumn("_block", F.concat_ws(":", F.col("main").cast("string"), at.cast("string")))
+    blocks = stage(dealt.select("grp", "_block", "main", "component", "doc_id", "registers", "shingles"), "blocks")
     kinds = blocks.select("grp", "_block", "main").distinct()
     odd = kinds.filter(~F.col("main")).select("grp", F.col("_block").alias("x"))
     work = odd.join(kinds.select("grp", F.col("_block").alias("y"), F.col("main").alias("_ym")), "grp").filter("_ym OR x <= y").select("grp", "x", "y")
@@ -263,7 +263,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, tex
     main = (sizes.groupBy("grp").agg(F.max(F.struct("_n", -F.col("component"))).alias("_m"), F.count(F.lit(1)).alias("_cs"))
             .filter("_cs > 1").select("grp", (-F.col("_m.col2")).alias("_main")))
     apart = placed.join(main, "grp").select("grp", "component", "doc_id", (F.col("component") == F.col("_main")).alias("main"))
-    more = _compare_blocks(apart.join(full, "doc_id"), percent)
+    apart = stage(apart, "apart")
+    apart = apart.join(apart.groupBy("grp", "main").agg(F.count(F.lit(1)).alias("n")), ["grp", "main"])
+    more = _compare_blocks(apart.join(full.select("doc_id", "registers", "shingles"), "doc_id"), percent)
     final = components(stage(links.union(more), "links"))
     answer = first.select("fingerprint", "rep").join(final, F.col("rep") == F.col("id"), "left").select(
         "fingerprint", F.coalesce("component", "rep").alias("_c"))
