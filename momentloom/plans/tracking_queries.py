@@ -172,16 +172,19 @@ def trk7(spark, sf):
 
 
 def centers(spark, sf):
-    """Crop centres from the events; a minute of the events counts as a millisecond."""
-    return t.events(spark, sf).filter(F.col("event_type").isin("view", "click")).groupBy(
+    """Crop centres from the events; a minute of the events counts as a millisecond, with
+    quarters added so that times are not whole."""
+    rows = t.events(spark, sf).filter(F.col("event_type").isin("view", "click")).groupBy(
         "episode_id", F.col("user_id").alias("clip_id"), F.floor(F.col("t_ms") / 60_000).alias("t_ms")).agg(
         F.max("value").alias("x")).withColumn("y", F.col("x") / 2)
+    return rows.withColumn("t_ms", F.col("t_ms") + F.col("t_ms") % 4 * 0.25)
 
 
 # The filter as a recursive query: position, slope and time of the last point.
 _EURO = """d AS (SELECT clip_id, t, x, row_number() OVER (PARTITION BY clip_id ORDER BY t) AS i FROM (
-     SELECT user_id AS clip_id, (epoch_us(ts) // 1000 - 1704067200000) // 60000 AS t, max(value) AS x FROM events
-     WHERE event_type IN ('view', 'click') GROUP BY ALL)),
+     SELECT clip_id, (m + m % 4 * 0.25)::DOUBLE AS t, x FROM (
+       SELECT user_id AS clip_id, (epoch_us(ts) // 1000 - 1704067200000) // 60000 AS m, max(value) AS x FROM events
+       WHERE event_type IN ('view', 'click') GROUP BY ALL))),
    walk AS (SELECT clip_id, t, i, x::DOUBLE AS v, 0::DOUBLE AS s FROM d WHERE i = 1
      UNION ALL SELECT c.clip_id, c.t, c.i, CASE WHEN c.fresh THEN c.x ELSE c.k / (c.k + 1) * c.x + (1 - c.k / (c.k + 1)) * c.v END,
        CASE WHEN c.fresh THEN 0 ELSE c.slope END
