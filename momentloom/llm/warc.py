@@ -207,10 +207,12 @@ def lookup(keys: DataFrame, directory: DataFrame, path: str, fanout: int = 1024)
     asked = wanted.select(range_of("key").alias("_range"), "key", *[F.lit(None).cast(t).alias(c) for c, t in
                           (("last_key", "string"), ("file", "string"), ("offset", "long"), ("length", "long"))])
     meeting = (entries.unionByName(asked).repartition("_range")
-               .sortWithinPartitions("_range", F.col("last_key").isNull(), "key", "file", "offset"))
+               .sortWithinPartitions("_range", F.col("last_key").isNull(), "key", "last_key", "file", "offset"))
 
     def pick(batches):
-        """Entries of a range come first, then its keys: each key bisects the entries."""
+        """Entries of a range come first, then its keys: each key bisects the entries. These are
+        sorted by first and last key, so blocks of one key alone stand before the block in which
+        it ends, whatever files they are in, and last keys never fall."""
         import pyarrow as pa
 
         at, firsts, held = None, [], []

@@ -35,6 +35,37 @@ def test_round_trip_through_the_index(spark, monkeypatch):
     assert gzip.decompress(member).startswith(b"WARC/1.1\r\n")
 
 
+def test_block_after_a_crowded_key_of_another_file(spark, tmp_path):
+    spans, at = [], {"a.cdx": 0, "b.cdx": 0}
+    for file, keys in (("b.cdx", "kk"), ("b.cdx", "kk"), ("a.cdx", "kmz"), ("a.cdx", "zz")):
+        block = warc._gzip("\n".join(f"{k} {len(spans)} f {i} 1" for i, k in enumerate(keys)).encode())
+        with (tmp_path / file).open("ab") as f:
+            f.write(block)
+        spans.append((keys[0], keys[-1], file, at[file], len(block)))
+        at[file] += len(block)
+    directory = spark.createDataFrame(spans, "first_key string, last_key string, file string, offset long, length long")
+    for fanout in (1, 1024):
+        found = warc.lookup(spark.createDataFrame([(k,) for k in "akmz"], "key string"), directory, f"file://{tmp_path}", fanout).collect()
+        assert sorted((r.key, r.page_id) for r in found) == [("k", 0), ("k", 0), ("k", 1), ("k", 1), ("k", 2), ("m", 2), ("z", 2), ("z", 3), ("z", 3)]
+
+
+def test_crowded_key_over_several_index_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    rows = [(i, None, "x") for i in range(300)] + [(1000 + i, f"http://z.org/{i % 90:02d}", "x") for i in range(180)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+        directory, archives, index = warc.archive_pages(pages)
+        assert directory.filter("first_key = ')'").select("file").distinct().count() > 3
+        found = warc.lookup(pages.select(warc.key_of(pages.url).alias("key")), directory, index)
+        assert sorted(r.page_id for r in found.collect()) == [r[0] for r in rows]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     directory, archives, index = warc.archive_pages(pages)
