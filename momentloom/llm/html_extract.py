@@ -5,7 +5,8 @@ classes. A node whose text is the same on many pages of the host has little cont
 less the mean entropy of its text features over the pages), one that always has the same children
 little presentation importance (the entropy of its child sequences); branches of low importance
 are template, not article. What elements and classes say about themselves (navigation, footer,
-advert, comments, ...) is believed from the first page on, also where a host has too few pages.
+advert, comments, ...) is believed from the first page on, also where a host has too few pages. Copies
+of an article count as one page, and what a marked article holds is never taken for template.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from momentloom.session import stage
 
-#: Pages a node must be on before its entropy says anything; importance below which it is
+#: Pages of distinct articles a node must be on before its entropy says anything; importance below which it is
 #: template; weight of presentation beside content.
 LEAST_PAGES, LOW, PRESENTATION = 8, 0.2, 0.1
 
@@ -183,12 +184,13 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-_PARSED = ("page_id bigint, url string, host string, blocks array<struct<text: string, node: bigint, level: int, feature: bigint>>, "
+_PARSED = ("page_id bigint, url string, host string, article bigint, blocks array<struct<text: string, node: bigint, level: int, feature: bigint>>, "
            "styles array<struct<node: bigint, style: bigint>>")
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, blocks and styles of each row; nodes, features and styles as hashes."""
+    """page_id, url, host, article (the text on the page's highest level), blocks and styles of
+    each row; articles, nodes, features and styles as hashes."""
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
@@ -198,7 +200,8 @@ def parse_pages(pages: DataFrame) -> DataFrame:
             rows = []
             for page, url, html in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 blocks, styles = parse(html or "")
-                rows.append({"page_id": page, "url": url, "host": host_of(url),
+                top = max((level for _, _, level in blocks), default=0)
+                rows.append({"page_id": page, "url": url, "host": host_of(url), "article": number("\n".join(t for t, _, level in blocks if level == top)),
                              "blocks": [{"text": t, "node": number(p), "level": level, "feature": number(t)} for t, p, level in blocks],
                              "styles": [{"node": a, "style": b} for a, b in {(number(p), number(s)) for p, s in styles}]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
@@ -206,7 +209,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     block = pa.struct([("text", pa.string()), ("node", pa.int64()), ("level", pa.int32()), ("feature", pa.int64())])
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("blocks", pa.list_(block)),
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.int64()), ("blocks", pa.list_(block)),
                         ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())])))])
     return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, _PARSED)
 
@@ -214,15 +217,18 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def node_importance(parsed: DataFrame) -> DataFrame:
     """host, node, n_pages, content, presentation, importance of each node with text.
 
-    The tree of a host is the table of its nodes: counts are combined before the shuffle, so a
-    host with a third of all pages is no more than its nodes. Entropies are in units of the
+    Pages are counted by distinct articles, so copies say no more than one page. The tree of a
+    host is the table of its nodes: rows are combined before each shuffle, so a host with a
+    third of all pages is no more than its nodes and articles. Entropies are in units of the
     logarithm of the node's pages; a node on fewer than ``LEAST_PAGES`` pages has importance 1.
     """
-    texts = parsed.select("host", F.explode(F.array_distinct(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["feature"].alias("feature"))))).alias("x"))
-    features = texts.groupBy("host", "x.node", "x.feature").agg(F.count(F.lit(1)).alias("n"))
-    nodes = parsed.select("host", F.explode(F.array_distinct(F.col("blocks.node"))).alias("node")).groupBy("host", "node").agg(F.count(F.lit(1)).alias("n_pages"))
+    texts = parsed.select("host", "article", F.explode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["feature"].alias("feature")))).alias("x"))
+    features = texts.select("host", "article", "x.node", "x.feature").distinct().groupBy("host", "node", "feature").agg(F.count(F.lit(1)).alias("n"))
+    nodes = (parsed.select("host", "article", F.explode(F.array_distinct(F.col("blocks.node"))).alias("node")).distinct()
+             .groupBy("host", "node").agg(F.count(F.lit(1)).alias("n_pages")))
     spread = features.groupBy("host", "node").agg(F.avg(F.log("n")).alias("_content"))
-    styles = (parsed.select("host", F.explode("styles").alias("x")).groupBy("host", "x.node", "x.style").agg(F.count(F.lit(1)).alias("n"))
+    styles = (parsed.select("host", "article", F.explode("styles").alias("x")).select("host", "article", "x.node", "x.style").distinct()
+              .groupBy("host", "node", "style").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("host", "node").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("_style")))
     whole = F.log(F.greatest("n_pages", F.lit(2)))
     few = F.col("n_pages") < LEAST_PAGES
@@ -236,8 +242,9 @@ def node_importance(parsed: DataFrame) -> DataFrame:
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text per row of ``pages`` (page_id, url, html).
 
-    Text blocks of the article (else of main, else of the page) joined by one newline, without
-    the branches of low importance on the page's host. White space inside a block becomes one
+    Text blocks of the article (else of main, else of the page) joined by one newline. A marked
+    article stays whole; from main or the page the branches of low importance on the page's host
+    are left out. White space inside a block becomes one
     space; character references are decoded. If a page has nothing but low branches, its tree
     says nothing about it and the blocks stay. A null, empty or text-free page gives an empty
     text; pages without a readable host form one site. Repeated rows are extracted each.
@@ -247,6 +254,6 @@ def extract_text(pages: DataFrame) -> DataFrame:
     low = stage(node_importance(parsed).filter(F.col("importance") < LOW).groupBy("host").agg(F.collect_set("node").alias("low")), "low")
     level = F.coalesce(F.array_max(F.col("blocks.level")), F.lit(0))
     rows = parsed.select("page_id", "url", "host", F.filter("blocks", lambda b: b["level"] == level).alias("blocks")).join(low, "host", "left")
-    high = F.filter("blocks", lambda b: ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["node"]))
+    high = F.filter("blocks", lambda b: (b["level"] == 2) | ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["node"]))
     kept = F.when(F.col("low").isNull() | (F.size(high) == 0), F.col("blocks")).otherwise(high)
     return rows.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))

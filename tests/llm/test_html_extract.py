@@ -42,6 +42,21 @@ def rows0():
     return "<nav>n</nav><article><p>again</p></article>"
 
 
+def test_marked_articles_stay_whole(spark):
+    rows = [(i, f"http://copies.org/{i}", f"<div class=top>Welcome</div><article><h1>Title {i}</h1><p>The same story</p></article>") for i in range(12)]
+    rows += [(100 + i, f"http://heads.org/{i}", f"<main itemprop=articleBody><h2>Summary</h2><p>Story {i}</p></main>") for i in range(12)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"Title {i}\nThe same story" for i in range(12)}, **{100 + i: f"Summary\nStory {i}" for i in range(12)}}
+
+
+def test_copies_count_as_one_page(spark):
+    story = lambda k: "".join(f"<p>Part {j} of {k}</p>" for j in range(10))
+    rows = [(i, f"http://copies.org/{i}", story(i % 2)) for i in range(80)] + [(100, "http://copies.org/x", "<p>Only here</p><ul><li>once</ul>")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in H.extract_text(docs).filter("page_id = 100").collect()] == ["Only here\nonce"]
+    assert {r.n_pages for r in H.node_importance(H.parse_pages(docs)).collect()} == {1, 3}
+
+
 def test_importance_of_nodes(spark):
     parsed = H.parse_pages(spark.createDataFrame(pages_of_a_site(30), "page_id long, url string, html string"))
     importance = sorted(r.content for r in H.node_importance(parsed).collect())
