@@ -17,23 +17,25 @@ from momentloom.session import stage
 _TITLE_M = "Mr|Herr|Monsieur|Señor|Sr|Г-н"
 _TITLE_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
 _TITLE = f"{_TITLE_M}|{_TITLE_F}"
-_NAME = r"\p{Lu}[\p{L}'’\-]{1,30}+"
+_NAME = r"\p{Lu}[\p{L}'’\-]++"
 _STOP = r"(?![\p{L}\p{N}_])"
 _SECRETS = tuple(form(w) for w in ("token", "secret", "password", "passwort", "passwd", "api_key", "api-key", "apikey")
                  for form in (str.lower, str.upper, str.capitalize))
 
-#: Patterns of the kinds, in the order they are tried; all begin where no word goes on.
+#: Patterns of the kinds, in the order they are tried; all begin where no word goes on. Secrets,
+#: hexadecimal numbers and names run on as far as their characters do; only a given name before a
+#: family name must be of 101 letters at most, as Java's look-behind needs a bound.
 KINDS = {
     "email": r"(?<![._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
-    "secret": rf"(?<=(?:{'|'.join(_SECRETS)}) {{0,2}}[=:] {{0,2}}[\"']?)[\p{{L}}\p{{N}}_+/\-]{{8,128}}+",
+    "secret": rf"(?<=(?:{'|'.join(_SECRETS)}) {{0,2}}[=:] {{0,2}}[\"']?)[\p{{L}}\p{{N}}_+/\-]{{8,}}+",
     "access_key": rf"AKIA[0-9A-Z]{{16}}{_STOP}",
-    "hex": rf"[0-9a-fA-F]{{32,64}}+{_STOP}",
+    "hex": rf"[0-9a-fA-F]{{32,}}+{_STOP}",
     "phone": r"(?=[+(\d])(?<!\+)(?:(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}"
              r"|\+\d{1,3}[ .\-]\d{2,4}[ .\-]\d{3,4}[ .\-]\d{3,4}|\d{3}[.\-]\d{3}[.\-]\d{4})" + _STOP,
     "ip": r"(?=\d)(?<!\.)(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\p{L}\p{N}_]|\.\d)",
     "card": r"(?=[2-6])(?<![.\-])[2-6](?:[ \-]?\d){12,18}" + _STOP,
     "ssn": r"(?=\d)(?<![.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
-    "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}\p{{N}}_])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,30}} )?){_NAME}",
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}\p{{N}}_])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,100}} )?){_NAME}",
 }
 ALL = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(KINDS.values())})"
 #: Every text with an entity has a digit, an @, 32 letters a-f, or one of these; most have none.
@@ -51,7 +53,7 @@ _ENDINGS = {"given_m": ("rek don mir tan".split(), "рек дон мир тан"
 
 
 def _chars(s: Column) -> Column:
-    return F.when(F.char_length(s) > 0, F.transform(F.sequence(F.lit(1), F.char_length(s)), lambda i: F.substring(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))  # in one pass: an entity may be long
 
 
 def _digits(s: Column) -> Column:
@@ -90,15 +92,14 @@ def _canon(raw: Column, kind: Column) -> Column:
 
 
 def _draw(key: str, kind: Column, canon: Column, attempt: Column) -> Column:
-    """Keyed hash of an entity as hexadecimal digits, as many as its shape needs."""
+    """Keyed hash of an entity as blocks of 32 bytes in hexadecimal, as many as its shape needs."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256)
-    blocks = F.transform(F.sequence(F.lit(1), F.ceil(F.char_length(canon) / 32).cast("int") + 1),
-                         lambda b: F.sha2(F.concat_ws("|", F.lit(key), seed, b.cast("string")), 256))
-    return F.array_join(blocks, "")
+    return F.transform(F.sequence(F.lit(1), F.ceil(F.char_length(canon) / 32).cast("int") + 1),
+                       lambda b: F.sha2(F.concat_ws("|", F.lit(key), seed, b.cast("string")), 256))
 
 
 def _byte(draw: Column, i: Column) -> Column:
-    return F.conv(F.substring(draw, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    return F.conv(F.substring(F.get(draw, F.shiftright(i, 5)), i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
 def _pick(values: list[str], n: Column) -> Column:
@@ -142,8 +143,7 @@ def _spell(raw: Column, kind: Column, stand_in: Column) -> Column:
     digits = F.replace(stand_in, F.lit(":"), F.lit(""))
     numbers = F.array_join(F.transform(_chars(raw), lambda c, i: F.when(c.rlike(r"\d"), F.substring(
         digits, F.char_length(_digits(F.substring(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(_chars(stand_in), lambda c, i: F.when(
-        F.substring(raw, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
+    cased = F.array_join(F.zip_with(_chars(stand_in), _chars(raw), lambda c, r: F.when(r.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     name = F.when(raw.rlike(r"^\P{Ll}+$") & (F.char_length(raw) > 1), F.upper(stand_in)).otherwise(F.initcap(stand_in))
     return (F.when(stand_in.isNull(), raw).when(kind.isin("phone", "card"), numbers).when(kind.isin(*NAMES), name).otherwise(cased))
 

@@ -56,6 +56,20 @@ def test_stand_ins_are_distinct_and_nobody_else(spark):
     assert len({r.stand_in for r in rows if r.kind == "ip"}) == 10
 
 
+def test_long_entities_go_to_their_end(spark):
+    long = [("xY7-" * 200)[:n] for n in (128, 129, 500)]
+    name = "Wolfeschlegel" + "steinhausen" * 5
+    got = run(spark, [(i, f"token={t} end") for i, t in enumerate(long)] + [(3, "key " + "0123456789abcdef" * 8 + "."), (4, f"Mr. {name} came"), (5, f"Mr. {name} Smith came")])
+    for i, t in enumerate(long):
+        new = re.fullmatch(r"token=([\w-]+) end", got[i].text)[1]
+        assert got[i].n_entities == 1 and re.fullmatch(r"(?:[a-z][A-Z]\d-)*[a-z]?", new) and len(new) == len(t)
+        assert sum(a == b for a, b in zip(new[100:].replace("-", ""), t[100:].replace("-", ""))) < len(new[100:]) / 3
+    number = re.fullmatch(r"key ([0-9]{10}[a-f]{6}){8}\.", got[3].text)
+    assert number and "0123456789abcdef" not in got[3].text
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+ came", got[4].text) and "steinhausen" not in got[4].text
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ came", got[5].text) and "steinhausen" not in got[5].text and "Smith" not in got[5].text
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.example.org")], "doc_id long, text string")
     plan = pii.pseudonymize(docs, "k")._jdf.queryExecution().executedPlan().toString()
