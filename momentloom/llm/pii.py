@@ -39,7 +39,7 @@ KINDS = {
 }
 ALL = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(KINDS.values())})"
 #: Every text with an entity has a digit, an @, 32 letters a-f, or one of these; most have none.
-HINTS = (*_SECRETS, *_TITLE.split("|"))
+HINTS = (*_SECRETS, *_TITLE.split("|"), "AKIA")
 NAMES = ("given_m", "given_f", "family")
 #: Draws after which a clash that is still there is an error.
 ROUNDS = 30

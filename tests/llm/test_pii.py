@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from momentloom.llm import pii
 
 
@@ -70,6 +72,17 @@ def test_long_entities_go_to_their_end(spark):
     assert re.fullmatch(r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ came", got[5].text) and "steinhausen" not in got[5].text and "Smith" not in got[5].text
 
 
+def test_cheap_search_loses_no_kind(spark):
+    least = {"email": ["a@b.cc"], "secret": [f"{w}={'x' * 8}" for w in pii._SECRETS], "access_key": ["AKIA" + "Q" * 16, "AKIA" + "7" * 16],
+             "hex": ["a" * 32, "F" * 32, "0" * 32], "phone": ["(12)345-678", "+1-23-456-789", "123-456-7890"], "ip": ["1.2.3.4"],
+             "card": ["2" * 13], "ssn": ["078-05-1120"], "name": [f" {t} Xy" for t in pii._TITLE.split("|")]}
+    assert list(least) == list(pii.KINDS)
+    texts = spark.createDataFrame([(t,) for ts in least.values() for t in ts], "text string")
+    found = texts.select("text", F.col("text").rlike(pii.ALL).alias("entity"), pii.may_have_entities(F.col("text")).alias("may")).collect()
+    assert [r.text for r in found if not r.entity] == [] and [r.text for r in found if not r.may] == []
+    assert "Q" * 16 not in run(spark, [(1, "a key AKIA" + "Q" * 16 + " here")])[1].text
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.example.org")], "doc_id long, text string")
     plan = pii.pseudonymize(docs, "k")._jdf.queryExecution().executedPlan().toString()
