@@ -41,8 +41,9 @@ ALL = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(KINDS.values())})"
 #: Every text with an entity has a digit, an @, 32 letters a-f, or one of these; most have none.
 HINTS = (*_SECRETS, *_TITLE.split("|"), "AKIA")
 NAMES = ("given_m", "given_f", "family")
-#: Draws after which a clash that is still there is an error.
-ROUNDS = 30
+#: Draws in an entity's own shape; each later one may be a character longer, so that also shapes
+#: of which the corpus holds most get stand-ins. The last draws have far more room than any corpus.
+SHAPED, ROUNDS = 8, 30
 
 # Syllables and endings of made-up names.
 _SYLLABLES = ("ba be do fa ga ka la li lo ma mi na no pa ra ri ro sa ta va ve vi".split(),
@@ -107,7 +108,12 @@ def _pick(values: list[str], n: Column) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, draw: Column) -> Column:
-    """Canonical form of the stand-in that ``draw`` gives for an entity."""
+    """Canonical form of the stand-in that ``draw`` gives for an entity.
+
+    After ``SHAPED`` draws it grows by a character each: in front of an address, before a card's
+    check digit, else at the end. An IP takes octets of any length, and after as many draws again
+    further octets; names have a syllable more from draw to draw.
+    """
     alphabets = [("0-9", "0123456789"), ("a-z", "abcdefghijklmnopqrstuvwxyz"), ("а-я", "абвгдежзиклмнопрстуфхцчшэюя"), ("α-ω", "αβγδεζηθικλμνξοπρστυφχψω")]
 
     def letter(c: Column, i: Column) -> Column:
@@ -121,11 +127,15 @@ def surrogate(kind: Column, canon: Column, attempt: Column, draw: Column) -> Col
     keep = (F.when(kind == "phone", F.instr(canon, ":")).when(kind == "card", F.lit(1)).when(kind == "access_key", F.lit(4)).otherwise(F.lit(0)))
     stay = F.when(kind == "email", F.char_length(canon) - F.char_length(F.substring_index(canon, ".", -1))).otherwise(F.char_length(canon))
     spelled = F.array_join(F.transform(_chars(canon), lambda c, i: F.when((i < keep) | (i >= stay), c).otherwise(letter(c, i))), "")
-    body = F.substring(spelled, F.lit(1), F.char_length(spelled) - 1)
+    longer = lambda values: F.when(attempt > SHAPED, F.array_join(F.transform(
+        F.sequence(F.lit(1), F.greatest(attempt - SHAPED, F.lit(1))), lambda k: _pick(list(values), _byte(draw, F.char_length(canon) + k))), "")).otherwise("")
+    more = F.when(kind.isin("phone", "card", "ssn"), longer("0123456789")).when(kind == "hex", longer("0123456789abcdef")).otherwise(longer(alphabets[1][1]))
+    body = F.concat(F.substring(spelled, F.lit(1), F.char_length(spelled) - 1), more)
     card = F.concat(body, ((F.lit(10) - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
     octet = lambda o, i: (F.when(F.char_length(o) == 1, 1 + _byte(draw, i) % 9).when(F.char_length(o) == 2, 10 + _byte(draw, i) % 90)
                           .otherwise(100 + _byte(draw, i) % 155)).cast("string")
-    ip = F.array_join(F.transform(F.split(canon, r"\."), octet), ".")
+    octets = F.when(attempt > SHAPED, F.transform(F.sequence(F.lit(0), F.lit(3) + F.greatest(attempt - 2 * SHAPED, F.lit(0))), lambda i: _byte(draw, i).cast("string")))
+    ip = F.array_join(octets.otherwise(F.transform(F.split(canon, r"\."), octet)), ".")
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
 
     def name(of: str, script: int) -> Column:
@@ -135,7 +145,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, draw: Column) -> Col
     out = F.when(kind == "card", card).when(kind == "ip", ip)
     for of in NAMES:
         out = out.when((kind == of) & cyrillic, name(of, 1)).when(kind == of, name(of, 0))
-    return out.otherwise(spelled)
+    return out.when(kind == "email", F.concat(more, spelled)).otherwise(F.concat(spelled, more))
 
 
 def _spell(raw: Column, kind: Column, stand_in: Column) -> Column:
@@ -143,6 +153,7 @@ def _spell(raw: Column, kind: Column, stand_in: Column) -> Column:
     digits = F.replace(stand_in, F.lit(":"), F.lit(""))
     numbers = F.array_join(F.transform(_chars(raw), lambda c, i: F.when(c.rlike(r"\d"), F.substring(
         digits, F.char_length(_digits(F.substring(raw, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
+    numbers = F.concat(numbers, F.substring(digits, F.char_length(_digits(raw)) + 1, F.char_length(digits)))
     cased = F.array_join(F.zip_with(_chars(stand_in), _chars(raw), lambda c, r: F.when(r.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     name = F.when(raw.rlike(r"^\P{Ll}+$") & (F.char_length(raw) > 1), F.upper(stand_in)).otherwise(F.initcap(stand_in))
     return (F.when(stand_in.isNull(), raw).when(kind.isin("phone", "card"), numbers).when(kind.isin(*NAMES), name).otherwise(cased))

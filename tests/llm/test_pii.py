@@ -83,6 +83,26 @@ def test_cheap_search_loses_no_kind(spark):
     assert "Q" * 16 not in run(spark, [(1, "a key AKIA" + "Q" * 16 + " here")])[1].text
 
 
+def test_dense_shapes_get_stand_ins(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("ip", ".".join(f"{k:04}")) for k in range(10_000) if "0" not in f"{k:04}"]
+    rows += [("key", "--------")]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canon string"), "k").collect()
+    stand_ins = {(r.kind, r.stand_in) for r in got}
+    assert len(got) == len(stand_ins) == len(rows) and not stand_ins & set(rows)
+    assert all(re.fullmatch(r"[a-z]{2,}@[a-z]\.com" if r.kind == "email" else r"\d+(\.\d+){3}" if r.kind == "ip" else "[a-z]*-{8}[a-z]*", r.stand_in) for r in got)
+
+
+def test_longer_numbers_are_written_whole(spark):
+    rows = [("phone", "+1 (664) 555-5990", "1:6645555990"), ("card", "4242 4242 4242 4242", "4242424242424242"), ("ssn", "078-05-1120", "078-05-1120")]
+    rows = spark.createDataFrame(rows, "kind string, raw string, canon string").withColumn("attempt", F.lit(pii.SHAPED + 2))
+    k, c, a = F.col("kind"), F.col("canon"), F.col("attempt")
+    rows = rows.withColumn("s", pii.surrogate(k, c, a, pii._draw("k", k, c, a)))
+    got = {r.kind: r.t for r in rows.select("kind", pii._spell(F.col("raw"), k, F.col("s")).alias("t")).collect()}
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{6}", got["phone"]) and re.fullmatch(r"\d{3}-\d{2}-\d{6}", got["ssn"])
+    assert re.fullmatch(r"4\d{3} \d{4} \d{4} \d{6}", got["card"]) and luhn(got["card"])
+
+
 def test_plan_is_native(spark):
     docs = spark.createDataFrame([(1, "a@b.example.org")], "doc_id long, text string")
     plan = pii.pseudonymize(docs, "k")._jdf.queryExecution().executedPlan().toString()
