@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from momentloom.llm.neardup import _SEED, Shingler, _mix
 
 WINDOW = 50
-#: Documents of a chunk, and windows of a shard of the sketch. Larger chunks and shards make the
+#: Documents and bytes of text of a chunk on average, and windows of a shard of the sketch. Larger chunks and shards make the
 #: sketches of a larger corpus denser, at the price of memory in a task.
-CHUNK_DOCS, SHARD_WINDOWS = 800, 1_000_000
+CHUNK_DOCS, CHUNK_BYTES, SHARD_WINDOWS = 800, 8 << 20, 1_000_000
 #: Sketch: rows, and cells of a row per window.
 DEPTH, CELLS_PER_WINDOW = 2, 8
 _CELLS = np.uint64(SHARD_WINDOWS * CELLS_PER_WINDOW)
@@ -206,15 +206,21 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     changed and don't count for others; rows that repeat a doc_id don't change each other. Other
     columns are not carried.
 
-    The texts are shuffled once, into chunks by the hash of doc_id; the three passes over them
+    The texts are shuffled once, into chunks by the hash of doc_id and text, so the texts of a
+    repeated doc_id are dealt out; rows without doc_id are not shuffled. The three passes over them
     (sketch, estimate, remove) read that same shuffle. What goes between the passes are packed
     cells and the hashes of windows estimated repeated.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    every = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    rows = every.filter(F.col("doc_id").isNotNull())
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \x09-\x0D]+"), F.lit(0))
+    alone = every.filter(F.col("doc_id").isNull()).select("doc_id", words.alias("_w")).select(
+        "doc_id", F.size("_w").cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.array_join("_w", " ").alias("text"))
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
-    chunks, shards = max(1, -(-size["n"] // CHUNK_DOCS)), max(1, -(-size["b"] // (5 * SHARD_WINDOWS)))
-    rows = rows.select(_chunk_of(F.col("doc_id"), chunks).alias("chunk"), "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
-    told = rows.select("chunk", "doc_id", "digest").filter(F.col("doc_id").isNotNull())
+    chunks, shards = _chunks(size["n"], size["b"]), max(1, -(-size["b"] // (5 * SHARD_WINDOWS)))
+    rows = rows.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text")
+    rows = rows.select(_chunk_of(F.col("doc_id"), F.col("digest"), chunks).alias("chunk"), "doc_id", "digest", "text")
+    told = rows.select("chunk", "doc_id", "digest")
     first = told.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).filter("_first < _last")
     copies = (told.join(first, "digest").filter("doc_id > _first")
               .select(F.col("chunk").alias("chunk"), F.lit(0).alias("kind"), F.col("doc_id").alias("doc_id"), F.col("digest").alias("digest"), F.lit(None).cast("int").alias("shard"),
@@ -228,8 +234,13 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     hot = sketches.groupBy("shard").applyInArrow(_merge_sketches, _SIDE)
     windows = with_side(copies.union(hot), lambda d, s: _estimated(d, s, shards), "shard int, chunk bigint, n bigint, windows binary")
     lost = windows.groupBy("shard").applyInArrow(_group_exactly, _SIDE)
-    return with_side(copies.union(lost), _remove, "doc_id bigint, n_words bigint, n_removed bigint, text string")
+    return with_side(copies.union(lost), _remove, "doc_id bigint, n_words bigint, n_removed bigint, text string").unionByName(alone)
 
 
-def _chunk_of(doc_id: Column, chunks: int) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(chunks)).cast("bigint")
+def _chunks(n_docs: int, n_bytes: int) -> int:
+    return max(1, -(-n_docs // CHUNK_DOCS), -(-n_bytes // CHUNK_BYTES))
+
+
+def _chunk_of(doc_id: Column, digest: Column, chunks: int) -> Column:
+    """Chunk of a row. Rows equal in doc_id and text share one."""
+    return F.pmod(F.xxhash64(doc_id, digest), F.lit(chunks)).cast("bigint")

@@ -42,6 +42,23 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
 
 
+def test_hot_and_missing_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_DOCS", 20)
+    rows = made() + [(30, f"{k} " + " ".join(f"r{j % 77}" for j in range(k, k + 60))) for k in range(100)]
+    rows += [(None, f"a{k}\x0b\x1cb\u00a0c \r\n d") for k in range(100)] + [(29, " ".join(f"r{j % 77}" for j in range(90)))]
+    seen, group = [], type(spark.range(0)).groupBy
+    monkeypatch.setattr(type(spark.range(0)), "groupBy", lambda df, *c: (seen.append(df) if c == ("chunk",) and "text" in df.columns else None, group(df, *c))[1])
+    got = [tuple(r) for r in S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "text").collect()]
+    assert sorted(got, key=repr) == sorted(brute(rows), key=repr)
+    dealt = [(r.chunk, r.doc_id) for r in seen[0].collect()]
+    most = max(dealt.count((c, 30)) for c, _ in dealt)
+    assert None not in {d for _, d in dealt} and most < 50
+
+
+def test_chunks_are_bounded_by_bytes_too():
+    assert (S._chunks(0, 0), S._chunks(801, 5), S._chunks(3, 100 * S.CHUNK_BYTES)) == (1, 2, 100)
+
+
 def test_many_shards(spark, monkeypatch):
     monkeypatch.setattr(S, "CHUNK_DOCS", 10)
     rows = made()
