@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momentloom.llm import bpe, chat, decontaminate, html_extract, neardup, pii, quality, sharding, substring, warc
+from momentloom.llm import bpe, chat, decontaminate, divergence, html_extract, line_bitmaps, merkle, neardup, pii, quality, sharding, substring, warc
 from momentloom.llm.common import only, table
 from momentloom.session import stage
 
@@ -232,3 +232,103 @@ def op10(spark, sf_dir):
     cutoffs = quality.certify(rows, table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                        quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
+
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+o AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS lc FROM o GROUP BY ALL HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM o JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+l AS (SELECT lang, sum(lc) AS ln, count(*)::HUGEINT AS v FROM k GROUP BY 1),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c,
+             1 + 1000000000 * (coalesce(c, 0) + 2) // (coalesce(n, 0) + 2 * v) AS p, 1 + 1000000000 * (lc + 2) // (ln + 2 * v) AS q
+      FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+      FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+FROM x QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op11_source_divergence", OP11_SQL)
+def op11(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+_TRIM = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate({_TRIM.format(x="line")}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+b AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT k.*, coalesce(doc_id < keeper, false) AS gone FROM k LEFT JOIN b USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+@query("op12_line_bitmaps", OP12_SQL)
+def op12(spark, sf_dir):
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
+    left = line_bitmaps.apply_bitmaps(docs, line_bitmaps.keep_bitmaps(docs))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode({c}::VARCHAR)) || ':' || {c} END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
+
+def _crc32_sql(text: str) -> str:
+    return (f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(length({text})), "
+            f"lambda i: [ascii(substr({text}, i + 1, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, x: xor(xor(c, x) >> 1, (xor(c, x) & 1) * 3988292384)))")
+
+
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS tree, {_LEAF} AS leaf,
+         {_crc32_sql("doc_id::VARCHAR")} % 7 = 0 AND n_chars IS NOT NULL AS changed,
+         {_LEAF.replace("n_chars", "(n_chars + 1)")} AS tampered FROM documents),
+a AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM d),
+t AS (SELECT tree, 0 AS level, idx, leaf AS h, n FROM a
+      UNION ALL
+      SELECT * FROM (SELECT tree, level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+                     FROM t WHERE n > 1 GROUP BY tree, level, idx // 2)),
+s AS (SELECT tree, h AS subroot, level AS depth, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, idx, subroot AS h, n FROM s
+      UNION ALL
+      SELECT * FROM (SELECT level + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 1) // 2
+                     FROM u WHERE n > 1 GROUP BY level, idx // 2)),
+up AS (SELECT s.tree, s.subroot, (SELECT h FROM u WHERE n = 1) AS root, s.depth,
+              coalesce(list({{'b': b.h, 'left': b.idx < (s.idx >> b.level)}} ORDER BY b.level) FILTER (b.h IS NOT NULL OR l.level IS NOT NULL), []) AS steps
+       FROM s LEFT JOIN (SELECT DISTINCT level FROM u WHERE n > 1) l ON true LEFT JOIN u b ON b.level = l.level AND b.idx = xor(s.idx >> l.level, 1) GROUP BY ALL),
+low AS (SELECT a.r, coalesce(list({{'b': b.h, 'left': b.idx < (a.idx >> b.level)}} ORDER BY l.level) FILTER (l.level IS NOT NULL), []) AS steps
+        FROM a LEFT JOIN (SELECT DISTINCT tree, level FROM t WHERE n > 1) l ON l.tree = a.tree
+        LEFT JOIN t b ON b.tree = a.tree AND b.level = l.level AND b.idx = xor(a.idx >> l.level, 1) GROUP BY ALL),
+w AS (SELECT a.*, subroot, root, list_concat(low.steps, up.steps) AS steps FROM a JOIN low USING (r) JOIN up USING (tree))
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(steps, lambda x: coalesce(x.b, '')), '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM (SELECT *, list_reduce(list_prepend({{'b': CASE WHEN changed THEN tampered ELSE leaf END, 'left': false}}, steps),
+             lambda x, y: {{'b': sha256(CASE WHEN y.b IS NULL THEN x.b WHEN y.left THEN y.b || x.b ELSE x.b || y.b END), 'left': false}}).b AS folded_root FROM w)
+"""
+
+
+@query("op13_merkle_proofs", OP13_SQL)
+def op13(spark, sf_dir):
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n_chars: merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    changed = (F.crc32(F.col("doc_id").cast("string")) % 7 == 0) & F.col("n_chars").isNotNull()
+    # One more than the largest long is a number too.
+    later = leaf(F.col("n_chars").cast("decimal(20,0)") + 1)
+    rows = docs.select("doc_id", "lang", leaf(F.col("n_chars")).alias("leaf"), F.when(changed, later).alias("tampered"))
+    proven = merkle.prove(rows, "lang", ["doc_id"], "leaf")
+    digest = lambda c: F.lower(F.hex(c))
+    folded = digest(merkle.fold(F.coalesce("tampered", "leaf"), F.col("path")))
+    return proven.select("doc_id", digest("leaf").alias("leaf"), digest("subroot").alias("subroot"), digest("root").alias("root"),
+                         F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
