@@ -14,9 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
-from ..session import stage
-from .scaling import (interval_overlap, keys_equal, block_of, point_in_interval, running,
-                      runs, scan_sorted, spread_interval, top_n)
+from .scaling import (interval_overlap, keys_equal, block_of, nearest, neighbours, point_in_interval,
+                      running, runs, spaced, spread_interval, top_n)
 
 EPISODE = ["episode_id"]
 HOUR_MS = 3_600_000
@@ -98,18 +97,9 @@ def snap(points: DataFrame, boundaries: DataFrame, drift_ms: int,
     ``boundaries`` has (episode_id, b_ms, ord); among equally near ones the greatest
     ``ord`` wins. Adds ``snapped_ms`` (the point itself when nothing is near enough).
     """
-    width = max(drift_ms * 2, 1_000)
-    spread = points.withColumn("_blk", F.explode(F.sequence(
-        block_of(F.col("t_ms") - drift_ms, width), block_of(F.col("t_ms") + drift_ms, width))))
-    right, cond, drop = keys_equal(
-        boundaries.select("episode_id", "b_ms", "ord").withColumn("_blk", block_of("b_ms", width)),
-        ["episode_id", "_blk"])
-    away = F.abs(F.col("b_ms") - F.col("t_ms"))
-    near = spread.join(right, cond & (away <= drift_ms), "left").drop(*drop, "_blk")
-    return (near.groupBy("episode_id", *point_keys, "t_ms")
-            .agg(F.coalesce(F.max_by("b_ms", F.when(F.col("b_ms").isNotNull(),
-                                                    F.struct(-away, F.col("ord")))),
-                            F.col("t_ms")).alias("snapped_ms")))
+    marks = boundaries.select("episode_id", F.col("b_ms").alias("_m"), F.lit("b").alias("_kind"), F.col("ord").alias("_ord"))
+    near = neighbours(points.select("episode_id", *point_keys, "t_ms"), marks, EPISODE, "t_ms", drift_ms, BUCKET_MS, ["b"])
+    return near.select("episode_id", *point_keys, "t_ms", F.coalesce(nearest(F.col("t_ms"), "b", drift_ms), "t_ms").alias("snapped_ms"))
 
 
 def silence_boundaries(silences: DataFrame) -> DataFrame:
@@ -139,54 +129,48 @@ def clamp_window(start: Column, end: Column, total: Column, p: WindowParams):
     return s, F.greatest(e, F.least(s + p.min_ms, total))
 
 
-def snap_windows(windows: DataFrame, silences: DataFrame, shots: DataFrame,
-                 p: WindowParams) -> DataFrame:
-    """Snap both ends to silences, else to shots, then clamp.
+def window_boundaries(silences: DataFrame, shots: DataFrame) -> DataFrame:
+    """(episode_id, b_ms, kind, ord) of both kinds of boundary."""
+    cuts = shots.select("episode_id", F.col("t_ms").alias("b_ms"), F.lit("shot").alias("kind"),
+                        F.struct(F.col("t_ms").alias("_s"), F.lit(0).alias("_side")).alias("ord"))
+    return silence_boundaries(silences).select("episode_id", "b_ms", F.lit("silence").alias("kind"), "ord").unionByName(cuts)
 
-    One join serves both ends and both kinds of boundary. An end that already lies on a
+
+def snap_windows(windows: DataFrame, silences: DataFrame, shots: DataFrame, p: WindowParams) -> DataFrame:
+    """Snap both ends to silences, else to shots, then clamp."""
+    return snap_to_boundaries(windows, window_boundaries(silences, shots), p)
+
+
+def snap_to_boundaries(windows: DataFrame, boundaries: DataFrame, p: WindowParams) -> DataFrame:
+    """``snap_windows`` for boundaries of both kinds in one table, as of ``window_boundaries``.
+
+    Both ends pass once beside both kinds of boundary. An end that already lies on a
     silence boundary counts as not moved and is still offered to the shots.
     """
-    drift = {"silence": p.silence_drift_ms, "shot": p.shot_drift_ms}
-    reach = max(drift.values())
-    width = max(2 * reach, 1_000)
-    bounds = (silence_boundaries(silences).select(
-        "episode_id", "b_ms", F.lit("silence").alias("kind"), "ord")
-        .unionByName(shots.select(
-            "episode_id", F.col("t_ms").alias("b_ms"), F.lit("shot").alias("kind"),
-            F.struct(F.col("t_ms").alias("_s"), F.lit(0).alias("_side")).alias("ord"))))
-    ends = windows.withColumn("_end", F.explode(F.array(
+    marks = boundaries.select("episode_id", F.col("b_ms").alias("_m"), F.col("kind").alias("_kind"), F.col("ord").alias("_ord"))
+    ends = windows.select("episode_id", "window_id", "total_ms", "start_ms", "end_ms", F.inline(F.array(
         F.struct(F.lit("s").alias("side"), F.col("start_ms").alias("at")),
-        F.struct(F.lit("e").alias("side"), F.col("end_ms").alias("at"))))).select(
-        "*", "_end.side", "_end.at").drop("_end")
-    ends = ends.withColumn("_blk", F.explode(F.sequence(
-        block_of(F.col("at") - reach, width), block_of(F.col("at") + reach, width))))
-    right, cond, drop = keys_equal(bounds.withColumn("_blk", block_of("b_ms", width)),
-                                   ["episode_id", "_blk"])
-    away = F.abs(F.col("b_ms") - F.col("at"))
-    allowed = F.when(F.col("kind") == "silence", drift["silence"]).otherwise(drift["shot"])
-    near = ends.join(right, cond & (away <= allowed), "left").drop(*drop, "_blk")
-
-    def best(side, kind):
-        mine = (F.col("side") == side) & (F.col("kind") == kind)
-        return F.max_by(F.when(mine, F.col("b_ms")),
-                        F.when(mine, F.struct(-away, F.col("ord"))))
-
-    found = near.groupBy("episode_id", "window_id", "total_ms", "start_ms", "end_ms").agg(
-        *[best(side, kind).alias(f"_{side}_{kind}")
-          for side in ("s", "e") for kind in ("silence", "shot")])
-
-    def settle(side, at):
-        by_silence = F.coalesce(F.col(f"_{side}_silence"), F.col(at))
-        return (F.when(by_silence == F.col(at), F.coalesce(F.col(f"_{side}_shot"), F.col(at)))
-                .otherwise(by_silence))
-
-    s, e = clamp_window(settle("s", "start_ms"), settle("e", "end_ms"), F.col("total_ms"), p)
+        F.struct(F.lit("e").alias("side"), F.col("end_ms").alias("at")))))
+    near = neighbours(ends, marks, EPISODE, "at", max(p.silence_drift_ms, p.shot_drift_ms), BUCKET_MS, ["silence", "shot"])
+    at = F.col("at")
+    by_silence = F.coalesce(nearest(at, "silence", p.silence_drift_ms), at)
+    settled = F.when(by_silence == at, F.coalesce(nearest(at, "shot", p.shot_drift_ms), at)).otherwise(by_silence)
+    found = near.withColumn("_to", settled).groupBy("episode_id", "window_id", "total_ms", "start_ms", "end_ms").agg(
+        F.max(F.when(F.col("side") == "s", F.col("_to"))).alias("_s"), F.max(F.when(F.col("side") == "e", F.col("_to"))).alias("_e"))
+    s, e = clamp_window(F.col("_s"), F.col("_e"), F.col("total_ms"), p)
     return found.select("episode_id", "window_id", "total_ms",
                         F.col("start_ms").alias("grid_start_ms"),
                         F.col("end_ms").alias("grid_end_ms"),
                         s.alias("start_ms"), e.alias("end_ms"))
 
 
+def count_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS) -> DataFrame:
+    """Adds word_count, without the words themselves."""
+    right = words.select("episode_id", F.col("start_ms").alias("_w"))
+    joined = point_in_interval(windows, right, EPISODE, "start_ms", "end_ms", "_w", width, "left")
+    return joined.groupBy(*windows.columns).agg(F.count("_w").alias("word_count"))
+
+
 def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
                  joiner: str = " ") -> DataFrame:
     """Adds transcript, word_count and speaking_rate (words per second, NULL for an empty
@@ -208,31 +192,40 @@ def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> Da
     """Drop short or wordless windows, then near-copies of the last window kept.
 
     A window that starts ``eps_ms`` or more after every earlier one is certainly kept; the
-    timeline is cut there. A stretch of one window needs nothing more; longer ones are walked
-    as sorted streams of bounds.
+    timeline is cut there. The bounds of a stretch between two cuts are one array, folded in
+    the JVM; most hold one window. ``windows`` is read three times: ``stage`` it when it is
+    expensive, and let the texts join the windows that are left (``count_words``, ``window_words``).
     """
     good = windows.filter((F.col("end_ms") - F.col("start_ms") >= p.min_ms)
                           & (F.col("word_count") >= p.min_words))
-    good = stage(good, "windows")
     bounds = good.select("episode_id", "window_id", "start_ms", "end_ms")
     cut = runs(bounds, EPISODE, "window_id", "start_ms", eps_ms, FRAME_BLOCK)
-
-    def walk(rows):
-        last = None
-        for row in rows:
-            if last is None or abs(row[3] - last[3]) >= eps_ms or abs(row[4] - last[4]) >= eps_ms:
-                last = row
-                yield row[0], row[2]
-
-    kind = cut.schema["episode_id"].dataType.simpleString()
-    cut = stage(cut.select("episode_id", "run_id", "window_id", "start_ms", "end_ms"), "window-runs")
-    lone = cut.groupBy("episode_id", "run_id").agg(F.min("window_id").alias("window_id"), F.count("*").alias("_n"))
-    crowded = cut.join(lone.filter("_n > 1").select("episode_id", "run_id"), ["episode_id", "run_id"])
-    walked = scan_sorted(crowded, ["episode_id", "run_id"], ["window_id"], f"episode_id {kind}, window_id bigint", walk)
-    kept = lone.filter("_n = 1").select("episode_id", "window_id").unionByName(walked)
+    row = F.struct("window_id", "start_ms", "end_ms")
+    kept = (cut.groupBy("episode_id", "run_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+            .select("episode_id", F.explode(_apart(F.col("_rows"), eps_ms)).alias("window_id")))
     return good.join(kept, ["episode_id", "window_id"], "left_semi").select(*windows.columns)
 
 
+def _apart(rows: Column, eps_ms: int, part: int = 256) -> Column:
+    """window_id of the rows (window_id, start_ms, end_ms) that differ by ``eps_ms`` at one end from
+    the last one kept. Kept ids are gathered part by part, so a long array is not copied for each."""
+    def take(state, row):
+        last = state["last"]
+        near = (F.abs(row["start_ms"] - last["start_ms"]) < eps_ms) & (F.abs(row["end_ms"] - last["end_ms"]) < eps_ms)
+        fresh = F.struct(row.alias("last"), F.concat(state["kept"], F.array(row["window_id"])).alias("kept"))
+        return F.when(F.coalesce(near, F.lit(False)), state).otherwise(fresh)
+
+    nobody, none = F.lit(None).cast("struct<window_id:bigint,start_ms:bigint,end_ms:bigint>"), F.array().cast("array<bigint>")
+
+    def take_part(state, at):
+        inner = F.aggregate(F.slice(rows, at * part + 1, F.lit(part)), F.struct(state["last"].alias("last"), none.alias("kept")), take)
+        return F.struct(inner["last"].alias("last"), F.concat(state["kept"], F.array(inner["kept"])).alias("kept"))
+
+    parts = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / part).cast("int"))
+    start = F.struct(nobody.alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
+    return F.flatten(F.aggregate(parts, start, take_part)["kept"])
+
+
 # -- INT-8..11 ----------------------------------------------------------------------
 
 def drop_contained(words: DataFrame, silences: DataFrame) -> DataFrame:
@@ -249,24 +242,9 @@ def drop_contained(words: DataFrame, silences: DataFrame) -> DataFrame:
 def dedupe_by_gap(df: DataFrame, keys: list[str], t: str, eps_ms: int) -> DataFrame:
     """Distinct times per key, each at least ``eps_ms`` after the last one kept.
 
-    Equal times are merged before the shuffle. A gap of ``eps_ms`` always keeps the next
-    time, so the stretches between such gaps are independent; each is walked in order as a
-    stream, never collected.
+    Equal times are merged before the shuffle; ``spaced`` finds the rest without a walk.
     """
-    times = df.groupBy(*keys, t).agg(F.lit(1).alias("_one")).drop("_one")
-    cut = runs(times, keys, t, t, eps_ms, HOUR_MS)
-
-    def walk(rows):
-        last = None
-        for row in rows:
-            if last is None or row[-1] - last >= eps_ms:
-                last = row[-1]
-                yield row
-
-    group = [*keys, "run_id"]
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*group, t])
-    return scan_sorted(cut.select(*group, t), group, [t], schema, walk).select(*keys, t)
+    return spaced(df.select(*keys, t).distinct(), keys, t, eps_ms, HOUR_MS)
 
 
 def overlap_ms(windows: DataFrame, speech: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..session import stage
+
 __all__ = ["block_of", "spread_interval", "running", "runs", "point_in_interval",
-           "interval_overlap", "top_n", "keys_equal", "scan_sorted"]
+           "interval_overlap", "top_n", "keys_equal", "scan_sorted", "spaced", "neighbours"]
 
 _BLK = "_blk"
+#: Rows of a block of ``spaced``: a power of two, so that a position is the low bits of a rank.
+RANK_BITS = 10
 
 
 def block_of(col, width: int) -> Column:
@@ -144,6 +148,44 @@ def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str],
     return a.join(b, cond).drop(*drop, _BLK)
 
 
+def neighbours(points: DataFrame, marks: DataFrame, keys: list[str], at: str, reach: int, width: int,
+               kinds: list[str]) -> DataFrame:
+    """``points`` with the nearest mark of each kind at or before and at or after ``at``, as structs
+    (_m, _ord) ``before_<kind>`` and ``after_<kind>``; marks farther than ``reach`` may be missing.
+
+    ``marks``: keys, _m (a time), _kind, _ord; of marks at one time that with the greatest _ord
+    counts. Points and marks are one sorted table per block of the timeline, passed once in each
+    direction: no join, and no point is repeated. Only marks within ``reach`` of a border are lent
+    to the block behind it.
+    """
+    names = points.columns
+    width = max(width, reach + 1)
+    own = block_of("_m", width)
+    from_start = F.col("_m") - own * F.lit(width)
+    homes = F.array_compact(F.array(own, F.when(from_start <= reach, own - 1), F.when(from_start >= width - reach, own + 1)))
+    lent = marks.select(*keys, F.explode(homes).alias(_BLK), F.col("_m").alias("_t"), F.lit(0).alias("_point"), "_ord",
+                        F.col("_kind"), F.struct("_m", "_ord").alias("_mark"), F.lit(None).cast(points.schema).alias("_row"))
+    mine = points.select(*keys, block_of(at, width).alias(_BLK), F.col(at).alias("_t"), F.lit(1).alias("_point"),
+                         F.lit(None).cast(marks.schema["_ord"].dataType).alias("_ord"), F.lit(None).cast("string").alias("_kind"),
+                         F.lit(None).cast(lent.schema["_mark"].dataType).alias("_mark"), F.struct(*names).alias("_row"))
+    upto = lambda *order: W.partitionBy(*keys, _BLK).orderBy(*order, "_point", "_ord").rowsBetween(W.unboundedPreceding, 0)
+    seen = lent.unionByName(mine)
+    for side, order in (("before", F.asc("_t")), ("after", F.desc("_t"))):
+        seen = seen.withColumns({f"{side}_{k}": F.last(F.when(F.col("_kind") == k, F.col("_mark")), True).over(upto(order)) for k in kinds})
+    return seen.filter("_point = 1").select("_row.*", *[f"{side}_{k}" for side in ("before", "after") for k in kinds])
+
+
+def nearest(at: Column, kind: str, limit: int) -> Column:
+    """Time of the nearer of the two ``neighbours`` of a kind within ``limit``, of equally near ones
+    that with the greater _ord; NULL if none is near enough."""
+    def near(side):
+        mark = F.col(f"{side}_{kind}")
+        away = F.abs(mark["_m"] - at)
+        return F.when(away <= limit, F.struct((-away).alias("away"), mark["_ord"].alias("ord"), mark["_m"].alias("m")))
+
+    return F.greatest(near("before"), near("after"))["m"]
+
+
 def top_n(df: DataFrame, keys: list[str], order: list, n: int,
           rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key. Spark limits each group before the shuffle
@@ -183,3 +225,83 @@ def scan_sorted(df: DataFrame, keys: list[str], order: list[str], schema: str,
     names = [part.strip().split(" ")[0] for part in schema.split(",")]
     return (df.select(*keys, *[c for c in df.columns if c not in keys])
             .repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema))
+
+
+def _ranked(times: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:
+    """``times`` with their rank from 0 within the key."""
+    out = running(times, keys, [at], block_of(at, width), _before=("count", F.lit(1)))
+    return out.select(*keys, at, F.coalesce("_before", F.lit(0)).cast("bigint").alias("_rank"))
+
+
+def _next_ranks(ranked: DataFrame, keys: list[str], at: str, gap: int, width: int) -> DataFrame:
+    """Adds ``_next``: the rank of the first row at least ``gap`` later (one past the last rank if
+    there is none). A block of the timeline borrows the rows that lie less than ``gap`` behind its
+    end; ``width`` is at least ``gap``, so that is part of the next block only."""
+    own = block_of(at, width)
+    lent = F.col(at) - own * F.lit(width) < F.lit(gap)
+    near = ranked.withColumn(_BLK, F.explode(F.when(lent, F.array(own, own - 1)).otherwise(F.array(own))))
+    later = W.partitionBy(*keys, _BLK).orderBy(F.col(at).desc()).rangeBetween(W.unboundedPreceding, -gap)
+    here = W.partitionBy(*keys, _BLK)
+    first = F.min(F.when(own == F.col(_BLK), F.col("_rank"))).over(here)
+    reached = first + F.count(F.lit(1)).over(here) - F.count(F.lit(1)).over(later)
+    return near.withColumn("_next", reached).filter(own == F.col(_BLK)).drop(_BLK)
+
+
+def _exits(rows: Column, block: Column) -> Column:
+    """Where each row of a block leaves it: its ``_next`` followed inside the block, the distance
+    doubled ``RANK_BITS`` times."""
+    inside = lambda rank: F.shiftright(rank, RANK_BITS) == block
+    at = lambda rank: (rank % (1 << RANK_BITS)).cast("int")
+    jumps = F.transform(rows, lambda r: r["_next"])
+    double = lambda known, _: F.transform(known, lambda r: F.when(inside(r), F.coalesce(F.get(known, at(r)), r)).otherwise(r))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(RANK_BITS)), jumps, double)
+
+
+def spaced(times: DataFrame, keys: list[str], at: str, gap: int, width: int) -> DataFrame:
+    """The rows (keys, ``at``) a walk keeps that takes the first of each key and then each one at
+    least ``gap`` after the last one taken. ``times`` has distinct rows and is read twice.
+
+    Nothing walks. Every row knows the rank of the row it would hand over to. Rows lie in blocks of
+    ``2 ** RANK_BITS`` ranks, whatever their times; inside a block the hand-overs are followed in an
+    array, so a row that others hand over to from outside has one jump through its block. Only
+    these jumps, one or a few for each block, are followed from block to block: the distance is
+    doubled by self-joins, then the blocks on the way from the first row are marked. Each block is
+    settled alone from where it is entered, so one key of any length spreads over tasks.
+    """
+    width = max(width, gap)
+    linked = _next_ranks(_ranked(times, keys, at, width), keys, at, gap, width)
+    block = F.shiftright("_rank", RANK_BITS)
+    rows = F.array_sort(F.collect_list(F.struct("_rank", F.col(at).alias("_at"), "_next")))
+    blocks = stage(linked.groupBy(*keys, block.alias(_BLK)).agg(rows.alias("_rows")), "time-blocks")
+    entered = _entered(blocks, keys)
+
+    def take(state, row):
+        kept = F.struct(row["_next"].alias("want"), F.concat(state["kept"], F.array(row["_at"])).alias("kept"))
+        return F.when(row["_rank"] == state["want"], kept).otherwise(state)
+
+    none = F.array().cast(blocks.select(F.transform("_rows", lambda r: r["_at"]).alias("x")).schema["x"].dataType)
+    kept = F.aggregate("_rows", F.struct(F.col("_entry").alias("want"), none.alias("kept")), take)["kept"]
+    first = blocks.filter(F.col(_BLK) == 0).withColumn("_entry", F.lit(0).cast("bigint"))
+    settled = first if entered is None else first.unionByName(blocks.join(entered, [*keys, _BLK]))
+    return settled.select(*keys, F.explode(kept).alias(at))
+
+
+def _entered(blocks: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, block, ``_entry``) for the blocks behind the first that the walk enters; None if no
+    key has two blocks."""
+    last = blocks.agg(F.max(_BLK)).first()[0] or 0
+    if not last:
+        return None
+    many = blocks.filter(F.col(_BLK) == 1).select(*keys)
+    jumps = blocks.join(many, keys, "left_semi").select(*keys, _BLK, "_rows", _exits(F.col("_rows"), F.col(_BLK)).alias("_exits"))
+    across = jumps.select(*keys, F.explode(F.array_distinct(F.filter(F.transform("_rows", lambda r: r["_next"]), lambda n: F.shiftright(n, RANK_BITS) > F.col(_BLK)))).alias("a")).distinct()
+    start = jumps.filter(F.col(_BLK) == 0).select(*keys, F.lit(0).cast("bigint").alias("a"))
+    ends = jumps.select(*keys, F.inline(F.zip_with("_rows", "_exits", lambda r, x: F.struct(r["_rank"].alias("a"), x.alias("b")))))
+    hops = [stage(ends.join(across.unionByName(start), [*keys, "a"]), "jumps")]
+    while 1 << len(hops) <= last:
+        ahead = hops[-1].select(*keys, F.col("a").alias("b"), F.col("b").alias("_c"))
+        hops.append(stage(hops[-1].join(ahead, [*keys, "b"]).select(*keys, "a", F.col("_c").alias("b")), "jumps"))
+    way = hops[0].filter("a = 0").select(*keys, "a")
+    for hop in reversed(hops):
+        way = stage(way.unionByName(way.join(hop, [*keys, "a"]).select(*keys, F.col("b").alias("a"))), "way")
+    return way.filter("a > 0").select(*keys, F.shiftright("a", RANK_BITS).alias(_BLK), F.col("a").alias("_entry"))

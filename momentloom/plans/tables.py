@@ -42,19 +42,27 @@ def totals(spark, sf):
     return docs(spark, sf).select("episode_id", F.explode(F.array(total)).alias("total_ms"))
 
 
-def silences(spark, sf, said=None):
-    said = words(spark, sf) if said is None else said
-    return (said.filter(F.col("text").rlike(r"[.!?]$"))
+def silences(spark, sf):
+    return (words(spark, sf).filter(F.col("text").rlike(r"[.!?]$"))
             .select("episode_id", F.col("end_ms").alias("start_ms"),
                     (F.col("end_ms") + 100).alias("end_ms")))
 
 
-def shots(spark, sf, said=None):
-    said = words(spark, sf) if said is None else said
-    return (said.filter(F.col("pos") % 97 == 96)
+def shots(spark, sf):
+    return (words(spark, sf).filter(F.col("pos") % 97 == 96)
             .select("episode_id", F.col("start_ms").alias("t_ms")))
 
 
+def boundaries(spark, sf):
+    """Both kinds of boundary from one pass over the words."""
+    ends, cut = F.col("text").rlike(r"[.!?]$"), F.col("pos") % 97 == 96
+    mark = lambda at, kind, first, side: F.struct(at.alias("b_ms"), F.lit(kind).alias("kind"), F.struct(first.alias("_s"), F.lit(side).alias("_side")).alias("ord"))
+    end, start = F.col("end_ms"), F.col("start_ms")
+    marks = F.array_compact(F.array(F.when(ends, mark(end, "silence", end, 0)), F.when(ends, mark(end + 100, "silence", end, 1)),
+                                    F.when(cut, mark(start, "shot", start, 0))))
+    return words(spark, sf).filter(ends | cut).select("episode_id", F.inline(marks))
+
+
 def speech(spark, sf):
     """Spoken stretches of eight words, every third stretch missing."""
     return (words(spark, sf).filter((F.col("pos") % 8 == 0) & (F.floor(F.col("pos") / 8) % 3 != 2))

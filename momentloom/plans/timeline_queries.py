@@ -72,14 +72,8 @@ _SNAPPED = _GRID + ", " + _BOUNDS + """, ends AS (SELECT episode_id, window_id,
      greatest(e1, least(s1 + 10000, total_ms)) AS end_ms FROM c2)"""
 
 
-def said_once(spark, sf):
-    """Words of all texts, cut once for the several steps that read them."""
-    return stage(t.words(spark, sf), "words")
-
-
-def snapped(spark, sf, said=None):
-    said = said_once(spark, sf) if said is None else said
-    return I.snap_windows(I.grid(t.totals(spark, sf), P), t.silences(spark, sf, said), t.shots(spark, sf, said), P)
+def snapped(spark, sf):
+    return I.snap_to_boundaries(I.grid(t.totals(spark, sf), P), t.boundaries(spark, sf), P)
 
 
 @query("int_05_snap_windows", sql("SELECT * FROM win", "totals", "silences", "shots", extra=_SNAPPED))
@@ -94,8 +88,11 @@ _SAID = _SNAPPED + """, said AS (SELECT w.episode_id, w.window_id, w.start_ms, w
 
 
 def windows_said(spark, sf):
-    said = said_once(spark, sf)
-    return I.window_words(snapped(spark, sf, said), said)
+    return I.window_words(snapped(spark, sf), t.words(spark, sf))
+
+
+def windows_counted(spark, sf):
+    return I.count_words(snapped(spark, sf), t.words(spark, sf))
 
 
 _KEPT = _SAID + """, ok AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY window_id) AS i FROM said
@@ -107,14 +104,17 @@ _KEPT = _SAID + """, ok AS (SELECT *, row_number() OVER (PARTITION BY episode_id
 
 
 def candidates(spark, sf):
-    """The flagship: grid -> snap -> words -> de-duplicate for every recording at once."""
-    return I.dedupe_windows(windows_said(spark, sf), P)
+    """The flagship: grid -> snap -> count -> de-duplicate -> words for every recording at once. The
+    texts join the windows that are left."""
+    kept = I.dedupe_windows(stage(windows_counted(spark, sf), "counted"), P)
+    return I.window_words(kept.drop("word_count"), t.words(spark, sf))
 
 
 @query("int_06_dedupe_windows", sql("SELECT episode_id, window_id, start_ms, end_ms, word_count FROM walk WHERE keep",
                                     "words", "totals", "silences", "shots", recursive=True, extra=_KEPT))
 def int6(spark, sf):
-    return candidates(spark, sf).select("episode_id", "window_id", "start_ms", "end_ms", "word_count")
+    kept = I.dedupe_windows(stage(windows_counted(spark, sf), "counted"), P)
+    return kept.select("episode_id", "window_id", "start_ms", "end_ms", "word_count")
 
 
 _SHIFTED = _SAID + """, twins AS (SELECT episode_id, window_id * 2 AS window_id, start_ms, end_ms, word_count FROM said
@@ -125,11 +125,11 @@ _SHIFTED = _SAID + """, twins AS (SELECT episode_id, window_id * 2 AS window_id,
                                         recursive=True, extra=_SHIFTED))
 def int6_overlapping(spark, sf):
     """Each window comes twice, 300 ms apart, so that one of two has to go."""
-    said = windows_said(spark, sf)
+    said = windows_counted(spark, sf)
     twin = F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint")))
     both = said.withColumn("_k", twin).select("episode_id", (F.col("window_id") * 2 + F.col("_k")).alias("window_id"), (F.col("start_ms") + F.col("_k") * 300).alias("start_ms"),
                                               (F.col("end_ms") + F.col("_k") * 300).alias("end_ms"), "word_count")
-    return I.dedupe_windows(both, P).select("episode_id", "window_id", "start_ms", "end_ms")
+    return I.dedupe_windows(stage(both, "counted"), P).select("episode_id", "window_id", "start_ms", "end_ms")
 
 
 @query("int_07_window_words", sql("""SELECT episode_id, window_id, word_count, transcript,
