@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import shared_dir
+from ..sinks.keyed import KeyedTable
 from ..streaming import feeds as S
+from ..streaming import ordered as O
 from . import tables as t
 from .catalog import query
 from .tables import sql
@@ -34,12 +36,13 @@ def rocks(spark):
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def settle(spark, df, name, keys) -> DataFrame:
+def settle(spark, df, name, keys, gone=None) -> DataFrame:
     """Run an updating stream to its end and read the current rows."""
     base = shared_dir(spark, name)
-    S.write_updates(df, f"{base}/out", f"{base}/chk").awaitTermination()
-    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-    return S.latest_rows(spark, f"{base}/out", keys, schema)
+    fields = [f for f in df.schema.fields if f.name != gone]
+    table = KeyedTable(spark, f"{base}/out", T.StructType(fields), keys, buckets=8)
+    S.write_updates(df, table, f"{base}/chk", gone=gone).awaitTermination()
+    return table.read()
 
 
 def finish(spark, df, name) -> DataFrame:
@@ -80,15 +83,17 @@ def str2(spark, sf):
 
 @query("str_03_stage_durations", """WITH e AS (SELECT user_id AS job_id, 's' || (event_id % 3) AS stage_id, event_id, epoch_us(ts) // 1000 AS ms,
      CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'enter' ELSE 'exit' END AS kind FROM events),
-   p AS (SELECT *, lag(kind) OVER w AS k0, lag(ms) OVER w AS a0 FROM e WINDOW w AS (PARTITION BY job_id, stage_id ORDER BY event_id))
-   SELECT job_id, stage_id, a0 AS entered_ms, ms AS left_ms, ms - a0 AS duration_ms FROM p WHERE kind = 'exit' AND k0 = 'enter'""")
+   p AS (SELECT *, lag(kind) OVER w AS k0, lag(ms) OVER w AS a0 FROM e WHERE ms < (SELECT max(ms) - 3600000 FROM e)
+     WINDOW w AS (PARTITION BY job_id, stage_id ORDER BY ms, event_id))
+   SELECT job_id, stage_id, a0 AS entered_ms, ms AS left_ms, ms - a0 AS duration_ms FROM p WHERE kind = 'exit' AND k0 = 'enter' AND ms - a0 < 604800000""")
 def str3(spark, sf):
+    """What the watermark, an hour behind the last event, has settled."""
     rocks(spark)
     kind = F.when(F.col("event_type").isin("view", "click", "purchase"), "enter").otherwise("exit")
     ev = stream(spark, sf, "events").select(
         F.col("user_id").alias("job_id"), F.concat(F.lit("s"), F.col("event_id") % 3).alias("stage_id"), kind.alias("kind"),
         F.unix_millis("ts").alias("at_ms"), F.col("event_id").alias("seq"))
-    return finish(spark, S.stage_durations(ev), "stage_durations")
+    return finish(spark, O.stage_durations(ev), "stage_durations")
 
 
 @query("str_04_posts_due", sql("""SELECT p.clip_id, p.platform, p.posted_at, CAST(a.age AS BIGINT) AS age_s FROM p, (VALUES (86400), (259200)) a(age)
@@ -135,10 +140,40 @@ def str7(spark, sf):
     return finish(spark, S.gate_chunks(qlt1_chunks(d)).select("episode_id", "reason"), "gate")
 
 
-@query("str_08_track_stream", "WITH RECURSIVE " + TRACK_NN)
+def box_stream(spark, sf):
+    """Boxes as they are taken: an order begins at the second of its number."""
+    boxes = boxes_of(stream(spark, sf, "lineitem"))
+    return boxes.withColumn("ts", F.timestamp_millis(F.col("clip_id") * 1000 + F.col("t_ms")))
+
+
+# Boxes the watermark, five seconds behind the last, has settled.
+_SETTLED = ", settled AS (SELECT clip_id, frame_idx FROM dets WHERE clip_id * 1000 + t_ms < (SELECT max(clip_id * 1000 + t_ms) - 5000 FROM dets) GROUP BY ALL)"
+_TRACKED = TRACK_NN[:TRACK_NN.rindex("SELECT clip_id, frame_idx, det_idx, id AS track_id")]
+
+
+@query("str_08_track_stream", "WITH RECURSIVE " + _TRACKED + _SETTLED + """
+   SELECT clip_id, frame_idx, det_idx, id AS track_id FROM walk JOIN settled USING (clip_id, frame_idx)""")
 def str8(spark, sf):
     rocks(spark)
-    return finish(spark, S.track_stream(boxes_of(stream(spark, sf, "lineitem")), 25.0), "tracks")
+    return finish(spark, O.track_stream(box_stream(spark, sf), 25.0), "tracks").select("clip_id", "frame_idx", "det_idx", "track_id")
+
+
+# The surest box of a frame wins it; a challenger needs two frames in a row.
+_HELD = _TRACKED + _SETTLED + """, el AS (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS i FROM (SELECT w.clip_id, w.frame_idx, arg_max(w.id, d.conf * 1e15 + d.det_idx) AS win
+     FROM walk w JOIN dets d ON d.clip_id = w.clip_id AND d.frame_idx = w.frame_idx AND d.det_idx = w.det_idx JOIN settled s ON s.clip_id = w.clip_id AND s.frame_idx = w.frame_idx
+     GROUP BY ALL)),
+   hold AS (SELECT clip_id, frame_idx, i, win AS held, NULL::BIGINT AS rival, 0 AS streak FROM el WHERE i = 1
+     UNION ALL SELECT clip_id, frame_idx, i, CASE WHEN win <> held AND s >= 2 THEN win ELSE held END, CASE WHEN win <> held AND s < 2 THEN win END, CASE WHEN win <> held AND s < 2 THEN s ELSE 0 END
+     FROM (SELECT e.clip_id, e.frame_idx, e.i, e.win, h.held, CASE WHEN e.frame_idx = h.frame_idx + 1 AND h.rival = e.win THEN h.streak + 1 ELSE 1 END AS s
+       FROM hold h JOIN el e ON e.clip_id = h.clip_id AND e.i = h.i + 1))"""
+
+
+@query("str_08_hold_stream", "WITH RECURSIVE " + _HELD + " SELECT clip_id, frame_idx, held AS track_id FROM hold")
+def str8_hold(spark, sf):
+    """Tracker and hold smoothing, chained in one query."""
+    rocks(spark)
+    held = O.hold_stream(O.track_stream(box_stream(spark, sf), 25.0), hold=2)
+    return finish(spark, held, "held").select("clip_id", "frame_idx", "track_id")
 
 
 @query("str_09_live_trends", f"""SELECT event_id, event_type AS source, CAST(floor(epoch(ts)) AS BIGINT) AS fetched_at FROM events
@@ -150,3 +185,14 @@ def str9(spark, sf):
     rows = stream(spark, sf, "events").select("event_id", F.col("event_type").alias("source"), at.alias("fetched_at"), F.floor(at / 86_400).alias("day"))
     S.write_rows(rows, f"{base}/out", f"{base}/chk", ["source", "day"]).awaitTermination()
     return S.live_trends(spark.read.parquet(f"{base}/out"), NOW).select("event_id", "source", "fetched_at")
+
+
+@query("str_09_live_topics", """WITH e AS (SELECT event_type AS source, 't' || user_id AS topic_id, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)
+   SELECT source, topic_id, max(sec) AS fetched_at FROM e WHERE sec < (SELECT max(sec) - 3600 FROM e) GROUP BY ALL HAVING max(sec) + 86400 >= (SELECT max(sec) - 3600 FROM e)""")
+def str9_topics(spark, sf):
+    """The topics live at the watermark, an hour behind the last event; others have left the table."""
+    rocks(spark)
+    at = F.unix_seconds("ts")
+    rows = stream(spark, sf, "events").select(F.col("event_type").alias("source"), F.concat(F.lit("t"), F.col("user_id")).alias("topic_id"),
+                                              F.lit("topic").alias("label"), F.col("value").cast("double").alias("score"), at.alias("fetched_at"))
+    return settle(spark, O.live_topics(rows), "live_topics", ["source", "topic_id"], gone="gone").select("source", "topic_id", "fetched_at")

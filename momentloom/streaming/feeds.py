@@ -1,4 +1,5 @@
-"""Streaming counterparts of the batch operators (STR-1..9).
+"""Streaming counterparts of the batch operators (STR-1..9); those that depend on the order of
+events are in ``ordered``.
 
 Every function takes streaming DataFrames (the stateless ones work on both kinds) and
 leaves source, trigger and checkpoint to the caller. ``ts`` columns are timestamps.
@@ -7,27 +8,25 @@ leaves source, trigger and checkpoint to the caller. ``ts`` columns are timestam
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.features import flag_chunks
 from ..operators.reports import AGES_S, DUE_WINDOW_S, job_view
-from ..operators.tracking import match_nearest
 from ..operators.trends import FRESH_S
+from ..sinks.keyed import KeyedTable
 
 # -- sinks --------------------------------------------------------------------------
 
 
-def write_updates(stream: DataFrame, path: str, checkpoint: str, mode: str = "update"):
-    """Write each micro-batch of changed rows to its own folder. A batch that is run again
-    after a failure replaces its folder, so every change counts once."""
+def write_updates(stream: DataFrame, table: KeyedTable, checkpoint: str, mode: str = "update", gone: str | None = None):
+    """Merge each micro-batch of changed rows into a table by key. A batch that is run again after a
+    failure finds its number in the table, so every change counts once."""
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.merge(batch, batch=batch_id, gone=gone)
 
     return (stream.writeStream.outputMode(mode).foreachBatch(put)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
@@ -39,13 +38,6 @@ def write_rows(stream: DataFrame, path: str, checkpoint: str, by: list[str] | No
     return (out.partitionBy(*by) if by else out).trigger(availableNow=True).start(path)
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
-    """Current state from ``write_updates``: the row of the newest batch of each key."""
-    table = spark.read.schema(schema).option("basePath", path).parquet(path)
-    rest = [f.name for f in schema if f.name not in keys and f.name != "batch"]
-    return (table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*"))
-
-
 # -- STR-1, STR-2 -------------------------------------------------------------------
 
 def latest_stage(events: DataFrame) -> DataFrame:
@@ -64,35 +56,6 @@ def job_status(feed: DataFrame, clips: DataFrame) -> DataFrame:
             .withColumn("clips_generated", F.coalesce("_n", F.lit(0))).drop("_n"))
 
 
-# -- STR-3 --------------------------------------------------------------------------
-
-def _close_stages(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Keeps the last entry of a (job, stage) until its exit."""
-    entered = state.get[0] if state.exists else None
-    out = []
-    for kind, at in pd.concat(list(batches)).sort_values("seq")[["kind", "at_ms"]].itertuples(index=False, name=None):
-        if kind == "enter":
-            entered = int(at)
-        elif entered is not None:
-            out.append((*key, entered, int(at), int(at) - entered))
-            entered = None
-    if entered is not None:
-        state.update((entered,))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["job_id", "stage_id", "entered_ms", "left_ms", "duration_ms"])
-
-
-DURATION_SCHEMA = "job_id bigint, stage_id string, entered_ms bigint, left_ms bigint, duration_ms bigint"
-
-
-def stage_durations(events: DataFrame) -> DataFrame:
-    """Time from entry to exit per (job_id, stage_id) of events (kind, at_ms, seq); the
-    state of a stage is one row and goes when the stage is left."""
-    return events.groupBy("job_id", "stage_id").applyInPandasWithState(
-        _close_stages, DURATION_SCHEMA, "entered_ms bigint", "append", GroupStateTimeout.NoTimeout)
-
-
 # -- STR-4 --------------------------------------------------------------------------
 
 class _DueTimers(StatefulProcessor):
@@ -182,44 +145,6 @@ def gate_chunks(chunks: DataFrame, guard: str = "default") -> DataFrame:
     return flag_chunks(chunks, guard)
 
 
-# -- STR-8 --------------------------------------------------------------------------
-
-def _follow_faces(reach: float):
-    """Nearest-centre tracking of one clip; state is the next id and the faces of the last
-    frame."""
-    def follow(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        frame, fresh, ids, xs, ys = state.get if state.exists else (None, 0, [], [], [])
-        seen = list(zip(ids, zip(xs, ys)))
-        cols = ["frame_idx", "det_idx", "conf", "x1", "y1", "x2", "y2"]
-        rows = [r for pdf in batches for r in zip(*(pdf[c].tolist() for c in cols))]
-        rows.sort(key=lambda r: (r[0], -r[2], r[1]))
-        out = []
-        for at, group in groupby(rows, key=lambda r: r[0]):
-            group = list(group)
-            if frame is not None and at > frame + 1:
-                seen = []
-            centers = [((r[3] + r[5]) / 2.0, (r[4] + r[6]) / 2.0) for r in group]
-            pairs, left = match_nearest(seen, centers, reach)
-            named = dict(pairs)
-            for j in left:
-                named[j] = fresh
-                fresh += 1
-            out += [(*key, at, r[1], named[j]) for j, r in enumerate(group)]
-            seen, frame = [(named[j], c) for j, c in enumerate(centers)], at
-        state.update((frame, fresh, [i for i, _ in seen], [c[0] for _, c in seen], [c[1] for _, c in seen]))
-        yield pd.DataFrame(out, columns=["clip_id", "frame_idx", "det_idx", "track_id"])
-
-    return follow
-
-
-def track_stream(detections: DataFrame, distance: float = 200.0) -> DataFrame:
-    """Track ids as boxes arrive; state is one frame per clip. Frames of a clip have to
-    arrive in order from batch to batch."""
-    return detections.groupBy("clip_id").applyInPandasWithState(
-        _follow_faces(distance), "clip_id bigint, frame_idx bigint, det_idx bigint, track_id bigint",
-        "frame bigint, fresh bigint, ids array<bigint>, xs array<double>, ys array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 # -- STR-9 --------------------------------------------------------------------------
 
 def live_trends(snapshots: DataFrame, as_of: int, ttl_s: int = FRESH_S) -> DataFrame:
