@@ -438,23 +438,35 @@ def clip_details(clips: DataFrame, jobs: DataFrame, renders: DataFrame, posts: D
             F.lit("[]"), out.schema["posts"].dataType)))
 
 
-def enrich_clips(details: DataFrame, manifests: DataFrame, work_root: str) -> DataFrame:
-    """Adds media URLs, words-available flag and score lineage from the manifest clip of
-    the same episode and rank. ``manifests``: (job_id, rank, n_words, overlay_hook,
-    scores)."""
-    def url_of(r):
-        rel = F.replace(r["path"], F.lit(work_root.rstrip("/") + "/"), F.lit(""))
-        return F.coalesce(r["url"], F.when(r["path"].startswith(work_root.rstrip("/") + "/"),
-                                           F.concat(F.lit("/media/"), rel)))
-
-    with_urls = details.withColumn("variants", F.transform("renders", lambda r: F.struct(
-        r["variant"].alias("variant"), r["path"].alias("path"), url_of(r).alias("url"),
-        r["bytes"].alias("bytes"), r["duration_ms"].alias("duration_ms"))))
-    found = F.size("renders") > 0   # a manifest is looked up beside a rendered variant
-    out = with_urls.join(manifests, ["job_id", "rank"], "left")
-    for c in ("overlay_hook", "scores"):
-        out = out.withColumn(c, F.when(found, F.col(c)))
-    return out.withColumn("has_words", found & (F.coalesce("n_words", F.lit(0)) > 0)).drop("n_words")
+def media_url(path: Column, work_root: str) -> Column:
+    """Address of a file below the work folder's ``clipper``; NULL for any other path."""
+    root = f"{work_root.rstrip('/')}/clipper/"
+    return F.when(F.startswith(path, F.lit(root)), F.concat(F.lit("/media/clipper/"), F.substring(path, F.lit(len(root) + 1), F.length(path))))
+
+
+def enrich_clips(details: DataFrame, manifest_clips: DataFrame, work_root: str) -> DataFrame:
+    """``clip_details`` with addresses of media, cover_url, social, overlay_hook, hook_source, scores
+    and has_words from the stored manifest.
+
+    ``manifest_clips`` as of ``read_manifests``, its episodes the jobs; of clips of one rank the first
+    in the manifest counts. Only a clip with a rendered variant and a rank has one. Addresses that
+    the row has win: its own, then from its path, then from the manifest's cover. ``details`` may lack
+    cover_url and cover_path.
+    """
+    def text(name):
+        return F.col(name) if name in details.columns else F.lit(None).cast("string")
+
+    variants = F.transform("renders", lambda r: F.struct(
+        r["variant"].alias("variant"), r["path"].alias("path"), F.coalesce(r["url"], media_url(r["path"], work_root)).alias("url"),
+        r["bytes"].alias("bytes"), r["duration_ms"].alias("duration_ms")))
+    taken = F.struct("social", "overlay_hook", "hook_source", "scores", F.col("cover_frame.abs_path").alias("_cover"), (F.size("words") > 0).alias("_words"))
+    first = manifest_clips.groupBy(F.col("episode_id").alias("job_id"), "rank").agg(F.min_by(taken, "pos").alias("_m"))
+    out = details.withColumn("variants", variants).withColumn("_row_cover", F.coalesce(text("cover_url"), media_url(text("cover_path"), work_root)))
+    out = out.join(first, ["job_id", "rank"], "left").withColumn("_m", F.when(F.size("renders") > 0, F.col("_m")))
+    fields = [F.col(f"_m.{c}").alias(c) for c in ("social", "overlay_hook", "hook_source", "scores")]
+    kept = [c for c in details.columns if c not in ("cover_url",)]
+    return out.select(*kept, "variants", F.coalesce("_row_cover", media_url(F.col("_m._cover"), work_root)).alias("cover_url"), *fields,
+                      F.coalesce("_m._words", F.lit(False)).alias("has_words"))
 
 
 def newest_jobs(jobs: DataFrame, n: int = 200) -> DataFrame:

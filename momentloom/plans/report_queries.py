@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as R
 from ..operators import trends as TR
+from ..session import shared_dir
+from ..sinks import tables as S
 from . import tables as t
 from .catalog import query
-from .source_queries import renders
+from .source_queries import clip_manifests, renders
 from .tables import sql
 
 NOW = 1_705_708_800      # 2024-01-20 00:00 UTC
@@ -217,15 +219,25 @@ def rpt1(spark, sf):
 
 @query("rpt_02_enrich_clips", sql("""SELECT c.id AS clip_id, (SELECT string_agg(CASE variant WHEN '1x1' THEN 'https://cdn/' || clip_id ELSE
      '/media/clipper/' || r.job_id || '/' || clip_id || '_' || variant || '.mp4' END, ',' ORDER BY variant) FROM renders r WHERE r.clip_id = c.id) AS urls,
-   coalesce(hook_type IS NOT NULL AND m.n > 1, false) AS has_words, CASE WHEN hook_type IS NOT NULL THEN m.s END AS best
-   FROM clips c LEFT JOIN (SELECT job_id, rank, count(*) AS n, max(score) AS s FROM clips GROUP BY ALL) m ON m.job_id = c.job_id AND m.rank = c.rank""",
+   coalesce(hook_type IS NOT NULL, false) AS has_words, CASE WHEN hook_type IS NOT NULL THEN m.score END AS blended,
+   CASE WHEN hook_type IS NOT NULL THEN CASE WHEN m.score % 3 = 0 THEN coalesce('over ' || m.hook, '') ELSE '' END END AS overlay_hook,
+   CASE WHEN hook_type IS NOT NULL THEN CASE WHEN m.score % 3 = 0 THEN 'llm' ELSE '' END END AS hook_source,
+   CASE WHEN hook_type IS NOT NULL AND m.score % 3 = 0 THEN 'tiktok ' || m.rank END AS caption,
+   CASE score % 4 WHEN 0 THEN 'https://cover/' || c.id WHEN 1 THEN '/media/clipper/own/' || c.id || '.jpg' ELSE CASE WHEN hook_type IS NOT NULL AND c.rank % 2 = 1 THEN '/media/clipper/' || c.job_id || '/' || m.id || '.jpg' END END AS cover_url
+   FROM clips c LEFT JOIN (SELECT job_id, rank, arg_min(m, m.id) AS m FROM (SELECT job_id, rank, {'id': id, 'score': score, 'hook': hook, 'rank': rank} AS m FROM clips) GROUP BY ALL) m ON m.job_id = c.job_id AND m.rank = c.rank""",
                                     "clips", extra=_RENDERS))
 def rpt2(spark, sf):
-    man = t.clips(spark, sf).groupBy("job_id", "rank").agg(
-        (F.count("*") - 1).alias("n_words"), F.lit("o").alias("overlay_hook"), F.struct(F.max("score").alias("blended")).alias("scores"))
-    e = R.enrich_clips(details(spark, sf), man, "/work")
+    """Beside the manifests as snk_02 writes them."""
+    path = f"{shared_dir(spark, 'manifests')}/table"
+    S.write_manifests(clip_manifests(spark, sf), path)
+    known = S.read_manifests(spark, path, t.clips(spark, sf).select(F.col("job_id").alias("episode_id")))
+    n, ident = F.col("score") % 4, F.col("clip_id")
+    rows = details(spark, sf).withColumn("cover_url", F.when(n == 0, F.concat(F.lit("https://cover/"), ident))).withColumn(
+        "cover_path", F.when(n == 1, F.concat(F.lit("/work/clipper/own/"), ident, F.lit(".jpg"))).when(n == 2, F.concat(F.lit("/elsewhere/"), ident)))
+    e = R.enrich_clips(rows, known, "/work")
     urls = F.array_join(F.transform("variants", lambda v: v["url"]), ",")
-    return e.select("clip_id", F.when(F.size("variants") > 0, urls).alias("urls"), "has_words", F.col("scores.blended").alias("best"))
+    return e.select("clip_id", F.when(F.size("variants") > 0, urls).alias("urls"), "has_words", "scores.blended", "overlay_hook", "hook_source",
+                    F.col("social.tiktok.caption").alias("caption"), "cover_url")
 
 
 @query("sort_newest_jobs", sql("SELECT id, created_at FROM jobs ORDER BY created_at DESC, id DESC LIMIT 200", "jobs"))

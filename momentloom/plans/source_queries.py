@@ -252,7 +252,8 @@ def renders(spark, sf):
     return c.select(F.col("id").alias("clip_id"), F.explode(F.array(F.lit("9x16"), F.lit("1x1"))).alias("variant"), "end_ms", "start_ms", "job_id").select(
         "clip_id", "variant", F.concat(F.lit("/work/clipper/"), "job_id", F.lit("/"), "clip_id", F.lit("_"), "variant", F.lit(".mp4")).alias("path"),
         F.when(F.col("variant") == "1x1", F.concat(F.lit("https://cdn/"), "clip_id")).alias("url"),
-        ((F.col("end_ms") - F.col("start_ms")) * 100).alias("bytes"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"))
+        ((F.col("end_ms") - F.col("start_ms")) * 100).alias("bytes"), (F.col("end_ms") - F.col("start_ms")).alias("duration_ms"),
+        F.when(F.col("variant") == "1x1", 1080).otherwise(608).cast("bigint").alias("width"), F.lit(1080).cast("bigint").alias("height"))
 
 
 def ranked_clips(spark, sf):
@@ -261,12 +262,33 @@ def ranked_clips(spark, sf):
         F.col("job_id").alias("episode_id"), F.col("id").alias("clip_id"), "rank", "score", "start_ms", "end_ms", "hook", "hook_type",
         F.col("score").alias("llm_score"), none.cast("bigint").alias("vlm_score"), none.cast("string").alias("vlm_reasoning"),
         none.cast("bigint").alias("vlm_premium_score"), none.cast("string").alias("vlm_premium_reasoning"),
-        F.concat(F.lit("because "), "score").alias("reasoning"))
+        F.concat(F.lit("because "), "score").alias("reasoning"),
+        F.when(F.col("rank") % 2 == 1, F.concat(F.lit("/work/clipper/"), "job_id", F.lit("/"), "id", F.lit(".jpg"))).alias("cover_path"))
+
+
+def sent_posts(spark, sf):
+    return t.clip_posts(spark, sf).withColumn("external_url", F.concat(F.lit("https://"), "platform", F.lit("/"), "external_id")).withColumn(
+        "error", F.when(F.col("status") == "failed", "oops"))
+
+
+def social_blocks(spark, sf):
+    """A social block for every clip whose score divides by three."""
+    c = t.clips(spark, sf).filter(F.col("score") % 3 == 0)
+    tags, rank = F.array(F.concat(F.lit("#r"), "rank"), F.lit("#all")), F.col("rank").cast("string")
+    texts = {"title": F.concat(F.lit("Title "), rank), "description": F.concat(F.lit("one "), rank, F.lit("\ntwo")), "pinned_comment": F.lit("")}
+    block = lambda p: F.struct(*[texts.get(f, F.concat(F.lit(f"{p} "), rank)).alias(f) for f in S.SOCIAL_TEXTS[p]], tags.alias("hashtags")).alias(p)
+    social = F.struct(*[block(p) for p in S.SOCIAL_TEXTS], F.coalesce(F.concat(F.lit("over "), "hook"), F.lit("")).alias("overlay_hook"), F.lit("llm").alias("hook_source"))
+    return c.select(F.col("id").alias("clip_id"), social.alias("social"))
+
+
+def clip_manifests(spark, sf):
+    docs = S.clip_documents(ranked_clips(spark, sf), renders(spark, sf), sent_posts(spark, sf), job_words(spark, sf), social_blocks(spark, sf))
+    return S.manifests(docs, job_episodes(spark, sf), job_costs(spark, sf))
 
 
 def job_episodes(spark, sf):
     return t.jobs(spark, sf).select(F.col("id").alias("episode_id"), F.concat(F.lit("ep"), "id", F.lit(".mp4")).alias("media_name"),
-                                    F.col("cost_cents").alias("total_ms"))
+                                    F.col("cost_cents").alias("total_ms"), F.concat(F.lit("/work/clipper/"), "id").alias("clips_dir"))
 
 
 def job_costs(spark, sf):
@@ -288,8 +310,7 @@ def job_words(spark, sf):
    GROUP BY j.id""", "clips", "clip_posts", "usage", "jobs"))
 def snk2(spark, sf):
     """Read back from the documents; lists that are empty and values that are null must be written."""
-    docs = S.clip_documents(ranked_clips(spark, sf), renders(spark, sf), t.clip_posts(spark, sf), job_words(spark, sf))
-    m = S.manifests(docs, job_episodes(spark, sf), job_costs(spark, sf))
+    m = clip_manifests(spark, sf)
     back = F.from_json("manifest", "schema_version bigint, clips array<struct<hook:string, start_secs:double, end_secs:double, posts:array<struct<platform:string>>, "
                        "variants:array<struct<label:string>>, words:array<struct<text:string>>>>, cost struct<total_calls:bigint>")
     total = lambda of: F.aggregate("m.clips", F.lit(0).cast("bigint"), lambda a, c: a + of(c))
@@ -303,16 +324,53 @@ def snk2(spark, sf):
         F.when(F.size(said) > 0, F.array_join(said, "|")).alias("hooks"), F.col("m.cost.total_calls").alias("total_calls"))
 
 
+_CLIP_SQL = """c AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY rank, id) - 1 AS pos, score % 3 = 0 AS social FROM clips),
+   v AS (SELECT id AS clip_id, string_agg(v || ' ' || id || '_' || v || '.mp4 /work/clipper/' || job_id || '/' || id || '_' || v || '.mp4 ' || w || ' 1080 ' || (end_ms - start_ms) * 100, ';' ORDER BY v) AS f
+     FROM clips, (VALUES ('1x1', 1080), ('9x16', 608)) x(v, w) WHERE hook_type IS NOT NULL GROUP BY ALL),
+   p AS (SELECT clip_id, string_agg(platform || ' ' || status || ' ' || coalesce(external_id, '-') || ' ' || coalesce('https://' || platform || '/' || external_id, '-') || ' ' ||
+     coalesce(posted_at::VARCHAR, '-') || ' ' || CASE WHEN status = 'failed' THEN 'oops' ELSE '-' END, ';' ORDER BY platform) AS f FROM clip_posts GROUP BY ALL)"""
+
+
+@query("snk_02_manifest_clips", sql("""SELECT job_id AS episode_id, pos::INT AS pos, 4::BIGINT AS schema_version, '/work/clipper/' || job_id AS clips_dir, rank, score,
+     score AS blended, score AS llm, NULL::BIGINT AS vlm, NULL::VARCHAR AS vlm_reasoning, round(start_ms / 1000, 3) AS start_secs, round(end_ms / 1000, 3) AS end_secs,
+     round(greatest(end_ms - start_ms, 0) / 1000, 3) AS duration_secs, printf('%02d:%02d-%02d:%02d', start_ms // 60000, start_ms // 1000 % 60, end_ms // 60000, end_ms // 1000 % 60) AS time_range_mmss,
+     hook, CASE WHEN social AND hook IS NOT NULL THEN 'over ' || hook ELSE '' END AS overlay_hook, CASE WHEN social THEN 'llm' ELSE '' END AS hook_source, 'because ' || score AS reasoning, hook_type,
+     coalesce(v.f, '') AS variants, CASE WHEN rank % 2 = 1 THEN id || '.jpg' END AS cover_file, CASE WHEN rank % 2 = 1 THEN '/work/clipper/' || job_id || '/' || id || '.jpg' END AS cover_path,
+     CASE WHEN social THEN 'Title ' || rank || '|one ' || rank || chr(10) || 'two|#r' || rank || ' #all|linkedin ' || rank END AS copy, coalesce(p.f, '') AS posts,
+     'hook 0.0 0.3;' || coalesce(hook, 'none') || ' 0.4 0.7' AS words
+   FROM c LEFT JOIN v ON v.clip_id = id LEFT JOIN p ON p.clip_id = id""", "clips", "clip_posts", "jobs", extra=_CLIP_SQL))
+def snk2_clips(spark, sf):
+    """Every field of every clip, read back from the stored manifests."""
+    path = f"{shared_dir(spark, 'manifests')}/table"
+    S.write_manifests(clip_manifests(spark, sf), path)
+    rows = S.read_manifests(spark, path, t.jobs(spark, sf).select(F.col("id").alias("episode_id")))
+    told = lambda xs, *fields: F.array_join(F.transform(xs, lambda x: F.concat_ws(" ", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), ";")
+    y = F.col("social.youtube_shorts")
+    copy = F.when(F.col("social").isNotNull(), F.concat_ws("|", y["title"], y["description"], F.array_join(y["hashtags"], " "), F.col("social.linkedin.post_text")))
+    return rows.select("episode_id", "pos", "schema_version", "clips_dir", "rank", "score", "scores.blended", "scores.llm", "scores.vlm", "scores.vlm_reasoning",
+                       *[F.round(c, 3).alias(c) for c in ("start_secs", "end_secs", "duration_secs")], "time_range_mmss", "hook", "overlay_hook", "hook_source", "reasoning", "hook_type",
+                       told("variants", "label", "filename", "abs_path", "width", "height", "bytes").alias("variants"), F.col("cover_frame.filename").alias("cover_file"),
+                       F.col("cover_frame.abs_path").alias("cover_path"), copy.alias("copy"),
+                       told("posts", "platform", "status", "external_id", "external_url", "posted_at_unix", "error").alias("posts"), told("words", "text", "start_secs", "end_secs").alias("words"))
+
+
 _MMSS = "printf('%02d:%02d', {0} // 60000, {0} // 1000 % 60)"
 _RATES = """CASE model WHEN 'qwen/qwen3-32b' THEN 0.00029 WHEN 'whisper-large-v3-turbo' THEN 0.000444 WHEN 'whisper-large-v3' THEN 0.00123
    WHEN 'gpt-5-nano' THEN 0.002 WHEN 'gpt-4o-mini' THEN 0.0025 WHEN 'whisper-x' THEN 0.00123 WHEN 'bge-m3' THEN 0.0001 ELSE 0.001 END::DECIMAL(12, 9)"""
 _RATES_OUT = """CASE model WHEN 'qwen/qwen3-32b' THEN 0.00059 WHEN 'gpt-5-nano' THEN 0.010 WHEN 'gpt-4o-mini' THEN 0.010 WHEN 'mystery' THEN 0.003 ELSE 0.0 END::DECIMAL(12, 9)"""
-_DIGEST = f"""files AS (SELECT id AS clip_id, string_agg('    [' || v || ']  ' || printf('%.1f', (end_ms - start_ms) * 100 / 1048576) || 'MB  /work/clipper/' || job_id || '/' || id || '_' || v || '.mp4' || chr(10), ''
+_TAGS = "'  Hashtags:     #r' || rank || ' #all' || chr(10)"
+_COPY = (f"chr(10) || '  -- YouTube Shorts --' || chr(10) || '  Title:        Title ' || rank || chr(10) || '  Description:  one ' || rank || chr(10) || repeat(' ', 16) || 'two' || chr(10) || {_TAGS}"
+         + "".join(f" || chr(10) || '  -- {h} --' || chr(10) || '  {(k + ':').ljust(14)}{p} ' || rank || chr(10) || {_TAGS}" for h, k, p in (
+             ("TikTok", "Caption", "tiktok"), ("Instagram Reels", "Caption", "instagram_reels"), ("Threads", "Text", "threads"), ("LinkedIn", "Post", "linkedin"),
+             ("X / Twitter", "Text", "x"), ("Bluesky", "Text", "bluesky"))))
+_DIGEST = f"""files AS (SELECT id AS clip_id, string_agg('    [' || v || ']  ' || CASE v WHEN '1x1' THEN '1080' ELSE '608' END || 'x1080  ' || printf('%.1f', (end_ms - start_ms) * 100 / 1048576) || 'MB  /work/clipper/' || job_id || '/' || id || '_' || v || '.mp4' || chr(10), ''
      ORDER BY v) AS f FROM clips, (VALUES ('1x1'), ('9x16')) x(v) WHERE hook_type IS NOT NULL GROUP BY ALL),
    sent AS (SELECT clip_id, '  [' || CASE status WHEN 'posted' THEN 'POSTED ' WHEN 'failed' THEN 'FAILED ' ELSE status END || '] ' || rpad(platform, 10, ' ') || ' ' ||
-     CASE WHEN status = 'posted' THEN coalesce(external_id, '') ELSE 'oops' END || chr(10) AS p FROM clip_posts),
+     CASE WHEN status = 'posted' THEN coalesce('https://' || platform || '/' || external_id, '') WHEN status = 'failed' THEN 'oops' ELSE '' END || chr(10) AS p FROM clip_posts),
    blocks AS (SELECT job_id, count(*) AS n, string_agg(printf('## Clip %02d  score %d  ', rank, score) || {_MMSS.format('start_ms')} || '-' || {_MMSS.format('end_ms')} || '  (' || (end_ms - start_ms) // 1000 || 's)' || chr(10) ||
      CASE WHEN hook IS NULL THEN '' ELSE '  hook:    ' || hook || chr(10) END || '  why:     because ' || score || chr(10) || '  files:' || chr(10) || coalesce(f, '') ||
+     CASE WHEN rank % 2 = 1 THEN '  cover:   /work/clipper/' || job_id || '/' || id || '.jpg' || chr(10) ELSE '' END ||
+     CASE WHEN score % 3 = 0 THEN CASE WHEN hook IS NULL THEN '' ELSE '  overlay: over ' || hook || chr(10) END || {_COPY} ELSE '' END ||
      CASE WHEN p IS NULL THEN '' ELSE chr(10) || '  -- Posts --' || chr(10) || p END || chr(10) || repeat('-', 72) || chr(10), '' ORDER BY rank, id) AS b
      FROM clips LEFT JOIN files ON files.clip_id = id LEFT JOIN sent ON sent.clip_id = id GROUP BY job_id),
    cat AS (SELECT job_id, category, count(*) AS k, CAST(sum(i) AS BIGINT) AS i, CAST(sum(o) AS BIGINT) AS o, CAST(sum(i * {_RATES} + o * {_RATES_OUT}) AS DOUBLE) / 10 AS c FROM (SELECT *,
@@ -325,11 +383,10 @@ _DIGEST = f"""files AS (SELECT id AS clip_id, string_agg('    [' || v || ']  ' |
 
 @query("snk_03_digest", sql("""SELECT id AS episode_id, 'Episode: ep' || id || '.mp4' || chr(10) || 'Total duration: ' || CASE WHEN cost_cents >= 3600000
      THEN printf('%dh %02dm %02ds', cost_cents // 3600000, cost_cents // 60000 % 60, cost_cents // 1000 % 60) ELSE printf('%dm %02ds', cost_cents // 60000, cost_cents // 1000 % 60) END ||
-   chr(10) || 'Clips produced: ' || coalesce(n, 0) || chr(10) || CASE WHEN t IS NULL THEN '' ELSE chr(10) || t END || chr(10) || repeat('=', 72) || chr(10) || coalesce(b, '') AS digest
+   chr(10) || 'Clips produced: ' || coalesce(n, 0) || chr(10) || 'Clips directory: /work/clipper/' || id || chr(10) || CASE WHEN t IS NULL THEN '' ELSE chr(10) || t END || chr(10) || repeat('=', 72) || chr(10) || coalesce(b, '') || chr(10) || 'The files are at the paths above; choose from them and post.' || chr(10) AS digest
    FROM jobs LEFT JOIN blocks ON blocks.job_id = id LEFT JOIN cost ON cost.job_id = id""", "jobs", "clips", "clip_posts", "usage", extra=_DIGEST))
 def snk3(spark, sf):
-    posts = t.clip_posts(spark, sf).withColumn("external_url", F.lit(None).cast("string")).withColumn("error", F.lit("oops"))
-    return S.episode_digest(ranked_clips(spark, sf), renders(spark, sf), posts, job_episodes(spark, sf), job_costs(spark, sf))
+    return S.episode_digest(ranked_clips(spark, sf), renders(spark, sf), sent_posts(spark, sf), job_episodes(spark, sf), job_costs(spark, sf), social_blocks(spark, sf))
 
 
 @query("snk_04_prune_trends", sql("SELECT source, topic_id, fetched_at, score FROM trends WHERE fetched_at >= 1705708800 - 864000", "trends"))
