@@ -122,8 +122,8 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def sketch(docs: DataFrame, width: int, text: str = "text", with_sets: bool = False) -> DataFrame:
-    """doc_id, n_shingles, fingerprint (of the whole set) and registers per row of ``docs``, or
-    with ``with_sets`` doc_id, n_shingles, registers and shingles (64-bit hashes, binary)."""
+    """doc_id, n_shingles, fingerprint (of the whole set) and registers per row of ``docs``, and
+    with ``with_sets`` shingles (64-bit hashes, binary)."""
     def run(batches):
         import pyarrow as pa
         from xxhash import xxh3_128_hexdigest
@@ -134,14 +134,13 @@ def sketch(docs: DataFrame, width: int, text: str = "text", with_sets: bool = Fa
             for start in range(0, batch.num_rows, 256):
                 sets = [shingler.shingles(t) for t in texts.slice(start, 256).to_pylist()]
                 values = [r.tobytes() for r in registers(sets)]
-                columns = [batch.column(0).slice(start, 256), pa.array([len(s) for s in sets], pa.int64())]
+                columns = [batch.column(0).slice(start, 256), pa.array([len(s) for s in sets], pa.int64()),
+                           pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array(values, pa.binary())]
                 if with_sets:
-                    columns += [pa.array(values, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
-                else:
-                    columns += [pa.array([xxh3_128_hexdigest(s.tobytes()) for s in sets]), pa.array(values, pa.binary())]
+                    columns.append(pa.array([s.tobytes() for s in sets], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    kinds = ["doc_id bigint", "n_shingles bigint", *(["registers binary", "shingles binary"] if with_sets else ["fingerprint string", "registers binary"])]
+    kinds = ["doc_id bigint", "n_shingles bigint", "fingerprint string", "registers binary", *(["shingles binary"] if with_sets else [])]
     names = [k.split()[0] for k in kinds]
     return docs.select(F.col("doc_id").cast("bigint"), F.col(f"`{text}`")).mapInArrow(run, ", ".join(kinds))
 
@@ -229,35 +228,55 @@ def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("piece").applyInArrow(compare, "a bigint, b bigint")
 
 
+def _hub_pairs(bands: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the hub of each band and the others there.
+
+    The hub is that with the most company over all its bands, so that a group of near copies has
+    few hubs: its members meet the most typical one in most of their bands, and each has a pair or
+    two, however large the group.
+    """
+    met = stage(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "band"), "bands")
+    company = met.groupBy("id").agg(F.sum("n").alias("company"))
+    hubs = met.join(company, "id").groupBy("band").agg(F.max_by("id", F.struct("company", (-F.col("id")).alias("_i"))).alias("hub"))
+    return met.join(hubs, "band").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+
+
+def _same_documents(sets: DataFrame, first: DataFrame) -> DataFrame:
+    """Edges (a, b) between the sets of a doc_id that has several."""
+    several = sets.groupBy("doc_id").agg(F.min("fingerprint").alias("_one"), F.max("fingerprint").alias("_last")).filter("_one <> _last")
+    pairs = sets.select("doc_id", "fingerprint").join(several, "doc_id").filter("fingerprint <> _one").select("_one", "fingerprint").distinct()
+    named = lambda c, v: first.select(F.col("fingerprint").alias(c), F.col("vertex").alias(v))
+    return pairs.join(named("_one", "a"), "_one").join(named("fingerprint", "b"), "fingerprint").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, ``text``).
 
     Two documents are linked if their sets of ``width``-word shingles share ``percent`` of their
     union; component_id is the smallest doc_id reachable. Documents with equal sets are one from
-    the start. The others meet in bands: each with the smallest id there (a hub, so a band of n
-    documents gives n - 1 pairs), estimated, then confirmed. Documents of one candidate group
-    that are still apart are compared in blocks, so no link is lost to the choice of hubs.
+    the start. The others meet in bands: each with a hub there (so a band of n documents gives
+    n - 1 pairs), estimated, then confirmed. Documents of one candidate group that are still apart
+    are compared in blocks, so no link is lost to the choice of hubs.
 
     Texts without words (null, empty, blank) are linked with nothing. Rows without doc_id are
-    left alone: no component, kept. Rows that repeat a doc_id share its component. Extra columns
-    of ``docs`` are not carried.
+    left alone: no component, kept. Rows that repeat a doc_id share its component, and each of
+    their texts links. Extra columns of ``docs`` are not carried.
     """
     rows = stage(sketch(docs, width, text), "sketches")
     sets = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # Equal sets: one representative each.
+    # A distinct set is a vertex; its number is fixed by being written.
     first = sets.groupBy("fingerprint").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
-    first = stage(first, "representatives")
-    bands = stage(_bands(first.select(F.col("rep").alias("doc_id"), "registers")), "bands")
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    pairs = stage(bands.join(hubs, "band").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    groups = components(pairs).select(F.col("id").alias("rep"), F.col("component").alias("grp"))
+    first = stage(first.withColumn("vertex", F.monotonically_increasing_id()), "representatives")
+    pairs = stage(_hub_pairs(_bands(first.select(F.col("vertex").alias("doc_id"), "registers"))), "pairs")
+    groups = stage(components(pairs).select(F.col("id").alias("vertex"), F.col("component").alias("grp")), "groups")
+    wanted = first.join(groups, "vertex", "left_semi").select("fingerprint", "vertex", F.col("rep").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    members = texts.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = stage(sketch(members, width, with_sets=True).dropDuplicates(["doc_id"]), "sets")
+    members = sketch(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), width, with_sets=True).drop("doc_id")
+    full = stage(members.join(wanted.select("fingerprint", F.col("vertex").alias("doc_id")), "fingerprint").drop("fingerprint").dropDuplicates(["doc_id"]), "sets")
     links = stage(_confirmed(pairs, full, percent), "links")
     linked = components(links)
-    placed = (groups.join(linked.select(F.col("id").alias("rep"), "component"), "rep", "left")
-              .select("grp", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("component")))
+    placed = (groups.join(linked.select(F.col("id").alias("vertex"), "component"), "vertex", "left")
+              .select("grp", F.col("vertex").alias("doc_id"), F.coalesce("component", "vertex").alias("component")))
     placed = stage(placed, "placed")
     sizes = placed.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("_n"))
     main = (sizes.groupBy("grp").agg(F.max(F.struct("_n", -F.col("component"))).alias("_m"), F.count(F.lit(1)).alias("_cs"))
@@ -266,10 +285,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, tex
     apart = stage(apart, "apart")
     apart = apart.join(apart.groupBy("grp", "main").agg(F.count(F.lit(1)).alias("n")), ["grp", "main"])
     more = _compare_blocks(apart.join(full.select("doc_id", "registers", "shingles"), "doc_id"), percent)
-    final = components(stage(links.union(more), "links"))
-    answer = first.select("fingerprint", "rep").join(final, F.col("rep") == F.col("id"), "left").select(
-        "fingerprint", F.coalesce("component", "rep").alias("_c"))
-    out = rows.select("doc_id", "n_shingles", "fingerprint").join(answer, "fingerprint", "left")
+    final = components(stage(links.union(more).union(_same_documents(sets, first)), "links"))
+    joined = stage(final.join(first.select(F.col("vertex").alias("id"), "fingerprint", "rep"), "id"), "linked")
+    named = joined.groupBy("component").agg(F.min("rep").alias("_c"))
+    answer = joined.join(named, "component").select("fingerprint", "_c")
+    alone = first.join(joined.select("fingerprint"), "fingerprint", "left_anti").select("fingerprint", F.col("rep").alias("_c"))
+    out = rows.select("doc_id", "n_shingles", "fingerprint").join(answer.unionByName(alone), "fingerprint", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_c")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

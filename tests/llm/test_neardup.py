@@ -59,6 +59,24 @@ def test_rows_without_or_with_repeated_ids(spark):
     assert N.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_each_text_of_a_doc_id_links(spark):
+    base = [" ".join(f"{x}{k}" for k in range(60)) for x in "pqr"]
+    rows = [(7, base[0]), (7, base[1]), (8, base[0] + " more"), (9, base[1] + " more"), (10, base[2]), (11, base[2] + " x"), (6, "alone here"), (12, ""), (12, base[2])]
+    want = {(7, 7), (8, 7), (9, 7), (10, 10), (11, 10), (6, 6), (12, 10)}
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2).collect()
+    assert {(r.doc_id, r.component_id) for r in got if r.n_shingles} == want and len(got) == len(rows)
+
+
+def test_near_copies_have_few_hubs(spark):
+    per_doc = []
+    for n in (300, 1_500):
+        rows = list(enumerate(variants(5, n, 120, 3)))
+        sketches = N.sketch(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+        pairs = N._hub_pairs(N._bands(sketches.dropDuplicates(["fingerprint"])))
+        per_doc.append(pairs.count() / n)
+    assert per_doc[1] < 4 and per_doc[1] < 1.5 * per_doc[0], per_doc
+
+
 def test_sketches_merge_and_estimate():
     rand = np.random.default_rng(1)
     pool = np.unique(rand.integers(0, 2**63, 3000, dtype=np.uint64))
@@ -70,6 +88,24 @@ def test_sketches_merge_and_estimate():
     assert (N.registers([np.zeros(0, dtype=np.uint64)]) == 0).all()
 
 
+def test_components_of_stars_and_random_edges(spark):
+    rand = random.Random(9)
+    edges = [(0, i) for i in range(1, 400)] + [(rand.randrange(1000, 1600), rand.randrange(1000, 1600)) for _ in range(280)] + [(-5, -9), (2**61, -9)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        parent[high] = low
+    want = {x: root(x) for e in edges if e[0] != e[1] for x in e}
+    assert {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(500, 501), (501, 500), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(edges).collect()}
