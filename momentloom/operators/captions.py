@@ -6,49 +6,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, trim_ws
-from .intervals import FRAME_BLOCK
-from .scaling import block_of, running
+from .scaling import fold_rows, let
 
 # Fixed values: (most words, most characters) of a phrase for each picture shape.
 SHAPES = {"9x16": (4, 28), "1x1": (5, 36), "16x9": (7, 52)}
 
 
-def phrase_numbers(words: Column, max_words: int, max_chars: int) -> Column:
-    """Phrase number of each word of a sentence (array of structs with ``_size``): a word that
-    would exceed either limit opens the next phrase."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.array().cast("array<bigint>").alias("nums"), zero.alias("phrase"), zero.alias("words"), zero.alias("chars"))
+def _phrase_step(max_words: int, max_chars: int):
+    """(sentence, phrase) of each word: one that would exceed a limit opens the next phrase, one
+    behind the end of a sentence the next sentence."""
+    one = F.lit(1).cast("bigint")
 
-    def add(a: Column, w: Column) -> Column:
-        opens = (a["words"] > 0) & ((a["words"] + 1 > max_words) | (a["chars"] + 1 + w["_size"] > max_chars))
-        phrase = a["phrase"] + opens.cast("bigint")
-        return F.struct(F.concat(a["nums"], F.array(phrase)).alias("nums"), phrase.alias("phrase"),
-                        F.when(opens, F.lit(1).cast("bigint")).otherwise(a["words"] + 1).alias("words"),
-                        F.when(opens | (a["words"] == 0), w["_size"]).otherwise(a["chars"] + 1 + w["_size"]).alias("chars"))
+    def step(state, w):
+        fresh = state["closed"] | (state["words"] == 0)
+        opens = fresh | (state["words"] + 1 > max_words) | (state["chars"] + 1 + w["_size"] > max_chars)
+        sentence = state["sentence"] + state["closed"].cast("bigint")
+        phrase = F.when(fresh, F.lit(0).cast("bigint")).otherwise(state["phrase"] + opens.cast("bigint"))
+        after = F.struct(sentence.alias("sentence"), phrase.alias("phrase"), F.when(opens, one).otherwise(state["words"] + 1).alias("words"),
+                         F.when(opens, w["_size"]).otherwise(state["chars"] + 1 + w["_size"]).alias("chars"), w["_end"].alias("closed"))
+        return let(after, lambda a: F.struct(a.alias("state"), F.array(F.struct(a["sentence"].alias("sentence"), a["phrase"].alias("phrase"))).alias("out")))
 
-    return F.aggregate(words, start, add, lambda a: a["nums"])
+    return step
 
 
 def caption_phrases(words: DataFrame, max_words: int = 4, max_chars: int = 28) -> DataFrame:
     """(clip_id, sentence, phrase, start_ms, end_ms, n_words, text, karaoke) from clip words
     (clip_id, pos, text, start_ms, end_ms).
 
-    A word ending in . ! ? closes its phrase, so sentences are independent: they are
-    numbered by a running count over blocks, and each is folded in its row (a sentence is
-    bounded by its clip). Phrases without positive length are dropped.
+    A word ending in . ! ? closes its phrase and its sentence. The words of a clip, which its length
+    bounds, are one array, folded in the JVM; phrases are slices of it, so there is one shuffle.
+    Phrases without positive length are dropped.
     """
     limit_words, limit_chars = max(max_words, 1), max(max_chars, 8)
-    spoken = (words.withColumn("text", trim_ws("text")).filter(F.col("text") != "")
-              .withColumn("_end", F.col("text").rlike(r"[.!?]$").cast("int")))
-    told = running(spoken, ["clip_id"], ["pos"], block_of("pos", FRAME_BLOCK), sentence=("sum", F.col("_end")))
+    spoken = words.withColumn("text", trim_ws("text")).filter(F.col("text") != "")
     slim = F.struct(F.col("pos").cast("bigint").alias("pos"), "text", F.col("start_ms").cast("bigint").alias("start_ms"),
-                    F.col("end_ms").cast("bigint").alias("end_ms"), F.char_length("text").cast("bigint").alias("_size"))
-    sentences = told.groupBy("clip_id", F.coalesce("sentence", F.lit(0)).cast("bigint").alias("sentence")).agg(
-        F.array_sort(F.collect_list(slim)).alias("_ws"))
-    numbered = sentences.withColumn("_nums", phrase_numbers(F.col("_ws"), limit_words, limit_chars)).select(
-        "clip_id", "sentence", F.inline(F.zip_with("_ws", "_nums", lambda w, n: F.struct(w.alias("w"), n.alias("phrase")))))
-    w = F.array_sort(F.collect_list(F.struct("w.pos", "w.text", "w.start_ms", "w.end_ms")))
-    per = numbered.groupBy("clip_id", "sentence", "phrase").agg(w.alias("_w"))
+                    F.col("end_ms").cast("bigint").alias("end_ms"), F.char_length("text").cast("bigint").alias("_size"),
+                    F.col("text").rlike(r"[.!?]$").alias("_end"))
+    clips = spoken.groupBy("clip_id").agg(F.array_sort(F.collect_list(slim)).alias("_ws"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(*[zero.alias(c) for c in ("sentence", "phrase", "words", "chars")], F.lit(False).alias("closed"))
+    numbers = fold_rows(F.col("_ws"), start, "struct<sentence:bigint,phrase:bigint>", _phrase_step(limit_words, limit_chars))
+    clips = clips.withColumn("_nums", numbers)
+    firsts = F.filter(F.sequence(F.lit(1), F.size("_ws")), lambda i: (i == 1) | (F.get("_nums", i - 1) != F.get("_nums", i - 2)))
+    clips = clips.withColumn("_firsts", firsts)
+    phrases = F.transform("_firsts", lambda i, k: F.struct(
+        F.get("_nums", i - 1).alias("at"), F.slice("_ws", i, F.coalesce(F.get("_firsts", k + 1), F.size("_ws") + 1) - i).alias("_w")))
+    per = clips.select("clip_id", F.inline(phrases)).select("clip_id", "at.sentence", "at.phrase", "_w")
     first, last = F.element_at("_w", 1), F.element_at("_w", -1)
     out = per.select("clip_id", "sentence", "phrase", first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"),
                      F.size("_w").cast("bigint").alias("n_words"), F.array_join(F.transform("_w", lambda x: x["text"]), " ").alias("text"),

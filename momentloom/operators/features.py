@@ -116,23 +116,24 @@ def cosine(a, b) -> Column:
 
 
 def mean_vector(vectors: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
-    """(keys, n, mean): element-wise mean; NULL where vectors are empty or differ in
-    length.
+    """(keys, n, mean): element-wise mean; NULL where vectors are empty or NULL, differ in
+    length or have NULL elements.
 
-    Elements are averaged under (key, position) with map-side combining, so a group of any
-    size is never gathered; only one row per position reaches the final step.
+    Vectors are added up as they are, on the map side too (one buffer per key and length), so a
+    group of any size is never gathered.
     """
-    cells = vectors.select(*keys, F.size(vector).alias("_d"),
-                           F.posexplode_outer(vector).alias("_i", "_x"))
-    per = cells.groupBy(*keys, "_i").agg(
-        F.avg(F.col("_x").cast("double")).alias("_m"), F.count("*").alias("_c"),
-        F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    packed = per.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_cells"),
-        F.max("_c").alias("n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
-    usable = (F.col("_lo") == F.col("_hi")) & (F.col("_lo") > 0)
-    return packed.select(*keys, "n", F.when(usable, F.transform(
-        "_cells", lambda c: c["_m"])).alias("mean"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    v = F.col(vector)
+    whole = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())
+    dense = vectors.filter(whole).select(*keys, F.size(v).alias("_d"), array_to_vector(v.cast("array<double>")).alias("_v"))
+    sums = dense.groupBy(*keys, "_d").agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    sums = sums.select(*keys, "_n", vector_to_array("_m").alias("_m"), F.lit(0).alias("_bad"))
+    rest = vectors.filter(~whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_n", F.lit(None).cast("array<double>").alias("_m"), F.lit(1).alias("_bad"))
+    per = sums.unionByName(rest).groupBy(*keys).agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("_kinds"), F.first("_m").alias("_m"), F.max("_bad").alias("_bad"))
+    return per.select(*keys, "n", F.when((F.col("_kinds") == 1) & (F.col("_bad") == 0), F.col("_m")).alias("mean"))
 
 
 def novelty(vectors: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
-from .scaling import (interval_overlap, keys_equal, block_of, nearest, neighbours, point_in_interval,
+from .scaling import (interval_overlap, keys_equal, block_of, fold_rows, nearest, neighbours, point_in_interval,
                       running, runs, spaced, spread_interval, top_n)
 
 EPISODE = ["episode_id"]
@@ -206,24 +206,15 @@ def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> Da
     return good.join(kept, ["episode_id", "window_id"], "left_semi").select(*windows.columns)
 
 
-def _apart(rows: Column, eps_ms: int, part: int = 256) -> Column:
+def _apart(rows: Column, eps_ms: int) -> Column:
     """window_id of the rows (window_id, start_ms, end_ms) that differ by ``eps_ms`` at one end from
-    the last one kept. Kept ids are gathered part by part, so a long array is not copied for each."""
-    def take(state, row):
-        last = state["last"]
+    the last one kept."""
+    def step(last, row):
         near = (F.abs(row["start_ms"] - last["start_ms"]) < eps_ms) & (F.abs(row["end_ms"] - last["end_ms"]) < eps_ms)
-        fresh = F.struct(row.alias("last"), F.concat(state["kept"], F.array(row["window_id"])).alias("kept"))
-        return F.when(F.coalesce(near, F.lit(False)), state).otherwise(fresh)
+        return F.when(F.coalesce(near, F.lit(False)), F.struct(last.alias("state"), F.array().cast("array<bigint>").alias("out"))).otherwise(
+            F.struct(row.alias("state"), F.array(row["window_id"]).alias("out")))
 
-    nobody, none = F.lit(None).cast("struct<window_id:bigint,start_ms:bigint,end_ms:bigint>"), F.array().cast("array<bigint>")
-
-    def take_part(state, at):
-        inner = F.aggregate(F.slice(rows, at * part + 1, F.lit(part)), F.struct(state["last"].alias("last"), none.alias("kept")), take)
-        return F.struct(inner["last"].alias("last"), F.concat(state["kept"], F.array(inner["kept"])).alias("kept"))
-
-    parts = F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / part).cast("int"))
-    start = F.struct(nobody.alias("last"), F.array().cast("array<array<bigint>>").alias("kept"))
-    return F.flatten(F.aggregate(parts, start, take_part)["kept"])
+    return fold_rows(rows, F.lit(None).cast("struct<window_id:bigint,start_ms:bigint,end_ms:bigint>"), "bigint", step)
 
 
 # -- INT-8..11 ----------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import fixed, fmt_duration, fmt_iso
-from .scaling import running
+from .scaling import numbered
 
 DAY_S = 86_400
 
@@ -166,12 +166,16 @@ def analytics_lines(analytics: DataFrame, as_of: int) -> DataFrame:
 
 
 def analytics_summary(analytics: DataFrame, as_of: int) -> DataFrame:
-    """(clip_id, summary): the lines of one clip in time order. The text is itself the
-    result row, so its lines have to come together per clip."""
-    lines = F.array_sort(F.collect_list(F.struct("fetched_at", "platform", "line")))
-    return (analytics_lines(analytics, as_of).groupBy("clip_id").agg(lines.alias("_l"))
-            .select("clip_id", F.concat(F.lit("## Analytics\n\n"), F.array_join(
-                F.transform("_l", lambda r: r["line"]), "\n"), F.lit("\n")).alias("summary")))
+    """(clip_id, summary): the lines of one clip in order of time and platform.
+
+    A clip's lines are put together day by day first, so the last step sees a text per day, not a
+    row per fetch. The text is itself the result row.
+    """
+    together = lambda col, sep: F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda r: r["line"]), sep)
+    days = analytics_lines(analytics, as_of).groupBy("clip_id", F.floor(F.col("fetched_at") / DAY_S).alias("_day")).agg(
+        together(F.struct("fetched_at", "platform", "line"), "\n").alias("line"))
+    return days.groupBy("clip_id").agg(together(F.struct("_day", "line"), "\n").alias("_all")).select(
+        "clip_id", F.concat(F.lit("## Analytics\n\n"), "_all", F.lit("\n")).alias("summary"))
 
 
 AGES_S, DUE_WINDOW_S = (24 * 3600, 72 * 3600), 3 * 3600   # fixed values
@@ -365,14 +369,13 @@ def rank_delta(ranked: DataFrame, first: str = "llm_score", second: str = "vlm_s
                ties: str = "candidate_index") -> DataFrame:
     """Rank by each score within the episode and their difference.
 
-    Scores are 0..100, so the score is the block of a two-step row number: rows are
-    numbered within a score and offset by the counts of the higher scores.
+    Rows are numbered over ranges of (score, tie) that are cut where the rows are, so a score that
+    every row has is numbered by many tasks.
     """
     both = ranked.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    for name, col in (("_a", first), ("_b", second)):
-        both = running(both, ["episode_id"], [F.desc(col), ties], -F.col(col), **{name: ("count", F.lit(1))})
-    return both.select("*", (F.col("_a") + 1).alias("first_rank"), (F.col("_b") + 1).alias("second_rank"),
-                       (F.col("_a") - F.col("_b")).alias("rank_delta")).drop("_a", "_b")
+    both = numbered(both, ["episode_id"], [F.desc(first), ties], "first_rank")
+    both = numbered(both, ["episode_id"], [F.desc(second), ties], "second_rank")
+    return both.withColumn("rank_delta", F.col("first_rank") - F.col("second_rank"))
 
 
 def feature_importance(rows: DataFrame, features: list[str], score: str = "score") -> DataFrame:

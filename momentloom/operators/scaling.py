@@ -7,9 +7,8 @@ which is thousands of times smaller than the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ from pyspark.sql.window import Window as W
 from ..session import stage
 
 __all__ = ["block_of", "spread_interval", "running", "runs", "point_in_interval",
-           "interval_overlap", "top_n", "keys_equal", "scan_sorted", "spaced", "neighbours"]
+           "interval_overlap", "top_n", "keys_equal", "spaced", "neighbours", "nearest", "numbered",
+           "let", "fold_rows"]
 
 _BLK = "_blk"
 #: Rows of a block of ``spaced``: a power of two, so that a position is the low bits of a rank.
@@ -196,35 +196,50 @@ def top_n(df: DataFrame, keys: list[str], order: list, n: int,
     return out if rank else out.drop(name)
 
 
-def scan_sorted(df: DataFrame, keys: list[str], order: list[str], schema: str,
-                process: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
-    """Run ``process`` over the sorted rows of each key, for order-dependent state.
+def numbered(df: DataFrame, keys: list[str], order: list, out: str) -> DataFrame:
+    """``df`` with ``out``: the number from 1 of each row in the ``order`` of its key.
 
-    Rows are shuffled by key, sorted by Spark (spilling as needed) and streamed through in
-    Arrow batches: a group is never held in memory, whatever its size. ``process`` gets an
-    iterator of row tuples (columns of ``df`` in order, keys first) and yields tuples of
-    ``schema``.
+    Rows are range-partitioned by key and order and sorted, so the ids that Spark gives them rise
+    with the order; a table with a row per (key, partition) says where each begins. Ranges are cut
+    where the rows are, so neither a large key nor a value that many rows share is one task's; of
+    rows equal in key and order any may come first.
     """
-    n = len(keys)
-    chunk = 10_000
-
-    def run(batches):
-        import pandas as pd
-
-        rows = (r for pdf in batches for r in zip(*(pdf[c].tolist() for c in pdf.columns)))
-        out: list[tuple] = []
-        for _, group in groupby(rows, key=lambda r: r[:n]):
-            for row in process(group):
-                out.append(row)
-                if len(out) >= chunk:
-                    yield pd.DataFrame.from_records(out, columns=names)
-                    out = []
-        if out:
-            yield pd.DataFrame.from_records(out, columns=names)
-
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
-    return (df.select(*keys, *[c for c in df.columns if c not in keys])
-            .repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema))
+    names = df.columns
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    tied = [*keys, *order, "_tie"]
+    spread = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*tied).sortWithinPartitions(*tied).drop("_tie")
+    placed = stage(spread.withColumn("_at", F.monotonically_increasing_id()), "numbered").withColumn("_part", F.shiftright("_at", 33))
+    parts = placed.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select(*keys, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(parts, [*keys, "_part"]).select(*names, (F.col("_at") + F.col("_shift")).alias(out))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def fold_rows(rows: Column, start: Column, kind: str, step: Callable[[Column, Column], Column], part: int = 128) -> Column:
+    """What ``step`` gives for the rows of an array, one after the other, as one array of ``kind``.
+
+    ``step(state, row)`` is a struct (state, out): the next state and an array of results. Results
+    are gathered part by part, so that a long array is not copied for each row. It all stays in the
+    JVM.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, row):
+        return let(step(acc["state"], row), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))
+
+    def several(acc, at):
+        begin = F.struct(acc["state"].alias("state"), none.alias("out"))
+        return F.aggregate(F.slice(rows, at * part + 1, F.lit(part)), begin, one,
+                           lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    parts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(rows) - 1, F.lit(0)) / part).cast("int"))
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return F.flatten(F.aggregate(parts, begin, several)["out"])
 
 
 def _ranked(times: DataFrame, keys: list[str], at: str, width: int) -> DataFrame:

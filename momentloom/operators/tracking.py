@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from ..session import stage
 from .intervals import BUCKET_MS, EPISODE, FRAME_BLOCK, HOUR_MS, in_any
-from .scaling import block_of, interval_overlap, point_in_interval, running, runs, scan_sorted
+from .scaling import block_of, fold_rows, interval_overlap, let, point_in_interval, running, runs
 
 CLIP = ["episode_id", "clip_id"]
 BOX = ["x1", "y1", "x2", "y2"]
@@ -57,46 +57,12 @@ def nms(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
 
 # -- TRK-3, TRK-4 -------------------------------------------------------------------
 
-def _by_frame(rows):
-    frame, boxes = None, []
-    for row in rows:
-        if frame is not None and row[3] != frame:
-            yield boxes
-            boxes = []
-        frame = row[3]
-        boxes.append(row)
-    if boxes:
-        yield boxes
-
-
-def box_iou(a, b) -> float:
-    """Overlap share of two (x1, y1, x2, y2) tuples."""
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
-
-
-def match_iou(seen: list[tuple], boxes: list[tuple], threshold: float):
-    """Pair known (id, box) with new boxes, best overlap first. Returns the pairs as
-    (position of box, id) in pairing order and the positions left over."""
-    scored = [(box_iou(known[1], box), i, j) for i, known in enumerate(seen) for j, box in enumerate(boxes)]
-    scored = sorted((s for s in scored if s[0] >= threshold), key=lambda s: -s[0])
-    pairs, old, new = [], set(), set()
-    for _, i, j in scored:
-        if i not in old and j not in new:
-            old.add(i)
-            new.add(j)
-            pairs.append((j, seen[i][0]))
-    return pairs, [j for j in range(len(boxes)) if j not in new]
-
-
 def match_nearest(seen: list[tuple], centers: list[tuple], reach: float):
     """Let each new centre, in order, claim the nearest free known (id, centre) within
-    ``reach``; the earlier one of equally near."""
+    ``reach``; the earlier one of equally near. For streams; tables are folded in the JVM."""
     free, pairs, left = list(range(len(seen))), [], []
     for j, (x, y) in enumerate(centers):
-        near = [(math.hypot(x - seen[i][1][0], y - seen[i][1][1]), i) for i in free]
+        near = [(math.sqrt((x - seen[i][1][0]) ** 2 + (y - seen[i][1][1]) ** 2), i) for i in free]
         near = [n for n in near if n[0] <= reach]
         if near:
             best = min(near)[1]
@@ -107,64 +73,97 @@ def match_nearest(seen: list[tuple], centers: list[tuple], reach: float):
     return pairs, left
 
 
-def track_frames_iou(rows, threshold: float):
-    """Rows (episode, clip, stretch, frame, det, box..., conf) of one stretch with ids."""
-    seen, fresh = [], 0
-    for frame in _by_frame(rows):
-        boxes = [r[5:9] for r in frame]
-        pairs, left = match_iou(seen, boxes, threshold)
-        named = list(pairs)
-        for j in left:
-            named.append((j, fresh))
-            fresh += 1
-        seen = [(ident, boxes[j]) for j, ident in named]
-        for out, (j, ident) in enumerate(named):
-            yield (*frame[j][:5], ident, out)
-
-
-def track_frames_nearest(rows, reach: float):
-    seen, fresh = [], 0
-    for frame in _by_frame(rows):
-        best = sorted(frame, key=lambda r: -r[9])
-        centers = [((r[5] + r[7]) / 2.0, (r[6] + r[8]) / 2.0) for r in best]
-        pairs, left = match_nearest(seen, centers, reach)
-        ids = dict(pairs)
-        for j in left:
-            ids[j] = fresh
-            fresh += 1
-        seen = [(ids[j], centers[j]) for j in range(len(best))]
-        for j, row in enumerate(best):
-            yield (*row[:5], ids[j], j)
-
-
-def _track(detections: DataFrame, process) -> DataFrame:
+_PLACED = "struct<det:bigint,id:bigint,x1:double,y1:double,x2:double,y2:double>"
+_NAMED = "struct<frame_idx:bigint,det_idx:bigint,local:bigint,out_idx:bigint>"
+
+
+def _result(frame: Column, placed: Column, fresh: Column) -> Column:
+    """Next state and results of a frame whose boxes have their ids."""
+    out = F.transform(placed, lambda r, k: F.struct(frame["frame_idx"].alias("frame_idx"), r["det"].alias("det_idx"), r["id"].alias("local"), k.cast("bigint").alias("out_idx")))
+    return F.struct(F.struct(placed.alias("seen"), fresh.alias("fresh")).alias("state"), out.alias("out"))
+
+
+def _place(box: Column, ident: Column) -> Column:
+    return F.struct(box["det"].alias("det"), ident.cast("bigint").alias("id"), *[box[c].alias(c) for c in BOX])
+
+
+def _step_iou(threshold: float):
+    """Boxes of a frame and of the one before, best overlap first, make pairs while both are free;
+    boxes left over begin tracks in their order."""
+    def pair_up(done, c):
+        taken = F.exists(done, lambda d: (d["i"] == c["i"]) | (d["j"] == c["j"]))
+        return F.when(taken, done).otherwise(F.concat(done, F.array(F.struct(c["i"].alias("i"), c["j"].alias("j")))))
+
+    def step(state, frame):
+        seen, boxes = state["seen"], frame["boxes"]
+        scored = F.flatten(F.transform(seen, lambda a, i: F.transform(boxes, lambda b, j: F.struct(
+            (-iou(_corners(a), _corners(b))).alias("s"), i.alias("i"), j.alias("j")))))
+        best = F.array_sort(F.filter(scored, lambda c: c["s"] <= -threshold))
+        pairs = F.aggregate(best, F.array().cast("array<struct<i:int,j:int>>"), pair_up)
+
+        def name(m):
+            old = F.transform(m, lambda p: _place(F.get(boxes, p["j"]), F.get(seen, p["i"])["id"]))
+            rest = F.filter(boxes, lambda b, j: ~F.exists(m, lambda p: p["j"] == j))
+            new = F.transform(rest, lambda b, k: _place(b, state["fresh"] + k))
+            return _result(frame, F.concat(old, new), state["fresh"] + F.size(boxes) - F.size(m))
+
+        return let(pairs, name)
+
+    return step
+
+
+def _step_nearest(reach: float):
+    """Each box of a frame, surest first, takes the nearest free centre of the frame before."""
+    center = lambda b, lo, hi: (b[lo] + b[hi]) / 2.0
+
+    def step(state, frame):
+        def claim(acc, b):
+            dx, dy = (lambda p: center(b, "x1", "x2") - center(p, "x1", "x2")), (lambda p: center(b, "y1", "y2") - center(p, "y1", "y2"))
+            near = F.array_min(F.filter(F.transform(acc["free"], lambda p, i: F.struct(
+                F.sqrt(dx(p) * dx(p) + dy(p) * dy(p)).alias("d"), i.alias("i"), p["id"].alias("id"))), lambda c: c["d"] <= reach))
+
+            def take(hit):
+                none = hit.isNull()
+                return F.struct(F.when(none, acc["free"]).otherwise(F.filter(acc["free"], lambda p: p["id"] != hit["id"])).alias("free"),
+                                (acc["fresh"] + none.cast("bigint")).alias("fresh"),
+                                F.concat(acc["placed"], F.array(_place(b, F.coalesce(hit["id"], acc["fresh"])))).alias("placed"))
+
+            return let(near, take)
+
+        begin = F.struct(state["seen"].alias("free"), state["fresh"].alias("fresh"), F.array().cast(f"array<{_PLACED}>").alias("placed"))
+        return F.aggregate(frame["boxes"], begin, claim, lambda r: _result(frame, r["placed"], r["fresh"]))
+
+    return step
+
+
+def _track(detections: DataFrame, step, order: list[Column]) -> DataFrame:
     """Adds track_id and out_idx (position in the frame's result).
 
     A frame without boxes ends every track, so a clip falls into stretches of consecutive
-    frames that are tracked independently, each as a sorted stream. Track numbers go on
-    from stretch to stretch: the number of tracks in each stretch (one row per stretch) is
-    summed up along the clip.
+    frames that are tracked independently: the frames of a stretch, each with its boxes in
+    ``order``, are an array that is folded in the JVM. Track numbers go on from stretch to stretch:
+    the number of tracks in each (one row per stretch) is summed up along the clip.
     """
     cut = runs(detections, CLIP, "frame_idx", "frame_idx", 2, FRAME_BLOCK, out="stretch")
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
     key = [*CLIP, "stretch"]
-    slim = cut.select(*key, F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col("det_idx").cast("bigint").alias("det_idx"),
-                      *[F.col(c).cast("double").alias(c) for c in (*BOX, "conf")])
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in key], "frame_idx bigint", "det_idx bigint", "_local bigint", "out_idx bigint"])
-    named = scan_sorted(slim, key, ["frame_idx", "det_idx"], schema, process)
-    made = named.groupBy(*key).agg((F.max("_local") + 1).alias("_n"))
-    offset = running(made, CLIP, ["stretch"], block_of("stretch", 1 << 20), _before=("sum", F.col("_n")))
-    ids = (named.join(offset.select(*key, "_before"), key)
-           .select(*CLIP, "frame_idx", "det_idx", (F.col("_local") + F.col("_before")).alias("track_id"), "out_idx"))
+    box = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.col("det_idx").cast("bigint").alias("det"), *[F.col(c).cast("double").alias(c) for c in BOX])
+    frames = cut.repartition(*key).groupBy(*key, F.col("frame_idx").cast("bigint").alias("frame_idx")).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+    stretches = frames.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "boxes"))).alias("_frames"))
+    start = F.struct(F.array().cast(f"array<{_PLACED}>").alias("seen"), F.lit(0).cast("bigint").alias("fresh"))
+    named = stretches.select(*key, fold_rows(F.col("_frames"), start, _NAMED, step).alias("_rows"))
+    named = stage(named.withColumn("_n", F.array_max(F.transform("_rows", lambda r: r["local"])) + 1), "stretches")
+    offset = running(named.select(*key, "_n"), CLIP, ["stretch"], block_of("stretch", 1 << 20), _before=("sum", F.col("_n")))
+    ids = (named.join(offset.select(*key, "_before"), key).select(*CLIP, "_before", F.inline("_rows"))
+           .select(*CLIP, "frame_idx", "det_idx", (F.col("local") + F.col("_before")).alias("track_id"), "out_idx"))
     return detections.join(ids, [*FRAME, "det_idx"])
 
 
 def track_iou(detections: DataFrame, threshold: float = 0.3) -> DataFrame:
-    return _track(detections, lambda rows: track_frames_iou(rows, threshold))
+    return _track(detections, _step_iou(threshold), [F.col("det_idx").cast("bigint")])
 
 
 def track_nn(detections: DataFrame, distance: float = 200.0) -> DataFrame:
-    return _track(detections, lambda rows: track_frames_nearest(rows, distance))
+    return _track(detections, _step_nearest(distance), [-F.col("conf").cast("double"), F.col("det_idx").cast("bigint")])
 
 
 # -- TRK-5, TRK-6 -------------------------------------------------------------------
@@ -242,51 +241,48 @@ GAP_MS = 500                       # fixed value: a face gap this long starts af
 ONE_EURO = (1.0, 0.007, 1.0)       # fixed values: least cut-off, speed weight, derivative cut-off
 
 
-def euro_axis(params):
-    """One-Euro filter of one axis: a function of (seconds, value)."""
+def _euro_step(params):
+    """One-Euro filter of a point (t_ms, x, y): smoothed place, slopes and time are the state."""
     low, beta, d_cut = params
-    state: list[float] = []
 
     def share(dt, cutoff):
-        r = 2.0 * math.pi * cutoff * dt
-        return r / (r + 1.0)
-
-    def feed(t, x):
-        if not state:
-            state[:] = [x, 0.0, t]
-            return x
-        value, slope, then = state
-        dt = t - then
-        if dt <= 0.0:
-            return value
-        a = share(dt, d_cut)
-        slope = a * ((x - value) / dt) + (1.0 - a) * slope
-        a = share(dt, low + beta * abs(slope))
-        value = a * x + (1.0 - a) * value
-        state[:] = [value, slope, t]
-        return value
-
-    return feed
+        return let(dt * cutoff * (2.0 * math.pi), lambda r: r / (r + 1.0))
+
+    def axis(state, c, x, dt):
+        """Struct (value, slope) of one axis."""
+        slope = let(share(dt, F.lit(d_cut)), lambda a: a * ((x - state[c]) / dt) + (1.0 - a) * state[f"d{c}"])
+        return let(slope, lambda d: let(share(dt, low + beta * F.abs(d)), lambda a: F.struct(
+            (a * x + (1.0 - a) * state[c]).alias("v"), d.alias("d"))))
+
+    def result(row, x, y, dx, dy, t):
+        return F.struct(F.struct(x.alias("x"), y.alias("y"), dx.alias("dx"), dy.alias("dy"), t.alias("t")).alias("state"),
+                        F.array(F.struct(row["t_ms"].alias("t_ms"), x.alias("x"), y.alias("y"))).alias("out"))
+
+    def step(state, row):
+        t = row["t_ms"] / 1000.0
+        zero = F.lit(0.0)
+
+        def move(dt):
+            moved = let(axis(state, "x", row["x"], dt), lambda a: let(axis(state, "y", row["y"], dt), lambda b: result(row, a["v"], b["v"], a["d"], b["d"], t)))
+            still = result(row, state["x"], state["y"], state["dx"], state["dy"], state["t"])
+            return F.when(dt.isNull(), result(row, row["x"], row["y"], zero, zero, t)).when(dt <= 0, still).otherwise(moved)
+
+        return let(t - state["t"], move)
+
+    return step
 
 
 def one_euro(points: DataFrame, params=ONE_EURO) -> DataFrame:
     """Smoothed (x, y) per point (episode_id, clip_id, t_ms, x, y); rows without a face are
     dropped. A gap of half a second resets the filter, so the stretches between such gaps
-    are independent streams. Gaps are measured on the times as they are, fractions included."""
+    are independent: each is one array, folded in the JVM. Gaps are measured on the times as they
+    are, fractions included."""
     faces = points.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     cut = runs(faces, CLIP, "t_ms", "t_ms", GAP_MS, HOUR_MS, out="stretch")
-    key = [*CLIP, "stretch"]
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema}
-    slim = cut.select(*key, *[F.col(c).cast("double").alias(c) for c in ("t_ms", "x", "y")])
-
-    def smooth(rows):
-        fx, fy = euro_axis(params), euro_axis(params)
-        for row in rows:
-            t = row[3] / 1000.0
-            yield (*row[:2], row[3], fx(t, row[4]), fy(t, row[5]))
-
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in CLIP], "t_ms double", "x double", "y double"])
-    return scan_sorted(slim, key, ["t_ms"], schema, smooth)
+    row = F.struct(*[F.col(c).cast("double").alias(c) for c in ("t_ms", "x", "y")])
+    rows = cut.groupBy(*CLIP, "stretch").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    start = F.lit(None).cast("struct<x:double,y:double,dx:double,dy:double,t:double>")
+    return rows.select(*CLIP, F.inline(fold_rows(F.col("_rows"), start, "struct<t_ms:double,x:double,y:double>", _euro_step(params))))
 
 
 # -- TRK-9, TRK-10 ------------------------------------------------------------------

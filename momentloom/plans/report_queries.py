@@ -69,6 +69,15 @@ def an4(spark, sf):
     return R.analytics_lines(t.analytics(spark, sf), NOW)
 
 
+@query("an_04_summary", sql(f"""SELECT clip_id, '## Analytics' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY fetched_at, platform, line) || chr(10) AS summary FROM (
+     SELECT clip_id, platform, fetched_at, '  ' || platform || ' (' || CASE WHEN h < 1 THEN 'just now' ELSE 'fetched ' || h || 'h ago' END
+     || '): ' || concat_ws(', ', views || ' views', likes || ' likes', reposts || ' reposts', replies || ' replies',
+     printf('%.1f%% CTR', ctr), printf('%.0f%% watch', watch_pct)) AS line
+     FROM (SELECT *, greatest({NOW} - fetched_at, 0) // 3600 AS h FROM stats)) GROUP BY clip_id""", "stats"))
+def an4_summary(spark, sf):
+    return R.analytics_summary(t.analytics(spark, sf), NOW)
+
+
 @query("an_05_posts_due", sql(f"""SELECT p.clip_id, p.platform, p.posted_at, CAST(a.age AS BIGINT) AS age_s FROM stat_posts p, (VALUES (86400), (259200)) a(age)
    WHERE status = 'posted' AND external_id <> '' AND posted_at BETWEEN {NOW - 17 * 86400} - age - 10800 AND {NOW - 17 * 86400} - age + 10800 AND NOT EXISTS (
      SELECT 1 FROM stats s WHERE s.clip_id = p.clip_id AND s.platform = p.platform
@@ -134,6 +143,16 @@ def an10(spark, sf):
     return R.show_loudness(m).withColumn("integrated_lufs", F.round("integrated_lufs", 6))
 
 
+@query("an_10_merged_loudness", """SELECT 'show_' || c_nationkey AS show_slug, round(avg(c_acctbal), 6) AS integrated_lufs,
+   max(c_custkey) AS measured_at, count(*) AS episode_count FROM customer GROUP BY ALL""")
+def an10_merged(spark, sf):
+    """Stored averages of two thirds of the measurements, the others folded in."""
+    m = t.read(spark, sf, "customer").select(F.concat(F.lit("show_"), "c_nationkey").alias("show_slug"),
+                                             F.col("c_acctbal").alias("lufs"), F.col("c_custkey").alias("measured_at"))
+    stored = R.show_loudness(m.filter(F.col("measured_at") % 3 != 0))
+    return R.merge_show_loudness(stored, m.filter(F.col("measured_at") % 3 == 0)).withColumn("integrated_lufs", F.round("integrated_lufs", 6))
+
+
 _VIEWS = """v AS (SELECT clip_id, CAST(sum(x) AS BIGINT) AS views FROM (SELECT clip_id, platform,
    arg_max(views, fetched_at * 100000000 + views) AS x FROM stats GROUP BY ALL) GROUP BY clip_id)"""
 

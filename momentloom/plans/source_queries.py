@@ -67,17 +67,57 @@ def exact(ms):
     return F.concat(F.floor(ms / 1000), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"))
 
 
-@query("src_02_silence_log", sql("""SELECT episode_id, CAST(round(greatest(s, 0) * 1000) AS BIGINT) AS start_ms, CAST(round(e * 1000) AS BIGINT) AS end_ms
+_SILENCE_SQL = sql("""SELECT episode_id, CAST(round(greatest(s, 0) * 1000) AS BIGINT) AS start_ms, CAST(round(e * 1000) AS BIGINT) AS end_ms
    FROM (SELECT *, lag(CASE WHEN k = 's' THEN v END) OVER (PARTITION BY episode_id ORDER BY event_id) AS s, v AS e FROM (
      SELECT episode_id, event_id, CASE WHEN event_type = 'view' THEN 's' ELSE 'e' END AS k,
        CASE WHEN event_type = 'view' THEN round(value - 5, 2) ELSE round(value, 2) END AS v
-     FROM ev WHERE event_type IN ('view', 'click'))) WHERE k = 'e' AND s IS NOT NULL AND e > greatest(s, 0)""", "ev"))
-def src2(spark, sf):
+     FROM ev WHERE event_type IN ('view', 'click'))) WHERE k = 'e' AND s IS NOT NULL AND e > greatest(s, 0)""", "ev")
+
+
+def silence_lines(spark, sf):
     kind = F.col("event_type")
     line = (F.when(kind == "view", F.concat(F.lit("[det @ 0x1] silence_start: "), secs(F.round(F.col("value") - 5, 2))))
             .when(kind == "click", F.concat(F.lit("[det @ 0x1] silence_end: "), secs(F.col("value")), F.lit(" | silence_duration: 9.9")))
             .otherwise("frame= 12 fps=0.0"))
-    return logs.read_silence_log(log_of(spark, sf, line))
+    return log_of(spark, sf, line)
+
+
+@query("src_02_silence_log", _SILENCE_SQL)
+def src2(spark, sf):
+    return logs.read_silence_log(silence_lines(spark, sf))
+
+
+def write_logs(lines, path):
+    """One file per recording, named by it, as the tools leave them."""
+    def write(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(path)
+        out, name, n = None, None, 0
+        for pdf in batches:
+            for episode, line in zip(pdf["episode_id"], pdf["line"]):
+                if episode != name:
+                    if out is not None:
+                        out.close()
+                    name, n = episode, n + 1
+                    store.create_dir(base, recursive=True)
+                    out = store.open_output_stream(f"{base}/{episode}.log")
+                out.write(line.encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    lines.repartition("episode_id").sortWithinPartitions("episode_id", "ord").select("episode_id", "line").mapInPandas(write, "n long").collect()
+
+
+@query("src_02_silence_files", _SILENCE_SQL)
+def src2_files(spark, sf):
+    """The same lines from files."""
+    path = shared_dir(spark, "logs")
+    write_logs(silence_lines(spark, sf), path if ":" in path else f"file://{path}")
+    read = logs.read_silence_log(logs.read_log_lines(spark, path))
+    return read.select(F.col("episode_id").cast("bigint").alias("episode_id"), "start_ms", "end_ms")
 
 
 @query("src_03_shot_log", sql("""SELECT episode_id, t AS t_ms FROM walk WHERE keep""", "ev", recursive=True, extra="""
@@ -207,30 +247,32 @@ def src10(spark, sf):
                       "clip_stride_secs", "clip_video_preset", "asd_enabled")
 
 
-_ID = "AbCdEf-_0123"
-
-
-@query("src_11_link_ids", f"""SELECT doc_id, CASE doc_id % 5
-   WHEN 0 THEN '{_ID}' || doc_id WHEN 1 THEN '{_ID}B' || doc_id || ',{_ID}' || doc_id WHEN 2 THEN '{_ID}x' || doc_id
-   WHEN 3 THEN '' ELSE '{_ID}q' || doc_id || ',{_ID}z' END AS ids FROM documents""")
+# Ids and labels are taken from the texts, so that a row can't be right without its text.
+@query("src_11_link_ids", """SELECT doc_id, CASE doc_id % 5
+   WHEN 0 THEN h WHEN 1 THEN 'B-' || h || ',' || h WHEN 2 THEN h || '_x' WHEN 3 THEN '' ELSE h || 'q,' || h || 'z' END AS ids
+   FROM (SELECT doc_id, md5(text) AS h FROM documents)""")
 def src11(spark, sf):
-    d = F.col("doc_id")
+    d, h = F.col("doc_id"), F.md5("text")
     g = "https://drive.google.com"
-    body = (F.when(d % 5 == 0, F.concat(F.lit(f"see {g}/file/d/{_ID}"), d, F.lit(f"/view and {g}/file/d/{_ID}"), d))
-            .when(d % 5 == 1, F.concat(F.lit(f"{g}/open?id={_ID}"), d, F.lit(f" {g}/drive/u/0/file/d/{_ID}B"), d))
-            .when(d % 5 == 2, F.concat(F.lit("https://www.google.com/url?sa=D&amp;q=https%3A%2F%2Fdrive.google.com%2Ffile%2Fd%2F" + _ID + "x"), d, F.lit("%2Fview&amp;ust=1")))
+    body = (F.when(d % 5 == 0, F.concat(F.lit(f"see {g}/file/d/"), h, F.lit(f"/view and {g}/file/d/"), h))
+            .when(d % 5 == 1, F.concat(F.lit(f"{g}/open?id="), h, F.lit(f" {g}/drive/u/0/file/d/B-"), h))
+            .when(d % 5 == 2, F.concat(F.lit("https://www.google.com/url?sa=D&amp;q=https%3A%2F%2Fdrive.google.com%2Ffile%2Fd%2F"), h, F.lit("_x%2Fview&amp;ust=1")))
             .when(d % 5 == 3, "https://drive.google.com/open?id=short")
-            .otherwise(F.concat(F.lit(f"{g}/drive/folders/{_ID}q"), d, F.lit(f" x?a=1&id={_ID}z"))))
-    rows = t.read(spark, sf, "documents").select("doc_id", F.concat(body, F.lit(" "), "text").alias("body"))
+            .otherwise(F.concat(F.lit(f"{g}/drive/folders/"), h, F.lit("q x?a=1&id="), h, F.lit("z"))))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    rows = t.read(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit("\n"), body, F.lit("\n"), F.substring("text", half + 1, F.char_length("text"))).alias("body"))
     return messages.extract_link_ids(rows).select("doc_id", F.array_join("link_ids", ",").alias("ids"))
 
 
-@query("src_12_directives", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'clip_' || (doc_id % 9) WHEN 1 THEN 'clip_02,clip_10' ELSE '' END AS labels FROM documents""")
+@query("src_12_directives", """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'clip_' || n WHEN 1 THEN 'clip_' || n || '1,clip_' || n || '2' ELSE '' END AS labels
+   FROM (SELECT doc_id, length(text) AS n FROM documents)""")
 def src12(spark, sf):
-    d = F.col("doc_id")
-    lead = (F.when(d % 3 == 0, F.concat(F.lit("VETO:Clip_"), d % 9)).when(d % 3 == 1, "veto: clip_10, veto:  CLIP_02 veto: clip_10")
+    d, n = F.col("doc_id"), F.char_length("text")
+    lead = (F.when(d % 3 == 0, F.concat(F.lit("VETO:Clip_"), n))
+            .when(d % 3 == 1, F.concat(F.lit("veto: clip_"), n, F.lit("2, veto:  CLIP_"), n, F.lit("1 veto: clip_"), n, F.lit("2")))
             .otherwise("noveto: clip_1"))
-    rows = t.read(spark, sf, "documents").select("doc_id", F.concat(lead, F.lit(" \n"), "text").alias("body"))
+    half = F.floor(n / 2).cast("int")
+    rows = t.read(spark, sf, "documents").select("doc_id", F.concat(F.substring("text", F.lit(1), half), F.lit("\n"), lead, F.lit(" \n"), F.substring("text", half + 1, n)).alias("body"))
     return messages.extract_directives(rows).select("doc_id", F.array_join("labels", ",").alias("labels"))
 
 

@@ -297,9 +297,9 @@ def six_word_segments(spark, sf):
    FROM (SELECT *, coalesce(sum(strlen(piece)) OVER (PARTITION BY episode_id, minute ORDER BY ord
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
      FROM (SELECT episode_id, ord, start_ms // 60000 AS minute, text || ' ' AS piece FROM segs))
-   WHERE b < 200 GROUP BY episode_id, minute) WHERE rn <= 180""", "words", extra=_SEGS))
+   WHERE b < 800 GROUP BY episode_id, minute) WHERE rn <= 180""", "words", extra=_SEGS))
 def int17(spark, sf):
-    return I.minute_index(six_word_segments(spark, sf), max_bytes=200)
+    return I.minute_index(six_word_segments(spark, sf))
 
 
 @query("int_18_sample_times", sql("""SELECT id AS clip_id, 'mid' AS mode, i AS sample_idx, round(start_ms + (i + 0.5) * d / n, 3) AS t_ms FROM (

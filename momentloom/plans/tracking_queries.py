@@ -141,21 +141,25 @@ def trk6(spark, sf):
     return e.select("clip_id", "frame_idx", "track_id", "x1")
 
 
-# The hold rule as SQL sees it: walk the frames of a clip in order.
-_HOLD = """el AS (SELECT CAST(user_id AS BIGINT) AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_idx,
-     CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 END AS win FROM events),
-   walk AS (SELECT clip_id, frame_idx, win, win AS held, NULL::INTEGER AS ch, 0 AS streak FROM el WHERE frame_idx = 1
+def hold_sql(el: str) -> str:
+    """The hold rule as SQL sees it: walk the frames of a clip (``el``: clip_id, frame_idx from 1,
+    win) in order; a challenger needs three frames in a row."""
+    return f"""walk_hold AS (SELECT clip_id, frame_idx, win, win AS held, NULL::BIGINT AS ch, 0 AS streak FROM {el} WHERE frame_idx = 1
      UNION ALL SELECT e.clip_id, e.frame_idx, e.win,
        CASE WHEN w.held IS NULL THEN e.win WHEN e.win IS NULL OR e.win = w.held THEN w.held
-            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 2 THEN e.win ELSE w.held END,
+            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 3 THEN e.win ELSE w.held END,
        CASE WHEN w.held IS NULL OR e.win IS NULL OR e.win = w.held THEN NULL
-            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 2 THEN NULL ELSE e.win END,
+            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 3 THEN NULL ELSE e.win END,
        CASE WHEN w.held IS NULL OR e.win IS NULL OR e.win = w.held THEN 0
-            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 2 THEN 0 ELSE (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) END
-     FROM walk w JOIN el e ON e.clip_id = w.clip_id AND e.frame_idx = w.frame_idx + 1)"""
+            WHEN (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) >= 3 THEN 0 ELSE (CASE WHEN w.ch = e.win THEN w.streak + 1 ELSE 1 END) END
+     FROM walk_hold w JOIN {el} e ON e.clip_id = w.clip_id AND e.frame_idx = w.frame_idx + 1)"""
+
+
+_HOLD = """el AS (SELECT CAST(user_id AS BIGINT) AS clip_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS frame_idx,
+     CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 END::BIGINT AS win FROM events), """ + hold_sql("el")
 
 
-@query("trk_07_hold_speaker", "WITH RECURSIVE " + _HOLD + " SELECT clip_id, frame_idx, CAST(held AS BIGINT) AS track_id FROM walk")
+@query("trk_07_hold_speaker", "WITH RECURSIVE " + _HOLD + " SELECT clip_id, frame_idx, CAST(held AS BIGINT) AS track_id FROM walk_hold")
 def trk7(spark, sf):
     from ..operators.scaling import block_of, running
     ev = t.events(spark, sf)
@@ -168,7 +172,7 @@ def trk7(spark, sf):
     boxes = base.withColumn("track_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<bigint>")))
     for c in K.BOX:
         boxes = boxes.withColumn(c, F.col("frame_idx").cast("double"))
-    return K.hold_speaker(base, boxes, 2).select("clip_id", "frame_idx", "track_id")
+    return K.hold_speaker(base, boxes, 3).select("clip_id", "frame_idx", "track_id")
 
 
 def centers(spark, sf):
@@ -180,26 +184,49 @@ def centers(spark, sf):
     return rows.withColumn("t_ms", F.col("t_ms") + F.col("t_ms") % 4 * 0.25)
 
 
-# The filter as a recursive query: position, slope and time of the last point.
-_EURO = """d AS (SELECT clip_id, t, x, row_number() OVER (PARTITION BY clip_id ORDER BY t) AS i FROM (
-     SELECT clip_id, (m + m % 4 * 0.25)::DOUBLE AS t, x FROM (
-       SELECT user_id AS clip_id, (epoch_us(ts) // 1000 - 1704067200000) // 60000 AS m, max(value) AS x FROM events
-       WHERE event_type IN ('view', 'click') GROUP BY ALL))),
-   walk AS (SELECT clip_id, t, i, x::DOUBLE AS v, 0::DOUBLE AS s FROM d WHERE i = 1
+def euro_sql(points: str) -> str:
+    """The filter as a recursive query over ``points`` (clip_id, t, x, i): position, slope and time
+    of the last point."""
+    return f"""walk_euro AS (SELECT clip_id, t, i, x::DOUBLE AS v, 0::DOUBLE AS s FROM {points} WHERE i = 1
      UNION ALL SELECT c.clip_id, c.t, c.i, CASE WHEN c.fresh THEN c.x ELSE c.k / (c.k + 1) * c.x + (1 - c.k / (c.k + 1)) * c.v END,
        CASE WHEN c.fresh THEN 0 ELSE c.slope END
      FROM (SELECT *, 2 * pi() * (1 + 0.007 * abs(slope)) * dt AS k FROM (SELECT *, a * ((x - v) / dt) + (1 - a) * s AS slope FROM (
        SELECT d.clip_id, d.t, d.i, d.x, w.v, w.s, (d.t - w.t) / 1000.0::DOUBLE AS dt, d.t - w.t >= 500 AS fresh,
          (2 * pi() * (d.t - w.t) / 1000.0::DOUBLE) / (2 * pi() * (d.t - w.t) / 1000.0::DOUBLE + 1) AS a
-       FROM walk w JOIN d ON d.clip_id = w.clip_id AND d.i = w.i + 1))) c)"""
+       FROM walk_euro w JOIN {points} d ON d.clip_id = w.clip_id AND d.i = w.i + 1))) c)"""
 
 
-@query("trk_08_one_euro", "WITH RECURSIVE " + _EURO + " SELECT clip_id, t::DOUBLE AS t_ms, round(v, 6) AS x FROM walk")
+_EURO = """d AS (SELECT clip_id, t, x, row_number() OVER (PARTITION BY clip_id ORDER BY t) AS i FROM (
+     SELECT clip_id, (m + m % 4 * 0.25)::DOUBLE AS t, x FROM (
+       SELECT user_id AS clip_id, (epoch_us(ts) // 1000 - 1704067200000) // 60000 AS m, max(value) AS x FROM events
+       WHERE event_type IN ('view', 'click') GROUP BY ALL))), """ + euro_sql("d")
+
+
+@query("trk_08_one_euro", "WITH RECURSIVE " + _EURO + " SELECT clip_id, t::DOUBLE AS t_ms, round(v, 6) AS x FROM walk_euro")
 def trk8(spark, sf):
     return K.one_euro(centers(spark, sf)).select("clip_id", "t_ms", F.round("x", 6).alias("x"))
 
 
-@query("trk_09_crop_path")
+# Track, score, elect, hold, smooth: the rules of the queries above, one on the other.
+_PATH = TRACK_NN[:TRACK_NN.rindex("SELECT clip_id, frame_idx, det_idx, id AS track_id")] + """, tr AS (SELECT w.clip_id, w.frame_idx, w.det_idx, w.id AS track_id, d.t_ms, d.conf,
+     (d.x1 + d.x2) / 2 AS cx, (d.y1 + d.y2) / 2 AS cy FROM walk w JOIN dets d ON d.clip_id = w.clip_id AND d.frame_idx = w.frame_idx AND d.det_idx = w.det_idx),
+   pres AS (SELECT DISTINCT clip_id, track_id, t_ms FROM tr),
+   sc AS (SELECT p.clip_id, p.track_id, count(DISTINCT t_ms) * 250.0 AS presence_ms, coalesce(sum(greatest(least(t_ms + 250, s + 400) - greatest(t_ms, s), 0)), 0)::DOUBLE AS overlap_ms
+     FROM pres p LEFT JOIN sp ON sp.clip_id = p.clip_id GROUP BY ALL),
+   won AS (SELECT tr.clip_id, tr.frame_idx, arg_max(tr.track_id, {'r': round(least(overlap_ms / presence_ms, 1), 9), 'c': conf, 'd': det_idx}) AS win
+     FROM tr JOIN sc ON sc.clip_id = tr.clip_id AND sc.track_id = tr.track_id AND overlap_ms > 0
+     WHERE EXISTS (SELECT 1 FROM sp WHERE sp.clip_id = tr.clip_id AND tr.t_ms >= s AND tr.t_ms < s + 400) GROUP BY ALL),
+   el AS (SELECT clip_id, row_number() OVER (PARTITION BY clip_id ORDER BY frame_idx) AS frame_idx, frame_idx AS f, t_ms, win
+     FROM (SELECT DISTINCT clip_id, frame_idx, t_ms FROM tr) LEFT JOIN won USING (clip_id, frame_idx)), """ + hold_sql("el") + """,
+   boxes AS (SELECT h.clip_id, el.t_ms, last_value(tr.cx IGNORE NULLS) OVER o AS x, last_value(tr.cy IGNORE NULLS) OVER o AS y
+     FROM walk_hold h JOIN el ON el.clip_id = h.clip_id AND el.frame_idx = h.frame_idx LEFT JOIN tr ON tr.clip_id = h.clip_id AND tr.frame_idx = el.f AND tr.track_id = h.held
+     WINDOW o AS (PARTITION BY h.clip_id ORDER BY h.frame_idx)),
+   dx AS (SELECT clip_id, t_ms::DOUBLE AS t, x, row_number() OVER (PARTITION BY clip_id ORDER BY t_ms) AS i FROM boxes WHERE x IS NOT NULL),
+   dy AS (SELECT clip_id, t_ms::DOUBLE AS t, y AS x, row_number() OVER (PARTITION BY clip_id ORDER BY t_ms) AS i FROM boxes WHERE x IS NOT NULL), """ + euro_sql("dx") + ", " + euro_sql("dy").replace("walk_euro", "walk_y")
+
+
+@query("trk_09_crop_path", "WITH RECURSIVE " + _PATH + """ SELECT clip_id, w.t AS t_ms, round(w.v, 6) AS x, round(y.v, 6) AS y
+   FROM walk_euro w JOIN walk_y y USING (clip_id, i)""")
 def trk9(spark, sf):
     p = K.crop_path(detections(spark, sf), order_speech(spark, sf), distance=25.0)
     return p.select("clip_id", "t_ms", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -226,7 +253,7 @@ def caption_words(spark, sf):
 
 
 def phrases(spark, sf):
-    return C.caption_phrases(stage(caption_words(spark, sf), "clip_words"))
+    return C.caption_phrases(caption_words(spark, sf))
 
 
 _CAP = _CLIPSPAN + r""", tw AS (SELECT episode_id || '_' || clip_id AS clip_id, text, start_ms, end_ms,

@@ -198,3 +198,22 @@ def test_vetoes(spark):
         ("x", "to remove"), ("y", "already vetoed"), ("z", "no external_id recorded"), ("w", "platform not configured"), ("all", "clip 'clip_9' not found in database")}
     text = P.veto_confirmation(out).first().text
     assert text.startswith("Veto results:\n\nclip_03:\n") and "  [OK] x: removed\n" in text and "[FAIL] all: clip 'clip_9'" in text
+
+
+def test_ranks_of_one_score_only(spark):
+    """Ranges are cut inside the score that every row has."""
+    ranked = spark.range(4_000).select(F.lit(1).alias("episode_id"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("candidate_index"), F.lit(50).cast("bigint").alias("llm_score"),
+                                       (F.col("id") % 3).alias("vlm_score"))
+    got = R.rank_delta(ranked.repartition(8)).collect()
+    by = sorted(got, key=lambda r: r.candidate_index)
+    assert [r.first_rank for r in by] == list(range(1, 4_001))
+    second = sorted(got, key=lambda r: (-r.vlm_score, r.candidate_index))
+    assert [r.second_rank for r in second] == list(range(1, 4_001)) and all(r.rank_delta == r.first_rank - r.second_rank for r in got)
+
+
+def test_analytics_summary_by_day(spark):
+    day = 86_400
+    rows = [("c", "x", t, v, None, None, None, None, None) for t, v in ((3 * day, 3), (5, 1), (day + 9, 2), (6, None))]
+    a = spark.createDataFrame(rows, "clip_id string, platform string, fetched_at bigint, views bigint, likes bigint, reposts bigint, replies bigint, ctr double, watch_pct double")
+    got = R.analytics_summary(a, 3 * day).first().summary
+    assert got == "## Analytics\n\n  x (fetched 71h ago): 1 views\n  x (fetched 47h ago): 2 views\n  x (just now): 3 views\n"

@@ -10,6 +10,42 @@ from momentloom.operators import tracking as K
 DET = "episode_id bigint, clip_id bigint, frame_idx bigint, t_ms bigint, det_idx bigint, x1 double, y1 double, x2 double, y2 double, conf double"
 
 
+def box_iou(a, b):
+    """Overlap share of two boxes, in plain Python."""
+    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
+    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
+    return w * h / union if union > 0 else 0.0
+
+
+def euro_axis(params):
+    """One-Euro filter of one axis in plain Python: a function of (seconds, value)."""
+    low, beta, d_cut = params
+    state = []
+
+    def share(dt, cutoff):
+        r = 2.0 * math.pi * cutoff * dt
+        return r / (r + 1.0)
+
+    def feed(t, x):
+        if not state:
+            state[:] = [x, 0.0, t]
+            return x
+        value, slope, then = state
+        dt = t - then
+        if dt <= 0.0:
+            return value
+        a = share(dt, d_cut)
+        slope = a * ((x - value) / dt) + (1.0 - a) * slope
+        a = share(dt, low + beta * abs(slope))
+        value = a * x + (1.0 - a) * value
+        state[:] = [value, slope, t]
+        return value
+
+    return feed
+
+
+
 def det(frame, idx, x, y, w=100, conf=.9, clip=1):
     return (1, clip, frame, frame * 250, idx, float(x), float(y), float(x + w), float(y + w), conf)
 
@@ -27,7 +63,7 @@ def test_iou(spark):
     assert iou(spark, (0, 0, 10, 10), (20, 20, 30, 30)) == 0
     assert iou(spark, (0, 0, 10, 10), (0, 5, 10, 15)) == pytest.approx(1 / 3)
     assert iou(spark, (0, 0, 0, 0), (0, 0, 0, 0)) == 0
-    assert K.box_iou((0, 0, 10, 10), (0, 5, 10, 15)) == pytest.approx(1 / 3)
+    assert box_iou((0, 0, 10, 10), (0, 5, 10, 15)) == pytest.approx(1 / 3)
 
 
 def test_nms(spark, rows):
@@ -42,7 +78,7 @@ def test_nms_brute_force(spark):
     for f in range(30):
         kept = []
         for d in sorted((d for d in data if d[2] == f), key=lambda d: -d[9]):
-            if all(K.box_iou(k[5:9], d[5:9]) <= .3 for k in kept):
+            if all(box_iou(k[5:9], d[5:9]) <= .3 for k in kept):
                 kept.append(d)
         want += [(d[2], d[4]) for d in kept]
     assert sorted((r.frame_idx, r.det_idx) for r in K.nms(frame_of(spark, data), .3).collect()) == sorted(want)
@@ -59,7 +95,7 @@ def slow_iou_tracks(data, thr):
                 seen.append((fresh, d))
                 fresh += 1
         else:
-            pairs = sorted(((K.box_iou(p[1][5:9], d[5:9]), i, j) for i, p in enumerate(seen) for j, d in enumerate(boxes)), key=lambda x: -x[0])
+            pairs = sorted(((box_iou(p[1][5:9], d[5:9]), i, j) for i, p in enumerate(seen) for j, d in enumerate(boxes)), key=lambda x: -x[0])
             up, ud, now = set(), set(), []
             for v, i, j in pairs:
                 if v >= thr and i not in up and j not in ud:
@@ -178,7 +214,7 @@ def test_one_euro(spark):
     df = spark.createDataFrame(pts, "episode_id bigint, clip_id bigint, t_ms bigint, x double, y double")
     out = [r.x for r in K.one_euro(df).orderBy("t_ms").collect()]
     assert len(out) == 22 and out[0] == 100 and out[20] == 800 and 800 < out[21] < 900
-    fx = K.euro_axis(K.ONE_EURO)
+    fx = euro_axis(K.ONE_EURO)
     assert out[:20] == pytest.approx([fx(i * .05, 100.0 + i) for i in range(20)])
     assert all(99 <= x <= 119 for x in out[:20])
 
