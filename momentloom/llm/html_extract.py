@@ -4,7 +4,8 @@ The pages of a host are merged into one tree: a node is a path of block elements
 classes. A node whose text is the same on many pages of the host has little content importance (one
 less the mean entropy of its text features over the pages), one that always has the same children
 little presentation importance (the entropy of its child sequences); branches of low importance
-are template, not article. What elements and classes say about themselves (navigation, footer,
+are template, not article. How low, the host's own nodes say: importance falls by a step from what
+holds most of its text to its template. What elements and classes say about themselves (navigation, footer,
 advert, comments, ...) is believed from the first page on, also where a host has too few pages. Copies
 of an article count as one page, and what a marked article holds is never taken for template.
 """
@@ -17,12 +18,15 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from momentloom.session import stage
 
 #: Pages of distinct articles a node must be on before its entropy says anything; importance below which it is
-#: template; weight of presentation beside content.
+#: template on a host without a step; weight of presentation beside content.
 LEAST_PAGES, LOW, PRESENTATION = 8, 0.2, 0.1
+#: A step between the importances of a host's nodes, and the share of its text that has to lie above it.
+STEP, MAIN_SHARE = 0.1, 0.5
 
 # Elements of HTML by what they do to text.
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "noscript", "template"}
@@ -34,17 +38,20 @@ _NOISE = set("nav footer aside form head menu dialog button select option optgro
              "map applet search datalist".split())
 _NOISE_WORDS = set("ad ads adv advert adverts advertisement advertisements advertising adbox adsense sponsor sponsored promo promotion banner "
                    "menu nav navbar navigation breadcrumb breadcrumbs sidebar side rail widget widgets footer masthead toolbar comment comments "
-                   "discussion disqus respond replies reply cookie cookies consent gdpr notice notices notification alert popup modal "
+                   "discussion disqus respond responses replies reply cookie cookies consent gdpr notice notices notification alert popup modal "
                    "overlay share sharing social related recommended recommendations newsletter subscribe subscription signup login "
                    "signin search pagination pager skip hidden".split())
 _NOISE_ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 _KEEP_TAGS = {"html", "body", "article", "main"}
+_COMMENTS = {"comments", "responses", "replies", "disqus", "discussion"}
+#: Inside an article these are its text, whatever their classes.
+_TEXT_TAGS = set("p h1 h2 h3 h4 h5 h6 li dd dt td th blockquote pre caption figcaption summary".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}, "option": {"option"}, "body": {"head"}}
 _FENCE = {"ul", "ol", "dl", "table", "article", "section", "div", "nav", "aside", "main", "body", "html", "blockquote", "form", "footer", "header"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+                    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)  # only a quote behind = opens a value
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -70,7 +77,10 @@ class _Element:
         role = attrs.get("role", "").lower()
         own = tag in _NOISE or role in _NOISE_ROLES or (tag == "header" and not inside) or "hidden" in attrs or attrs.get("aria-hidden") == "true" \
             or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        if tag not in _KEEP_TAGS or (tag == "article" and inside):
+        if self.level == 2 and tag != "article":
+            # An article's own parts are called many things; only a class that is such a word as a whole counts.
+            own = own or (tag not in _TEXT_TAGS and bool(set(attrs.get("class", "").lower().split()) & _NOISE_WORDS)) or bool(words & _COMMENTS)
+        elif tag not in _KEEP_TAGS or (tag == "article" and inside):
             own = own or bool(words & _NOISE_WORDS) or ("header" in words and not inside)
         self.noise = self.noise or own
         if not self.noise:
@@ -78,13 +88,15 @@ class _Element:
                 self.level = 2
             elif tag == "main" or role == "main":
                 self.level = max(self.level, 1)
+            elif tag == "h1" and self.level == 1:
+                self.level = 2  # the title of an article that begins behind it
 
 
 def parse(html: str) -> tuple[list[tuple[str, str, int]], list[tuple[str, str]]]:
     """Text blocks (text, node path, level) in page order, without those that elements and classes
     call noise, and the nodes with their child sequences. Level 2 is inside an article, 1 inside
     main. A block ends where a block element begins or ends; ``br`` and inline elements don't end
-    it. Unclosed and misnested tags, comments and cut-off pages are read as browsers do, roughly.
+    it. Unclosed and misnested tags, comments, stray quotes and cut-off pages are read as browsers do, roughly.
     """
     root = _Element("html", {}, None)
     stack, blocks, styles, text = [root], [], [], []
@@ -215,18 +227,21 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 
 def node_importance(parsed: DataFrame) -> DataFrame:
-    """host, node, n_pages, content, presentation, importance of each node with text.
+    """host, node, n_pages, chars, content, presentation, importance of each node with text.
 
     Pages are counted by distinct articles, so copies say no more than one page. The tree of a
     host is the table of its nodes: rows are combined before each shuffle, so a host with a
     third of all pages is no more than its nodes and articles. Entropies are in units of the
-    logarithm of the node's pages; a node on fewer than ``LEAST_PAGES`` pages has importance 1.
+    logarithm of the node's pages, a feature weighing as much as the pages it is on; a node on fewer
+    than ``LEAST_PAGES`` pages has importance 1.
     """
-    texts = parsed.select("host", "article", F.explode(F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), b["feature"].alias("feature")))).alias("x"))
-    features = texts.select("host", "article", "x.node", "x.feature").distinct().groupBy("host", "node", "feature").agg(F.count(F.lit(1)).alias("n"))
+    texts = parsed.select("host", "article", F.explode(F.transform("blocks", lambda b: F.struct(
+        b["node"].alias("node"), b["feature"].alias("feature"), F.char_length(b["text"]).alias("chars")))).alias("x"))
+    features = texts.select("host", "article", "x.node", "x.feature", "x.chars").distinct().groupBy("host", "node", "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.max("chars").alias("chars"))
     nodes = (parsed.select("host", "article", F.explode(F.array_distinct(F.col("blocks.node"))).alias("node")).distinct()
              .groupBy("host", "node").agg(F.count(F.lit(1)).alias("n_pages")))
-    spread = features.groupBy("host", "node").agg(F.avg(F.log("n")).alias("_content"))
+    spread = features.groupBy("host", "node").agg((F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("_content"), F.sum(F.col("n") * F.col("chars")).alias("chars"))
     styles = (parsed.select("host", "article", F.explode("styles").alias("x")).select("host", "article", "x.node", "x.style").distinct()
               .groupBy("host", "node", "style").agg(F.count(F.lit(1)).alias("n"))
               .groupBy("host", "node").agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("_style")))
@@ -235,10 +250,26 @@ def node_importance(parsed: DataFrame) -> DataFrame:
     return (nodes.join(spread, ["host", "node"]).join(styles, ["host", "node"], "left")
             .withColumn("content", F.when(few, 1.0).otherwise(1 - F.col("_content") / whole))
             .withColumn("presentation", F.when(few, 1.0).otherwise(F.least(F.lit(1.0), F.coalesce("_style", F.lit(0.0)) / whole)))
-            .select("host", "node", "n_pages", "content", "presentation",
+            .select("host", "node", "n_pages", "chars", "content", "presentation",
                     F.when(few, 1.0).otherwise(F.col("content") * (1 - PRESENTATION) + F.col("presentation") * PRESENTATION).alias("importance")))
 
 
+def template_nodes(importance: DataFrame) -> DataFrame:
+    """host, node of the nodes that are template.
+
+    A host's nodes in order of importance: the highest step of ``STEP`` or more above which lie
+    ``MAIN_SHARE`` of the host's text parts article from template. Without one, ``LOW`` does. Nodes
+    on few pages lie above all steps.
+    """
+    up = W.partitionBy("host").orderBy("importance", "node")
+    down = W.partitionBy("host").orderBy(F.desc("importance"), F.desc("node")).rowsBetween(W.unboundedPreceding, 0)
+    above = F.sum("chars").over(down) / F.sum("chars").over(W.partitionBy("host"))
+    step = (F.col("importance") - F.lag("importance").over(up) >= STEP) & (above >= MAIN_SHARE)
+    marked = importance.withColumn("_edge", F.when(step, F.col("importance")))
+    cut = F.coalesce(F.max("_edge").over(W.partitionBy("host")), F.lit(LOW))
+    return marked.withColumn("_cut", cut).filter(F.col("importance") < F.col("_cut")).select("host", "node")
+
+
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text per row of ``pages`` (page_id, url, html).
 
@@ -251,7 +282,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     parsed = stage(parse_pages(pages), "parsed")
     # Written first, so that Spark knows its size: a small table goes to the pages, not they to it.
-    low = stage(node_importance(parsed).filter(F.col("importance") < LOW).groupBy("host").agg(F.collect_set("node").alias("low")), "low")
+    low = stage(template_nodes(node_importance(parsed)).groupBy("host").agg(F.collect_set("node").alias("low")), "low")
     level = F.coalesce(F.array_max(F.col("blocks.level")), F.lit(0))
     rows = parsed.select("page_id", "url", "host", F.filter("blocks", lambda b: b["level"] == level).alias("blocks")).join(low, "host", "left")
     high = F.filter("blocks", lambda b: (b["level"] == 2) | ~F.array_contains(F.coalesce("low", F.array().cast("array<bigint>")), b["node"]))

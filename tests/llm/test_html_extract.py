@@ -13,6 +13,19 @@ def test_blocks_of_broken_and_whole_pages():
     assert text("<p>a<script>never closed") == ["a"] and text("a < b <3") == ["a < b <3"]
 
 
+def test_quotes_open_a_value_only_behind_an_equals_sign():
+    assert text("<p data-x=it's>Hello</p><p>don't go</p>") == ["Hello", "don't go"]
+    assert text('<p title="5" tall">Hello</p>') == ["Hello"] and text("<p title='a>b' x = \"c>d\">Hello</p>") == ["Hello"]
+    assert text('<p title="never closed>Hello</p>') == ["Hello"]
+
+
+def test_titles_and_parts_of_articles():
+    levels = [b[0] for b in H.parse("<main><h1>Title</h1><article><p>story</p></article></main>")[0] if b[2] == 2]
+    assert levels == ["Title", "story"]
+    assert text('<article><p class="social">a</p><section id="search"><p>b</p></section><div class="related-work">c</div><div class="social">no</div>'
+                '<div class="reader-responses"><p>troll</p></div></article>') == ["a", "b", "c"]
+
+
 def test_noise_by_element_class_and_role():
     noise = ("<header>H</header><nav><ul><li>m</ul></nav><aside>s</aside><div class='ad'>buy</div><form>f<input></form><div id=cookie-notice>c</div>"
              "<section class='comments'><article><p>troll</p></article></section><div role=banner>b</div><div hidden>h</div><footer>&copy;</footer>"
@@ -38,6 +51,24 @@ def test_template_goes_where_a_site_shows_it(spark):
     assert {(100, "Welcome to the site\nlone"), (101, ""), (102, ""), (103, "Welcome to the site"), (0, "again")} <= got
 
 
+def test_the_tree_finds_template_that_no_class_names(spark):
+    """Navigation and adverts change from page to page, but less than the articles do."""
+    import random
+
+    rand = random.Random(2)
+    words = [f"w{k}" for k in range(4_000)]
+    said = lambda n: " ".join(rand.sample(words, n))
+    rows, want = [], {}
+    for i in range(200):
+        story = [f"Title {i}", *(said(20) for _ in range(4))]
+        nav = "".join(f"<div class=x-item>Topic {rand.randrange(12)}</div>" for _ in range(5))
+        rows.append((i, f"http://{'ab'[i % 2]}.org/{i}", f"<body><div class=x-top>{nav}</div><div class=x-spot>Offer {rand.randrange(9)}</div>"
+                     f"<div class=x-story><h1>{story[0]}</h1>{''.join(f'<p>{x}</p>' for x in story[1:])}</div><div class=x-end>All rights</div></body>"))
+        want[i] = "\n".join(story)
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def rows0():
     return "<nav>n</nav><article><p>again</p></article>"
 
