@@ -3,7 +3,8 @@
 Each entity found gets one stand-in everywhere, made from a keyed hash of its canonical form and
 shaped like it: an e-mail stays an address of the same lengths, a card keeps its first digit and
 a valid check digit, a name keeps gender, script and case. Two entities never share a stand-in,
-and none is another entity of the corpus: clashes are found and drawn again.
+and none is another entity of the corpus: clashes are found and drawn again. A name found once in a
+text is replaced wherever else it stands in that text, with or without its title.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from momentloom.session import stage
 
 _TITLE_M = "Mr|Herr|Monsieur|Señor|Sr|Г-н"
 _TITLE_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
-_TITLE = f"{_TITLE_M}|{_TITLE_F}"
-_NAME = r"\p{Lu}[\p{L}'’\-]++"
+_DEGREES = ("Dr", "Prof", "Dra")
+_TITLE = "|".join((_TITLE_M, _TITLE_F, *_DEGREES))
+#: A name; the s of a possessive is not its part.
+_NAME = r"\p{Lu}(?:[\p{L}\-]|['’](?!s(?![\p{L}\p{N}_])))++"
 _STOP = r"(?![\p{L}\p{N}_])"
 _SECRETS = tuple(form(w) for w in ("token", "secret", "password", "passwort", "passwd", "api_key", "api-key", "apikey")
                  for form in (str.lower, str.upper, str.capitalize))
@@ -37,9 +40,10 @@ KINDS = {
     "ssn": r"(?=\d)(?<![.\-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_\-])",
     "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<![\p{{L}}\p{{N}}_])(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,100}} )?){_NAME}",
 }
-ALL = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(KINDS.values())})"
+_START = r"(?<![\p{L}\p{N}_])"
+ALL = rf"{_START}(?:{'|'.join(KINDS.values())})"
 #: Every text with an entity has a digit, an @, 32 letters a-f, or one of these; most have none.
-HINTS = (*_SECRETS, *_TITLE.split("|"), "AKIA")
+HINTS = (*_SECRETS, *_TITLE_M.split("|"), *_TITLE_F.split("|"), *(f"{t}{dot} " for t in _DEGREES for dot in ("", ".")), "AKIA")
 NAMES = ("given_m", "given_f", "family")
 #: Draws in an entity's own shape; each later one may be a character longer, so that also shapes
 #: of which the corpus holds most get stand-ins. The last draws have far more room than any corpus.
@@ -159,12 +163,37 @@ def _spell(raw: Column, kind: Column, stand_in: Column) -> Column:
     return (F.when(stand_in.isNull(), raw).when(kind.isin("phone", "card"), numbers).when(kind.isin(*NAMES), name).otherwise(cased))
 
 
+def _pieces(texts: DataFrame, pattern: Column, *kept: str) -> DataFrame:
+    """seps and found (raw, kind) of ``texts`` by a pattern, which may differ from row to row."""
+    rows = texts.select(*kept, F.split("text", pattern).alias("seps"), F.regexp_extract_all("text", pattern, F.lit(0)).alias("_raw"))
+    return rows.select(*kept, "seps", F.transform("_raw", lambda raw, i: F.struct(raw.alias("raw"), _kind(i).alias("kind"))).alias("found"))
+
+
 def find_entities(texts: DataFrame) -> DataFrame:
     """Per row of ``texts`` (key, text): key, seps, found, the pieces around the entities, and
-    per entity raw, kind (null: looks like one, but is left) and canon."""
-    rows = texts.select("key", F.split("text", ALL).alias("seps"), F.regexp_extract_all("text", F.lit(ALL), F.lit(0)).alias("_raw"))
-    rows = rows.select("key", "seps", F.transform("_raw", lambda raw, i: F.struct(raw.alias("raw"), _kind(i).alias("kind"))).alias("_f"))
-    return rows.select("key", "seps", F.transform("_f", lambda x: F.struct(x["raw"].alias("raw"), x["kind"].alias("kind"), _canon(x["raw"], x["kind"]).alias("canon"))).alias("found"))
+    per entity raw, kind (null: looks like one, but is left) and canon.
+
+    A text with titled names is searched again for each of these names as a whole word; such a
+    mention is of the kind that the name had behind its title.
+    """
+    first = _pieces(texts, F.lit(ALL), "key", "text")
+    named = F.filter("found", lambda x: x["kind"].isin(*NAMES) & (F.char_length(x["raw"]) > 1))
+    first = first.withColumn("_names", F.array_distinct(named))
+    alone = first.filter(F.size("_names") == 0).select("key", "seps", "found")
+    # Longer names first: a name may begin with another.
+    words = F.transform(F.array_sort(F.transform("_names", lambda x: F.struct((-F.char_length(x["raw"])).alias("n"), x["raw"].alias("raw")))), lambda x: x["raw"])
+    own = F.concat(F.lit(f"{ALL}|{_START}(?:\\Q"), F.array_join(words, "\\E|\\Q"), F.lit(f"\\E){_STOP}"))
+    again = _pieces(first.filter(F.size("_names") > 0).withColumn("_own", own), F.col("_own"), "key", "_names")
+    before = lambda i: F.get("seps", i).rlike(rf"(?:{_TITLE})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,100}} )?$")
+
+    def known(x, i):
+        """What a bare mention is: the kind of that name elsewhere in the text."""
+        there = F.get(F.filter("_names", lambda n: n["raw"] == x["raw"]), F.lit(0))["kind"]
+        return F.struct(x["raw"].alias("raw"), F.when(x["kind"].isin(*NAMES) & ~F.coalesce(before(i), F.lit(False)), F.coalesce(there, x["kind"])).otherwise(x["kind"]).alias("kind"))
+
+    again = again.select("key", "seps", F.transform("found", known).alias("found"))
+    return alone.unionByName(again).select("key", "seps", F.transform("found", lambda x: F.struct(
+        x["raw"].alias("raw"), x["kind"].alias("kind"), _canon(x["raw"], x["kind"]).alias("canon"))).alias("found"))
 
 
 def may_have_entities(text: Column) -> Column:
