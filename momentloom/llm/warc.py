@@ -14,7 +14,7 @@ import re
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
-from urllib.parse import urlsplit
+from urllib.parse import quote, urlsplit
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,16 +51,38 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
+def target_uri(url: str) -> str:
+    """A URL as a header may hold it: what is not ASCII, and white space, is escaped."""
+    return quote(url, safe="%:/?#[]@!$&'()*+,;=-._~")
+
+
+def _header(kind: str, block: bytes, content: str, *more: str) -> bytes:
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_DATE}", *more,
+            f"Content-Type: {content}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + _END + block + _END
+
+
+def _info(name: str) -> bytes:
+    """The record an archive begins with."""
+    fields = "software: momentloom\r\nformat: WARC File Format 1.1\r\n".encode()
+    return _header("warcinfo", fields, "application/warc-fields", f"WARC-Filename: {name}")
+
+
+def _record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None, first_url: str | None = None) -> bytes:
+    """A record that any reader of WARC takes. What the format has no place for, the page's number
+    and a URL that its header can't hold as it is, stands in fields of our own."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-            f"WARC-Date: {_DATE}", f"WARC-Target-URI: {json.dumps(url)}", f"WARC-Payload-Digest: sha256:{digest}",
-            "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    more = [f"WARC-Target-URI: {target_uri(url)}"] if url else []
+    if url is not None and (not url or target_uri(url) != url):
+        more.append(f"X-Page-URL: {json.dumps(url)}")
+    more.append(f"WARC-Payload-Digest: sha256:{digest}")
+    if page_id is not None:
+        more.append(f"X-Page-ID: {page_id}")
     if kind == "revisit":
-        head[2:2] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
-                     f"WARC-Refers-To: <urn:page:{first}>"]
-    return "\r\n".join(head).encode() + _END + block + _END
+        more += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Date: {_DATE}", f"X-Refers-To-Page: {first}"]
+        more += [f"WARC-Refers-To-Target-URI: {target_uri(first_url)}"] if first_url else []
+    return _header(kind, block, "application/http; msgtype=response", *more)
 
 
 def _gzip(data: bytes) -> bytes:
@@ -77,18 +99,19 @@ def _parse(member: bytes) -> dict:
     http, _, payload = block.partition(_END)
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     digest = fields["WARC-Payload-Digest"].removeprefix("sha256:")
-    page = fields["WARC-Record-ID"][len("<urn:page:"):-1]
+    page, url = fields.get("X-Page-ID"), fields.get("WARC-Target-URI")
+    url = json.loads(fields["X-Page-URL"]) if "X-Page-URL" in fields else url
     kind = fields["WARC-Type"]
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError(f"record of page {page} does not hold what its header says")
-    refers = fields.get("WARC-Refers-To")
-    return {"page_id": int(page) if page else None, "url": json.loads(fields["WARC-Target-URI"]), "payload": payload if kind == "response" else None,
+    refers = fields.get("X-Refers-To-Page")
+    return {"page_id": int(page) if page else None, "url": url, "payload": payload if kind == "response" else None,
             "payload_bytes": size, "payload_digest": digest, "record_type": kind,
-            "refers_to": int(refers[len("<urn:page:"):-1]) if refers else None}
+            "refers_to": int(refers) if refers else None}
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """page_id, url, html (null: empty), digest, and the page a revisit refers to.
+    """page_id, url, html (null: empty), digest, and the page a revisit refers to with its URL.
 
     Of equal payloads of at least ``least`` bytes the smallest page_id is the response. Only
     digests are grouped (combined before the shuffle); the join back is left to Spark, which
@@ -98,10 +121,10 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.select("*", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     shared = (rows.filter(F.octet_length("html") >= least).groupBy("digest")
-              .agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    joined = rows.join(shared.select("digest", "_first"), "digest", "left")
-    return joined.select("page_id", "url", "html", "digest",
-                         F.when((F.col("page_id") != F.col("_first")) | F.col("page_id").isNull(), F.col("_first")).alias("refers_to"))
+              .agg(F.min("page_id").alias("_first"), F.min_by("url", "page_id").alias("_url"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    joined = rows.join(shared.select("digest", "_first", "_url"), "digest", "left")
+    revisit = (F.col("page_id") != F.col("_first")) | F.col("page_id").isNull()
+    return joined.select("page_id", "url", "html", "digest", F.when(revisit, F.col("_first")).alias("refers_to"), F.when(revisit, F.col("_url")).alias("refers_url"))
 
 
 def write_archives(records: DataFrame, path: str) -> DataFrame:
@@ -116,16 +139,19 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
         try:
             for batch in batches:
                 lines = []
-                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to")]
+                columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "refers_to", "refers_url")]
                 htmls = batch.column("html").cast(pa.large_binary())
-                for i, (page, url, digest, first) in enumerate(zip(*columns)):
+                for i, (page, url, digest, first, first_url) in enumerate(zip(*columns)):
                     if out is None or at >= ARCHIVE_BYTES:
                         if out is not None:
                             out.close()
                         name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
-                    member = _gzip(_record("response" if first is None else "revisit", page, url, htmls[i].as_py(), digest, first))
+                        about = _gzip(_info(name))
+                        out.write(about)
+                        at = len(about)
+                    member = _gzip(_record("response" if first is None else "revisit", page, url, htmls[i].as_py(), digest, first, first_url))
                     out.write(member)
                     lines.append((url_key(url), page, name, at, len(member)))
                     at += len(member)

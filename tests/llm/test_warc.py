@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import re
 from pathlib import Path
 
 from momentloom.llm import warc
@@ -31,8 +32,23 @@ def test_round_trip_through_the_index(spark, monkeypatch):
     assert {r.url for r in out} == {r[1] for r in rows}
     missing = spark.createDataFrame([("org,nowhere)/",), (None,)], "key string")
     assert {r.page_id for r in warc.lookup(missing, directory, index).collect()} == {60, 61}
-    member = next(Path(archives.removeprefix("file://")).glob("*.warc.gz")).read_bytes()
-    assert gzip.decompress(member).startswith(b"WARC/1.1\r\n")
+    ids = []
+    for file in Path(archives.removeprefix("file://")).glob("*.warc.gz"):
+        whole = gzip.decompress(file.read_bytes())
+        assert whole.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+        heads = whole.split(b"WARC/1.1\r\n")[1:]
+        ids += [re.search(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", h)[1] for h in heads]
+        assert all(b"WARC-Target-URI: http" in h for h in heads if b"X-Page-ID: 5\r\n" in h) and b"X-Page-ID: 60\r\nWARC-Target" not in whole
+    assert len(ids) == len(set(ids)) > len(rows)
+
+
+def test_addresses_in_headers():
+    for url in ("http://a.org/x y", "http://ä.org/ü?q=\r\nX: 1", "http://a.org/%20", "", None, " "):
+        record = warc._record("response", None, url, b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
+        head = record.split(b"\r\n\r\n")[0].decode("ascii")
+        got = warc._parse(warc._gzip(record))
+        assert got["url"] == url and got["page_id"] is None and ("\nX: 1" not in head)
+    assert warc.target_uri("http://a.org/x y?é") == "http://a.org/x%20y?%C3%A9"
 
 
 def test_block_after_a_crowded_key_of_another_file(spark, tmp_path):
