@@ -4,7 +4,7 @@ A piece of text starts as one part per byte. A segment tree over the byte positi
 each live part, the rank its merge with the next live part would have; the root is the smallest
 rank, the leftmost of equals. A merge changes three leaves (the part, its live left neighbour and
 the part swallowed), and each change climbs one path of the tree. Pieces of similar length are
-merged side by side as rows of one array.
+merged side by side as rows of one array; a very long one has a tree of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 CACHED = 200_000
 #: Bytes of text worked on at once, and cells of one merge array.
 CHUNK_BYTES, CELLS = 1 << 20, 1 << 19
+#: Width from which a piece is merged alone: there an array row costs more than a walk up its tree.
+ALONE = 4096
 _NONE = np.int64(2**62)
 
 
@@ -40,6 +42,7 @@ class PieceEncoder:
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
+        self.pairs = pairs
         keys = np.fromiter(pairs, dtype=np.int64, count=len(pairs))
         order = np.argsort(keys)
         self.keys = np.append(keys[order], _NONE)
@@ -64,6 +67,10 @@ class PieceEncoder:
             else:
                 by_width.setdefault(1 << (len(piece) - 1).bit_length(), []).append(i)
         for width, rows in by_width.items():
+            if width >= ALONE:
+                for i in rows:
+                    out[i] = self._merge_alone(pieces[i], width)
+                continue
             step = max(1, CELLS // width)
             for k in range(0, len(rows), step):
                 part = rows[k:k + step]
@@ -124,6 +131,48 @@ class PieceEncoder:
         return [flat[a:b] for a, b in zip(np.append(0, ends[:-1]).tolist(), ends.tolist())]
 
 
+    def _merge_alone(self, piece: bytes, width: int) -> bytes:
+        """The same tree over one long piece, its updates stopping where a node's minimum stays."""
+        n, shift, none, pairs = len(piece), width.bit_length() - 1, int(_NONE), self.pairs
+        ids = [int(self.byte_ids[b]) for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def value(at: int) -> int:
+            then = after[at]
+            rank = pairs.get(ids[at] << 32 | ids[then]) if then < n else None
+            return none if rank is None else rank << shift | at
+
+        tree = [none] * (2 * width)
+        tree[width:width + n] = map(value, range(n))
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(at: int, new: int) -> None:
+            node = at + width
+            tree[node] = new
+            while node > 1:
+                node >>= 1
+                left, right = tree[2 * node], tree[2 * node + 1]
+                least = left if left < right else right
+                if tree[node] == least:
+                    return
+                tree[node] = least
+
+        while tree[1] < none:
+            best = tree[1]
+            at = best & (width - 1)
+            gone = after[at]
+            then = after[gone]
+            ids[at], ids[gone], after[at] = best >> shift, -1, then
+            if then < n:
+                before[then] = at
+            put(gone, none)
+            put(at, value(at))
+            if before[at] >= 0:
+                put(before[at], value(before[at]))
+        return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (token ids as little-endian unsigned 32-bit integers, binary) and ``n_tokens``.
 
@@ -138,13 +187,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text") -
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute
         import regex
 
         encoder, pieces_of, cache = PieceEncoder(shared.value), regex.compile(pattern).findall, {}
         for batch in batches:
             column = batch.column(text)
             start, size, n = 0, 0, batch.num_rows
-            lengths = [0 if v is None else v for v in column.cast(pa.large_string()).cast(pa.large_binary()).to_pandas().str.len().fillna(0).tolist()]
+            lengths = [v or 0 for v in pa.compute.binary_length(column).to_pylist()]
             for end in range(1, n + 1):
                 size += lengths[end - 1]
                 if end < n and size < CHUNK_BYTES:

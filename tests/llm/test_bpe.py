@@ -3,6 +3,7 @@
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,22 @@ def test_pieces_like_the_library(ranks, library):
         assert struct.pack(f"<{len(want)}I", *want) == ids
 
 
+def test_long_pieces_like_short_ones_and_in_time(ranks, monkeypatch):
+    import random
+    import time
+
+    rand = random.Random(4)
+    encoder = bpe.PieceEncoder(ranks)
+    pieces = [bytes(rand.choice(b"etaoin") for _ in range(n)) for n in (2_049, 4_095, 9_000)] + [b"a" * 6_000, bytes(range(256)) * 20]
+    alone = encoder.encode(pieces)
+    monkeypatch.setattr(bpe, "ALONE", 1 << 40)
+    assert alone == encoder.encode(pieces)
+    monkeypatch.undo()
+    began = time.time()
+    ids = np.frombuffer(encoder.encode([bytes(rand.choice(b"etaoinshrdlu") for _ in range(1 << 20))])[0], dtype="<u4")
+    assert 2**18 < len(ids) < 2**20 and time.time() - began < 60
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH, public_tokenizers.PATTERN).count() == 0
