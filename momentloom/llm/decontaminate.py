@@ -61,32 +61,51 @@ def overlap(part: list[bytes], passage: list[bytes]) -> float:
     return len(want & have) / len(want) if want else 0.0
 
 
+def _whole(question: list[bytes], answer: list[bytes]) -> list[bytes]:
+    return question if question == answer else question + answer
+
+
+class Statistics:
+    """Of all items together: how many, their words, the longest, and items per term."""
+
+    def __init__(self):
+        self.n, self.words, self.longest, self.frequency = 0, 0, 0, Counter()
+
+    def add(self, question: list[bytes], answer: list[bytes]) -> None:
+        words = _whole(question, answer)
+        self.n, self.words, self.longest = self.n + 1, self.words + len(words), max(self.longest, len(words))
+        self.frequency.update(set(words))
+
+
 class ItemIndex:
     """Inverted index of items: per term its items in order and the score each gets from it, as
     a share of the item's own score. Items of like length stand together; every ``BLOCK`` of
     them has, per term, the largest share in it (``bounds``: terms by blocks).
     """
 
-    def __init__(self, items: list[tuple]):
-        """``items``: (item_id, question words, answer words)."""
-        whole = lambda q, a: q if q == a else q + a
-        self.items = sorted(items, key=lambda x: len(whole(*x[1:])))
-        bags = [Counter(whole(q, a)) for _, q, a in self.items]
-        sizes = [sum(bag.values()) for bag in bags]
-        mean = max(1.0, sum(sizes) / max(1, len(sizes)))
-        frequency = Counter(t for bag in bags for t in bag)
-        self.vocabulary: dict[bytes, int] = {t: k for k, t in enumerate(frequency)}
-        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in frequency]
+    def __init__(self, items: list[tuple], statistics: Statistics | None = None):
+        """``items``: (item_id, question words, answer words). ``statistics`` are those of the whole
+        benchmark, of which these may be a part; by default of the items."""
+        self.items = sorted(items, key=lambda x: len(_whole(*x[1:])))
+        if statistics is None:
+            statistics = Statistics()
+            for item in items:
+                statistics.add(*item[1:])
+        bags = [Counter(_whole(q, a)) for _, q, a in self.items]
+        mean, n = max(1.0, statistics.words / max(1, statistics.n)), statistics.n
+        self.vocabulary: dict[bytes, int] = {t: k for k, t in enumerate({t: None for bag in bags for t in bag})}
+        self.postings: list[tuple[list[int], list[float]]] = [([], []) for _ in self.vocabulary]
         for i, bag in enumerate(bags):
-            weight = {t: log(1 + (len(bags) - frequency[t] + 0.5) / (frequency[t] + 0.5)) * n * (K1 + 1)
-                      / (n + K1 * (1 - B + B * sizes[i] / mean)) for t, n in bag.items()}
+            size = sum(bag.values())
+            weight = {t: log(1 + (n - statistics.frequency[t] + 0.5) / (statistics.frequency[t] + 0.5)) * k * (K1 + 1)
+                      / (k + K1 * (1 - B + B * size / mean)) for t, k in bag.items()}
             own = sum(weight.values())
             for t, w in weight.items():
                 ids, shares = self.postings[self.vocabulary[t]]
                 ids.append(i)
                 shares.append(w / own)
         # Windows of two strides, one stride apart: an item lies whole in one of them.
-        self.stride = max([32, *sizes])
+        self.stride = max(32, statistics.longest)
 
     def prepare(self) -> None:
         """Lay out the block bounds; done where the index is used, not where it is sent from."""
@@ -173,21 +192,30 @@ class ItemIndex:
         return [[b[i] for i in sorted(b)] for b in best]
 
 
-def _indexes(benchmark: DataFrame) -> list[ItemIndex]:
-    """Test items in indexes of ``INDEX_ITEMS`` items and ``INDEX_BYTES`` of text each; items without words are left out."""
+def _split_items(benchmark: DataFrame):
+    """(item_id, question words, answer words, characters) of the items that have words."""
     has_answer = "answer" in benchmark.columns
-    rows = benchmark.select("item_id", "text", *(["answer"] if has_answer else [])).toLocalIterator()
-    out, items, size = [], [], 0
-    for row in rows:
+    for row in benchmark.select("item_id", "text", *(["answer"] if has_answer else [])).toLocalIterator():
         question, answer = split_item(row["text"] or "", row["answer"] if has_answer else None)
-        if not question:
-            continue
-        items.append((row["item_id"], question, answer))
-        size += len(row["text"] or "")
+        if question:
+            yield row["item_id"], question, answer, len(row["text"] or "")
+
+
+def _indexes(benchmark: DataFrame) -> list[ItemIndex]:
+    """Test items in indexes of ``INDEX_ITEMS`` items and ``INDEX_BYTES`` of text each. Weights and the
+    width of passages come from the whole benchmark, read once before, so an item's scores are the
+    same in whatever index it is."""
+    statistics = Statistics()
+    for _, question, answer, _ in _split_items(benchmark):
+        statistics.add(question, answer)
+    out, items, size = [], [], 0
+    for name, question, answer, chars in _split_items(benchmark):
+        items.append((name, question, answer))
+        size += chars
         if size >= INDEX_BYTES or len(items) >= INDEX_ITEMS:
-            out.append(ItemIndex(items))
+            out.append(ItemIndex(items, statistics))
             items, size = [], 0
-    return out + ([ItemIndex(items)] if items else [])
+    return out + ([ItemIndex(items, statistics)] if items else [])
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD,

@@ -50,6 +50,16 @@ def test_leaks_and_clean_documents(spark):
     assert sorted(r.doc_id for r in clean) == sorted([d for d in range(120) if d % 3] + [900, 901, 902, 903])
 
 
+def test_scores_do_not_depend_on_the_size_of_an_index(spark, monkeypatch):
+    items, docs = made()
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = []
+    for size in (1024, 7):
+        monkeypatch.setattr(D, "INDEX_ITEMS", size)
+        found.append(sorted((r.doc_id, x.item_id, x.at, round(x.score, 9), x.question_share, x.answer_share) for r in D.with_leaks(table, bench, threshold=0.3, question=0.1, answer=0.1).collect() for x in r.leaks))
+    assert found[0] == found[1] and len(found[0]) >= 40
+
+
 def test_empty_tables_and_answers(spark):
     docs = spark.createDataFrame([(1, "the question words are these and the reply is forty two")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
