@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from momentloom.llm.common import words_of
+from momentloom.session import stage
 
 #: Customary limits of the rules, a score of 1 unit each.
 SYMBOLS_PER_WORD = 0.1
@@ -24,8 +25,6 @@ CAPITALS_PER_LETTER = 0.4
 LETTERS_PER_WORD = 16.0
 #: Cutoffs tried, from the mildest to the strictest: STEPS / 4 units down to 1 / 4 unit.
 STEPS = 32
-#: More strata than this are an error: their cutoffs are kept as one expression.
-MOST_STRATA = 1000
 BASE_WORDS = 50
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "severity")
@@ -120,17 +119,13 @@ def _everything():
     return Window.partitionBy(F.lit(0))
 
 
-def verdict(cutoffs: DataFrame, stratum: str = "lang") -> Column:
-    """True for a row of ``with_features`` that the base rules and its stratum's cutoff keep."""
-    found = cutoffs.select("stratum", "cutoff").limit(MOST_STRATA + 1).collect()
-    if len(found) > MOST_STRATA:
-        raise ValueError(f"more than {MOST_STRATA} strata")
-    above = F.lit(False)
-    if found:
-        limits = F.create_map(*[F.lit(x) for r in found for x in r])
-        limit = F.try_element_at(limits, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-        above = F.coalesce(F.col("severity") > limit, F.lit(False))
-    return ~base_failed() & ~above
+def with_verdict(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang", out: str = "kept") -> DataFrame:
+    """``rows`` of ``with_features`` with ``out``: true for a row that the base rules and its stratum's
+    cutoff keep. Cutoffs are written and joined, however many; Spark sends a small table to the rows."""
+    limits = stage(cutoffs.select(F.col("stratum").alias("_stratum"), F.col("cutoff").alias("_cutoff")), "cutoffs")
+    found = rows.join(limits, F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")) == F.col("_stratum"), "left")
+    kept = ~base_failed() & ~F.coalesce(F.col("severity") > F.col("_cutoff"), F.lit(False))
+    return found.withColumn(out, kept).drop("_stratum", "_cutoff")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -140,7 +135,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     text is shuffled or stored for them.
     """
     rows = with_features(docs)
-    good = verdict(certify(rows, labels, stratum, alpha, delta), stratum)
+    judged = with_verdict(rows, certify(rows, labels, stratum, alpha, delta), stratum, "_kept")
     # Not a filter: the optimizer would copy the features' expressions into it, again and again.
-    once = F.explode(F.when(good, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], once.alias("_once")).drop("_once")
+    once = F.explode(F.when(F.col("_kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.select(*[F.col(f"`{c}`") for c in docs.columns], once.alias("_once")).drop("_once")

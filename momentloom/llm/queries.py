@@ -230,8 +230,8 @@ def op10(spark, sf_dir):
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
     rows = stage(quality.with_features(docs).drop("text"), "quality")
     cutoffs = quality.certify(rows, table(spark, sf_dir, "labels"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                       quality.base_failed().alias("base_failed"), quality.verdict(cutoffs).alias("kept"))
+    return quality.with_verdict(rows, cutoffs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                                                      quality.base_failed().alias("base_failed"), "kept")
 
 
 OP11_SQL = f"""

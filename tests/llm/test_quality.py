@@ -59,6 +59,14 @@ def test_too_few_labels_certify_nothing(spark):
     assert quality.keep_good(docs, empty).count() == 100 and quality.keep_good(docs.limit(0), labels).count() == 0
 
 
+def test_any_number_of_strata(spark):
+    docs = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1_500).cast("string")).alias("lang"), F.repeat(F.concat(F.col("id").cast("string"), F.lit("x# ")), F.lit(60)).alias("text"))
+    cutoffs = spark.range(1_500).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("stratum"), F.when(F.col("id") % 2 == 0, 0.25).otherwise(1e9).alias("cutoff"))
+    rows = quality.with_verdict(quality.with_features(docs).withColumn("n_repeat_words", F.lit(0)), cutoffs)
+    got = {r.doc_id: r.kept for r in rows.select("doc_id", "kept").collect()}
+    assert got == {i: i % 2 == 1 for i in range(3_000)}
+
+
 def test_plan_is_native(spark):
     docs, labels = corpus(spark, clean=60)
     plan = quality.keep_good(docs, labels)._jdf.queryExecution().executedPlan().toString()
