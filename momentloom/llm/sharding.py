@@ -10,9 +10,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-#: Rows of a shard are numbered block by block; this many blocks bound the offset table.
+from momentloom.operators.scaling import numbered
+
+#: Folded keys by which the rows of a shard are put in order.
 BLOCKS = 4096
 _STEP = 2862933555777941757  # fixed value: multiplier of the published generator
 
@@ -45,7 +46,7 @@ def shard_of(key: Column, shards: int) -> Column:
 
 
 def block_of_key(key: Column) -> Column:
-    """One of ``BLOCKS`` blocks by the key's folded bits, for numbering without one big task."""
+    """One of ``BLOCKS`` blocks by the key's folded bits."""
     key = F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint"))
     folded = key
     for bits in (12, 24, 36, 48):
@@ -59,10 +60,10 @@ def assign_shards(docs: DataFrame, shards: int, grown: int | None = None, key: s
     slot (gapless from 0 within the shard) and grown_shard (the shard if there were ``grown``).
 
     Law ``key``: only the key and the number of shards decide, so copies of a text may lie in
-    different shards. Slots follow (block of the key, key, checksum, size); a window holds one
-    block of one shard, and the offsets are a table of at most ``BLOCKS`` rows per shard.
-    Null text: size 1, checksum 0. Null key: placed like key 0. Repeated keys share a shard
-    and have a slot each. Other columns of ``docs`` are not carried.
+    different shards. Slots follow (folded key, key, checksum, size): rows are numbered over ranges
+    of these that are cut where the rows are, so no shard and no key is one task's, however many
+    rows it has. Null text: size 1, checksum 0. Null key: placed like key 0. Repeated keys share a
+    shard and have a slot each. Other columns of ``docs`` are not carried.
     """
     rows = docs.select(F.col(f"`{key}`").alias(key), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     placed = rows.select(
@@ -71,15 +72,8 @@ def assign_shards(docs: DataFrame, shards: int, grown: int | None = None, key: s
         block_of_key(F.col(key)).alias("_block"),
         (F.octet_length("_t").cast("bigint") + 1).alias("size"),
         F.crc32(F.col("_t").cast("binary")).alias("text_crc32"))
-    counts = (rows.select(shard_of(F.col(key), shards).alias("shard"), block_of_key(F.col(key)).alias("_block"))
-              .groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n")))
-    before = W.partitionBy("shard").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    inside = F.row_number().over(W.partitionBy("shard", "_block").orderBy(
-        F.col(key).asc_nulls_first(), "text_crc32", "size"))
-    return (placed.withColumn("_i", inside).join(offsets, ["shard", "_block"])
-            .select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
-                    (F.col("_from") + F.col("_i") - 1).cast("bigint").alias("slot"), "grown_shard"))
+    out = numbered(placed, ["shard"], ["_block", F.col(key).asc_nulls_first(), "text_crc32", "size"], "_i")
+    return out.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_i") - 1).cast("bigint").alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int, key: str = "doc_id") -> None:
