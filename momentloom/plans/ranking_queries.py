@@ -27,13 +27,18 @@ def cands(spark, sf):
     return K.index_candidates(g)
 
 
-@query("rk_01_rank_batches", sql("""SELECT episode_id, idx // 10 AS batch_idx, count(*) AS n, sum(idx % 10)::BIGINT AS index_sum, max(idx)::BIGINT AS last_index
-   FROM (SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY window_id) - 1 AS idx FROM evwin) GROUP BY ALL""", "evwin"))
+@query("rk_01_rank_batches", sql("""SELECT episode_id, idx // 10 AS batch_idx, count(*) AS n, string_agg(idx % 10 || ':' || idx || ':' || printf('%.3f', start_ms / 1000) || '-' || printf('%.3f', end_ms / 1000)
+     || ':' || tx || ':' || coalesce(printf('%.4f', p), '-'), ';' ORDER BY idx) AS items
+   FROM (SELECT w.episode_id, w.window_id, w.start_ms, w.end_ms, coalesce(string_agg(event_type, '. ' ORDER BY t_ms, event_id), '') AS tx, max(value) FILTER (event_type = 'view') AS p,
+     w.window_id AS idx
+     FROM evwin w LEFT JOIN ev ON ev.episode_id = w.episode_id AND t_ms >= start_ms AND t_ms < end_ms GROUP BY ALL) GROUP BY ALL""", "ev", "evwin"))
 def rk1(spark, sf):
+    """Every candidate of every payload, read back; windows of an episode are numbered from 0."""
     b = K.rank_batches(stage(wide_candidates(spark, sf), "candidates"))
-    items = F.from_json("payload", "array<struct<index:bigint,episode_index:bigint>>")
-    return b.select("episode_id", "batch_idx", "n", F.aggregate(items, F.lit(0).cast("bigint"), lambda a, x: a + x["index"]).alias("index_sum"),
-                    F.array_max(F.transform(items, lambda x: x["episode_index"])).alias("last_index"))
+    items = F.from_json("payload", "array<struct<index:bigint,episode_index:bigint,start_secs:double,end_secs:double,transcript:string,prosody:struct<rms_peak_db:double>>>")
+    told = F.transform(items, lambda x: F.concat(x["index"], F.lit(":"), x["episode_index"], F.lit(":"), F.format_string("%.3f", x["start_secs"]), F.lit("-"), F.format_string("%.3f", x["end_secs"]),
+                                                 F.lit(":"), x["transcript"], F.lit(":"), F.when(x["prosody"]["rms_peak_db"].isNull(), "-").otherwise(F.format_string("%.4f", x["prosody"]["rms_peak_db"]))))
+    return b.select("episode_id", "batch_idx", "n", F.array_join(told, ";").alias("items"))
 
 
 @query("rk_02_clamp_refined", sql("""SELECT *, CASE WHEN e <= s THEN greatest(end_ms, s + 1000) ELSE e END AS new_end FROM (

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import word_count
 from ..operators import features as FT
 from ..operators import intervals as I
-from ..operators.scaling import interval_overlap
+from ..operators.scaling import interval_overlap, point_in_interval
 from ..session import stage
 from . import tables as t
 from .catalog import query
@@ -390,14 +390,27 @@ def sig5(spark, sf):
     return w.select("episode_id", "window_id", F.round("speaking_rate", 6).alias("wps"))
 
 
-def wide_candidates(spark, sf):
+_NOVELTY = """m AS (SELECT episode_id, list(x ORDER BY i) AS c FROM (SELECT episode_id, i, avg(x) AS x FROM
+     (SELECT episode_id, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY ALL) GROUP BY ALL),
+   d AS (SELECT episode_id, window_id, 1 - list_cosine_similarity(v::DOUBLE[], c) AS d FROM vectors JOIN m USING (episode_id))"""
+
+
+def signal_vectors(spark, sf):
+    """A vector per event window: how often each kind of event lies in it."""
+    ev = t.events(spark, sf).select("episode_id", F.col("t_ms").alias("_t"), "event_type")
+    hit = point_in_interval(t.event_windows(spark, sf), ev, ["episode_id"], "start_ms", "end_ms", "_t", DAY_BUCKET, "left")
+    kinds = [F.count_if(F.col("event_type") == k).cast("double") for k in ("view", "click", "error")]
+    return hit.groupBy("episode_id", "window_id").agg(F.array(*kinds, F.lit(1.0)).alias("v"))
+
+
+def wide_candidates(spark, sf, novelty=None):
     """SIG-6 on the event timelines: every signal attached to every window."""
     w = t.event_windows(spark, sf)
     said = t.events(spark, sf).select("episode_id", F.col("event_id").alias("pos"), F.col("event_type").alias("text"),
                                       F.col("t_ms").alias("start_ms"))
     w = I.window_words(w, said, width=DAY_BUCKET, joiner=". ")
     return FT.build_candidates(w, t.curve(spark, sf, "view", "rms_db"), t.curve(spark, sf, "click", "pitch_hz"),
-                               None, t.audio_spans(spark, sf), DAY_BUCKET)
+                               novelty, t.audio_spans(spark, sf), DAY_BUCKET)
 
 
 @query("sig_06_candidates", sql("""SELECT w.episode_id, w.window_id,
@@ -414,9 +427,31 @@ def sig6(spark, sf):
                     F.col("linguistic.sentence_count").alias("sentence_count"))
 
 
-_NOVELTY = """m AS (SELECT episode_id, list(x ORDER BY i) AS c FROM (SELECT episode_id, i, avg(x) AS x FROM
-     (SELECT episode_id, unnest(v)::DOUBLE AS x, generate_subscripts(v, 1) AS i FROM vectors) GROUP BY ALL) GROUP BY ALL),
-   d AS (SELECT episode_id, window_id, 1 - list_cosine_similarity(v::DOUBLE[], c) AS d FROM vectors JOIN m USING (episode_id))"""
+_INSIDE = "FROM ev e WHERE e.episode_id = w.episode_id AND e.t_ms >= w.start_ms AND e.t_ms < w.end_ms"
+_HEARD = "FROM spans s WHERE s.episode_id = w.episode_id AND s.start_ms < w.end_ms AND s.end_ms > w.start_ms"
+_COUNTS = f"""vectors AS (SELECT episode_id, window_id, [(SELECT count(*) {_INSIDE} AND event_type = 'view'), (SELECT count(*) {_INSIDE} AND event_type = 'click'),
+     (SELECT count(*) {_INSIDE} AND event_type = 'error'), 1]::DOUBLE[] AS v FROM evwin w)"""
+
+
+@query("sig_06_all_signals", sql(f"""SELECT w.episode_id, w.window_id, w.start_ms, w.end_ms,
+   (SELECT count(*) {_INSIDE}) AS word_count, (SELECT coalesce(string_agg(event_type, '. ' ORDER BY t_ms, event_id), '') {_INSIDE}) AS transcript,
+   round((SELECT count(*) * 1000 / (w.end_ms - w.start_ms) {_INSIDE}), 6) AS speaking_rate,
+   round((SELECT max(value) {_INSIDE} AND event_type = 'view'), 6) AS rms_peak_db, round((SELECT avg(value) {_INSIDE} AND event_type = 'view'), 6) AS rms_mean_db,
+   round((SELECT avg(value) {_INSIDE} AND event_type = 'click' AND value > 0), 6) AS f0_mean_hz, round((SELECT var_pop(value) {_INSIDE} AND event_type = 'click' AND value > 0), 4) AS f0_variance_hz2,
+   round((SELECT max(value) {_INSIDE} AND event_type = 'click' AND value > 0), 6) AS f0_peak_hz,
+   round((SELECT avg(s.laughter) {_HEARD}), 6) AS laughter, round((SELECT avg(s.applause) {_HEARD}), 6) AS applause,
+   round((SELECT avg(s.music) {_HEARD}), 6) AS music, round((SELECT avg(s.speech) {_HEARD}), 6) AS speech,
+   n.novelty, CAST((SELECT count(*) {_INSIDE}) AS BIGINT) AS sentence_count, 0::BIGINT AS questions
+   FROM evwin w JOIN (SELECT episode_id, window_id, round((d - min(d) OVER x) / greatest(max(d) OVER x - min(d) OVER x, 1e-9), 4) AS novelty FROM d WINDOW x AS (PARTITION BY episode_id)) n
+     ON n.episode_id = w.episode_id AND n.window_id = w.window_id""", "ev", "evwin", "spans", extra=_COUNTS + ", " + _NOVELTY))
+def sig6_all(spark, sf):
+    """Every column, novelty among them."""
+    c = wide_candidates(spark, sf, FT.novelty(signal_vectors(spark, sf)))
+    plain = ["speaking_rate", "rms_peak_db", "rms_mean_db", "f0_mean_hz", "f0_peak_hz"]
+    return c.select("episode_id", "window_id", "start_ms", "end_ms", "word_count", "transcript", *[F.round(k, 6).alias(k) for k in plain],
+                    F.round("f0_variance_hz2", 4).alias("f0_variance_hz2"), *[F.round(F.col(f"audio_events.{k}"), 6).alias(k) for k in FT.AUDIO_CLASSES],
+                    F.round("novelty", 4).alias("novelty"), F.col("linguistic.sentence_count").alias("sentence_count"),
+                    F.col("linguistic.questions").cast("bigint").alias("questions"))
 
 
 @query("nov_01_cosine", """SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cos
