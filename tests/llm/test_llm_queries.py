@@ -61,12 +61,6 @@ def entities(text):
     import regex
 
     found = list(regex.compile(pii.ALL).finditer(text))
-    name = regex.compile(rf"^{pii._NAME}$")
-    titled = regex.compile(rf"(?:{pii._TITLE})\.? (?:\p{{Lu}}[\p{{L}}'’\-]{{1,100}} )?$")
-    names = {m[0] for m in found if name.match(m[0]) and titled.search(text[:m.start()]) and len(m[0]) > 1}
-    if names:
-        words = "|".join(regex.escape(n) for n in sorted(names, key=len, reverse=True))
-        found = list(regex.compile(rf"{pii.ALL}|{pii._START}(?:{words}){pii._STOP}").finditer(text))
     cuts = [0, *(x for m in found for x in m.span()), len(text)]
     return [text[cuts[k]:cuts[k + 1]] for k in range(0, len(cuts), 2)], [m[0] for m in found]
 
