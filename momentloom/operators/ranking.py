@@ -75,7 +75,8 @@ def blend_lane(ranked: DataFrame, scores: DataFrame, lane: str = "vlm", weight:
     w, first = weight if weight is not None else w, n if n is not None else first
     second = scores.select("episode_id", "candidate_index", F.col("second").alias("_s"),
                            F.coalesce("why", F.lit("")).alias("_why"))
-    near = ranked.join(second, ["episode_id", "candidate_index"], "left")
+    # Scores of all candidates grow with the input; see ``read_rank_responses``.
+    near = ranked.join(second.hint("merge"), ["episode_id", "candidate_index"], "left")
     hit = (F.col("ord") <= first) & F.col("_s").isNotNull()
     out = near.select(
         *[c for c in ranked.columns if c not in ("score", "reasoning", "ord")], F.col("ord").alias("_before"),

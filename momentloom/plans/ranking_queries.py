@@ -66,17 +66,20 @@ _RANKED = _CANDS + """, answers AS (SELECT episode_id, idx // 10 AS batch_idx, i
 def responses(c):
     """Answers of a stand-in for the ranking model: one per batch, in its JSON form. The
     first index of a batch is off by a batch size, as models sometimes answer."""
-    i = F.col("candidate_index")
-    clip = F.struct(
-        F.when(F.col("index") == 0, 10).otherwise(F.col("index")).alias("index"),
-        ((F.col("episode_id") * 7 + i * 13) % 130 - 10).alias("score"), F.concat(F.lit("  hook "), i, F.lit(" ")).alias("hook"),
-        F.when(i % 5 != 0, (F.col("start_ms") + (i % 17 - 8) * 1000) / 1000).alias("refined_start_secs"),
-        F.when(i % 5 != 0, (F.col("end_ms") + (i % 13 - 6) * 2000) / 1000).alias("refined_end_secs"),
-        F.lit(" why ").alias("reasoning"), F.when(i % 3 == 0, F.concat(F.lit("trend "), i)).otherwise(" ").alias("trend_match"),
-        F.when(i % 4 == 0, " Bold_Claim").when(i % 4 == 1, "STORY").alias("hook_type"))
-    rows = F.array_sort(F.collect_list(F.struct(F.col("index").alias("o"), clip.alias("c"))))
+    def clip(r):
+        i = r["candidate_index"]
+        return F.struct(
+            F.when(r["index"] == 0, 10).otherwise(r["index"]).alias("index"),
+            ((r["episode_id"] * 7 + i * 13) % 130 - 10).alias("score"), F.concat(F.lit("  hook "), i, F.lit(" ")).alias("hook"),
+            F.when(i % 5 != 0, (r["start_ms"] + (i % 17 - 8) * 1000) / 1000).alias("refined_start_secs"),
+            F.when(i % 5 != 0, (r["end_ms"] + (i % 13 - 6) * 2000) / 1000).alias("refined_end_secs"),
+            F.lit(" why ").alias("reasoning"), F.when(i % 3 == 0, F.concat(F.lit("trend "), i)).otherwise(" ").alias("trend_match"),
+            F.when(i % 4 == 0, " Bold_Claim").when(i % 4 == 1, "STORY").alias("hook_type"))
+
+    # Numbers are gathered and the texts made from them, not the other way round.
+    rows = F.array_sort(F.collect_list(F.struct("index", "candidate_index", "episode_id", "start_ms", "end_ms")))
     return c.groupBy("episode_id", "batch_idx").agg(rows.alias("_r")).select(
-        "episode_id", "batch_idx", F.to_json(F.struct(F.transform("_r", lambda r: r["c"]).alias("clips"))).alias("response"))
+        "episode_id", "batch_idx", F.to_json(F.struct(F.transform("_r", clip).alias("clips"))).alias("response"))
 
 
 def ranked(spark, sf, c=None):

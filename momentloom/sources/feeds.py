@@ -128,7 +128,9 @@ def read_rank_responses(responses: DataFrame, candidates: DataFrame, size: int =
     if strict:
         rows = rows.filter(F.col("index") < size)
     rows = rows.withColumn("candidate_index", F.col("batch_idx") * size + F.col("index"))
-    hit = rows.join(candidates.select("episode_id", "candidate_index", "start_ms", "end_ms"),
+    # Both sides grow with the input. A file of numbers is far smaller than its rows in memory, so the
+    # size check would broadcast millions of them.
+    hit = rows.join(candidates.select("episode_id", "candidate_index", "start_ms", "end_ms").hint("merge"),
                     ["episode_id", "candidate_index"])
     s, e = clamp_refined(F.col("start_ms"), F.col("end_ms"),
                          to_ms(F.coalesce("refined_start_secs", F.lit(0.0))),

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from momentloom.operators import ranking
 from momentloom.sinks import tables as S
 from momentloom.sources import feeds, logs, messages
 
@@ -108,6 +109,17 @@ def test_rank_responses(spark):
     assert {r.candidate_index for r in feeds.read_rank_responses(df, cands, strict=True).collect()} == {1}
 
 
+def test_candidates_are_not_broadcast(spark, tmp_path):
+    """A file of candidates may be below the size check while its rows fill the driver."""
+    path = str(tmp_path / "c")
+    spark.range(1000).selectExpr("id % 7 AS episode_id", "id AS candidate_index", "id AS start_ms", "id + 9 AS end_ms").write.parquet(path)
+    df = spark.createDataFrame([(0, 0, '{"clips": []}')], "episode_id bigint, batch_idx bigint, response string")
+    hit = feeds.read_rank_responses(df, spark.read.parquet(path))
+    lane = ranking.blend_lane(hit.withColumn("ord", F.lit(1)), spark.read.parquet(path).selectExpr("episode_id", "candidate_index", "1 AS second", "'' AS why"))
+    for out in (hit, lane):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def refined(spark, s, e, a, b):
     c = feeds.clamp_refined(*[F.lit(x) for x in (s, e, a, b)])
     return tuple(spark.range(1).select(*c).first())
