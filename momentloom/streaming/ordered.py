@@ -1,16 +1,23 @@
 """Streams whose state depends on the order of events (STR-3, STR-8, STR-9).
 
 Rows may come in any order, within a batch and from batch to batch. Each operator holds them as
-state until the watermark has passed them and then takes them in order of their time; a timer per
-key calls it. Rows later than the watermark are dropped by Spark and counted (``late_rows``).
+state until the watermark has passed them and then takes them in order of their time; a timer
+calls it. Rows later than the watermark are dropped by Spark and counted (``late_rows``).
 State ends by timers too: an entry never left, a clip without frames, a topic whose day is over.
+
+Every call for state is a message between Python and the JVM, so state is read and written whole,
+once a call, and small keys share it: clips and topics are dealt into ``BUCKETS`` by a hash, and a
+bucket has one value of waiting rows, one of open keys and one timer.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,61 +25,106 @@ from ..operators.tracking import match_nearest
 from ..operators.trends import FRESH_S
 
 HOUR_MS = 3_600_000
+#: Groups of keys that share state. A batch rewrites the open state of the buckets it touches.
+BUCKETS = 4096
 
 
-def late_rows(query) -> int:
-    """Rows that came behind the watermark and were dropped, over all batches of a query."""
-    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
+def dealt(stream: DataFrame, keys: list[str], buckets: int = BUCKETS):
+    """``stream`` grouped by a hash of ``keys``; these become text, so that a missing key in a bucket
+    does not turn its whole numbers into fractions."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+    return stream.select(bucket, *[F.col(c).cast("string").alias(c) if c in keys else F.col(c) for c in stream.columns]).groupBy("bucket")
 
 
-class _Waiting:
-    """Rows of a key that the watermark has not passed, by (time, number)."""
+def at_ms(ts: str) -> Column:
+    """Milliseconds of a timestamp; a started one counts."""
+    return F.floor((F.unix_micros(ts) + 999) / 1000).alias("at")
 
-    def __init__(self, handle: StatefulProcessorHandle, schema: str):
-        self.handle, self.rows = handle, handle.getMapState("waiting", "at bigint, seq bigint", schema)
 
-    def add(self, at: int, seq: int, row: tuple) -> None:
-        self.rows.updateValue((at, seq), row)
-
-    def arm(self, at: int) -> None:
-        """Call for the key when the watermark has passed ``at``."""
-        self.handle.registerTimer(at)
-
-    def passed(self, watermark: int) -> Iterator[tuple[int, int, tuple]]:
-        """Hand out, in order, what lies before ``watermark``, and wait for the next row."""
-        keys = sorted(tuple(k) for k in self.rows.keys())
-        for at, seq in keys:
-            if at >= watermark:
-                self.arm(at)
-                return
-            row = tuple(self.rows.getValue((at, seq)))
-            self.rows.removeKey((at, seq))
-            yield at, seq, row
+def late_rows(query) -> int:
+    """Rows that came behind the watermark and were dropped, over all batches of a query."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])
 
 
 class _Ordered(StatefulProcessor):
-    """Hands the rows of a key on in order: ``begin`` makes the state, ``take`` gets a row,
-    ``settled`` what to do when all that passed has been taken."""
+    """Hands the rows of a group on in order, key by key.
+
+    ``keys`` name the parts of a key, ``fields`` what a row holds, by whose first ``order`` its rows
+    are sorted; the first is its time in ms. Of rows equal in these the last one counts. ``take``
+    gets the state of a key (None: none) and its rows, writes results and returns the new state;
+    ``ends`` says when a state is over, ``end`` writes what is left to say then.
+    """
 
-    held = ""
+    keys: list[str] = []
+    fields: list[str] = []
+    order = 2
+    state = "open"
+    columns: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.waiting = handle, _Waiting(handle, self.held)
-        self.begin(handle)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
-        for row in rows:
-            at, seq, value = self.entry(row)
-            self.waiting.add(at, seq, value)
-            first = at if first is None else min(first, at)
-        if first is not None:
-            self.waiting.arm(first)
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", "armed bigint, rows binary")
+        self.opened = handle.getValueState(self.state, "armed bigint, keys binary")
+
+    @staticmethod
+    def _read(value, none):
+        """(time of its timer, content) of a state."""
+        got = value.get()
+        return (None, none) if got is None else (got[0], pickle.loads(got[1]))
+
+    def _write(self, value, armed, due, content) -> None:
+        """Store ``content`` with a timer at or before ``due``; without content the state ends. A timer
+        that comes early finds nothing to do and is set again."""
+        if not content:
+            value.clear()
+            return
+        if armed is None or due < armed:
+            self.handle.registerTimer(due)
+            armed = due
+        value.update((armed, pickle.dumps(content, 5)))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        armed, held = self._read(self.waiting, [])
+        n, names = len(self.keys), [*self.keys, *self.fields]
+        for pdf in rows:
+            # Key, then what it is sorted by, then the rest.
+            held += [(r[:n], r[n:]) for r in zip(*(pdf[c].tolist() for c in names))]
+        if held:
+            self._write(self.waiting, armed, min(r[1][0] for r in held), held)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        yield from self.take(key, self.waiting.passed(now), now)
+        armed, held = self._read(self.waiting, [])
+        due, known = self._read(self.opened, {})
+        # Timers behind the watermark all fire in this batch; the first call does the work of all.
+        spent, over = armed is not None and armed < now, due is not None and due < now
+        if not spent and not over:
+            return
+        passed, left, out = {}, [], []
+        for k, r in held:
+            if r[0] < now:
+                passed.setdefault(k, {})[r[:self.order]] = r
+            else:
+                left.append((k, r))
+        if spent:
+            self._write(self.waiting, None, min((r[0] for _, r in left), default=None), left)
+        for k, mine in passed.items():
+            state = self.take(k, known.pop(k, None), [mine[at] for at in sorted(mine)], now, out)
+            if state is not None:
+                known[k] = state
+        for k in [k for k, state in known.items() if self.ends(state) < now]:
+            self.end(k, known.pop(k), out)
+        if passed or over:
+            self._write(self.opened, None if over else due, min(map(self.ends, known.values()), default=None), known)
+        if out:
+            yield self.frame(dict(zip(self.columns, map(list, zip(*out)))))
+
+    def frame(self, columns: dict[str, list]) -> pd.DataFrame:
+        return pd.DataFrame(columns)
+
+    def end(self, key, state, out) -> None:
+        pass
 
     def close(self) -> None:
         pass
@@ -84,32 +136,25 @@ class _Ordered(StatefulProcessor):
 class _StageTimes(_Ordered):
     """The last entry of a (job, stage) until its exit, for at most ``ttl`` ms."""
 
-    held = "kind string"
+    keys, fields, state = ["job_id", "stage_id"], ["at_ms", "seq", "kind"], "entered"
+    columns = ["job_id", "stage_id", "entered_ms", "left_ms", "duration_ms"]
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
-    def begin(self, handle):
-        self.entered = handle.getValueState("entered", "at bigint")
-
-    def entry(self, row):
-        return row.at_ms, row.seq, (row.kind,)
+    def ends(self, entered):
+        return entered + self.ttl
 
-    def take(self, key, rows, now):
-        entered = self.entered.get()[0] if self.entered.exists() else None
-        for at, _, (kind,) in rows:
+    def take(self, key, entered, rows, now, out):
+        for at, _, kind in rows:
             if entered is not None and at - entered >= self.ttl:
                 entered = None
             if kind == "enter":
                 entered = at
             elif entered is not None:
-                yield Row(job_id=key[0], stage_id=key[1], entered_ms=entered, left_ms=at, duration_ms=at - entered)
+                out.append((*key, entered, at, at - entered))
                 entered = None
-        if entered is not None and now <= entered + self.ttl:
-            self.entered.update((entered,))
-            self.handle.registerTimer(entered + self.ttl)
-        elif self.entered.exists():
-            self.entered.clear()
+        return entered
 
 
 DURATION_SCHEMA = "job_id bigint, stage_id string, entered_ms bigint, left_ms bigint, duration_ms bigint"
@@ -123,68 +168,50 @@ def stage_durations(events: DataFrame, lateness: str = "1 hour", ttl_ms: int = 7
     passed its exit. An entry not left for ``ttl_ms`` is forgotten, with its state.
     """
     timed = events.withColumn("ts", F.timestamp_millis("at_ms")).withWatermark("ts", lateness)
-    return timed.groupBy("job_id", "stage_id").transformWithState(_StageTimes(ttl_ms), DURATION_SCHEMA, "Append", "EventTime")
+    return timed.groupBy("job_id", "stage_id").transformWithStateInPandas(_StageTimes(ttl_ms), DURATION_SCHEMA, "Append", "EventTime")
 
 
 # -- STR-8 --------------------------------------------------------------------------
 
 
+_BOX = ["x1", "y1", "x2", "y2"]
+
+
 class _Tracker(_Ordered):
-    """Nearest-centre tracking of one clip: the next id and the faces of the last frame."""
+    """Nearest-centre tracking of clips: of each the time and number of the last frame, the next id
+    and the last frame's faces."""
 
-    held = "frame bigint, det bigint, conf double, x1 double, y1 double, x2 double, y2 double"
+    keys, fields, order = ["clip_id"], ["at", "frame_idx", "det_idx", "conf", *_BOX], 3
+    columns = ["clip_id", "ts", "frame_idx", "det_idx", "track_id", "conf", *_BOX]
 
     def __init__(self, reach: float, ttl: int):
         self.reach, self.ttl = reach, ttl
 
-    def begin(self, handle):
-        self.seen = handle.getValueState("seen", "at bigint, frame bigint, fresh bigint, ids array<bigint>, xs array<double>, ys array<double>")
+    def ends(self, state):
+        return state[0] + self.ttl
 
-    def entry(self, row):
-        at = int(row.ts.timestamp() * 1000 + 0.5)
-        return at, row.det_idx, (row.frame_idx, row.det_idx, *[float(row[c]) for c in ("conf", "x1", "y1", "x2", "y2")])
-
-    def take(self, key, rows, now):
-        last, frame, fresh, ids, xs, ys = self.seen.get() if self.seen.exists() else (None, None, 0, [], [], [])
-        seen, boxes, moved = list(zip(ids, zip(xs, ys))), [], False
-
-        def follow():
-            nonlocal seen, fresh, frame, last
-            boxes.sort(key=lambda b: (-b[1][2], b[1][1]))
-            at, row = boxes[0]
-            if frame is not None and row[0] != frame + 1:
+    def take(self, key, state, rows, now, out):
+        last, frame, fresh, seen = state or (None, None, 0, [])
+        for at_frame, boxes in groupby(rows, lambda r: r[1]):
+            boxes = sorted(boxes, key=lambda b: (-b[3], b[2]))
+            if frame is not None and at_frame != frame + 1:
                 seen = []
-            centers = [((b[3] + b[5]) / 2.0, (b[4] + b[6]) / 2.0) for _, b in boxes]
-            pairs, left = match_nearest(seen, centers, self.reach)
-            named = dict(pairs)
+            centers = [((b[4] + b[6]) / 2.0, (b[5] + b[7]) / 2.0) for b in boxes]
+            named = {}
+            if seen:
+                pairs, left = match_nearest(seen, centers, self.reach)
+                named.update(pairs)
+            else:
+                left = range(len(boxes))
             for j in left:
                 named[j] = fresh
                 fresh += 1
-            seen, frame, last = [(named[j], c) for j, c in enumerate(centers)], row[0], at
-            for j, (_, b) in enumerate(boxes):
-                yield Row(clip_id=key[0], ts=_timestamp(at), frame_idx=b[0], det_idx=b[1], track_id=named[j], conf=b[2], x1=b[3], y1=b[4], x2=b[5], y2=b[6])
-            boxes.clear()
-
-        for at, _, row in rows:
-            moved = True
-            if boxes and row[0] != boxes[0][1][0]:
-                yield from follow()
-            boxes.append((at, row))
-        if boxes:
-            yield from follow()
-        if moved:
-            self.seen.update((last, frame, fresh, [i for i, _ in seen], [c[0] for _, c in seen], [c[1] for _, c in seen]))
-        if last is not None:
-            if now > last + self.ttl:
-                self.seen.clear()
-            else:
-                self.handle.registerTimer(last + self.ttl)
-
+            seen, frame, last = [(named[j], c) for j, c in enumerate(centers)], at_frame, boxes[0][0]
+            out.extend((key[0], b[0], b[1], b[2], named[j], *b[3:]) for j, b in enumerate(boxes))
+        return last, frame, fresh, seen
 
-def _timestamp(ms: int):
-    from datetime import datetime, timezone
-
-    return datetime.fromtimestamp(ms / 1000, timezone.utc)
+    def frame(self, columns):
+        return pd.DataFrame({**columns, "ts": pd.to_datetime(columns["ts"], unit="ms", utc=True)})
 
 
 TRACK_SCHEMA = ("clip_id bigint, ts timestamp, frame_idx bigint, det_idx bigint, track_id bigint, conf double, "
@@ -198,36 +225,30 @@ def track_stream(detections: DataFrame, distance: float = 200.0, lateness: str =
     in any order within ``lateness``; a frame behind the watermark is dropped and counted. A clip
     without frames for ``ttl_ms`` is over: its state goes, and later frames would begin at 0 again.
     """
-    timed = detections.withWatermark("ts", lateness)
-    return timed.groupBy("clip_id").transformWithState(_Tracker(distance, ttl_ms), TRACK_SCHEMA, "Append", "EventTime", eventTimeColumnName="ts")
+    timed = detections.withWatermark("ts", lateness).select("ts", at_ms("ts"), "clip_id", "frame_idx", "det_idx", *[F.col(c).cast("double").alias(c) for c in ("conf", *_BOX)])
+    tracks = dealt(timed, ["clip_id"]).transformWithStateInPandas(_Tracker(distance, ttl_ms), TRACK_SCHEMA.replace("clip_id bigint", "clip_id string"), "Append", "EventTime", eventTimeColumnName="ts")
+    return tracks.withColumn("clip_id", F.col("clip_id").cast("bigint"))
 
 
 class _Holder(_Ordered):
-    """The held track of one clip: its last box, and the challenger with its frames in a row."""
+    """The held track of clips: of each its last box, and the challenger with its frames in a row."""
 
-    held = "frame bigint, det bigint, track bigint, conf double, x1 double, y1 double, x2 double, y2 double"
+    keys, fields, order = ["clip_id"], ["at", "frame_idx", "det_idx", "track_id", "conf", *_BOX], 3
+    columns = ["clip_id", "frame_idx", "track_id", *_BOX]
 
     def __init__(self, hold: int, ttl: int):
         self.hold, self.ttl = hold, ttl
 
-    def begin(self, handle):
-        self.seat = handle.getValueState("seat", "at bigint, frame bigint, track bigint, rival bigint, streak bigint, box array<double>")
-
-    def entry(self, row):
-        at = int(row.ts.timestamp() * 1000 + 0.5)
-        return at, row.det_idx, (row.frame_idx, row.det_idx, row.track_id, *[float(row[c]) for c in ("conf", "x1", "y1", "x2", "y2")])
+    def ends(self, state):
+        return state[0] + self.ttl
 
-    def take(self, key, rows, now):
-        state = self.seat.get() if self.seat.exists() else (None, None, None, None, 0, None)
-        last, frame, track, rival, streak, box = state
-        boxes, moved = [], False
-
-        def judge():
-            nonlocal last, frame, track, rival, streak, box
-            at, row = boxes[0]
-            if frame is not None and row[0] != frame + 1:
+    def take(self, key, state, rows, now, out):
+        last, frame, track, rival, streak, box = state or (None, None, None, None, 0, None)
+        for at_frame, boxes in groupby(rows, lambda r: r[1]):
+            boxes = list(boxes)
+            if frame is not None and at_frame != frame + 1:
                 rival, streak = None, 0
-            win = max(boxes, key=lambda b: (b[1][3], b[1][1]))[1][2]
+            win = max(boxes, key=lambda b: (b[4], b[2]))[3]
             if track is None or win == track:
                 track, rival, streak = win if track is None else track, None, 0
             else:
@@ -235,25 +256,10 @@ class _Holder(_Ordered):
                 rival = win
                 if streak >= self.hold:
                     track, rival, streak = win, None, 0
-            box = next((list(b[4:8]) for _, b in boxes if b[2] == track), box)
-            frame, last = row[0], at
-            boxes.clear()
-            return Row(clip_id=key[0], frame_idx=frame, track_id=track, **dict(zip(("x1", "y1", "x2", "y2"), box)))
-
-        for at, _, row in rows:
-            moved = True
-            if boxes and row[0] != boxes[0][1][0]:
-                yield judge()
-            boxes.append((at, row))
-        if boxes:
-            yield judge()
-        if moved:
-            self.seat.update((last, frame, track, rival, streak, box))
-        if last is not None:
-            if now > last + self.ttl:
-                self.seat.clear()
-            else:
-                self.handle.registerTimer(last + self.ttl)
+            box = next((b[5:9] for b in boxes if b[3] == track), box)
+            frame, last = at_frame, boxes[0][0]
+            out.append((key[0], frame, track, *box))
+        return last, frame, track, rival, streak, box
 
 
 HELD_SCHEMA = "clip_id bigint, frame_idx bigint, track_id bigint, x1 double, y1 double, x2 double, y2 double"
@@ -265,7 +271,9 @@ def hold_stream(tracks: DataFrame, hold: int = 3, ttl_ms: int = HOUR_MS) -> Data
     The surest box of a frame (the later one of equally sure) wins it. The first winner is taken at
     once; another takes over when it has won ``hold`` frames in a row. A frame left out breaks a row.
     """
-    return tracks.groupBy("clip_id").transformWithState(_Holder(hold, ttl_ms), HELD_SCHEMA, "Append", "EventTime")
+    timed = tracks.select("ts", at_ms("ts"), "clip_id", "frame_idx", "det_idx", "track_id", "conf", *_BOX)
+    held = dealt(timed, ["clip_id"]).transformWithStateInPandas(_Holder(hold, ttl_ms), HELD_SCHEMA.replace("clip_id bigint", "clip_id string"), "Append", "EventTime")
+    return held.withColumn("clip_id", F.col("clip_id").cast("bigint"))
 
 
 # -- STR-9 --------------------------------------------------------------------------
@@ -274,32 +282,23 @@ def hold_stream(tracks: DataFrame, hold: int = 3, ttl_ms: int = HOUR_MS) -> Data
 class _LiveTopic(_Ordered):
     """The newest row of a topic until its time is over."""
 
-    held = "label string, score double"
+    keys, fields, order = ["source", "topic_id"], ["at", "label", "score"], 1
+    columns = ["source", "topic_id", "label", "score", "fetched_at", "gone"]
 
     def __init__(self, ttl: int):
         self.ttl = ttl
 
-    def begin(self, handle):
-        self.now = handle.getValueState("newest", "at bigint")
+    def ends(self, newest):
+        return newest + self.ttl
 
-    def entry(self, row):
-        return row.fetched_at * 1000, 0, (row.label, row.score)
+    def take(self, key, newest, rows, now, out):
+        at, label, score = rows[-1]
+        if self.ends(at) >= now:
+            out.append((*key, label, score, at // 1000, False))
+        return at
 
-    def take(self, key, rows, now):
-        newest, out = self.now.get()[0] if self.now.exists() else None, None
-        for at, _, (label, score) in rows:
-            newest = at
-            out = Row(source=key[0], topic_id=key[1], label=label, score=score, fetched_at=at // 1000, gone=False)
-        if newest is None:
-            return
-        if now > newest + self.ttl:
-            self.now.clear()
-            yield Row(source=key[0], topic_id=key[1], label=None, score=None, fetched_at=newest // 1000, gone=True)
-        else:
-            self.now.update((newest,))
-            self.handle.registerTimer(newest + self.ttl)
-            if out is not None:
-                yield out
+    def end(self, key, newest, out):
+        out.append((*key, None, None, newest // 1000, True))
 
 
 LIVE_SCHEMA = "source string, topic_id string, label string, score double, fetched_at bigint, gone boolean"
@@ -312,5 +311,8 @@ def live_topics(snapshots: DataFrame, lateness: str = "1 hour", ttl_s: int = FRE
     The clock is the watermark. Merge the changes into a ``KeyedTable`` with ``gone="gone"``; the
     table then holds the live topics.
     """
-    timed = snapshots.withColumn("ts", F.timestamp_seconds("fetched_at")).withWatermark("ts", lateness)
-    return timed.groupBy("source", "topic_id").transformWithState(_LiveTopic(ttl_s * 1000), LIVE_SCHEMA, "Update", "EventTime")
+    timed = snapshots.withColumn("ts", F.timestamp_seconds("fetched_at")).withWatermark("ts", lateness).select(
+        "ts", (F.col("fetched_at") * 1000).alias("at"), "source", "topic_id", "label", F.col("score").cast("string").alias("score"))
+    # A score goes as text, in which a missing one and one that is no number differ.
+    changes = dealt(timed, ["source", "topic_id"]).transformWithStateInPandas(_LiveTopic(ttl_s * 1000), LIVE_SCHEMA.replace("score double", "score string"), "Update", "EventTime")
+    return changes.withColumn("score", F.col("score").cast("double"))

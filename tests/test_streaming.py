@@ -170,6 +170,15 @@ def test_a_frame_behind_the_watermark_is_dropped_and_counted(spark, feed, tmp_pa
     assert O.late_rows(q) == len(late) + len([d for d in data if d[2] >= 8])
 
 
+def test_clips_and_topics_share_state(spark, feed, tmp_path):
+    """As many values of state as buckets at most, however many keys there are."""
+    data = timed([d for i in range(60) for d in clip_rows(i, 1, 2)])
+    q = run(O.track_stream(feed([data], TIMED), 60.0, lateness="1 hour"), tmp_path)
+    assert len({r.key for r in spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "out_chk")).collect()}) <= 60
+    assert spark.read.format("statestore").option("stateVarName", "waiting").load(str(tmp_path / "out_chk")).schema["key"].dataType.names == ["bucket"]
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < len(data)
+
+
 def test_topics_leave_when_their_day_is_over(spark, feed, tmp_path, rows):
     h = 3_600
     schema = "source string, topic_id string, label string, score double, fetched_at bigint"
