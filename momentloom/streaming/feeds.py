@@ -7,6 +7,7 @@ leaves source, trigger and checkpoint to the caller. ``ts`` columns are timestam
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,6 +19,7 @@ from ..operators.features import flag_chunks
 from ..operators.reports import AGES_S, DUE_WINDOW_S, job_view
 from ..operators.trends import FRESH_S
 from ..sinks.keyed import KeyedTable
+from .ordered import dealt
 
 # -- sinks --------------------------------------------------------------------------
 
@@ -59,45 +61,61 @@ def job_status(feed: DataFrame, clips: DataFrame) -> DataFrame:
 # -- STR-4 --------------------------------------------------------------------------
 
 class _DueTimers(StatefulProcessor):
-    """One timer per post and age; a look at the statistics near that age disarms it."""
+    """The ages of posts still to come; a look at the statistics near an age strikes it out. A bucket
+    of posts has one state (time of its timer, posting time and open ages of each post)."""
 
     def __init__(self, ages, window):
-        self.ages, self.window = list(ages), window
+        self.ages, self.window = sorted(ages), window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.post = handle.getValueState("post", "posted_at bigint")
-        self.done = handle.getMapState("done", "age bigint", "hit boolean")
-
-    def _mark(self, posted, fetched):
-        for age in self.ages:
-            if abs(fetched - posted - age) <= self.window:
-                self.done.updateValue((age,), (True,))
+        self.posts = handle.getValueState("posts", "armed bigint, posts binary")
+
+    def _write(self, armed, posts) -> None:
+        if not posts:
+            self.posts.clear()
+            return
+        due = min(posted + ages[0][0] for posted, ages in posts.values()) * 1000
+        if armed is None or due < armed:
+            self.handle.registerTimer(due)
+            armed = due
+        self.posts.update((armed, pickle.dumps(posts, 5)))
+
+    def _read(self):
+        got = self.posts.get()
+        return (None, {}) if got is None else (got[0], pickle.loads(got[1]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        looks, posted = [], self.post.get()[0] if self.post.exists() else None
+        armed, posts = self._read()
+        looks = []
         for pdf in rows:
-            for kind, at in pdf[["kind", "at_s"]].itertuples(index=False, name=None):
-                if kind == "post" and posted is None:
-                    posted = int(at)
-                    self.post.update((posted,))
-                    for age in self.ages:
-                        self.handle.registerTimer((posted + age) * 1000)
-                elif kind != "post":
-                    looks.append(int(at))
-        if posted is not None:
-            for at in looks:
-                self._mark(posted, at)
+            for clip, platform, kind, at in zip(*(pdf[c].tolist() for c in ("clip_id", "platform", "kind", "at_s"))):
+                if kind != "post":
+                    looks.append(((clip, platform), at))
+                elif (clip, platform) not in posts:
+                    posts[clip, platform] = (at, [(age, False) for age in self.ages])
+        for post, at in looks:
+            if post in posts:
+                posted, ages = posts[post]
+                if any(abs(at - posted - age) <= self.window for age, _ in ages):
+                    posts[post] = (posted, [(age, seen or abs(at - posted - age) <= self.window) for age, seen in ages])
+        self._write(armed, posts)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        posted = self.post.get()[0]
-        age = expiredTimerInfo.getExpiryTimeInMs() // 1000 - posted
-        if not self.done.containsKey((age,)):
-            yield pd.DataFrame([(*key, posted, age)], columns=["clip_id", "platform", "posted_at", "age_s"])
-        if age >= max(self.ages):
-            self.post.clear()
-            self.done.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        armed, posts = self._read()
+        if armed is None or armed >= now:
+            return
+        left, out = {}, []
+        for post, (posted, ages) in posts.items():
+            out += [(*post, posted, age) for age, seen in ages if (posted + age) * 1000 < now and not seen]
+            ages = [a for a in ages if (posted + a[0]) * 1000 >= now]
+            if ages:
+                left[post] = (posted, ages)
+        self._write(None, left)
+        if out:
+            yield pd.DataFrame(out, columns=["clip_id", "platform", "posted_at", "age_s"])
 
     def close(self) -> None:
         pass
@@ -116,8 +134,9 @@ def posts_due_stream(posts: DataFrame, analytics: DataFrame, lateness: str = "1
     both = (posts.select("clip_id", "platform", F.lit("post").alias("kind"), F.col("posted_at").alias("at_s"))
             .unionByName(analytics.select("clip_id", "platform", F.lit("look").alias("kind"), F.col("fetched_at").alias("at_s"))))
     timed = both.withColumn("ts", F.timestamp_seconds("at_s")).withWatermark("ts", lateness)
-    return (timed.groupBy("clip_id", "platform")
-            .transformWithStateInPandas(_DueTimers(ages, window), DUE_SCHEMA, "Append", "EventTime"))
+    due = dealt(timed, ["clip_id", "platform"]).transformWithStateInPandas(
+        _DueTimers(ages, window), DUE_SCHEMA.replace("clip_id bigint", "clip_id string"), "Append", "EventTime")
+    return due.withColumn("clip_id", F.col("clip_id").cast("bigint"))
 
 
 # -- STR-5, STR-6 -------------------------------------------------------------------
