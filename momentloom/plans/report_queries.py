@@ -10,7 +10,7 @@ from ..session import shared_dir
 from ..sinks import tables as S
 from . import tables as t
 from .catalog import query
-from .source_queries import clip_manifests, renders
+from .source_queries import all_manifests, clip_manifests, renders
 from .tables import sql
 
 NOW = 1_705_708_800      # 2024-01-20 00:00 UTC
@@ -249,7 +249,7 @@ def rpt2(spark, sf):
     """Beside the manifests as snk_02 writes them."""
     path = f"{shared_dir(spark, 'manifests')}/table"
     S.write_manifests(clip_manifests(spark, sf), path)
-    known = S.read_manifests(spark, path, t.clips(spark, sf).select(F.col("job_id").alias("episode_id")))
+    known = all_manifests(spark, path)
     n, ident = F.col("score") % 4, F.col("clip_id")
     rows = details(spark, sf).withColumn("cover_url", F.when(n == 0, F.concat(F.lit("https://cover/"), ident))).withColumn(
         "cover_path", F.when(n == 1, F.concat(F.lit("/work/clipper/own/"), ident, F.lit(".jpg"))).when(n == 2, F.concat(F.lit("/elsewhere/"), ident)))
