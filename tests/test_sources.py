@@ -227,6 +227,8 @@ def test_manifest_and_digest(spark, tmp_path):
     assert doc["clips"][0]["variants"][0]["filename"] == "a.mp4" and doc["clips"][0]["words"][0] == {"text": "hi", "start_secs": 0.0, "end_secs": 0.5}
     S.write_manifests(rows, str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).count() == 1
+    files = [f.name for f in (tmp_path / "m").glob("bucket=*/part-*")]
+    assert files and all(f.endswith(".json.gz") for f in files)      # the keys of a document are most of its text
     text = S.episode_digest(clips, renders, posts, eps, costs).first().digest
     assert "Total duration: 1h 02m 05s\nClips produced: 2\n" in text and "## Clip 01  score 90  00:05-00:20  (15s)\n" in text
     assert text.index("Clip 01") < text.index("Clip 02") and "[FAILED ] x          no luck" in text and "    [9x16]  1.0MB  /w/a.mp4\n" in text
