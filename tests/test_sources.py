@@ -233,3 +233,21 @@ def test_manifest_and_digest(spark, tmp_path):
     assert "Total duration: 1h 02m 05s\nClips produced: 2\n" in text and "## Clip 01  score 90  00:05-00:20  (15s)\n" in text
     assert text.index("Clip 01") < text.index("Clip 02") and "[FAILED ] x          no luck" in text and "    [9x16]  1.0MB  /w/a.mp4\n" in text
     assert "  Chat/LLM         2 calls      1500 in       300 out  $0.0125\n" in text
+
+
+def test_children_that_name_their_episode_move_once(spark):
+    """The same manifests as by clip, and one exchange less for each child."""
+    clips = spark.createDataFrame([("e", "a", 1), ("e", "b", 2), ("f", "c", 1), ("f", None, 2)], "episode_id string, clip_id string, rank bigint").selectExpr(
+        "*", "9L AS score", "0L AS start_ms", "1000L AS end_ms", "'h' AS hook", "'t' AS hook_type", "9L AS llm_score", "NULL AS vlm_score", "NULL AS vlm_reasoning",
+        "NULL AS vlm_premium_score", "NULL AS vlm_premium_reasoning", "'r' AS reasoning")
+    of = {"a": "e", "b": "e", "c": "f"}
+    made = lambda rows, schema: spark.createDataFrame([(of.get(r[0], "e"), *r) for r in rows], "episode_id string, " + schema)
+    renders = made([("a", "9x16", "/w/a.mp4", 5), ("a", "1x1", "/w/b.mp4", 6), (None, "1x1", "/w/n.mp4", 7), ("gone", "1x1", "/w/g.mp4", 8)], "clip_id string, variant string, path string, bytes bigint")
+    posts = made([("c", "x", "posted")], "clip_id string, platform string, status string")
+    words = made([("b", 1, "two", 5, 9), ("b", 0, "one", 0, 4)], "clip_id string, pos int, text string, start_ms bigint, end_ms bigint")
+    eps = spark.createDataFrame([("e", "m", 1), ("f", "m", 1), ("g", "m", 1)], "episode_id string, media_name string, total_ms bigint")
+    once = S.manifests(S.clip_documents(clips, renders, posts, words), eps)
+    by_clip = S.manifests(S.clip_documents(clips, *[d.drop("episode_id") for d in (renders, posts, words)]), eps)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, by_clip.collect()))
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
+    assert moved(once) < moved(by_clip)
