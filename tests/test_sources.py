@@ -249,5 +249,10 @@ def test_children_that_name_their_episode_move_once(spark):
     once = S.manifests(S.clip_documents(clips, renders, posts, words), eps)
     by_clip = S.manifests(S.clip_documents(clips, *[d.drop("episode_id") for d in (renders, posts, words)]), eps)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, by_clip.collect()))
+    sent = posts.selectExpr("*", "'u' AS external_url", "'i' AS external_id", "'' AS error")
+    digests = S.episode_digest(clips, renders, sent, eps)
+    apart = S.episode_digest(clips, *[d.drop("episode_id") for d in (renders, sent)], eps)
+    assert sorted(map(tuple, digests.collect())) == sorted(map(tuple, apart.collect()))
     moved = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
     assert moved(once) < moved(by_clip)
+    assert moved(digests) < moved(apart)
