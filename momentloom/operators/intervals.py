@@ -164,28 +164,52 @@ def snap_to_boundaries(windows: DataFrame, boundaries: DataFrame, p: WindowParam
                         s.alias("start_ms"), e.alias("end_ms"))
 
 
+def _word_blocks(words: DataFrame, row: Column, width: int) -> DataFrame:
+    """(episode_id, _wb, _ws): the sorted words (``row``, which begins with their start) of each block of
+    the timeline as one array. Words that lie together meet before they move."""
+    return words.groupBy("episode_id", block_of("start_ms", width).alias("_wb")).agg(F.sort_array(F.collect_list(row)).alias("_ws"))
+
+
+def _beside_words(windows: DataFrame, blocks: DataFrame, width: int) -> DataFrame:
+    """``windows`` once per block they touch, beside the words of that block, if any."""
+    left = windows.withColumn("_blk", spread_interval("start_ms", "end_ms", width))
+    right, cond, drop = keys_equal(blocks, EPISODE)
+    return left.join(right, cond & (F.col("_blk") == F.col("_wb")), "left").drop(*drop, "_wb")
+
+
+def _starts_inside(word_start: Column) -> Column:
+    return (word_start >= F.col("start_ms")) & (word_start < F.col("end_ms"))
+
+
 def count_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS) -> DataFrame:
     """Adds word_count, without the words themselves."""
-    right = words.select("episode_id", F.col("start_ms").alias("_w"))
-    joined = point_in_interval(windows, right, EPISODE, "start_ms", "end_ms", "_w", width, "left")
-    return joined.groupBy(*windows.columns).agg(F.count("_w").alias("word_count"))
+    beside = _beside_words(windows, _word_blocks(words, F.col("start_ms"), width), width)
+    inside = F.coalesce(F.size(F.filter("_ws", _starts_inside)), F.lit(0))
+    return (beside.select(*windows.columns, F.greatest(inside, F.lit(0)).cast("bigint").alias("_n"))
+            .groupBy(*windows.columns).agg(F.sum("_n").alias("word_count")))
 
 
 def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
                  joiner: str = " ") -> DataFrame:
     """Adds transcript, word_count and speaking_rate (words per second, NULL for an empty
-    window) from the words that start inside each window."""
-    group = [c for c in windows.columns]
-    right = words.select("episode_id", "pos", "text", F.col("start_ms").alias("_w"))
-    joined = point_in_interval(windows, right, EPISODE, "start_ms", "end_ms", "_w",
-                               width, "left")
-    said = F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(),
-                                              F.struct("_w", "pos", "text"))))
+    window) from the words that start inside each window.
+
+    The words of a block are joined to the windows as one array; what a window takes of it moves
+    on as one text, and texts of later blocks follow those of earlier ones.
+    """
+    blocks = _word_blocks(words, F.struct(F.col("start_ms").alias("_w"), "pos", "text"), width)
+    beside = _beside_words(windows, blocks, width)
+    said = F.filter("_ws", lambda w: _starts_inside(w["_w"]))
+    found = beside.select(*windows.columns, "_blk", F.inline_outer(F.array(F.struct(
+        F.greatest(F.coalesce(F.size(said), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"),
+        F.filter(F.transform(said, lambda w: w["text"]), lambda x: x.isNotNull()).alias("_t")))))
+    piece = F.when(F.size("_t") > 0, F.struct("_blk", F.array_join("_t", joiner).alias("t")))
     length = F.col("end_ms") - F.col("start_ms")
-    return (joined.groupBy(*group).agg(said.alias("_said"), F.count("_w").alias("word_count"))
-            .withColumn("transcript", F.array_join(F.transform("_said", lambda w: w["text"]), joiner))
+    return (found.select(*windows.columns, "_n", piece.alias("_piece")).groupBy(*windows.columns)
+            .agg(F.sort_array(F.collect_list("_piece")).alias("_said"), F.sum("_n").alias("word_count"))
+            .withColumn("transcript", F.array_join(F.transform("_said", lambda p: p["t"]), joiner))
             .withColumn("speaking_rate", F.when(length > 0, F.col("word_count") * 1000 / length))
-            .drop("_said"))
+            .drop("_said").select(*windows.columns, "word_count", "transcript", "speaking_rate"))
 
 
 def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> DataFrame:

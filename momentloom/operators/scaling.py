@@ -164,12 +164,12 @@ def neighbours(points: DataFrame, marks: DataFrame, keys: list[str], at: str, re
     from_start = F.col("_m") - own * F.lit(width)
     homes = F.array_compact(F.array(own, F.when(from_start <= reach, own - 1), F.when(from_start >= width - reach, own + 1)))
     lent = marks.select(*keys, F.explode(homes).alias(_BLK), F.col("_m").alias("_t"), F.lit(0).alias("_point"), "_ord",
-                        F.col("_kind"), F.struct("_m", "_ord").alias("_mark"), F.lit(None).cast(points.schema).alias("_row"))
+                        F.col("_kind"), F.lit(None).cast(points.schema).alias("_row"))
     mine = points.select(*keys, block_of(at, width).alias(_BLK), F.col(at).alias("_t"), F.lit(1).alias("_point"),
-                         F.lit(None).cast(marks.schema["_ord"].dataType).alias("_ord"), F.lit(None).cast("string").alias("_kind"),
-                         F.lit(None).cast(lent.schema["_mark"].dataType).alias("_mark"), F.struct(*names).alias("_row"))
+                         F.lit(None).cast(marks.schema["_ord"].dataType).alias("_ord"), F.lit(None).cast("string").alias("_kind"), F.struct(*names).alias("_row"))
     upto = lambda *order: W.partitionBy(*keys, _BLK).orderBy(*order, "_point", "_ord").rowsBetween(W.unboundedPreceding, 0)
-    seen = lent.unionByName(mine)
+    # What the windows read is made of a row behind the shuffle, not carried through it.
+    seen = lent.unionByName(mine).repartition(*keys, _BLK).withColumn("_mark", F.struct(F.col("_t").alias("_m"), "_ord"))
     for side, order in (("before", F.asc("_t")), ("after", F.desc("_t"))):
         seen = seen.withColumns({f"{side}_{k}": F.last(F.when(F.col("_kind") == k, F.col("_mark")), True).over(upto(order)) for k in kinds})
     return seen.filter("_point = 1").select("_row.*", *[f"{side}_{k}" for side in ("before", "after") for k in kinds])

@@ -275,3 +275,23 @@ def test_runs_match_a_plain_scan(spark):
             want[(k, t)] = run
     got = {(r.k, r.t): r.run_id for r in runs(spark.createDataFrame(data, "k bigint, t bigint"), ["k"], "t", "t", 3, 50).collect()}
     assert got == want
+
+
+def test_words_and_marks_move_slim(spark):
+    """A window's words come as one row per block, with the texts in order over blocks, ties and missing
+    texts; marks aren't copied for each kind before they move."""
+    said = [("e", i, None if i % 7 == 3 else f"w{i}", (i // 2) * 900) for i in range(200)]
+    words = spark.createDataFrame(said, "episode_id string, pos bigint, text string, start_ms bigint")
+    spans = [("e", 0, 0, 20_000), ("e", 1, 25_000, 65_000), ("e", 2, 500_000, 510_000), ("f", 3, 0, 9_000), ("e", 4, 5_000, 5_000)]
+    windows = spark.createDataFrame(spans, "episode_id string, window_id bigint, start_ms bigint, end_ms bigint")
+    inside = {w: [r for r in said if e == r[0] and a <= r[3] < z] for e, w, a, z in spans}
+    got = {r.window_id: r for r in I.window_words(windows, words).collect()}
+    assert {w: r.word_count for w, r in got.items()} == {w: len(v) for w, v in inside.items()}
+    assert {w: r.transcript for w, r in got.items()} == {w: " ".join(r[2] for r in v if r[2]) for w, v in inside.items()}
+    assert {r.window_id: r.word_count for r in I.count_words(windows, words).collect()} == {w: len(v) for w, v in inside.items()}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(I.window_words(windows, words))
+    assert "collect_list" in text[text.index("Join"):]       # below the join
+    marks = I.silence_boundaries(windows.select("episode_id", "start_ms", "end_ms"))
+    snapped = plan(I.snap(words.select("episode_id", "pos", F.col("start_ms").alias("t_ms")), marks, 800, ["pos"]))
+    assert "_mark" not in snapped[snapped.index("Exchange hashpartitioning"):]
