@@ -82,22 +82,25 @@ def running(df: DataFrame, keys: list[str], order: list, block: Column,
                               for n, (k, _) in cols.items()]))
 
 
-def runs(df: DataFrame, keys: list[str], order: str, at: str, gap: int, width: int,
+def runs(df: DataFrame, keys: list[str], order: str, at: str, gap: int, width: int | None,
          out: str = "run_id") -> DataFrame:
     """Label maximal runs in which each row lies less than ``gap`` after the furthest
     ``at`` value before it. ``out`` is the ``order`` value of the run's first row.
 
     ``order`` is a number; blocks are ``width`` wide in it. A run that crosses
-    blocks is stitched on the row-per-block table. ``df`` is read twice, as in ``running``.
+    blocks is stitched on the row-per-block table. ``df`` is read twice, as in ``running``. Without
+    ``width`` a key is one block: for keys known to have few rows.
     """
     names = df.columns
-    base = df.withColumn(_BLK, block_of(order, width))
-    here = W.partitionBy(*keys, _BLK).orderBy(order)
+    base = df if width is None else df.withColumn(_BLK, block_of(order, width))
+    here = W.partitionBy(*keys, *([] if width is None else [_BLK])).orderBy(order)
     past = here.rowsBetween(W.unboundedPreceding, -1)
     upto = here.rowsBetween(W.unboundedPreceding, 0)
     local = base.withColumn("_pm", F.max(at).over(past))
     starts = F.col("_pm").isNull() | (F.col(at) - F.col("_pm") >= gap)
     local = local.withColumn("_seg", F.max(F.when(starts, F.col(order))).over(upto))
+    if width is None:
+        return local.select(*names, F.col("_seg").alias(out))
     blocks = local.groupBy(*keys, _BLK).agg(
         F.max(at).alias("_bmax"), F.min(order).alias("_bfirst"),
         F.min_by(at, order).alias("_bfirst_at"), F.max("_seg").alias("_blast"))
