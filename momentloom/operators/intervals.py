@@ -416,7 +416,8 @@ def minute_index(segments: DataFrame, max_minutes: int = 180, max_bytes: int = 8
     """(episode_id, minute, text): the opening text of each of the first minutes.
 
     Every appended segment adds at least one byte, so no more than ``max_bytes`` segments
-    of a minute can count; that exact bound is applied before the shuffle.
+    of a minute can count; that exact bound is applied before the shuffle. Texts move once, to their
+    minute: which minutes are an episode's first is found from their numbers alone.
     """
     pieces = segments.select(
         "episode_id", F.floor(F.greatest("start_ms", F.lit(0)) / 60_000).alias("minute"),
@@ -430,7 +431,9 @@ def minute_index(segments: DataFrame, max_minutes: int = 180, max_bytes: int = 8
     minutes = (first.withColumn("_before", before).filter(F.col("_before") < max_bytes)
                .groupBy("episode_id", "minute").agg(text.alias("_text"))
                .select("episode_id", "minute", clamp_chars("_text", max_chars).alias("text")))
-    return top_n(minutes, EPISODE, ["minute"], max_minutes)
+    firsts = top_n(pieces.select("episode_id", "minute").distinct(), EPISODE, ["minute"], max_minutes)
+    # The merge join keeps the minutes where they are.
+    return minutes.join(firsts.hint("merge"), ["episode_id", "minute"], "left_semi")
 
 
 def sample_times(clips: DataFrame, fps: float | None = None, n: int | None = None,

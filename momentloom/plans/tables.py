@@ -28,6 +28,10 @@ def _tokens():
     return F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
 
 
+def word_lists(spark, sf):
+    return docs(spark, sf).select("episode_id", _tokens().alias("_ws"))
+
+
 def words(spark, sf):
     return (docs(spark, sf).select("episode_id", F.posexplode(_tokens()).alias("_p", "text"))
             .select("episode_id", F.col("_p").cast("bigint").alias("pos"), "text",
