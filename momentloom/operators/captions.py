@@ -2,31 +2,46 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, trim_ws
-from .scaling import fold_rows, let
 
 # Fixed values: (most words, most characters) of a phrase for each picture shape.
 SHAPES = {"9x16": (4, 28), "1x1": (5, 36), "16x9": (7, 52)}
 
 
-def _phrase_step(max_words: int, max_chars: int):
-    """(sentence, phrase) of each word: one that would exceed a limit opens the next phrase, one
-    behind the end of a sentence the next sentence."""
-    one = F.lit(1).cast("bigint")
-
-    def step(state, w):
-        fresh = state["closed"] | (state["words"] == 0)
-        opens = fresh | (state["words"] + 1 > max_words) | (state["chars"] + 1 + w["_size"] > max_chars)
-        sentence = state["sentence"] + state["closed"].cast("bigint")
-        phrase = F.when(fresh, F.lit(0).cast("bigint")).otherwise(state["phrase"] + opens.cast("bigint"))
-        after = F.struct(sentence.alias("sentence"), phrase.alias("phrase"), F.when(opens, one).otherwise(state["words"] + 1).alias("words"),
-                         F.when(opens, w["_size"]).otherwise(state["chars"] + 1 + w["_size"]).alias("chars"), w["_end"].alias("closed"))
-        return let(after, lambda a: F.struct(a.alias("state"), F.array(F.struct(a["sentence"].alias("sentence"), a["phrase"].alias("phrase"))).alias("out")))
-
-    return step
+def _phrase_starts(max_words: int, max_chars: int):
+    """(first word from 1, sentence, phrase) of the phrases of each list of word lengths, negative behind the
+    end of a sentence: a word that would exceed a limit opens the next phrase, one behind the end of
+    a sentence the next sentence."""
+    @F.arrow_udf("array<struct<first:int,sentence:bigint,phrase:bigint>>")
+    def starts(sizes: pa.Array) -> pa.Array:
+        flat = sizes.flatten().to_pylist()
+        bounds, first, sentences, phrases, at = [0], [], [], [], 0
+        for n in sizes.value_lengths().to_pylist():
+            sentence, phrase, words, chars, closed = 0, 0, 0, 0, False
+            for i, size in enumerate(flat[at:at + n], 1):
+                length = abs(size)
+                if closed:
+                    sentence, phrase, words = sentence + 1, 0, 0
+                elif words and (words >= max_words or chars + 1 + length > max_chars):
+                    phrase, words = phrase + 1, 0
+                if words:
+                    words, chars = words + 1, chars + 1 + length
+                else:
+                    words, chars = 1, length
+                    first.append(i)
+                    sentences.append(sentence)
+                    phrases.append(phrase)
+                closed = size < 0
+            at += n
+            bounds.append(len(first))
+        rows = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(sentences, pa.int64()), pa.array(phrases, pa.int64())], ["first", "sentence", "phrase"])
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)
+
+    return starts
 
 
 def caption_phrases(words: DataFrame, max_words: int = 4, max_chars: int = 28) -> DataFrame:
@@ -34,23 +49,19 @@ def caption_phrases(words: DataFrame, max_words: int = 4, max_chars: int = 28) -
     (clip_id, pos, text, start_ms, end_ms).
 
     A word ending in . ! ? closes its phrase and its sentence. The words of a clip, which its length
-    bounds, are one array, folded in the JVM; phrases are slices of it, so there is one shuffle.
+    bounds, are one array; phrases are slices of it, so there is one shuffle. Only the lengths of
+    the words go through Python, which says where phrases begin.
     Phrases without positive length are dropped.
     """
     limit_words, limit_chars = max(max_words, 1), max(max_chars, 8)
     spoken = words.withColumn("text", trim_ws("text")).filter(F.col("text") != "")
+    size = F.char_length("text")
     slim = F.struct(F.col("pos").cast("bigint").alias("pos"), "text", F.col("start_ms").cast("bigint").alias("start_ms"),
-                    F.col("end_ms").cast("bigint").alias("end_ms"), F.char_length("text").cast("bigint").alias("_size"),
-                    F.col("text").rlike(r"[.!?]$").alias("_end"))
+                    F.col("end_ms").cast("bigint").alias("end_ms"), F.when(F.col("text").rlike(r"[.!?]$"), -size).otherwise(size).alias("_size"))
     clips = spoken.groupBy("clip_id").agg(F.array_sort(F.collect_list(slim)).alias("_ws"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(*[zero.alias(c) for c in ("sentence", "phrase", "words", "chars")], F.lit(False).alias("closed"))
-    numbers = fold_rows(F.col("_ws"), start, "struct<sentence:bigint,phrase:bigint>", _phrase_step(limit_words, limit_chars))
-    clips = clips.withColumn("_nums", numbers)
-    firsts = F.filter(F.sequence(F.lit(1), F.size("_ws")), lambda i: (i == 1) | (F.get("_nums", i - 1) != F.get("_nums", i - 2)))
-    clips = clips.withColumn("_firsts", firsts)
-    phrases = F.transform("_firsts", lambda i, k: F.struct(
-        F.get("_nums", i - 1).alias("at"), F.slice("_ws", i, F.coalesce(F.get("_firsts", k + 1), F.size("_ws") + 1) - i).alias("_w")))
+    clips = clips.withColumn("_firsts", _phrase_starts(limit_words, limit_chars)(F.transform("_ws", lambda w: w["_size"])))
+    phrases = F.transform("_firsts", lambda f, k: F.struct(
+        f.alias("at"), F.slice("_ws", f["first"], F.coalesce(F.get("_firsts", k + 1)["first"], F.size("_ws") + 1) - f["first"]).alias("_w")))
     per = clips.select("clip_id", F.inline(phrases)).select("clip_id", "at.sentence", "at.phrase", "_w")
     first, last = F.element_at("_w", 1), F.element_at("_w", -1)
     out = per.select("clip_id", "sentence", "phrase", first["start_ms"].alias("start_ms"), last["end_ms"].alias("end_ms"),
