@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
+from ..session import stage
 from .scaling import (interval_overlap, keys_equal, block_of, fold_rows, nearest, neighbours, point_in_interval,
                       running, runs, spaced, spread_interval, top_n)
 
@@ -55,14 +56,33 @@ class WindowParams:
 
 def islands(frames: DataFrame, threshold: float, min_ms: int, frame_ms: int) -> DataFrame:
     """Runs of frames with ``prob`` below ``threshold`` as silences of at least
-    ``min_ms``. A run ends where the next frame begins, the last one at the end."""
-    quiet = frames.filter(F.col("prob") < threshold).select("episode_id", "frame_idx")
-    labelled = runs(quiet, EPISODE, "frame_idx", "frame_idx", 2, FRAME_BLOCK)
-    return (labelled.groupBy("episode_id", "run_id")
-            .agg((F.min("frame_idx") * frame_ms).alias("start_ms"),
-                 ((F.max("frame_idx") + 1) * frame_ms).alias("end_ms"))
-            .filter(F.col("end_ms") - F.col("start_ms") >= min_ms)
-            .select("episode_id", "start_ms", "end_ms"))
+    ``min_ms``. A run ends where the next frame begins, the last one at the end.
+
+    The quiet frames of a block of the timeline are one sorted array, cut into runs where it is; only runs
+    that touch a border of their block, two a block at most, are put together along the episode.
+    """
+    own = block_of("frame_idx", FRAME_BLOCK)
+    quiet = frames.filter(F.col("prob") < threshold).select("episode_id", own.alias("_blk"), "frame_idx")
+    blocks = quiet.groupBy("episode_id", "_blk").agg(F.sort_array(F.collect_list("frame_idx")).alias("_f"))
+    low, high = F.col("_blk") * FRAME_BLOCK, F.col("_blk") * FRAME_BLOCK + FRAME_BLOCK - 1
+
+    def pieces(of):
+        first = F.filter("_f", lambda x, i: (i == 0) | (x - F.get("_f", i - 1) >= 2))
+        last = F.filter("_f", lambda x, i: (i == F.size("_f") - 1) | (F.get("_f", i + 1) - x >= 2))
+        return of.select("episode_id", "_blk", F.inline(F.zip_with(first, last, lambda a, b: F.struct(a.alias("_a"), b.alias("_z")))))
+
+    def silences(runs):
+        return runs.select("episode_id", (F.col("_a") * frame_ms).alias("start_ms"), ((F.col("_z") + 1) * frame_ms).alias("end_ms")).filter(
+            F.col("end_ms") - F.col("start_ms") >= min_ms)
+
+    touches = (F.col("_a") == low) | (F.col("_z") == high)
+    edges = pieces(blocks.filter((F.element_at("_f", 1) == low) | (F.element_at("_f", -1) == high))).filter(touches)
+    along = W.partitionBy("episode_id").orderBy("_a")
+    before = F.lag("_z").over(along)
+    begins = F.when(before.isNull() | (F.col("_a") - before >= 2), F.col("_a"))
+    joined = edges.withColumn("_new", begins).withColumn("_run", F.max("_new").over(along.rowsBetween(W.unboundedPreceding, 0)))
+    whole = joined.groupBy("episode_id", "_run").agg(F.min("_a").alias("_a"), F.max("_z").alias("_z"))
+    return silences(pieces(blocks).filter(~touches)).unionByName(silences(whole))
 
 
 def invert_intervals(intervals: DataFrame, totals: DataFrame, min_ms: int) -> DataFrame:
@@ -367,9 +387,9 @@ def recut(clips: DataFrame, edits: DataFrame, clip_word_rows: DataFrame
     """(new bounds, re-anchored words, rejected edits) for clip re-trims.
 
     ``clip_word_rows`` are relative to the old clip start, one clip's words being bounded
-    by its length.
+    by its length. The checked edits, which all three read, are written once.
     """
-    checked = check_recuts(clips.join(edits, "clip_id"))
+    checked = stage(check_recuts(clips.join(edits, "clip_id")), "recuts")
     rejected = checked.filter(F.col("reason").isNotNull()).select("clip_id", "reason")
     ok = checked.filter(F.col("reason").isNull())
     off = F.greatest(F.col("new_start_ms") - F.col("start_ms"), F.lit(0))

@@ -239,7 +239,7 @@ _EDITS = """cc AS (SELECT *, episode_id || '_' || clip_id AS cid FROM cs),
 
 
 def recut_all(spark, sf):
-    spans = clip_spans(spark, sf)
+    spans = stage(clip_spans(spark, sf), "spans")
     cid = F.concat_ws("_", "episode_id", "clip_id")
     words = I.clip_words(spans, t.words(spark, sf)).withColumn("clip_id", cid)
     s, n = F.col("start_ms"), F.col("clip_id") % 4
