@@ -387,9 +387,9 @@ def recut(clips: DataFrame, edits: DataFrame, clip_word_rows: DataFrame
     """(new bounds, re-anchored words, rejected edits) for clip re-trims.
 
     ``clip_word_rows`` are relative to the old clip start, one clip's words being bounded
-    by its length. The checked edits, which all three read, are written once.
+    by its length. The checked edits, which all three read, are written once; a small file may be many rows, so it is never broadcast.
     """
-    checked = stage(check_recuts(clips.join(edits, "clip_id")), "recuts")
+    checked = stage(check_recuts(clips.join(edits.hint("merge"), "clip_id")), "recuts")
     rejected = checked.filter(F.col("reason").isNotNull()).select("clip_id", "reason")
     ok = checked.filter(F.col("reason").isNull())
     off = F.greatest(F.col("new_start_ms") - F.col("start_ms"), F.lit(0))
@@ -397,7 +397,7 @@ def recut(clips: DataFrame, edits: DataFrame, clip_word_rows: DataFrame
                        F.col("new_end_ms").alias("end_ms"))
     spans = ok.select("clip_id", off.alias("_off"),
                       (F.col("new_end_ms") - F.col("new_start_ms")).alias("_len"))
-    words = (clip_word_rows.join(spans, "clip_id")
+    words = (clip_word_rows.join(spans.hint("merge"), "clip_id")
              .filter((F.col("start_ms") >= F.col("_off") - 1)
                      & (F.col("end_ms") <= F.col("_off") + F.col("_len") + 500))
              .withColumn("start_ms", F.greatest(F.col("start_ms") - F.col("_off"), F.lit(0)))

@@ -241,7 +241,7 @@ _EDITS = """cc AS (SELECT *, episode_id || '_' || clip_id AS cid FROM cs),
 def recut_all(spark, sf):
     spans = stage(clip_spans(spark, sf), "spans")
     cid = F.concat_ws("_", "episode_id", "clip_id")
-    words = I.clip_words(spans, t.words(spark, sf)).withColumn("clip_id", cid)
+    words = I.clip_words(spans.hint("merge"), t.words(spark, sf)).withColumn("clip_id", cid)
     s, n = F.col("start_ms"), F.col("clip_id") % 4
     edits = spans.select(cid.alias("clip_id"), ((s + 1200) / 1000).alias("new_start_s"), (
         F.when(n == 0, s + 2700).when(n == 1, s + 9200).when(n == 2, s + 401_200).otherwise(s + 15_200) / 1000)
