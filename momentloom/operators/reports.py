@@ -414,31 +414,36 @@ def hook_type_report(clips: DataFrame, analytics: DataFrame) -> DataFrame:
 
 # -- RPT-1, RPT-2 -------------------------------------------------------------------
 
-def clip_details(clips: DataFrame, jobs: DataFrame, renders: DataFrame, posts: DataFrame,
-                 status: str | None = None) -> DataFrame:
+RENDER_FIELDS = ("variant", "path", "url", "bytes", "duration_ms")
+POST_FIELDS = ("platform", "status", "external_id", "external_url", "posted_at", "error")
+
+
+def clip_details(clips: DataFrame, jobs: DataFrame, renders: DataFrame, posts: DataFrame, status: str | None = None,
+                 render_fields: tuple[str, ...] = RENDER_FIELDS, post_fields: tuple[str, ...] = POST_FIELDS) -> DataFrame:
     """Clips with their job (show_slug, media_name, job_status) and nested renders and posts.
 
-    Each child is folded into an array on its own before the join. Renders and posts per
-    clip are bounded by the number of variants and targets. Of ``posts`` and ``jobs`` the columns
-    external_url, error and media_name may be missing; they are then NULL.
+    Jobs join first, while clips are slim. Clips and children then move once, as one table sorted by
+    clip: nothing is gathered before it has moved. Renders and posts per clip are bounded by the
+    number of variants and targets; of them only the fields named move. Of ``posts`` and ``jobs`` the
+    columns external_url, error and media_name may be missing; they are then NULL.
     """
     def text(df, name):
         return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
 
     if status is not None:
         clips = clips.filter(F.col("status") == status)
-    r = renders.groupBy("clip_id").agg(F.array_sort(F.collect_list(
-        F.struct("variant", "path", "url", "bytes", "duration_ms"))).alias("renders"))
-    p = posts.groupBy("clip_id").agg(F.array_sort(F.collect_list(
-        F.struct("platform", "status", "external_id", text(posts, "external_url"), "posted_at", text(posts, "error")))).alias("posts"))
+    own = [c for c in clips.withColumnRenamed("id", "clip_id").columns if c != "job_id"]
     j = jobs.select(F.col("id").alias("job_id"), "show_slug", text(jobs, "media_name"), F.col("status").alias("job_status"))
-    out = (clips.withColumnRenamed("id", "clip_id").join(r, "clip_id", "left").join(p, "clip_id", "left")
-           .join(j, "job_id", "left"))
-    empty = {"renders": "array<struct<variant:string,path:string,url:string,bytes:bigint,duration_ms:bigint>>",
-             "posts": None}
-    return out.withColumn("renders", F.coalesce("renders", F.array().cast(empty["renders"]))).withColumn(
-        "posts", F.coalesce("posts", F.filter("posts", lambda x: F.lit(False)), F.from_json(
-            F.lit("[]"), out.schema["posts"].dataType)))
+    known = clips.withColumnRenamed("id", "clip_id").join(j, "job_id", "left").withColumn("_clip", F.lit(True))
+
+    def children(df, fields, name):
+        return df.filter(F.col("clip_id").isNotNull()).select("clip_id", F.struct(*[text(df, f) for f in fields]).alias(name))
+
+    rows = known.unionByName(children(renders, render_fields, "_render"), True).unionByName(children(posts, post_fields, "_post"), True)
+    here = W.partitionBy("clip_id")
+    found = rows.select("*", *[F.collect_list(c).over(here).alias(f"{c}s") for c in ("_render", "_post")]).filter("_clip")
+    return found.select("job_id", *own, F.array_sort("_renders").alias("renders"), F.array_sort("_posts").alias("posts"),
+                        "show_slug", "media_name", "job_status")
 
 
 def media_url(path: Column, work_root: str) -> Column:

@@ -221,18 +221,19 @@ def an16(spark, sf):
 _RENDERS = """renders AS (SELECT id AS clip_id, unnest(['9x16', '1x1']) AS variant, job_id, end_ms - start_ms AS d FROM clips WHERE hook_type IS NOT NULL)"""
 
 
-def details(spark, sf):
+def details(spark, sf, **fields):
     jobs = t.jobs(spark, sf).withColumn("media_name", F.concat(F.lit("media "), "id"))
     posts = t.clip_posts(spark, sf).withColumn("external_url", F.concat(F.lit("https://"), "platform", F.lit("/"), "external_id")).withColumn(
         "error", F.when(F.col("status") == "failed", "oops"))
-    return R.clip_details(t.clips(spark, sf), jobs, renders(spark, sf), posts)
+    return R.clip_details(t.clips(spark, sf), jobs, renders(spark, sf), posts, **fields)
 
 
 @query("rpt_01_clip_details", sql("""SELECT c.id AS clip_id, c.job_id, j.status AS job_status, 'media ' || j.id AS media_name, (SELECT count(*) FROM renders r WHERE r.clip_id = c.id) AS n_renders,
    (SELECT string_agg(platform || ':' || p.status || coalesce(':https://' || platform || '/' || external_id, '') || CASE WHEN p.status = 'failed' THEN ':oops' ELSE '' END, ',' ORDER BY platform) FROM clip_posts p WHERE p.clip_id = c.id) AS posts
    FROM clips c LEFT JOIN jobs j ON j.id = c.job_id""", "clips", "jobs", "clip_posts", extra=_RENDERS))
 def rpt1(spark, sf):
-    return details(spark, sf).select("clip_id", "job_id", "job_status", "media_name", F.size("renders").cast("bigint").alias("n_renders"), F.array_join(
+    shown = details(spark, sf, render_fields=("variant",), post_fields=("platform", "status", "external_url", "error"))
+    return shown.select("clip_id", "job_id", "job_status", "media_name", F.size("renders").cast("bigint").alias("n_renders"), F.array_join(
         F.transform("posts", lambda p: F.concat_ws(":", p["platform"], p["status"], p["external_url"], p["error"])), ",").alias("posts"))
 
 

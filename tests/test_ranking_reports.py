@@ -217,3 +217,21 @@ def test_analytics_summary_by_day(spark):
     a = spark.createDataFrame(rows, "clip_id string, platform string, fetched_at bigint, views bigint, likes bigint, reposts bigint, replies bigint, ctr double, watch_pct double")
     got = R.analytics_summary(a, 3 * day).first().summary
     assert got == "## Analytics\n\n  x (fetched 71h ago): 1 views\n  x (fetched 47h ago): 2 views\n  x (just now): 3 views\n"
+
+
+def test_clip_details_moves_children_once(spark):
+    """Children are not gathered before they have moved (a map task would sort and spill all of them)."""
+    clips = spark.createDataFrame([("a", 1, "ok"), ("b", 1, "ok"), ("c", 9, "ok"), (None, 1, "ok"), ("d", 1, "no")], "id string, job_id bigint, status string")
+    jobs = spark.createDataFrame([(1, "s", "done")], "id bigint, show_slug string, status string")
+    renders = spark.createDataFrame([("a", "9x16", "p", None, 1, 2), ("a", "1x1", "q", "u", 1, 2), (None, "1x1", "r", "u", 1, 2), ("z", "1x1", "r", "u", 1, 2)],
+                                    "clip_id string, variant string, path string, url string, bytes bigint, duration_ms bigint")
+    posts = spark.createDataFrame([("b", "x", "posted", "7", 5), ("d", "x", "posted", "8", 5)], "clip_id string, platform string, status string, external_id string, posted_at bigint")
+    out = R.clip_details(clips, jobs, renders, posts, status="ok")
+    got = {r.clip_id: r for r in out.collect()}
+    assert set(got) == {"a", "b", "c", None} and out.count() == 4
+    assert [v.path for v in got["a"].renders] == ["q", "p"] and got["a"].posts == [] and got["a"].job_status == "done"
+    assert got["b"].posts[0].external_id == "7" and got["b"].posts[0].error is None and got["b"].renders == []
+    assert got["c"].job_status is None and got[None].renders == [] and got[None].posts == []
+    slim = R.clip_details(clips, jobs, renders, posts, render_fields=("variant",), post_fields=("platform",))
+    assert slim.schema["renders"].dataType.elementType.names == ["variant"] and slim.count() == 5
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
