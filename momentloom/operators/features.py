@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import as_col, has_foreign_script, text_features, trigram_repeat
 from .intervals import BUCKET_MS, EPISODE
-from .scaling import interval_overlap, point_in_interval
+from .scaling import block_of, interval_overlap, keys_equal, point_in_interval, spread_interval
 
 KEYS = ["episode_id", "window_id"]
+SPAN = [*KEYS, "start_ms", "end_ms"]
 
 
 def _spans(windows: DataFrame) -> DataFrame:
-    return windows.select(*KEYS, "start_ms", "end_ms")
+    return windows.select(*SPAN)
 
 
 # -- SIG-1..4 -----------------------------------------------------------------------
@@ -69,34 +72,61 @@ def class_groups(logits, sets: dict[str, list[int]] | None = None) -> Column:
 
 # -- SIG-6 --------------------------------------------------------------------------
 
+def signal_features(windows: DataFrame, rms: DataFrame | None = None, f0: DataFrame | None = None,
+                    events: DataFrame | None = None, width: int = BUCKET_MS) -> DataFrame:
+    """``rms_features``, ``f0_features`` and ``event_features`` (as struct audio_events) of the given signals
+    in one pass: (episode_id, window_id, start_ms, end_ms, features). Windows without any have no row.
+
+    All signals are one table, a sample being a span that ends where it starts, so the windows
+    move once, whatever the number of signals.
+    """
+    kinds, aggs = [], []
+    at = lambda df, kind, *values: df.select(
+        "episode_id", F.col("t_ms").alias("_s"), F.col("t_ms").alias("_e"), F.lit(kind).alias("_kind"), *values)
+    of = lambda kind, name: F.when(F.col("_kind") == kind, F.col(name))
+    if rms is not None:
+        kinds.append(at(rms.filter(~F.isnan("rms_db") & (F.abs("rms_db") != float("inf"))), 1, F.col("rms_db").alias("_a")))
+        aggs += [F.max(of(1, "_a")).alias("rms_peak_db"), F.avg(of(1, "_a")).alias("rms_mean_db")]
+    if f0 is not None:
+        kinds.append(at(f0.filter(F.col("pitch_hz") > 0), 2, F.col("pitch_hz").alias("_a")))
+        aggs += [F.avg(of(2, "_a")).alias("f0_mean_hz"), F.var_pop(of(2, "_a")).alias("f0_variance_hz2"), F.max(of(2, "_a")).alias("f0_peak_hz")]
+    if events is not None:
+        kinds.append(events.select("episode_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.lit(3).alias("_kind"), *AUDIO_CLASSES))
+        means = F.struct(*[F.avg(of(3, c)).alias(c) for c in AUDIO_CLASSES])
+        aggs.append(F.when(F.count(of(3, "_kind")) > 0, means).alias("audio_events"))
+    right = reduce(lambda a, b: a.unionByName(b, True), kinds)
+    spread, cond, _ = keys_equal(right.withColumn("_blk", spread_interval("_s", "_e", width)), ["episode_id", "_blk"])
+    left = _spans(windows).withColumn("_blk", spread_interval("start_ms", "end_ms", width))
+    sample = F.col("_kind") < 3
+    cond = (cond & (F.col("end_ms") > F.col("_s")) & ((F.col("start_ms") < F.col("_e")) | (sample & (F.col("start_ms") == F.col("_s"))))
+            & (F.col("_blk") == block_of(F.greatest("start_ms", "_s"), width)))
+    # Windows made from a small table are taken for small, however many they are; the size check would broadcast them.
+    return left.hint("merge").join(spread, cond).groupBy(*SPAN).agg(*aggs)
+
+
 def build_candidates(windows: DataFrame, rms: DataFrame | None = None,
                      f0: DataFrame | None = None, novelty: DataFrame | None = None,
-                     events: DataFrame | None = None, width: int = BUCKET_MS) -> DataFrame:
+                     events: DataFrame | None = None, width: int = BUCKET_MS,
+                     spans: DataFrame | None = None) -> DataFrame:
     """The wide candidate row: text features plus every signal on hand, NULL if absent.
 
-    All side tables are keyed by (episode_id, window_id), so their joins share one
-    partitioning.
+    ``spans``: the windows again without their texts, if ``windows`` is expensive. Signals join on
+    the whole span, as ``window_words`` groups it (novelty too, if it has the bounds), so texts
+    don't move again, and they are measured where they end up.
     """
-    out = text_features(windows, "transcript")
-    parts = []
-    if rms is not None:
-        parts.append(rms_features(windows, rms, width))
-    if f0 is not None:
-        parts.append(f0_features(windows, f0, width))
+    out = windows
+    if rms is not None or f0 is not None or events is not None:
+        out = out.join(signal_features(windows if spans is None else spans, rms, f0, events, width), SPAN, "left")
     if novelty is not None:
-        parts.append(novelty.select(*KEYS, "novelty"))
-    if events is not None:
-        parts.append(event_features(windows, events, width).select(
-            *KEYS, F.struct(*AUDIO_CLASSES).alias("audio_events")))
-    for part in parts:
-        out = out.join(part, KEYS, "left")
+        on = [c for c in SPAN if c in novelty.columns]
+        out = out.join(novelty.select(*on, "novelty"), on, "left")
     absent = {"rms_peak_db": "double", "rms_mean_db": "double", "f0_mean_hz": "double",
               "f0_variance_hz2": "double", "f0_peak_hz": "double", "novelty": "double",
               "audio_events": "struct<laughter:double,applause:double,music:double,speech:double>"}
     for name, kind in absent.items():
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast(kind))
-    return out
+    return text_features(out, "transcript")
 
 
 # -- NOV-1..4 -----------------------------------------------------------------------
@@ -138,15 +168,17 @@ def mean_vector(vectors: DataFrame, keys: list[str], vector: str = "v") -> DataF
 
 def novelty(vectors: DataFrame) -> DataFrame:
     """Distance of each window's vector from its episode's centroid, scaled to 0..1
-    within the episode. One window, or ragged vectors, give 0."""
+    within the episode. One window, or ragged vectors, give 0. Bounds of the windows stay, if
+    ``vectors`` has them."""
+    own = [c for c in SPAN if c in vectors.columns]
     center = mean_vector(vectors, EPISODE).select("episode_id", "mean")
     dist = (vectors.join(center, "episode_id")
             .withColumn("_d", 1.0 - cosine("v", "mean"))
-            .select(*KEYS, "_d", F.col("mean").isNotNull().alias("_ok")))
+            .select(*own, "_d", F.col("mean").isNotNull().alias("_ok")))
     span = dist.groupBy("episode_id").agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
     scaled = (F.col("_d") - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(TINY))
     return (dist.join(span, "episode_id")
-            .select(*KEYS, F.when(F.col("_ok"), scaled).otherwise(0.0).alias("novelty")))
+            .select(*own, F.when(F.col("_ok"), scaled).otherwise(0.0).alias("novelty")))
 
 
 def embed(texts: DataFrame, text_col: str, fn=None, dim: int = 256, out: str = "v") -> DataFrame:
@@ -201,6 +233,6 @@ def usable_chunks(chunks: DataFrame, guard: str = "default") -> tuple[DataFrame,
             marked.filter(F.col("reason").isNotNull()))
 
 
-__all__ = ["rms_features", "f0_features", "event_features", "class_groups",
+__all__ = ["rms_features", "f0_features", "event_features", "signal_features", "class_groups",
            "build_candidates", "cosine", "mean_vector", "novelty", "embed", "flag_chunks",
            "flag_reason", "usable_chunks"]

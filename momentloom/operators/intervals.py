@@ -223,6 +223,8 @@ def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
     found = beside.select(*windows.columns, "_blk", F.inline_outer(F.array(F.struct(
         F.greatest(F.coalesce(F.size(said), F.lit(0)), F.lit(0)).cast("bigint").alias("_n"),
         F.filter(F.transform(said, lambda w: w["text"]), lambda x: x.isNotNull()).alias("_t")))))
+    # A block without words says nothing, but a window without any has its first one.
+    found = found.filter((F.col("_n") > 0) | (F.col("_blk") == block_of("start_ms", width)))
     piece = F.when(F.size("_t") > 0, F.struct("_blk", F.array_join("_t", joiner).alias("t")))
     length = F.col("end_ms") - F.col("start_ms")
     return (found.select(*windows.columns, "_n", piece.alias("_piece")).groupBy(*windows.columns)

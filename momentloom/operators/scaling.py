@@ -125,14 +125,17 @@ def point_in_interval(intervals: DataFrame, points: DataFrame, keys: list[str],
 
     Intervals are repeated once per block they touch and points fall in one block, so the
     join is an equi-join on (keys, block) with the range as a residual; AQE can split a
-    crowded block. With ``how='left'`` an interval without points yields one row **per
-    block touched**: aggregate before counting rows.
+    crowded block. With ``how='left'`` an interval has a row without a point for its first block
+    if that block has none inside it, whatever lies in later ones: aggregate before counting rows.
     """
     left = intervals.withColumn(_BLK, spread_interval(start, end, width))
     right, cond, drop = keys_equal(points.withColumn(_BLK, block_of(at, width)),
                                    [*keys, _BLK])
     cond = cond & (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
-    return left.join(right, cond, how).drop(*drop, _BLK)
+    out = left.join(right, cond, how)
+    if how == "left":
+        out = out.filter(F.col(drop[0]).isNotNull() | (F.col(_BLK) == block_of(start, width)))
+    return out.drop(*drop, _BLK)
 
 
 def interval_overlap(left: DataFrame, right: DataFrame, keys: list[str],

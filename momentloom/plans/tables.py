@@ -94,12 +94,13 @@ def audio_spans(spark, sf):
 
 
 def event_windows(spark, sf):
-    """Six-hour windows every four hours over the 30 days of each user's events."""
+    """Six-hour windows every four hours over the 30 days of each user's events. They are far more
+    than the file of events lets expect, so joins with them are merged, not broadcast."""
     users = events(spark, sf).groupBy("episode_id").agg(F.max("t_ms").alias("_last"))
     return (users.select("episode_id", F.explode(F.sequence(
         F.lit(0).cast("bigint"), F.floor(F.col("_last") / 14_400_000))).alias("window_id"))
         .select("episode_id", "window_id", (F.col("window_id") * 14_400_000).alias("start_ms"),
-                (F.col("window_id") * 14_400_000 + 21_600_000).alias("end_ms")))
+                (F.col("window_id") * 14_400_000 + 21_600_000).alias("end_ms")).hint("merge"))
 
 
 def frames(spark, sf):

@@ -402,17 +402,17 @@ def signal_vectors(spark, sf):
     ev = t.events(spark, sf).select("episode_id", F.col("t_ms").alias("_t"), "event_type")
     hit = point_in_interval(t.event_windows(spark, sf), ev, ["episode_id"], "start_ms", "end_ms", "_t", DAY_BUCKET, "left")
     kinds = [F.count_if(F.col("event_type") == k).cast("double") for k in ("view", "click", "error")]
-    return hit.groupBy("episode_id", "window_id").agg(F.array(*kinds, F.lit(1.0)).alias("v"))
+    return hit.groupBy(*FT.SPAN).agg(F.array(*kinds, F.lit(1.0)).alias("v"))
 
 
 def wide_candidates(spark, sf, novelty=None):
     """SIG-6 on the event timelines: every signal attached to every window."""
-    w = t.event_windows(spark, sf)
+    spans = t.event_windows(spark, sf)
     said = t.events(spark, sf).select("episode_id", F.col("event_id").alias("pos"), F.col("event_type").alias("text"),
                                       F.col("t_ms").alias("start_ms"))
-    w = I.window_words(w, said, width=DAY_BUCKET, joiner=". ")
+    w = I.window_words(spans, said, width=DAY_BUCKET, joiner=". ")
     return FT.build_candidates(w, t.curve(spark, sf, "view", "rms_db"), t.curve(spark, sf, "click", "pitch_hz"),
-                               novelty, t.audio_spans(spark, sf), DAY_BUCKET)
+                               novelty, t.audio_spans(spark, sf), DAY_BUCKET, spans)
 
 
 @query("sig_06_candidates", sql("""SELECT w.episode_id, w.window_id,

@@ -86,3 +86,30 @@ def test_candidates_keep_missing_signals_null(spark):
     got = {r.window_id: r for r in FT.build_candidates(w, rms=rms).collect()}
     assert got[0].rms_peak_db == -10 and got[0].linguistic.strong_claim == 2 and got[0].novelty is None
     assert got[1].rms_peak_db is None and got[1].audio_events is None
+
+
+def test_signals_share_one_pass(spark):
+    """All signals of a window at once: samples at both edges, spans across block borders and of no length."""
+    w = windows(spark, (0, 60_000), (30_000, 90_000), (500_000, 510_000))
+    rms = spark.createDataFrame([(1, 0, -10.), (1, 30_000, -20.), (1, 60_000, -90.), (1, 5, float("nan"))], "episode_id bigint, t_ms bigint, rms_db double")
+    f0 = spark.createDataFrame([(1, 59_999, 100.), (1, 60_000, 300.), (1, 1, 0.)], "episode_id bigint, t_ms bigint, pitch_hz double")
+    heard = spark.createDataFrame([(1, 10_000, 65_000, 1., 1., 1., 0.), (1, 60_000, 60_001, 3., 3., 3., 0.), (1, 45_000, 45_000, 5., 5., 5., None), (1, 500_000, 500_000, 9., 9., 9., 9.)],
+                                  "episode_id bigint, start_ms bigint, end_ms bigint, laughter double, applause double, music double, speech double")
+    both = FT.signal_features(w, rms, f0, heard)
+    got = {r.window_id: r for r in both.collect()}
+    for part in (FT.rms_features(w, rms), FT.f0_features(w, f0), FT.event_features(w, heard)):
+        for r in part.collect():
+            mine = got[r.window_id]
+            assert all((mine.audio_events if c in FT.AUDIO_CLASSES else mine)[c] == r[c] for c in part.columns[2:])
+    assert got[0].rms_mean_db == -15 and got[1].rms_mean_db == -55 and got[0].f0_peak_hz == 100 and got[1].f0_mean_hz == 200
+    assert got[0].audio_events.music == 3 and got[1].audio_events.music == 3 and set(got) == {0, 1}
+    assert "Broadcast" not in both._jdf.queryExecution().executedPlan().toString()
+    wide = FT.build_candidates(w.withColumns({"transcript": F.lit("a"), "word_count": F.lit(1)}), rms, f0, None, heard)
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Join") == 2      # three signals: six before
+
+
+def test_left_points_keep_one_row_of_an_empty_interval(spark):
+    w = windows(spark, (0, 90_000), (0, 90_001), (100_000, 160_000))
+    p = spark.createDataFrame([(1, 90_000)], "episode_id bigint, t bigint")
+    got = FT.point_in_interval(w, p, ["episode_id"], "start_ms", "end_ms", "t", 30_000, "left").select("window_id", "t").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(0, None), (1, None), (1, 90_000), (2, None)], key=repr)
