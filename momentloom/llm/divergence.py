@@ -205,6 +205,8 @@ class Counter:
 
     def add(self, lang: list[str], source: list[str], texts: pa.Array) -> None:
         """Count texts without nulls, a bounded slice at a time."""
+        if not self.parts:
+            self.codes = {}
         codes = np.array([self.codes.setdefault(g, len(self.codes)) for g in zip(lang, source)], dtype=np.uint32)
         by_group = np.argsort(codes, kind="stable")
         texts, codes = texts.take(pa.array(by_group)), codes[by_group]
@@ -224,7 +226,8 @@ class Counter:
                 yield from self.flush(merged_only=True)
 
     def flush(self, merged_only: bool = False) -> Iterator[pa.RecordBatch]:
-        """Hand on what is gathered; with ``merged_only`` merge first and go on if that made room."""
+        """Hand on what is gathered; with ``merged_only`` merge first and go on if that made room. The
+        codes of the groups stay: ``add`` may have slices left that use them."""
         self.parts = {k: [merge_runs(p)] for k, p in self.parts.items() if p}
         self.size = sum(len(p[0]) if k <= 2 else p[0].keys[0].nbytes * GATHERED // GATHERED_BYTES for k, p in self.parts.items())
         if merged_only and self.size <= GATHERED // 2:
@@ -244,7 +247,7 @@ class Counter:
                 rows.append({"lang": langs[int(place[a]) // self.shards], "kind": kind, "shard": int(place[a]) % self.shards,
                              "sources": [groups[g][1] for g in used.tolist()], "terms": _pack_terms(part.keys), "source": _pack(local),
                              "n": _pack(part.n), "docs": _pack(part.docs)})
-        self.parts, self.size, self.codes = {}, 0, {}
+        self.parts, self.size = {}, 0
         for start in range(0, len(rows), 500):
             yield pa.RecordBatch.from_pylist(rows[start:start + 500], schema=_PACKED_ARROW)
 

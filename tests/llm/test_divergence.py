@@ -106,6 +106,27 @@ def test_runs_are_handed_on_and_merged(gathered, monkeypatch):
     assert docs == Counter(w.encode() for t in texts for w in set(t.split()))
 
 
+@pytest.mark.parametrize("gathered", [5, 200])
+def test_runs_handed_on_between_the_slices_of_a_batch(gathered, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "GATHERED", gathered)
+    monkeypatch.setattr(D, "SLICE_BYTES", 100)
+    texts = [" ".join(chr(97 + (i * k) % 26) * (1 + k % 20) for k in range(30)) for i in range(40)]
+    lang, source = [f"l{i % 2}" for i in range(40)], [f"s{i % 7}" for i in range(40)]
+    counter, out = D.Counter(2), []
+    for a in (20, 0):
+        out += list(counter.add(lang[a:a + 20], source[a:a + 20], pa.array([t.encode() for t in texts[a:a + 20]], pa.large_binary())))
+    assert len(out) > 1
+    out += list(counter.flush())
+    got = Counter()
+    for r in (r for b in out for r in b.to_pylist()):
+        terms = D._term_bytes(D._unpack_terms(r["kind"], r["terms"])).to_pylist()
+        for term, s, n in zip(terms, D._unpack(r["source"]).tolist(), D._unpack(r["n"]).tolist()):
+            got[r["lang"], r["sources"][s], term] += n
+    assert got == Counter((x, s, w.encode()) for x, s, t in zip(lang, source, texts) for w in t.split())
+
+
 def test_shares_are_exact():
     n = np.array([[5 * 10**12 - 3, 0, 10**13 - 4]])
     total = np.array([[10**13, 10**13, 10**13 - 4]])
