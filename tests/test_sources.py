@@ -256,3 +256,52 @@ def test_children_that_name_their_episode_move_once(spark):
     moved = lambda df: df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning")
     assert moved(once) < moved(by_clip)
     assert moved(digests) < moved(apart)
+
+
+def _episode_tables(spark):
+    clips = spark.createDataFrame([("e", "a", 2), ("e", "b", 1), ("f", "a", 1), ("e", "b", 1), ("f", None, 2), (None, "a", 1), ("gone", "a", 1)], "episode_id string, clip_id string, rank bigint").selectExpr(
+        "*", "9L AS score", "0L AS start_ms", "1000L * rank AS end_ms", "if(rank = 1, 'h', NULL) AS hook", "'t' AS hook_type", "9L AS llm_score", "CAST(NULL AS BIGINT) AS vlm_score",
+        "CAST(NULL AS STRING) AS vlm_reasoning", "CAST(NULL AS BIGINT) AS vlm_premium_score", "CAST(NULL AS STRING) AS vlm_premium_reasoning", "'r' AS reasoning", "if(rank = 1, concat('/w/', clip_id, '.jpg'), NULL) AS cover_path")
+    made = lambda rows, schema: spark.createDataFrame(rows, "episode_id string, clip_id string, " + schema)
+    renders = made([("e", "a", "9x16", "/w/a.mp4", 5), ("e", "a", "1x1", "/w/b.mp4", 6), ("e", None, "1x1", "/w/n.mp4", 7), ("e", "gone", "1x1", "/w/g.mp4", 8), ("f", "a", "1x1", "/w/f.mp4", 9)], "variant string, path string, bytes bigint")
+    posts = made([("e", "b", "x", "posted", "u"), ("e", "b", "threads", "failed", None), (None, "a", "x", "posted", "u")], "platform string, status string, external_url string").selectExpr("*", "'i' AS external_id", "'no' AS error")
+    words = made([("e", "b", 1, "two", 5, 9), ("e", "b", 0, "one", 0, 4), ("f", "a", 0, None, 0, 4)], "pos int, text string, start_ms bigint, end_ms bigint")
+    texts = ",".join(f"'{p}', named_struct({','.join(f"'{f}', 'T {p}'" for f in fs)}, 'hashtags', array('#x'))" for p, fs in S.SOCIAL_TEXTS.items())
+    social = made([("e", "a", 1), ("e", "a", 2), ("f", "a", 3)], "n int").selectExpr("episode_id", "clip_id", f"named_struct({texts}, 'overlay_hook', 'over', 'hook_source', string(n)) AS social")
+    eps = spark.createDataFrame([("e", "m", 1), ("f", "m", 1), ("g", "m", 3_700_000), ("g", "again", 1), (None, "no id", 1)], "episode_id string, media_name string, total_ms bigint")
+    costs = spark.createDataFrame([("e", "chat", 2, 15, 3, 1.25), ("e", "stt", 1, 5, 0, 0.5), ("f", "vlm", 0, 0, 0, 0.0)], "episode_id string, category string, calls bigint, input_tokens bigint, output_tokens bigint, cost_cents double")
+    return clips, renders, posts, words, social, eps, costs
+
+
+@pytest.mark.parametrize("pack_bytes, bucket_rows", [(1 << 20, 100), (1, 1)])
+def test_packed_episodes_are_those_joined_by_clip(spark, monkeypatch, pack_bytes, bucket_rows):
+    """Copies of a clip, two social blocks, null and unknown keys, episodes without clips; one move of all rows."""
+    from momentloom.operators import packed
+
+    monkeypatch.setattr(packed, "PACK_BYTES", pack_bytes)
+    monkeypatch.setattr(packed, "BUCKET_ROWS", bucket_rows)
+    clips, renders, posts, words, social, eps, costs = _episode_tables(spark)
+    for block in (social, None):
+        for spent in (costs, None):
+            got = S.episode_manifests(clips, renders, posts, words, eps, spent, block, as_of=7)
+            want = S.manifests(S.clip_documents(clips, renders, posts, words, block), eps, spent, as_of=7)
+            assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+            alone = clips.filter("episode_id = 'e'"), *[d.filter("episode_id = 'e'") for d in (renders, posts)]
+            said = None if block is None else block.filter("episode_id = 'e'")
+            told = S.episode_digest(*alone, eps, spent, said)
+            apart = S.episode_digest(alone[0], *[d.drop("episode_id") for d in alone[1:]], eps, spent, None if said is None else said.drop("episode_id"))
+            assert sorted(map(tuple, told.collect()), key=repr) == sorted(map(tuple, apart.collect()), key=repr)
+            for moved in (got, told):
+                assert moved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_packed_episodes_lie_in_the_folders_they_are_written_to(spark, tmp_path, monkeypatch):
+    """A task has whole folders or a part of one, so it does not write a file into each."""
+    from momentloom.operators import packed
+
+    monkeypatch.setattr(packed, "BUCKET_ROWS", 20)
+    clips, renders, posts, words, social, eps, _ = _episode_tables(spark)
+    many = lambda df: df.filter("episode_id = 'e'").drop("episode_id").crossJoin(spark.range(200).selectExpr("string(id) AS episode_id"))
+    S.write_manifests(S.episode_manifests(many(clips), many(renders), many(posts), many(words), many(eps)), str(tmp_path / "m"))
+    assert spark.read.json(str(tmp_path / "m")).count() == 200
+    assert all(len(list(d.glob("part-*"))) == 1 for d in (tmp_path / "m").glob("bucket=*"))
