@@ -252,7 +252,7 @@ def rpt2(spark, sf):
     S.write_manifests(clip_manifests(spark, sf), path)
     known = all_manifests(spark, path)
     n, ident = F.col("score") % 4, F.col("clip_id")
-    rows = details(spark, sf).withColumn("cover_url", F.when(n == 0, F.concat(F.lit("https://cover/"), ident))).withColumn(
+    rows = details(spark, sf, post_fields=(), by_job=True).withColumn("cover_url", F.when(n == 0, F.concat(F.lit("https://cover/"), ident))).withColumn(
         "cover_path", F.when(n == 1, F.concat(F.lit("/work/clipper/own/"), ident, F.lit(".jpg"))).when(n == 2, F.concat(F.lit("/elsewhere/"), ident)))
     e = R.enrich_clips(rows, known, "/work")
     urls = F.array_join(F.transform("variants", lambda v: v["url"]), ",")

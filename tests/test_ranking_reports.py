@@ -235,3 +235,22 @@ def test_clip_details_moves_children_once(spark):
     slim = R.clip_details(clips, jobs, renders, posts, render_fields=("variant",), post_fields=("platform",))
     assert slim.schema["renders"].dataType.elementType.names == ["variant"] and slim.count() == 5
     assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clip_details_by_job_lie_where_manifests_join(spark):
+    """The same rows as dealt by clip; the enrichment moves them no more, and a table not shown does not move."""
+    clips = spark.createDataFrame([("a", 1, 1), ("b", 1, 2), ("c", 9, 1), (None, 1, 1), ("d", None, 1)], "id string, job_id bigint, rank bigint")
+    jobs = spark.createDataFrame([(1, "s", "done")], "id bigint, show_slug string, status string")
+    renders = spark.createDataFrame([("a", 1, "9x16", "/w/clipper/p", None, 1, 2), ("a", 1, "1x1", "q", "u", 1, 2), ("c", 9, "1x1", "r", "u", 1, 2)],
+                                    "clip_id string, job_id bigint, variant string, path string, url string, bytes bigint, duration_ms bigint")
+    posts = spark.createDataFrame([("b", 1, "x", "posted", "7", 5)], "clip_id string, job_id bigint, platform string, status string, external_id string, posted_at bigint")
+    by_clip, by_job = (R.clip_details(clips, jobs, renders, posts, by_job=way) for way in (False, True))
+    assert sorted(map(tuple, by_clip.collect()), key=repr) == sorted(map(tuple, by_job.collect()), key=repr)
+    known = spark.createDataFrame([(1, 1, 1, "second"), (1, 1, 0, "first"), (1, 2, 2, "bare"), (9, 2, 0, "no")], "episode_id bigint, rank bigint, pos int, hook_source string").selectExpr(
+        "*", "CAST(NULL AS STRING) AS social", "'' AS overlay_hook", "named_struct('blended', 1L) AS scores", "named_struct('abs_path', '/w/clipper/c.jpg') AS cover_frame", "array('w') AS words")
+    slim = R.clip_details(clips, jobs, renders, posts, post_fields=(), by_job=True)
+    out = R.enrich_clips(slim, known, "/w")
+    assert {r.clip_id: (r.hook_source, r.has_words, r.cover_url, len(r.variants)) for r in out.collect()} == {
+        "a": ("first", True, "/media/clipper/c.jpg", 2), "b": (None, False, None, 0), "c": (None, False, None, 1), None: (None, False, None, 0), "d": (None, False, None, 0)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 3 and "platform" not in plan     # details, jobs and manifests, each once
