@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import as_col, clamp_chars, fixed, tokens, trim_ws
 from ..session import stage
+from .packed import said_in
 from .scaling import (interval_overlap, keys_equal, block_of, fold_rows, nearest, neighbours, point_in_interval,
                       running, runs, spaced, spread_interval, top_n)
 
@@ -22,6 +23,8 @@ EPISODE = ["episode_id"]
 HOUR_MS = 3_600_000
 BUCKET_MS = 30_000
 FRAME_BLOCK = 4_096
+#: Buckets of words for each shuffle partition: a bucket is in memory at once.
+WORD_BUCKETS = 16
 
 
 def to_ms(seconds) -> Column:
@@ -203,8 +206,12 @@ def _starts_inside(word_start: Column) -> Column:
 
 def count_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS) -> DataFrame:
     """Adds word_count, without the words themselves."""
-    beside = _beside_words(windows, _word_blocks(words, F.col("start_ms"), width), width)
-    inside = F.coalesce(F.size(F.filter("_ws", _starts_inside)), F.lit(0))
+    # Where a word starts in its block takes two bytes, if the block is no wider.
+    begins = F.col("start_ms") - block_of("start_ms", width) * width
+    if width <= 1 << 15 and words.schema["start_ms"].dataType.typeName() in ("long", "integer"):
+        begins = begins.cast("smallint")
+    beside = _beside_words(windows, _word_blocks(words, begins, width), width).withColumn("_from", F.col("_blk") * width)
+    inside = F.coalesce(F.size(F.filter("_ws", lambda w: _starts_inside(w + F.col("_from")))), F.lit(0))
     return (beside.select(*windows.columns, F.greatest(inside, F.lit(0)).cast("bigint").alias("_n"))
             .groupBy(*windows.columns).agg(F.sum("_n").alias("word_count")))
 
@@ -215,7 +222,8 @@ def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
     window) from the words that start inside each window.
 
     The words of a block are joined to the windows as one array; what a window takes of it moves
-    on as one text, and texts of later blocks follow those of earlier ones.
+    on as one text, and texts of later blocks follow those of earlier ones. ``packed_window_words``
+    gives the same rows and moves less.
     """
     blocks = _word_blocks(words, F.struct(F.col("start_ms").alias("_w"), "pos", "text"), width)
     beside = _beside_words(windows, blocks, width)
@@ -225,13 +233,28 @@ def window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS,
         F.filter(F.transform(said, lambda w: w["text"]), lambda x: x.isNotNull()).alias("_t")))))
     # A block without words says nothing, but a window without any has its first one.
     found = found.filter((F.col("_n") > 0) | (F.col("_blk") == block_of("start_ms", width)))
-    piece = F.when(F.size("_t") > 0, F.struct("_blk", F.array_join("_t", joiner).alias("t")))
+    text = F.when(F.size("_t") > 0, F.array_join("_t", joiner))
+    return _whole_texts(found.select(*windows.columns, "_blk", "_n", text.alias("_t")), windows.columns, joiner)
+
+
+def packed_window_words(windows: DataFrame, words: DataFrame, width: int = BUCKET_MS, joiner: str = " ") -> DataFrame:
+    """``window_words`` for many words: those of a block meet the windows that touch it as compressed
+    batches (``said_in``), not as arrays of rows."""
+    buckets = int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * WORD_BUCKETS
+    found = said_in(windows.withColumn("_blk", spread_interval("start_ms", "end_ms", width)), words.withColumn("_blk", block_of("start_ms", width)), joiner, buckets)
+    found = found.filter((F.col("_n") > 0) | (F.col("_blk") == block_of("start_ms", width)))
+    return _whole_texts(found, windows.columns, joiner)
+
+
+def _whole_texts(pieces: DataFrame, names: list[str], joiner: str) -> DataFrame:
+    """Windows (``names``) with what they take of each block (_blk, _n words, text _t) put together."""
+    piece = F.when(F.col("_t").isNotNull(), F.struct("_blk", F.col("_t").alias("t")))
     length = F.col("end_ms") - F.col("start_ms")
-    return (found.select(*windows.columns, "_n", piece.alias("_piece")).groupBy(*windows.columns)
+    return (pieces.select(*names, "_n", piece.alias("_piece")).groupBy(*names)
             .agg(F.sort_array(F.collect_list("_piece")).alias("_said"), F.sum("_n").alias("word_count"))
             .withColumn("transcript", F.array_join(F.transform("_said", lambda p: p["t"]), joiner))
             .withColumn("speaking_rate", F.when(length > 0, F.col("word_count") * 1000 / length))
-            .drop("_said").select(*windows.columns, "word_count", "transcript", "speaking_rate"))
+            .drop("_said").select(*names, "word_count", "transcript", "speaking_rate"))
 
 
 def dedupe_windows(windows: DataFrame, p: WindowParams, eps_ms: int = 500) -> DataFrame:

@@ -88,7 +88,7 @@ _SAID = _SNAPPED + """, said AS (SELECT w.episode_id, w.window_id, w.start_ms, w
 
 
 def windows_said(spark, sf):
-    return I.window_words(snapped(spark, sf), t.words(spark, sf))
+    return I.packed_window_words(snapped(spark, sf), t.words(spark, sf))
 
 
 def windows_counted(spark, sf):
@@ -107,7 +107,7 @@ def candidates(spark, sf):
     """The flagship: grid -> snap -> count -> de-duplicate -> words for every recording at once. The
     texts join the windows that are left."""
     kept = I.dedupe_windows(stage(windows_counted(spark, sf), "counted"), P)
-    return I.window_words(kept.drop("word_count"), t.words(spark, sf))
+    return I.packed_window_words(kept.drop("word_count"), t.words(spark, sf))
 
 
 @query("int_06_dedupe_windows", sql("SELECT episode_id, window_id, start_ms, end_ms, word_count FROM walk WHERE keep",
@@ -388,7 +388,7 @@ def sig4(spark, sf):
   FROM grid g LEFT JOIN words w ON w.episode_id = g.episode_id AND w.start_ms >= g.start_ms AND w.start_ms < g.end_ms
   GROUP BY g.episode_id, g.window_id, g.start_ms, g.end_ms""", "words", "totals", extra=_GRID))
 def sig5(spark, sf):
-    w = I.window_words(I.grid(t.totals(spark, sf), P), t.words(spark, sf))
+    w = I.packed_window_words(I.grid(t.totals(spark, sf), P), t.words(spark, sf))
     return w.select("episode_id", "window_id", F.round("speaking_rate", 6).alias("wps"))
 
 

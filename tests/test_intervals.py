@@ -349,3 +349,28 @@ def test_recut_reads_its_clips_once(spark):
     bounds, kept, bad = I.recut(clips, edits, said)
     assert [tuple(r) for r in bounds.collect()] == [(1, "a", 2000, 8000)] and [r.text for r in kept.collect()] == ["x"] and bad.count() == 0
     assert "Join" not in bounds._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("pack_bytes", [1, 1 << 20])
+def test_words_of_windows_move_packed(spark, monkeypatch, pack_bytes):
+    """Ties of time, missing texts and positions, negative times, a window of many blocks and one without words."""
+    from momentloom.operators import packed
+
+    monkeypatch.setattr(packed, "PACK_BYTES", pack_bytes)
+    words = [("a", i % 7 if i % 5 else None, None if i % 6 == 0 else f"w{i}", (i * 37) % 900 - 200) for i in range(150)] + [("b", 1, "", 5), (None, 1, "lost", 5), ("a", 1, "no time", None)]
+    windows = [("a", 1, -200, 700), ("a", 2, 0, 50), ("a", 3, 100, 100), ("a", 4, 5_000, 9_000), ("b", 1, 0, 10), ("c", 1, 0, 10), (None, 1, 0, 10)]
+    given = spark.createDataFrame(words, "episode_id string, pos int, text string, start_ms bigint")
+    asked = spark.createDataFrame(windows, "episode_id string, window_id bigint, start_ms bigint, end_ms bigint")
+    out = I.packed_window_words(asked, given, width=100, joiner="|")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, I.window_words(asked, given, width=100, joiner="|").collect()), key=repr)
+    got = {(r.episode_id, r.window_id): (r.word_count, r.transcript) for r in out.collect()}
+    want = {}
+    for e, k, a, z in windows:
+        inside = sorted((w for w in words if e is not None and w[0] == e and w[3] is not None and a <= w[3] < z),
+                        key=lambda w: (w[3], w[1] is not None, w[1] or 0, w[2] is not None, w[2] or ""))
+        want[e, k] = (len(inside), "|".join(w[2] for w in inside if w[2] is not None))
+    assert got == want and len(got) == out.count()
+    counted = {(r.episode_id, r.window_id): r.word_count for r in I.count_words(asked, given, width=100).collect()}
+    assert counted == {k: n for k, (n, _) in want.items()}
+    # Only the texts of windows are collected; words are not gathered into arrays of structs before they move.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 1
