@@ -21,6 +21,8 @@ __all__ = ["block_of", "spread_interval", "running", "runs", "point_in_interval"
            "let", "fold_rows"]
 
 _BLK = "_blk"
+#: Partitions of ``neighbours`` for each shuffle partition of the session.
+SORT_PARTS = 4
 #: Rows of a block of ``spaced``: a power of two, so that a position is the low bits of a rank.
 RANK_BITS = 10
 
@@ -174,8 +176,10 @@ def neighbours(points: DataFrame, marks: DataFrame, keys: list[str], at: str, re
     mine = points.select(*keys, block_of(at, width).alias(_BLK), F.col(at).alias("_t"), F.lit(1).alias("_point"),
                          F.lit(None).cast(marks.schema["_ord"].dataType).alias("_ord"), F.lit(None).cast("string").alias("_kind"), F.struct(*names).alias("_row"))
     upto = lambda *order: W.partitionBy(*keys, _BLK).orderBy(*order, "_point", "_ord").rowsBetween(W.unboundedPreceding, 0)
-    # What the windows read is made of a row behind the shuffle, not carried through it.
-    seen = lent.unionByName(mine).repartition(*keys, _BLK).withColumn("_mark", F.struct(F.col("_t").alias("_m"), "_ord"))
+    # What the windows read is made of a row behind the shuffle, not carried through it; rows are wide
+    # there and sorted twice, so they go to more partitions than elsewhere, which are not put together again.
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SORT_PARTS
+    seen = lent.unionByName(mine).repartition(parts, *keys, _BLK).withColumn("_mark", F.struct(F.col("_t").alias("_m"), "_ord"))
     for side, order in (("before", F.asc("_t")), ("after", F.desc("_t"))):
         seen = seen.withColumns({f"{side}_{k}": F.last(F.when(F.col("_kind") == k, F.col("_mark")), True).over(upto(order)) for k in kinds})
     return seen.filter("_point = 1").select("_row.*", *[f"{side}_{k}" for side in ("before", "after") for k in kinds])
